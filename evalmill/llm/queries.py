@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from evalmill.llm.chat_format import OP1_SQL, op1_chat_format
 from evalmill.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from evalmill.llm.license_scan import op5_license_scan
 from evalmill.llm.quality import op2_quality_rules
+from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
+from evalmill.llm.token_counts import op6_token_counts
+from evalmill.llm.tokenizers_bpe import op3_bpe_codec
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_quality_rules": op2_quality_rules,
+        "op3_bpe_codec": op3_bpe_codec,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_license_scan": op5_license_scan,
+        "op6_token_counts": op6_token_counts,
+        "op9_secret_scan": op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_secret_scan": OP9_SQL}
