@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made only where none is set (tests).
-    The checkpoint is replicated storage, so lost executors don't lose it.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one only where none is set (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return jsc.getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back from there; lost executors don't lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,3 +50,22 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
     """
     small = right.limit(limit + 1).count() <= limit
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
+
+
+def drop_losers(docs: DataFrame, digest: Column, verdict: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``verdict`` (a checkpoint of doc_id, digest, kept for every row) doesn't keep.
+
+    What goes is named by (doc_id, digest). Rows that agree in both are one document; where one of them is kept and others
+    aren't, a last aggregation picks one, and it is run only where there are such rows.
+    """
+    columns = docs.columns
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
+    stays = verdict.filter("kept").select("doc_id", "digest")
+    goes = cut_lineage(verdict.filter("NOT kept").select("doc_id", "digest").distinct())
+    repeated = cut_lineage(goes.join(stays, same(goes, stays), "left_semi"))
+    lost = cut_lineage(goes.join(repeated, same(goes, repeated), "left_anti").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lost")))
+    tagged = docs.withColumn("__digest", digest)
+    left = sized_join(tagged, lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__lost")), "left_anti", limit=BROADCAST_ROWS // 4)
+    if not repeated.isEmpty():
+        left = left.dropDuplicates(["doc_id", "__digest"])
+    return left.select(*columns)

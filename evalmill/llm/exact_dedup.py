@@ -12,19 +12,22 @@ and text exactly one; an empty table gives an empty result. Only ``doc_id`` and
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import ascii_lower, cut_lineage, sized_join, table
+from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, table
 
 #: Counters of a Misra-Gries summary; also the most rows that are broadcast (about 60 bytes each).
 COUNTERS = 512
 
 
+def text_digest() -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, row): ``row`` tells apart rows that are otherwise equal; fixed, because it is read from the checkpoint."""
-    digest = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    return cut_lineage(docs.select("doc_id", digest.alias("digest"), F.monotonically_increasing_id().alias("row")))
+    return cut_lineage(docs.select("doc_id", text_digest().alias("digest"), F.monotonically_increasing_id().alias("row")))
 
 
 def _shrink(counts: pd.Series, counters: int) -> pd.Series:
@@ -62,23 +65,9 @@ def assign(hashed: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps.
-
-    What goes is named by (doc_id, digest). Rows that agree in both are one document; the one that stays is picked by a
-    last aggregation, run only where such rows exist.
-    """
+    """``docs`` without the rows whose text another row keeps."""
     verdict = cut_lineage(assign(digests(docs)).select("doc_id", "digest", "kept"))
-    stays = verdict.filter("kept").select("doc_id", "digest")
-    goes = cut_lineage(verdict.filter("NOT kept").select("doc_id", "digest").distinct())
-    repeated = cut_lineage(goes.join(stays, goes["doc_id"].eqNullSafe(stays["doc_id"]) & (goes["digest"] == stays["digest"]), "left_semi"))
-    lost = cut_lineage(goes.join(repeated, goes["doc_id"].eqNullSafe(repeated["doc_id"]) & (goes["digest"] == repeated["digest"]), "left_anti"))
-    columns = docs.columns
-    tagged = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)))
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lost"))
-    left = sized_join(tagged, lost, tagged["doc_id"].eqNullSafe(lost["__id"]) & (tagged["__digest"] == lost["__lost"]), "left_anti")
-    if repeated.isEmpty():
-        return left.select(*columns)
-    return left.dropDuplicates(["doc_id", "__digest"]).select(*columns)
+    return drop_losers(docs, text_digest(), verdict)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

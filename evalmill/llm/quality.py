@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import cut_lineage, let, table
+from evalmill.llm.common import cut_lineage, drop_losers, let, table
 
 #: Share of the good documents of a stratum that all rules together may reject, and the probability of missing that.
 ALPHA, DELTA = 0.05, 0.05
@@ -124,10 +124,10 @@ def safe_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     return counts.select("stratum", "n_good", *[chosen(name, cuts).alias(f"cut_{name}") for name, cuts in rules.items()])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Features, ``base_failed``, the rules that reject and ``kept`` for each document."""
+def judge(docs: DataFrame, labels: DataFrame, *keep: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Features, ``base_failed``, the rules that reject and ``kept`` for each document, and its columns ``keep``."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    measured = cut_lineage(features(docs.withColumn("stratum", F.coalesce(lang, F.lit("und"))), "stratum"))
+    measured = cut_lineage(features(docs.withColumn("stratum", F.coalesce(lang, F.lit("und"))), "stratum", *keep))
     cuts = cut_lineage(safe_cutoffs(measured, labels, alpha, delta).coalesce(1))
     few = cuts.limit(10_001).count() <= 10_000
     judged = measured.join(F.broadcast(cuts) if few else cuts, "stratum", "left")
@@ -136,6 +136,13 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     return judged.withColumn("base_failed", base).withColumn("rejected_by", rejects).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that are not kept."""
+    content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    verdict = cut_lineage(judge(docs.withColumn("digest", content), labels, "digest").select("doc_id", "digest", "kept"))
+    return drop_losers(docs, content, verdict)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from evalmill.llm.chat_format import OP1_SQL, op1_chat_format
 from evalmill.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from evalmill.llm.language_id import op10_language_id
 from evalmill.llm.license_scan import op5_license_scan
+from evalmill.llm.near_dedup import op7_minhash_near_dedup
 from evalmill.llm.packing import op8_best_fit_packing
 from evalmill.llm.quality import op2_quality_rules
 from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
@@ -21,9 +23,11 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_token_counts": op6_token_counts,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
