@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.operators.order import with_index
+
 RANGES = 64
 
 WIDE = "decimal(38,0)"
@@ -115,8 +117,7 @@ def subgroup_auc(scores: DataFrame, subgroups: dict[str, Column], keys: list[str
 
 def drift(a: DataFrame, b: DataFrame, key: str, score: str = "score") -> DataFrame:
     """AGG-32: how two runs of the same rows differ: largest and mean change, largest rank displacement, whether equal."""
-    order = lambda: Window.partitionBy(F.lit(0)).orderBy("s", key)
-    ranked = lambda df, n: df.select(key, F.col(score).alias("s")).withColumn("rank", F.row_number().over(order())).select(key, F.col("s").alias(f"s{n}"), F.col("rank").alias(f"r{n}"))
+    ranked = lambda df, n: with_index(df.select(key, F.col(score).alias("s")), "rank", "s", key).select(key, F.col("s").alias(f"s{n}"), F.col("rank").alias(f"r{n}"))
     both = ranked(a, 1).join(ranked(b, 2), key)
     change = F.abs(F.col("s1") - F.col("s2"))
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max(change), 9).alias("max_change"), F.round(F.avg(change), 9).alias("mean_change"), F.max(F.abs(F.col("r1") - F.col("r2"))).alias("max_rank_change"), (F.max(change) == 0).alias("exact"))
