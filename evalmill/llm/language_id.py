@@ -25,8 +25,8 @@ from evalmill.llm.common import table
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 
-#: Documents in the training sample, at most.
-SAMPLE = 1500
+#: Documents in the training sample, at most; steps of training, whatever the sample's size.
+SAMPLE, STEPS = 1500, 12_000
 
 PRECISION = 0.99
 
@@ -49,26 +49,24 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], languages: int, epochs: int = 6, rate: float = 2.0, seed: int = 7):
-    """(embeddings, weights, bias) from (language number, buckets, shares of the text's subwords)."""
+def train(samples: list[tuple[int, np.ndarray, np.ndarray]], languages: int, total: int = STEPS, rate: float = 2.0, seed: int = 7):
+    """(embeddings, weights, bias) after ``total`` steps over (language number, buckets, shares of the text's subwords)."""
     rng = np.random.default_rng(seed)
     embeddings = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     weights, bias = np.zeros((WIDTH, languages)), np.zeros(languages)
-    steps, total = 0, max(1, epochs * len(samples))
-    for _ in range(epochs):
-        for k in rng.permutation(len(samples)):
-            own, buckets, shares = samples[k]
-            lr = rate * (1 - steps / total)
-            steps += 1
-            mean = shares @ embeddings[buckets]
-            odds = mean @ weights + bias
-            error = np.exp(odds - odds.max())
-            error /= error.sum()
-            error[own] -= 1
-            back = weights @ error
-            weights -= lr * np.outer(mean, error)
-            bias -= 0.1 * lr * error
-            embeddings[buckets] -= lr * shares[:, None] * back
+    order = np.concatenate([rng.permutation(len(samples)) for _ in range(-(-total // len(samples)))])[:total] if samples else []
+    for step, k in enumerate(order):
+        own, buckets, shares = samples[k]
+        lr = rate * (1 - step / total)
+        mean = shares @ embeddings[buckets]
+        odds = mean @ weights + bias
+        error = np.exp(odds - odds.max())
+        error /= error.sum()
+        error[own] -= 1
+        back = weights @ error
+        weights -= lr * np.outer(mean, error)
+        bias -= 0.1 * lr * error
+        embeddings[buckets] -= lr * shares[:, None] * back
     return embeddings, weights, bias
 
 
