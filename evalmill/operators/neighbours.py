@@ -19,7 +19,8 @@ def hamming_pairs(left: DataFrame, right: DataFrame, key: str, hash_: str, radiu
     """
     n = radius + 1
     edges = [round(i * bits / n) for i in range(n + 1)]
-    part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    mask = lambda width: -1 if width == 64 else (1 << width) - 1
+    part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit(mask(edges[i + 1] - edges[i])).cast("long"))
     named = lambda df, side: df.groupBy(F.col(hash_).alias(f"hash_{side}")).agg(F.collect_list(key).alias(f"keys_{side}"))
     banded = lambda df, side: df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part(F.col(f"hash_{side}"), i).alias("value")) for i in range(n)])).alias("b")).select(f"hash_{side}", f"keys_{side}", "b.band", "b.value")
     a, b = banded(named(left, "a"), "a"), banded(named(right, "b"), "b")
