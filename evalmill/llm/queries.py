@@ -10,6 +10,7 @@ from evalmill.llm.license_scan import op5_license_scan
 from evalmill.llm.near_dedup import op7_minhash_near_dedup
 from evalmill.llm.packing import op8_best_fit_packing
 from evalmill.llm.quality import op2_quality_rules
+from evalmill.llm.quality_sql import OP2_SQL
 from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
 from evalmill.llm.token_counts import op6_token_counts
 from evalmill.llm.tokenizers_bpe import op3_bpe_codec
@@ -32,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op9_secret_scan": OP9_SQL}
