@@ -11,9 +11,10 @@ changes nothing that was found. R coordinates make a band; texts that share a ba
 the 40 bands of 6 with probability 5e-6).
 
 No group is expanded into pairs. Copies (same words) are one node. In a band's bucket every member is compared with the
-bucket's first node only; the exact similarity decides. After that, buckets whose members lie in several components are searched
-once more: members outside the bucket's largest component against all members of other components, so no link between
-different components that share a bucket is lost, and the members of one component are never paired.
+bucket's leader only; the exact similarity decides. After that, buckets whose members lie in several components are searched
+once more: members outside the bucket's largest component against those members of other components whose size and shared
+units leave room for the similarity. So no link between different components that share a bucket is lost, and members of one
+component are never paired.
 
 Cases: a text of one to four words is one shingle; texts without words (null too) are each their own class; the row with the
 smallest doc_id of a class stays (null is smallest), one of several rows with equal id and words; an empty table gives no rows.
@@ -122,20 +123,22 @@ def sketches(docs: DataFrame, band_count: int = BANDS, rows: int = ROWS) -> Data
     return cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact similarity is high enough; only texts of nodes in pairs are read again."""
+def node_units(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, units) of the nodes in ``named`` (node, doc_id, digest), from their texts, which are read again."""
 
     def run(batches):
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "units": [units(np.asarray(w)).view(np.int64) for w in batch["words"]]})
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = cut_lineage(nodes.select("node", "doc_id", "digest").join(named, "node", "left_semi"))
     ids = cut_lineage(named.select(F.col("doc_id").alias("__id")).distinct())
     some = sized_join(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     read = hashed_words(some).mapInPandas(run, "doc_id long, digest binary, units array<long>")
-    read = read.join(named.select("node", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    read = cut_lineage(read.select("node", "units"))
+    key = named.select("node", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    return cut_lineage(read.join(key, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "units"))
+
+
+def similar_pairs(pairs: DataFrame, read: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact similarity is high enough; ``read`` holds their units."""
     left, right = (read.select(F.col("node").alias(x), F.col("units").alias(f"units_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
@@ -163,6 +166,32 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def crossing_links(open_: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) across components of a bucket, from (key, node, n, component, largest, leader) and (node, units).
+
+    A unit that only one component's nodes have can't be common to such a pair. With v of a node's n units found in other
+    components, the common part is at most the smaller v, so a similarity of s needs (1 + s) min(v, v') >= s (n + n'). This
+    bounds the sizes that a partner may have, and nodes that can't have one take no part. The exact similarity is the last part
+    of the join's condition: pairs that fail it are never rows.
+    """
+    parts = read.join(open_.select("node", "component").distinct(), "node").select("node", "component", F.explode("units").alias("unit"))
+    across = parts.groupBy("unit").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest").select("unit")
+    common = parts.select("node", "unit").join(across, "unit").groupBy("node").agg(F.count_distinct("unit").alias("v"))
+    sized = open_.filter("node != leader").join(common, "node")
+    most = F.col("v") * ((1 + similarity) / similarity) - F.col("n")
+    low, high = F.ceil(F.col("n") * similarity), F.floor(F.least(F.col("n") / similarity, most + 1e-9))
+    ready = cut_lineage(sized.withColumn("low", low).withColumn("high", high).filter("low <= high"))
+    # Only buckets with a node outside their largest component are left to search.
+    outside = ready.filter("component != largest")
+    members = ready.join(outside.select("key").distinct(), "key", "left_semi")
+    x, y = outside.join(read, "node").alias("x"), members.join(read, "node").alias("y")
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    possible = F.col("y.n").between(F.col("x.low"), F.col("x.high")) & F.col("x.n").between(F.col("y.low"), F.col("y.high"))
+    close = F.size(F.array_intersect("x.units", "y.units")) >= (similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & possible & close)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, band_count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, digest, row, class_id, class_size, kept) for every row of ``docs``."""
     made = sketches(docs, band_count, rows)
@@ -171,31 +200,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, band_count: int = B
     others = cut_lineage(membership.filter("row != node").select("row"))
     nodes = sized_join(made.filter("digest IS NOT NULL"), others, "row", "left_anti").withColumnRenamed("row", "node")
     fits = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y))  # noqa: E731  sizes that allow the similarity
+    named = lambda ids: cut_lineage(nodes.select("node", "doc_id", "digest").join(ids, "node", "left_semi"))
 
     exploded = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = cut_lineage(exploded.join(shared, "key").select("key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
-
-    pairs = cut_lineage(buckets.filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    edges = cut_lineage(similar_pairs(pairs, nodes, docs, similarity))
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    placed = cut_lineage(exploded.join(shared, "key"))
+    # The leader is the member that meets most others in all its buckets: of edited copies, one close to what was edited.
+    popular = placed.groupBy("node").agg(F.sum("members").alias("met"))
+    leaders = placed.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("leader"))
+    buckets = cut_lineage(placed.join(leaders, "key").select("key", "node", "n", "members", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")))
+
+    pairs = buckets.filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
+    pairs = cut_lineage(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    read = node_units(named(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs)
+    edges = cut_lineage(similar_pairs(pairs, read, similarity))
     found = components(edges)
 
-    placed = buckets.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_in"))
+    tagged = buckets.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_in"))
     split = counted.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    open_ = cut_lineage(placed.join(split, "key").select("key", "node", "n", "component", "largest", "leader"))
-    x, y = open_.filter("component != largest AND node != leader").alias("x"), open_.filter("node != leader").alias("y")
-    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & fits(F.col("x.n"), F.col("y.n")))
-    rest = cut_lineage(crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut_lineage(similar_pairs(rest, nodes, docs, similarity))
+    open_ = cut_lineage(tagged.join(split, "key").select("key", "node", "n", "component", "largest", "leader"))
+    if not open_.isEmpty():
+        read = node_units(named(open_.select("node").distinct()), docs)
+        more = cut_lineage(crossing_links(open_, read, similarity))
         if not more.isEmpty():
             found = components(edges.unionByName(more))
 
     linked = membership.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return linked.join(named, "component").select("doc_id", "digest", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    sizes = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    return linked.join(sizes, "component").select("doc_id", "digest", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
