@@ -78,6 +78,8 @@ def chain(*kernels: Kernel) -> Kernel:
 
 #: UDF-01: names that queries can refer to.
 KERNELS: dict[str, Kernel] = {"identity": lambda x: x, "flip": lambda x: x[:, :, ::-1], "blur_1": lambda x: blur(x, 1.0), "half": lambda x: resize(resize(x, x.shape[1] // 2, x.shape[2] // 2), *x.shape[1:3])}
+KERNELS["evaluation_crop"] = lambda x: preprocess(x, 4, "crop")
+KERNELS["canonical_4"] = lambda x: centre_square(x, 4)
 KERNELS["flip_blur"] = chain(KERNELS["flip"], KERNELS["blur_1"])
 
 

@@ -81,3 +81,30 @@ def matched_subset_scores(meta: DataFrame, scores: DataFrame, strata: list[str],
     """JOB-10/21: AUC over the metadata-matched subset of a finished matrix."""
     chosen = sample.matched_strata(meta, strata, sample.rank_of(seed, "strata", "sample_id")).select("sample_id")
     return metrics.auc(scores.join(chosen, "sample_id", "left_semi"), ["condition"])
+
+
+def mixture_with_holdout(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
+    """JOB-02/03: one generator kept whole as a holdout, a quota of each label from the rest."""
+    held = rows.agg(F.min("generator").alias("__held"))
+    tagged = rows.crossJoin(F.broadcast(held)).withColumn("role", F.when(F.col("generator").eqNullSafe(F.col("__held")), "holdout").otherwise("train")).drop("__held")
+    train = sample.lowest_ranked(tagged.filter("role = 'train'"), ["label"], per_label, sample.rank_of(seed, "holdout", "sample_id")).drop("place")
+    return train.unionByName(tagged.filter("role = 'holdout'"))
+
+
+def cross_source_gates(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
+    """JOB-07: for each real source a gate of its rows and of fakes, ranked by the gate's own name."""
+    gates = rows.filter("label = 0").select(F.col("real_source").alias("gate")).distinct()
+    names = gates.agg(F.collect_set("gate").alias("gates"))
+    fakes = rows.filter("label = 1").crossJoin(F.broadcast(names)).withColumn("gate", F.explode("gates")).drop("gates")
+    both = rows.filter("label = 0").withColumn("gate", F.col("real_source")).unionByName(fakes)
+    rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("gate"), F.col("sample_id").cast("string")), 256)
+    return sample.lowest_ranked(both, ["gate", "label"], per_label, rank)
+
+
+def fresh_matched_gate(held: DataFrame, used: DataFrame) -> DataFrame:
+    """JOB-13: one row for each unused content, the lowest content hashes, as many of either label."""
+    fresh = held.join(used.select("content_sha256"), "content_sha256", "left_anti")
+    one = fresh.groupBy("content_sha256", "label").agg(F.min("sample_id").alias("sample_id"))
+    size = one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n_each"))
+    placed = one.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("content_sha256")))
+    return placed.join(F.broadcast(size), F.col("place") <= F.col("n_each"))
