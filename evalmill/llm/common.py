@@ -48,7 +48,7 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
 
     ``right`` must be cheap to count (a checkpoint). The shuffled form sorts nothing, so wide left rows don't spill.
     """
-    small = right.limit(limit + 1).count() <= limit
+    small = right.count() <= limit
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
 
 

@@ -106,6 +106,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE):
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(sample)
     some = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    # An id that many rows have counts once, so the sample is bounded whatever the ids are.
+    some = some.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "d.text", "d.lang")
     rows = some.mapInPandas(shares, "doc_id long, lang string, buckets array<int>, shares array<float>").toLocalIterator()
     kept = sorted(((r["lang"], r["doc_id"], np.array(r["buckets"]), np.array(r["shares"], dtype=float)) for r in rows), key=lambda r: r[:2])
     languages = sorted({r[0] for r in kept})
