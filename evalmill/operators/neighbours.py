@@ -37,30 +37,32 @@ def nearest_hash(left: DataFrame, right: DataFrame, key: str, hash_: str, radius
 
 
 def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """JN-15: the k most similar right rows of each left row.
+    """JN-15: the k most similar right rows of each left row; rows without a vector have no neighbours and are none.
 
-    ``right`` is cut into blocks of rows; left rows meet every block once, a block matrix product and a top k for each, and a last
-    top k over blocks. Nothing larger than a block is held, and only k rows for each left row and block are shuffled.
+    Both sides are cut by hash into blocks of about ``block`` rows. A cell of the grid of blocks is one group: a matrix product and
+    its top k; a last top k goes over cells. No group outgrows two blocks at any size, and a left row and cell shuffle k rows on.
     """
-    flat = right.select(key, vector)
-    n_blocks = max(1, -(-flat.count() // block))
-    cut = flat.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct(key, vector)).alias("rows"))
-    met = left.select(F.col(key).alias("a"), F.col(vector).alias("va")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("slice", F.pmod(F.xxhash64("a"), F.lit(16)))
+    rows = lambda df, id_, name: df.filter(F.col(vector).isNotNull()).select(F.col(key).alias(id_), F.col(vector).alias(name))
+    a, b = rows(left, "a", "va"), rows(right, "b", "vb")
+    n_slices, n_blocks = (max(1, -(-df.count() // block)) for df in (a, b))
+    place = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = a.withColumn("slice", place("a", n_slices)).withColumn("block", every(n_blocks))
+    cut = b.withColumn("block", place("b", n_blocks)).withColumn("slice", every(n_slices))
 
     def best(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": [], "b": [], "similarity": []}
-        if len(left_rows) and len(right_rows):
-            rows = right_rows["rows"].iloc[0]
-            unit = lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=1, keepdims=True))
-            keys, matrix = np.array([r[key] for r in rows]), unit(np.array([r[vector] for r in rows], dtype=float))
-            found = unit(np.stack(left_rows["va"].to_numpy()).astype(float)) @ matrix.T
-            order = np.lexsort((np.broadcast_to(keys, found.shape), -np.round(found, 9)), axis=1)[:, :k]
-            out = {"a": np.repeat(left_rows["a"].to_numpy(), order.shape[1]), "b": keys[order].ravel(), "similarity": np.take_along_axis(found, order, 1).ravel()}
-        return pd.DataFrame(out)
-
-    slices = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        if left_rows.empty or right_rows.empty:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        unit = lambda column: (lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=1, keepdims=True)))(np.stack(column.to_numpy()).astype(float))
+        found = unit(left_rows["va"]) @ unit(right_rows["vb"]).T
+        near = np.round(found, 9)
+        least = np.partition(near, -k, axis=1)[:, [-k]] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
+        i, j = np.nonzero(near >= least)
+        out = pd.DataFrame({"a": left_rows["a"].to_numpy()[i], "b": right_rows["b"].to_numpy()[j], "similarity": found[i, j], "near": near[i, j]})
+        return out.sort_values(["near", "b"], ascending=[False, True]).groupby("a").head(k)[["a", "b", "similarity"]]
+
     kind = dict(left.dtypes)[key]
-    part = met.groupBy("block", "slice").cogroup(slices.groupBy("block", "slice")).applyInPandas(best, f"a {kind}, b {kind}, similarity double")
+    part = met.groupBy("block", "slice").cogroup(cut.groupBy("block", "slice")).applyInPandas(best, f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), "b")
     return part.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).withColumn("similarity", F.round("similarity", 6))
 
