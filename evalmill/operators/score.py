@@ -15,6 +15,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.columns import hash_rank
+
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -137,11 +139,23 @@ def head_scores(model, rows: DataFrame, vector: str, key: str) -> DataFrame:
     return model.transform(rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).select(key, vector_to_array("probability")[1].alias("score"))
 
 
+def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` that have a vector, with it scaled to length 1 as the feature column; a zero vector stays zero."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    scaled = F.transform(vector, lambda x: x.cast("double") / F.greatest(F.lit(1e-300), norm))
+    return rows.filter(F.col(vector).isNotNull()).withColumn("features", array_to_vector(scaled))
+
+
+def unit_clusters(rows: DataFrame, key: str, vector: str, clusters: int, seed: int, fit_rows: int = 4096) -> DataFrame:
+    """ML-06: k-means of unit vectors. Centres are fitted on the ``fit_rows`` lowest hash ranks; every row is assigned."""
+    ready = unit_vectors(rows, vector)
+    fitted = KMeans(k=clusters, seed=seed, maxIter=30).fit(ready.orderBy(hash_rank(seed, "centres", F.col(key)), key).limit(fit_rows).coalesce(1))
+    return fitted.transform(ready).select(key, F.col("prediction").alias("cluster"))
+
+
 def diverse_choice(rows: DataFrame, key: str, vector: str, score: str, shortlist: int, clusters: int, seed: int) -> DataFrame:
     """SMP-14, ML-06: the best row of each k-means cluster of the best ``shortlist`` rows, ties by key."""
-    short = rows.orderBy(F.desc(score), key).limit(shortlist)
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    ready = short.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double") / norm))).repartition(1)
+    ready = unit_vectors(rows.orderBy(F.desc(score), key).limit(shortlist), vector).repartition(1)
     grouped = KMeans(k=clusters, seed=seed, maxIter=30).fit(ready).transform(ready)
     best = Window.partitionBy("prediction").orderBy(F.desc(score), key)
     return grouped.withColumn("n", F.row_number().over(best)).filter("n = 1").select(key, score, F.col("prediction").alias("cluster"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalmill.plans import curate_queries, metric_queries, more_queries, source_queries, stat_queries  # noqa: F401
+from evalmill.plans import curate_queries, job_queries, metric_queries, more_queries, reader_queries, source_queries, stat_queries  # noqa: F401
 from evalmill.plans.registry import ORACLES, QUERIES
 
 

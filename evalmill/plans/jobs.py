@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
-from evalmill.operators import curate, decide, metrics, neighbours, sample
+from evalmill.operators import curate, decide, metrics, neighbours, sample, score
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def count_by_predicate(rows: DataFrame, predicates: dict[str, Column]) -> DataFr
 
 
 def base_mixture(rows: DataFrame, per_generator: int, seed: int) -> DataFrame:
-    """JOB-01..04: a hash-ranked quota of each generator and as many reals as fakes."""
+    """JOB-01: a hash-ranked quota of each generator and as many reals as fakes."""
     rank = sample.rank_of(seed, "mix", "sample_id")
     fakes = sample.lowest_ranked(rows.filter("label = 1"), ["generator"], per_generator, rank)
     size = fakes.agg(F.count(F.lit(1)).alias("n_fakes"))
@@ -51,7 +51,7 @@ def permissive_mixture(rows: DataFrame, terms: list[str], per_label: int, seed:
 
 
 def balanced_gate(rows: DataFrame, per_group: int, seed: int) -> DataFrame:
-    """JOB-09/11/15: the same hash-ranked quota of every generator and source."""
+    """JOB-09: the same hash-ranked quota of every generator and source."""
     named = rows.withColumn("group_name", C.group_key(F.col("label"), F.col("generator"), F.col("real_source")))
     return sample.lowest_ranked(named, ["label", "group_name"], per_group, sample.rank_of(seed, "gate", "sample_id"))
 
@@ -84,7 +84,7 @@ def matched_subset_scores(meta: DataFrame, scores: DataFrame, strata: list[str],
 
 
 def mixture_with_holdout(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
-    """JOB-02/03: one generator kept whole as a holdout, a quota of each label from the rest."""
+    """JOB-03: one generator kept whole as a holdout, a quota of each label from the rest."""
     held = rows.agg(F.min("generator").alias("__held"))
     tagged = rows.crossJoin(F.broadcast(held)).withColumn("role", F.when(F.col("generator").eqNullSafe(F.col("__held")), "holdout").otherwise("train")).drop("__held")
     train = sample.lowest_ranked(tagged.filter("role = 'train'"), ["label"], per_label, sample.rank_of(seed, "holdout", "sample_id")).drop("place")
@@ -108,3 +108,59 @@ def fresh_matched_gate(held: DataFrame, used: DataFrame) -> DataFrame:
     size = one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n_each"))
     placed = one.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("content_sha256")))
     return placed.join(F.broadcast(size), F.col("place") <= F.col("n_each"))
+
+
+def equal_reals(fakes: DataFrame, reals: DataFrame, seed: int, name: str) -> DataFrame:
+    """As many reals as there are fakes, dealt equally over the real sources by hash rank."""
+    return sample.allocate(reals, "real_source", fakes.count(), sample.rank_of(seed, name, "sample_id")).drop("place", "quota")
+
+
+def paired_control(pool: DataFrame, used: DataFrame, holdout: str, per_generator: int, seed: int) -> DataFrame:
+    """JOB-02: unused contents only; a quota of each generator but the holdout, paired with equally dealt reals."""
+    fresh = pool.join(used.select("content_sha256").distinct(), "content_sha256", "left_anti")
+    known = fresh.filter((F.col("label") == 1) & (F.col("generator") != holdout))
+    fakes = sample.lowest_ranked(known, ["generator"], per_generator, sample.rank_of(seed, "paired", "sample_id")).drop("place")
+    return fakes.unionByName(equal_reals(fakes, fresh.filter("label = 0"), seed, "paired"))
+
+
+def breadth_gate(fakes: DataFrame, reals: DataFrame, prior: DataFrame, identities: list[str], seed: int) -> DataFrame:
+    """JOB-11: all fakes and equally dealt reals, without rows that share an identity with a prior manifest."""
+    gate = fakes.unionByName(equal_reals(fakes, reals, seed, "breadth"))
+    return curate.without_shared_identity(gate, prior.drop("sample_id"), "sample_id", identities)
+
+
+def equal_source_gate(fakes: DataFrame, reals: DataFrame, training: DataFrame, seed: int) -> DataFrame:
+    """JOB-12: fakes and equally dealt reals, each with whether training has its content and whether the gate repeats it."""
+    gate = fakes.unionByName(equal_reals(fakes, reals, seed, "audit"))
+    repeats = gate.groupBy("content_sha256").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    known = training.select("content_sha256").distinct().withColumn("in_training", F.lit(True))
+    return gate.join(repeats, "content_sha256").join(known, "content_sha256", "left").fillna(False, ["in_training"])
+
+
+def class_balanced_gate(rows: DataFrame, listed: DataFrame, kind: str, per_class: int, order: Column) -> DataFrame:
+    """JOB-14: of unlisted contents, the first ``per_class`` of each class and label for the gate, the next for the repair block."""
+    fresh = curate.path_or_hash_excluded(rows, listed)
+    placed = sample.rank_window(fresh, ["label", kind], 0, 2 * per_class, order)
+    return placed.withColumn("role", F.when(F.col("place") <= per_class, "gate").otherwise("repair"))
+
+
+def label_balanced_sample(rows: DataFrame, used: DataFrame, per_label: int, seed: int, name: str) -> DataFrame:
+    """JOB-15: of contents that no earlier audit used, one row each, the lowest hash ranks of either label."""
+    fresh = rows.join(used.select("content_sha256").distinct(), "content_sha256", "left_anti")
+    once = curate.first_of_each(fresh, "content_sha256", ["sample_id"])
+    return sample.lowest_ranked(once, ["label"], per_label, sample.rank_of(seed, name, "sample_id"))
+
+
+def canonical_view(rows: DataFrame, key: str, pixels: str, shape: tuple[int, int], digits: int = 6) -> DataFrame:
+    """JOB-06: the canonical square of each image, its digest, and how many rows and labels share it."""
+    square = score.apply_kernel(rows, key, pixels, shape, "canonical_4")
+    digest = F.sha2(F.to_json(F.transform(pixels, lambda x: F.round(x, digits))), 256)
+    derived = rows.select(key, "label").join(square.select(key, digest.alias("derived_sha256")), key)
+    shared = derived.groupBy("derived_sha256").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("label").alias("n_labels"))
+    return derived.join(shared, "derived_sha256")
+
+
+def evaluate_gates(scores: DataFrame, gates: dict[str, tuple[Column, GateSpec]]) -> DataFrame:
+    """JOB-24: one evaluator for every gate: its rows, its contract, its metrics, its rules."""
+    parts = [evaluate_gate(scores.filter(rows), spec).withColumn("gate", F.lit(name)) for name, (rows, spec) in gates.items()]
+    return curate.union_manifests(*parts)

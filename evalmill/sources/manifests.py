@@ -81,6 +81,12 @@ def flagged_csv(spark: SparkSession, path: str, flag: str, value: str) -> DataFr
     return spark.read.option("header", True).csv(path).filter(F.col(flag) == value)
 
 
+def geometry_report(rows: DataFrame, kind: str, values: str, size: int) -> DataFrame:
+    """SRC-08: rows of each class and those whose array is missing or isn't ``size`` long."""
+    broken = ~F.coalesce(F.size(values) == size, F.lit(False))
+    return rows.groupBy(F.col(kind).alias("class")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(broken).alias("n_broken"))
+
+
 def inventory_difference(files: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """SRC-10: keys on one side only."""
     both = files.select(key).distinct().withColumn("in_files", F.lit(True)).join(index.select(key).distinct().withColumn("in_index", F.lit(True)), key, "full")
@@ -111,7 +117,7 @@ def progress_rows(documents: DataFrame, column: str) -> tuple[DataFrame, DataFra
 
 def condition_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """SRC-14: prediction files, the condition taken from the file's name."""
-    return spark.read.schema(schema).json(pattern).withColumn("condition", F.regexp_extract(F.input_file_name(), r"([^/]+)_predictions\.jsonl", 1))
+    return spark.read.schema(schema).json(pattern).withColumn("condition", F.regexp_extract(F.input_file_name(), r"([^/=]+)_predictions\.jsonl", 1))
 
 
 def report_metrics(reports: DataFrame, column: str) -> DataFrame:
@@ -128,9 +134,9 @@ def evaluation_groups(reports: DataFrame, column: str) -> DataFrame:
     return e.select("condition", F.col("c.auc").alias("condition_auc"), F.explode("c.groups").alias("generator", "auc"))
 
 
-def mentions(spark: SparkSession, root: str, term: str) -> DataFrame:
+def mentions(spark: SparkSession, root: str, term: str, files: str = "*.jsonl") -> DataFrame:
     """SRC-18: lines of all manifests under a folder that mention a term, with their file; unreadable files are skipped."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", True).text(root)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).option("ignoreCorruptFiles", True).text(root)
     return lines.filter(F.contains(F.lower("value"), F.lit(term.lower()))).select(F.col("_metadata.file_path").alias("file"), "value")
 
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hash_rank, slug
+from evalmill.operators.order import shared_folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def refuses_overwrite(rows: DataFrame, path: str) -> bool:
+    """SNK-03: whether a second write to an output is refused; what is there stays as it is."""
+    try:
+        rows.limit(0).write.mode("errorifexists").text(path)
+    except AnalysisException:
+        return True
+    return False
 
 
 def manifest_lines(rows: DataFrame, seed: int, name: str, key: str = "path") -> DataFrame:
