@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from evalmill.llm.common import cut_lineage, table
 from evalmill.llm.token_counts import ODD
+from evalmill.llm.tokenizers_bpe import LONG_BLANKS, read_ranks
 
 SIZE, END_ID = 1024, 2
 
@@ -31,12 +32,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @lru_cache(maxsize=2)
 def encoders(json_path: str, ranks_path: str, pattern: str):
-    """(fast, exact) encoders of one vocabulary for each Python worker; they agree but for ODD characters' classes."""
+    """(fast, exact) encoders of one vocabulary for each Python worker; they agree but for ODD characters' classes and LONG_BLANKS, which fast refuses."""
     import tiktoken
     from tokenizers import Tokenizer
 
-    from evalmill.llm.tokenizers_bpe import read_ranks
-
     exact = Tokenizer.from_file(json_path)
     specials = {t.content: i for i, t in exact.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=specials)
@@ -51,7 +50,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, size:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = exact.encode(text, add_special_tokens=False).ids if ODD.search(text) else fast.encode(text, allowed_special="all")
+                ids = exact.encode(text, add_special_tokens=False).ids if ODD.search(text) or LONG_BLANKS.search(text) else fast.encode(text, allowed_special="all")
                 ids.append(end_id)
                 ids = np.asarray(ids, dtype="<u4")
                 ends = range((len(ids) - 1) % size + 1, len(ids) + 1, size)

@@ -10,7 +10,8 @@ tail + head around their boundary, which grows over neighbours until it reaches
 tokens outside provably don't change. Decoding joins the bytes of halves in the same way.
 
 Cases: a null text is empty and has no ids; very long texts need memory in proportion to one text; ids don't depend on the
-leaf size. Rows stay rows: no shuffle.
+leaf size. A run of white space that is too long for the library's split pattern (it gives up at about a million) is taken as
+the pattern defines it: all of it but a last character before other text is one match. Rows stay rows: no shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from evalmill.llm.common import table
 
 SYNC = re.compile(r"(?<=[A-Za-z0-9])(?=[ \t\n\r])")
 
+#: White space as the split pattern has it, in runs that aren't left to the pattern.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
 #: Code points of a leaf.
 LEAF = 16_384
 
@@ -38,6 +42,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+def run_encoder(encode, encode_match):
+    """``encode`` for any text: long runs of white space are cut out and go to ``encode_match`` as the matches that they are."""
+
+    def ids_of(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_BLANKS.finditer(text) if len(text) >= 65536 else ():
+            end = run.end() - (run.end() < len(text))
+            ids += encode(text[at : run.start()])
+            ids += encode_match(text[run.start() : end])
+            at = end
+        return ids + encode(text[at:]) if at else encode(text)
+
+    return ids_of
+
+
 class TreeCodec:
     """Encodes by joining halves; ``leaf_ids`` gives the ids of a short text on its own."""
 
@@ -98,8 +117,8 @@ def codec(path: str, pattern: str, leaf: int = LEAF) -> TreeCodec:
     import tiktoken
 
     ranks = read_ranks(path)
-    leaves = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return TreeCodec(ranks, leaves.encode_ordinary, leaf)
+    leaves, match = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("leaves", pattern), ("match", r"(?s:.+)")))
+    return TreeCodec(ranks, run_encoder(leaves.encode_ordinary, match.encode_ordinary), leaf)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:

@@ -133,3 +133,26 @@ def test_plan_uses_every_piece_once(seed):
     assert max(fill.values()) <= size
     assert set(seen.values()) == {1} and all(Counter(v for v, _ in seen)[v] == counts[v] for v in range(1, size + 1))
     assert len(fill) <= 1.03 * lengths.sum() / size + 2
+
+
+LONG = {"spaces": " " * 1_100_000, "lines": "a b\n" + "\n" * 1_050_000 + "x y", "mixed": "end" + " \t\u3000" * 400_000 + "\u00a0é 1" + " " * 70_000, "letters": "ab" * 300_000, "marks": "!?" * 300_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_runs_beyond_the_library_limit(library, name):
+    text = LONG[name]
+    want = library.encode(text, add_special_tokens=False).ids
+    assert tokenizers_bpe.codec(RANKS, public.PATTERN).encode(text).tolist() == want
+    assert token_counts.counter(JSON).count(text) == len(want)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 70_000 + "b", " " * 65_536, "x" + "\n" * 66_000 + " y", "it's" + "\t" * 65_537 + "'s" + " " * 65_536 + "!"])
+def test_long_runs_match_library(reference, text):
+    assert tokenizers_bpe.codec(MULTI, public.PATTERN).encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_packing_takes_long_runs(spark, library):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_050_000 + "b")], "doc_id long, text string")
+    ids = np.array([*library.encode(docs.first()["text"], add_special_tokens=False).ids, 2], "<u4")
+    got = sorted(map(tuple, packing.pieces(docs, JSON, RANKS, public.PATTERN).select("start", "length", "ids_crc32").collect()))
+    assert got == [(b, n, zlib.crc32(ids[b : b + n].tobytes())) for b, n, _ in got] and sum(n for _, n, _ in got) == len(ids)
