@@ -45,7 +45,7 @@ GATES = {
     "slack": "xox[abprs]-",
     "google": "AIza",
     "stripe": "[sr]k_(?:live|test)_",
-    "jwt": "eyJ",
+    "jwt": r"[A-Za-z0-9_-]\.eyJ",
     "pem": "PRIVATE KEY-----",
 }
 
