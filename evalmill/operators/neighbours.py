@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hamming
-from evalmill.operators.order import cut_lineage
+from evalmill.operators.order import cut_lineage, with_index
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int, bits: int = 64) -> DataFrame:
@@ -67,24 +69,78 @@ def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int,
     return part.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).withColumn("similarity", F.round("similarity", 6))
 
 
-def greedy_assignment(scored: DataFrame, capacity: int = 1, rounds: int = 100) -> DataFrame:
-    """JN-16/17: (a, b, similarity) with each b once and each a ``capacity`` times: rounds of mutual best choices.
+def greedy_flows(scored: DataFrame) -> DataFrame:
+    """(a, b, similarity, flow) of rows (a, b, similarity, room_a, room_b): greedy by similarity, ties by a hash of the pair and ids.
 
-    A pair is taken when each is the other's best open choice (ties by ids). Every round takes the best open pair at least, so
-    it ends; what a round leaves is written to the checkpoint folder. The total is not promised to be optimal.
+    Every round takes what both ends of a pair want: the room that the better pairs of a node can't use up. That is what going
+    through all pairs one by one gives. The best open pair is always taken, so the loop ends when no pair with room is left.
     """
-    open_, taken = cut_lineage(scored.select("a", "b", "similarity")), None
-    for _ in range(rounds):
-        best_a = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-        best_b = Window.partitionBy("b").orderBy(F.desc("similarity"), "a")
-        mutual = open_.withColumn("na", F.row_number().over(best_a)).withColumn("nb", F.row_number().over(best_b)).filter("na = 1 AND nb = 1").select("a", "b", "similarity")
-        mutual = cut_lineage(mutual)
+    open_, taken = cut_lineage(scored.select("a", "b", "similarity", F.col("room_a").cast("long"), F.col("room_b").cast("long"))), []
+    order = (F.desc("similarity"), F.xxhash64("a", "b"), "a", "b")
+    while True:
+        before = {s: Window.partitionBy(s).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for s in "ab"}
+        wants = lambda s, o: F.least(f"room_{o}", F.col(f"room_{s}") - F.coalesce(F.sum(f"room_{o}").over(before[s]), F.lit(0)))
+        mutual = cut_lineage(open_.withColumn("flow", F.least(wants("a", "b"), wants("b", "a"))).filter("flow > 0").select("a", "b", "similarity", "flow"))
         if mutual.isEmpty():
             break
-        taken = mutual if taken is None else cut_lineage(taken.unionByName(mutual))
-        full = taken.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= capacity).select("a")
-        open_ = cut_lineage(open_.join(mutual.select("b"), "b", "left_anti").join(full, "a", "left_anti"))
-    return taken if taken is not None else open_.limit(0)
+        taken.append(mutual)
+        if len(taken) == 16:
+            taken = [cut_lineage(_union(taken))]
+        for s in "ab":
+            used = mutual.groupBy(s).agg(F.sum("flow").alias("used"))
+            open_ = open_.join(used, s, "left").withColumn(f"room_{s}", F.col(f"room_{s}") - F.coalesce("used", F.lit(0))).drop("used").filter(F.col(f"room_{s}") > 0)
+        open_ = cut_lineage(open_.select("a", "b", "similarity", "room_a", "room_b"))
+    return cut_lineage(_union(taken)) if taken else open_.select("a", "b", "similarity", F.col("room_a").alias("flow")).limit(0)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def greedy_assignment(scored: DataFrame, capacity: int = 1) -> DataFrame:
+    """(a, b, similarity) of given pairs with each b once and each a ``capacity`` times at most, greedy by similarity."""
+    return greedy_flows(scored.withColumn("room_a", F.lit(capacity)).withColumn("room_b", F.lit(1))).select("a", "b", "similarity")
+
+
+def _nodes(df: DataFrame, key: str, vector: str, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (at, key) numbered so that copies of a vector follow each other, and its nodes (node, vector, room): one for each vector, named by its first number."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(key, vector, F.sha2(F.col(vector).cast("string"), 256).alias("copy"))
+    numbered = cut_lineage(with_index(rows, "at", "copy", key))
+    nodes = numbered.groupBy("copy").agg(F.min("at").alias("node"), F.any_value(vector).alias(vector), (F.count(F.lit(1)) * capacity).alias("room"))
+    return numbered.select("at", key), cut_lineage(nodes.drop("copy"))
+
+
+def assignment(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, capacity: int = 1, cell: int = 2_000_000) -> DataFrame:
+    """JN-16/17: (a, b, similarity) with each b once and each a ``capacity`` times, until all of one side is used up.
+
+    Copies of a vector are one node with room for all of them. A pass matches every open left node greedily among its best open
+    right nodes; those that found theirs taken meet the right nodes that are still open in the next pass. Passes see ``k`` right
+    nodes, more when fewer left ones remain, so that no pass has more pairs than the first, nor a block more than ``cell``.
+    Rows without a finite vector are none. The total is not promised to be optimal.
+    """
+    (left_rows, lefts), (right_rows, rights) = _nodes(left, key, vector, capacity), _nodes(right, key, vector, 1)
+    most, flows = k * left_rows.count(), []
+    while (n := lefts.count()) and not rights.isEmpty():
+        seen = max(k, min(most // n, cell // min(n, 4096)))
+        found = cosine_top(lefts, rights, "node", vector, seen).select("a", "b", "similarity")
+        rooms = [df.select(F.col("node").alias(s), F.col("room").alias(f"room_{s}")) for df, s in ((lefts, "a"), (rights, "b"))]
+        got = greedy_flows(found.join(rooms[0], "a").join(rooms[1], "b"))
+        flows.append(got)
+        left_over = lambda df, s: cut_lineage(df.join(got.groupBy(F.col(s).alias("node")).agg(F.sum("flow").alias("used")), "node", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used").filter("room > 0"))  # noqa: B023, E731
+        lefts, rights = left_over(lefts, "a"), left_over(rights, "b")
+    if not flows:
+        kind = dict(left.dtypes)[key]
+        return left.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    edges = _union(flows).groupBy("a", "b", "similarity").agg(F.sum("flow").alias("flow"))
+    start = lambda s: F.coalesce(F.sum("flow").over(Window.partitionBy(s).orderBy(F.desc("similarity"), "a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = edges.withColumn("sa", start("a")).withColumn("sb", start("b"))
+    part = 65536  # copies of both ends make one pair of nodes many rows: it is dealt out in parts
+    parts = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("flow") - 1, F.lit(part).cast("long")))).repartition("a", "b", "from")
+    units = parts.withColumn("i", F.explode(F.sequence("from", F.least(F.col("from") + part, F.col("flow")) - 1)))
+    pairs = units.select(F.expr(f"a + (sa + i) div {capacity}").alias("at_a"), (F.col("b") + F.col("sb") + F.col("i")).alias("at_b"), "similarity")
+    named = lambda df, s: df.select(F.col("at").alias(f"at_{s}"), F.col(key).alias(s))
+    return pairs.join(named(left_rows, "a"), "at_a").join(named(right_rows, "b"), "at_b").select("a", "b", "similarity")
 
 
 def top_summary(found: DataFrame, group: str) -> DataFrame:

@@ -241,7 +241,8 @@ def agg35(spark, d):
 
 @query("jn16_greedy_assignment")
 def jn16(spark, d):
-    return N.greedy_assignment(similar(spark, d, 20))
+    rows = B.vectors(spark, d)
+    return N.assignment(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "embedding", 20)
 
 
 @query("jn17_group_assignment")
@@ -249,7 +250,7 @@ def jn17(spark, d):
     rows = B.vectors(spark, d)
     means = T.centroids(rows.filter("label < 5"), "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("float")).alias("embedding"))
     left = means.select(F.col("label").cast("long").alias("vec_id"), "embedding")
-    return N.greedy_assignment(N.cosine_top(left, rows.filter("label >= 5"), "vec_id", "embedding", 40), capacity=4)
+    return N.assignment(left, rows.filter("label >= 5"), "vec_id", "embedding", 40, capacity=4)
 
 
 @query("jn18_pair_assembly", sql("SELECT pair_id, sample_id, label, substr(sha256(concat('pair:', CAST(pair_id AS VARCHAR))), 1, 12) AS pair_name FROM pair_v", "pair_v"))

@@ -58,8 +58,7 @@ def balanced_gate(rows: DataFrame, per_group: int, seed: int) -> DataFrame:
 
 def matched_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """JOB-16: fakes and reals matched one to one by similarity, as two rows for each pair."""
-    found = neighbours.cosine_top(rows.filter("label = 1"), rows.filter("label = 0"), key, vector, k)
-    taken = neighbours.greedy_assignment(found)
+    taken = neighbours.assignment(rows.filter("label = 1"), rows.filter("label = 0"), key, vector, k)
     named = taken.withColumn("pair_id", F.substring(F.sha2(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")), 256), 1, 12))
     sides = F.array(F.struct(F.lit(0).alias("label"), F.col("b").alias(key)), F.struct(F.lit(1).alias("label"), F.col("a").alias(key)))
     return named.select("pair_id", "similarity", F.explode(sides).alias("s")).select("pair_id", "similarity", "s.*")

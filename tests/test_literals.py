@@ -158,6 +158,27 @@ def test_greedy_assignment(spark):
     assert {r["count"] for r in many} == {2}
 
 
+def test_matching_uses_up_a_side(spark):
+    rng = np.random.default_rng(5)
+    near = [[1.0, 0.001 * i, 0.0] for i in range(6)]
+    fakes = [[1.0, 0.0, 0.0]] * 9 + near
+    reals = [[float(x) for x in v] for v in rng.random((14, 3))] + [[1.0, 0.1, 0.0]] * 4
+    rows = [(i, v, 1) for i, v in enumerate(fakes)] + [(100 + i, v, 0) for i, v in enumerate(reals)] + [(900, None, 0), (901, [float("nan"), 0.0, 0.0], 1)]
+    got = jobs.matched_pairs(spark.createDataFrame(rows, "id long, v array<double>, label int"), "id", "v", 2).collect()
+    for label, many in ((1, set(range(15))), (0, None)):
+        ids = [r["id"] for r in got if r["label"] == label]
+        assert len(ids) == len(set(ids)) == 15 and (many is None or set(ids) == many)
+    assert len({r["pair_id"] for r in got}) == 15
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if v and i < 900}
+    ends = {}
+    for r in got:
+        ends.setdefault(r["pair_id"], {})[r["label"]] = (r["id"], r["similarity"])
+    assert all(e[1][1] == pytest.approx(float(unit[e[1][0]] @ unit[e[0][0]]), abs=2e-6) for e in ends.values())
+    left = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [1.0, 0.0, 0.0])], "id long, v array<double>")
+    right = spark.createDataFrame(list(enumerate(reals)), "id long, v array<double>")
+    assert {r["a"]: r["count"] for r in neighbours.assignment(left, right, "id", "v", 2, capacity=4).groupBy("a").count().collect()} == {7: 4, 8: 4}
+
+
 def test_shared_identity(spark):
     kind = "k string, sha256 string, image_sha256 string, source_image_sha256 string"
     gate = spark.createDataFrame([("keep", "1", None, None), ("source", None, "2", "9"), ("canonical", "8", None, None)], kind)
