@@ -15,6 +15,7 @@ highest confidence of the forms that remain (0.5 for a base phrase alone, 0 for
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,61 +35,68 @@ CC_KINDS = {
     "by": "attribution",
 }
 
-#: Licences: label, SPDX identifier stem, full name, keyword of the name, addresses.
+#: Licences: label, SPDX identifier stem, full name, keyword (one word, in every form of the name), addresses. A space is a GAP.
 LICENSES = (
     ("agpl", "agpl", r"(?:gnu )?affero general public licen[cs]e", "affero", r"gnu\.org/licenses/agpl"),
-    ("lgpl", "lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "general public", r"gnu\.org/licenses/lgpl"),
-    ("gpl", "gpl", r"gnu general public licen[cs]e", "general public", r"gnu\.org/licenses/gpl"),
-    ("gfdl", "gfdl", r"gnu free documentation licen[cs]e", "free documentation", r"gnu\.org/licenses/fdl"),
+    ("lgpl", "lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "general", r"gnu\.org/licenses/lgpl"),
+    ("gpl", "gpl", r"gnu general public licen[cs]e", "general", r"gnu\.org/licenses/gpl"),
+    ("gfdl", "gfdl", r"gnu free documentation licen[cs]e", "documentation", r"gnu\.org/licenses/fdl"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e", "apache", r"apache\.org/licenses"),
     ("mit", "mit", r"mit licen[cs]e|licen[cs]e: mit\b", "mit", r"opensource\.org/licenses/mit"),
     ("bsd", "bsd", r"(?:[234]-clause )?bsd licen[cs]e", "bsd", r"opensource\.org/licenses/bsd"),
     ("isc", "isc", r"isc licen[cs]e", "isc", r"opensource\.org/licenses/isc"),
     ("mpl", "mpl", r"mozilla public licen[cs]e", "mozilla", r"mozilla\.org/mpl"),
     ("epl", "epl", r"eclipse public licen[cs]e", "eclipse", r"eclipse\.org/legal/epl"),
-    ("eupl", "eupl", r"european union public licen[cs]e", "european union", r"joinup\.ec\.europa\.eu/[a-z/]*eupl"),
-    ("cddl", "cddl", r"common development and distribution licen[cs]e", "common development", r"opensource\.org/licenses/cddl"),
-    ("cpl", "cpl", r"common public licen[cs]e", "common public", r"opensource\.org/licenses/cpl"),
+    ("eupl", "eupl", r"european union public licen[cs]e", "european", r"joinup\.ec\.europa\.eu/[a-z/]*eupl"),
+    ("cddl", "cddl", r"common development and distribution licen[cs]e", "development", r"opensource\.org/licenses/cddl"),
+    ("cpl", "cpl", r"common public licen[cs]e", "common", r"opensource\.org/licenses/cpl"),
     ("artistic", "artistic", r"artistic licen[cs]e", "artistic", r"opensource\.org/licenses/artistic"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", "zlib", r"opensource\.org/licenses/zlib"),
     ("unlicense", "unlicense", r"the unlicense\b", "unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"do what the fuck you want to public licen[cs]e", "do what the", r"wtfpl\.net"),
+    ("wtfpl", "wtfpl", r"do what the fuck you want to public licen[cs]e", "what", r"wtfpl\.net"),
     ("bsl", "bsl", r"boost software licen[cs]e", "boost", r"boost\.org/license"),
-    ("busl", "busl", r"business source licen[cs]e", "business source", r"mariadb\.com/bsl"),
-    ("sspl", "sspl", r"server side public licen[cs]e", "server side", r"mongodb\.com/licensing/server-side"),
+    ("busl", "busl", r"business source licen[cs]e", "business", r"mariadb\.com/bsl"),
+    ("sspl", "sspl", r"server side public licen[cs]e", "server", r"mongodb\.com/licensing/server-side"),
     ("elastic", "elastic", r"elastic licen[cs]e", "elastic", r"elastic\.co/licensing"),
-    ("ofl", "ofl", r"(?:sil )?open font licen[cs]e", "open font", r"scripts\.sil\.org/ofl"),
+    ("ofl", "ofl", r"(?:sil )?open font licen[cs]e", "font", r"scripts\.sil\.org/ofl"),
     ("psf", "psf", r"python software foundation licen[cs]e", "python", r"docs\.python\.org/[0-9a-z./]*license"),
     ("php", "php", r"php licen[cs]e", "php", r"php\.net/license"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", "postgresql", r"postgresql\.org/about/licen[cs]e"),
     ("ms-pl", "ms-pl", r"microsoft public licen[cs]e", "microsoft", r"opensource\.org/licenses/ms-pl"),
     ("ms-rl", "ms-rl", r"microsoft reciprocal licen[cs]e", "microsoft", r"opensource\.org/licenses/ms-rl"),
-    ("odbl", "odbl", r"open database licen[cs]e", "open database", r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by", "odc-by", r"open data commons attribution licen[cs]e", "open data", r"opendatacommons\.org/licenses/by"),
-    ("pddl", "pddl", r"public domain dedication and licen[cs]e", "public domain", r"opendatacommons\.org/licenses/pddl"),
-    ("ogl", "ogl-uk", r"open government licen[cs]e", "open government", r"nationalarchives\.gov\.uk/doc/open-government"),
+    ("odbl", "odbl", r"open database licen[cs]e", "database", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", "odc-by", r"open data commons attribution licen[cs]e", "commons", r"opendatacommons\.org/licenses/by"),
+    ("pddl", "pddl", r"public domain dedication and licen[cs]e", "domain", r"opendatacommons\.org/licenses/pddl"),
+    ("ogl", "ogl-uk", r"open government licen[cs]e", "government", r"nationalarchives\.gov\.uk/doc/open-government"),
     ("cc0", "cc0", r"cc0\b", "cc0", r"creativecommons\.org/publicdomain/zero"),
-    ("cc0", "cc-zero", r"creative commons zero", "creative commons", r"creativecommons\.org/publicdomain/zero/legal"),
-    *((f"cc-{kind}", f"cc-{kind}", rf"cc[- ]{kind.replace('-', '[- ]')}\b", "cc", rf"creativecommons\.org/licenses/{kind}/") for kind in CC_KINDS),
-    *((f"cc-{kind}", f"cc-{kind}-int", rf"creative commons {CC_KINDS[kind]}", "creative commons", rf"creativecommons\.org/licenses/{kind}/legal") for kind in CC_KINDS),
+    ("cc0", "cc-zero", r"creative commons zero", "creative", r"creativecommons\.org/publicdomain/zero/legal"),
+    *((f"cc-{kind}", f"cc-{kind}", rf"cc(?:-| ){kind.replace('-', '(?:-| )')}\b", "cc", rf"creativecommons\.org/licenses/{kind}/") for kind in CC_KINDS),
+    *((f"cc-{kind}", f"cc-{kind}-int", rf"creative commons {CC_KINDS[kind]}", "creative", rf"creativecommons\.org/licenses/{kind}/legal") for kind in CC_KINDS),
     ("bsd", "0bsd", r"berkeley software distribution", "berkeley", r"spdx\.org/licenses/[0-9a-z-]*bsd"),
     ("proprietary", "licenseref-proprietary", r"proprietary and confidential", "proprietary", r"[a-z0-9.]+/terms-of-use"),
-    ("proprietary", "licenseref-reserved", r"all rights reserved", "all rights reserved", r"[a-z0-9.]+/terms-and-conditions"),
+    ("proprietary", "licenseref-reserved", r"all rights reserved", "reserved", r"[a-z0-9.]+/terms-and-conditions"),
 )
 
+#: What may stand between the words of a name or form: white space, line breaks and the marks of comment lines.
+GAP = r"[\x09-\x0D\x20*#/]+"
+
+#: What an SPDX identifier may carry after its stem: a version with further parts (-3-clause, -2.0-or-later), -only, -or-later, a plus.
+SUFFIX = r"(?:-[0-9][0-9.]*(?:-[a-z0-9]+)*|-only|-or-later)?\+?"
+
 #: Form: priority, confidence, pattern around the name {n}, the identifier {s} or the address {u}, keyword or None for the name's.
+#: Every alternative of a pattern holds its keyword. A space is a GAP.
 FORMS = {
-    "tag": (5, 1.0, r"spdx-license-identifier:\x20*\(?{s}(?:-[0-9.]+)?(?:-only|-or-later|\+)?(?![a-z0-9-])", "spdx-license-identifier"),
+    "tag": (5, 1.0, r"spdx-license-identifier:[\x09\x20(]*{s}" + SUFFIX + r"(?![a-z0-9-])", "spdx-license-identifier"),
     "address": (4, 0.95, r"https?://(?:www\.)?(?:{u})[a-z0-9./_-]*", "http"),
-    "grant": (3, 0.9, r"(?:licen[cs]ed|released|distributed|available|published|provided) (?:under|according to) (?:the )?(?:terms of )?(?:the )?(?:{n})(?:,? version [0-9.]+| v?[0-9.]+)?", "under"),
-    "see": (3, 0.85, r"(?:see|read|refer to) (?:the )?(?:{n}) (?:for|file|text|terms)", "see"),
+    **{f"grant {word}": (3, 0.9, r"(?:licen[cs]ed|released|distributed|available|published|provided) " + how + r" (?:the )?(?:terms of )?(?:the )?(?:{n})(?:,? version [0-9.]+| v?[0-9.]+)?", word) for how, word in (("under", "under"), ("according to", "according"))},
+    **{f"see {word}": (3, 0.85, how + r" (?:the )?(?:{n}) (?:for|file|text|terms)", word) for how, word in (("see", "see"), ("read", "read"), ("refer to", "refer"))},
     "version": (2, 0.8, r"(?:{n}),? (?:version |v)[0-9.]+", None),
     "name": (1, 0.7, r"(?:{n})", None),
 }
 
-#: Texts without any of these hold nothing that a rule could match.
+#: Texts without any of these and without BASE_ANCHOR hold nothing that a rule could match.
 ANCHORS = (
-    "licen", "cc by", "cc-by", "cc0", "spdx", "creative commons", "creativecommons", "berkeley software", "all rights reserved", "proprietary and",
+    "licen", "cc-by", "cc0", "spdx", "commons", "berkeley", "reserved", "proprietary",
     "mozilla.org/mpl", "wtfpl", "eclipse.org/legal", "eupl", "mariadb.com/bsl", "sil.org/ofl", "open-government", "/terms-",
 )
 
@@ -99,7 +107,7 @@ BASE_ANCHOR = r"license|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 def rules() -> list[tuple[str, tuple[str, str], str, int, float]]:
     """(label, keywords, pattern, priority, confidence): every licence in every form; both keywords are needed for a match."""
     return [
-        (label, (keyword or word, "" if keyword in ("spdx-license-identifier", "http") else word), pattern.replace("{s}", stem).replace("{n}", name).replace("{u}", address), priority, confidence)
+        (label, (keyword or word, "" if keyword in ("spdx-license-identifier", "http") else word), pattern.replace("{n}", name).replace(" ", GAP).replace("{s}", stem).replace("{u}", address), priority, confidence)
         for label, stem, name, word, address in LICENSES
         for priority, confidence, pattern, keyword in FORMS.values()
     ]
@@ -147,6 +155,20 @@ def detections(gated: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "rule", (F.sum(F.col("gap") + F.col("size")).over(upto) - F.col("size")).alias("start"), F.sum(F.col("gap") + F.col("size")).over(upto).alias("end"))
 
 
+#: An SPDX expression after its tag: identifiers joined by operators.
+SPDX_ID = r"[a-z0-9]+(?:[.:+-][a-z0-9]+)*\+?"
+EXPRESSION = rf"spdx-license-identifier:([\x09\x20(]*{SPDX_ID}(?:[\x09\x20)]+(?:or|and|with)[\x09\x20(]+{SPDX_ID})*)"
+
+
+def expression_labels(text: Column) -> Column:
+    """Labels of every licence in the text's SPDX expressions; the tag rules find the first one only. What follows "with" is an exception."""
+    stems = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"^{stem}{SUFFIX}$").alias("pattern")) for label, stem in dict.fromkeys(x[:2] for x in LICENSES)])
+    bare = lambda e: F.regexp_replace(e, rf"[\x09\x20)]with[\x09\x20(]+{SPDX_ID}", "")
+    operands = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(1)), lambda e: F.split(bare(e), r"[\x09\x20()]+", -1))))
+    found = let(operands, lambda ids: F.transform(F.filter(stems, lambda s: F.exists(ids, lambda o: F.regexp_like(o, s["pattern"]))), lambda s: s["label"]))
+    return F.when(F.contains(text, F.lit("spdx-license-identifier")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+
 def resolve(found: DataFrame, key: str) -> DataFrame:
     """``found`` without detections inside another one of the same or a higher priority, with label and confidence."""
     named = found.withColumn("r", F.get(_rule_table(), F.col("rule"))).select(*found.columns, "r.label", "r.priority", "r.confidence")
@@ -160,7 +182,7 @@ def resolve(found: DataFrame, key: str) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of ``docs``."""
     text = ascii_lower(F.coalesce("text", F.lit("")))
-    anchored = F.greatest(*[F.contains(F.col("low"), F.lit(a)) for a in ANCHORS])
+    anchored = reduce(Column.__or__, [*(F.contains(F.col("low"), F.lit(a)) for a in ANCHORS), F.col("low").rlike(BASE_ANCHOR)])
     # Rows get an arbitrary number, fixed by the checkpoint, so that repeated ids stay apart. Only anchored texts are kept there.
     lowered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("low"))
     lowered = lowered.select("*", anchored.alias("anchored"))
@@ -174,7 +196,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     counted = cut_lineage(counted.select("doc_id", "row", "w.n_words", "w.base", "low"))
     kept = resolve(detections(counted.filter("low IS NOT NULL").select("row", "low"), "row", "low"), "row")
     per_row = kept.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("confidence").alias("best"))
-    joined = counted.drop("low").join(per_row, "row", "left")
+    tagged = F.when(F.col("low").isNotNull(), expression_labels(F.col("low"))).otherwise(F.array().cast("array<string>"))
+    joined = counted.withColumn("tagged", tagged).drop("low").join(per_row, "row", "left")
     starts = F.transform("base", lambda x: x["start"])
     names = F.coalesce(F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"]))), F.array().cast("array<string>"))
     alone = F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))
@@ -185,8 +208,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(names, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(names, F.coalesce("added", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), alone).alias("score"),
+        F.array_join(F.array_sort(F.array_union(F.array_union(names, "tagged"), F.coalesce("added", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("tagged") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), alone).alias("score"),
     )
 
 

@@ -44,6 +44,20 @@ def test_licenses_against_brute_force(spark, sf_dir):
     assert len(license_scan.rules()) > 200
 
 
+LOST = {
+    "SPDX-License-Identifier: BSD-3-Clause": ("bsd", 1.0), "// SPDX-License-Identifier: BSD-2-Clause.": ("bsd", 1.0), "SPDX-License-Identifier: (MIT OR Apache-2.0)": ("apache,mit", 1.0),
+    "SPDX-License-Identifier: MIT AND (ISC OR BSD-4-Clause) AND LGPL-2.1-or-later WITH GPL-3.0-linking-exception": ("bsd,isc,lgpl,mit", 1.0), "SPDX-License-Identifier: MIT see apache": ("mit", 1.0),
+    "# the GNU Lesser\n# General Public License": ("lgpl", 0.7), " * Mozilla Public\n * License, version 2.0": ("mpl", 0.8), "cc\nby-sa": ("cc-by,cc-by-sa", 0.7), "All Rights\n Reserved": ("proprietary", 0.7), "Creative\n// Commons Zero": ("cc0", 0.7),
+    "licensed according to the ISC License": ("isc", 0.9), "Read the zlib license for more": ("zlib", 0.85), "refer to the PHP\nlicense file": ("php", 0.85),
+}
+
+
+def test_licenses_in_expressions_wrapped_names_and_all_forms(spark):
+    docs = spark.createDataFrame(list(enumerate(LOST)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == dict(enumerate(LOST.values()))
+
+
 def brute_secrets(text):
     found = []
     for no, (kind, (pattern, group, least)) in enumerate(secret_scan.KINDS.items()):
