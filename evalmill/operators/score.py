@@ -146,11 +146,12 @@ def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.filter(F.col(vector).isNotNull()).withColumn("features", array_to_vector(scaled))
 
 
-def unit_clusters(rows: DataFrame, key: str, vector: str, clusters: int, seed: int, fit_rows: int = 4096) -> DataFrame:
-    """ML-06: k-means of unit vectors. Centres are fitted on the ``fit_rows`` lowest hash ranks; every row is assigned."""
+def unit_clusters(rows: DataFrame, key: str, vector: str, clusters: int, seed: int, block: int = 4096) -> DataFrame:
+    """ML-06: k-means of unit vectors, fitted on all of them. Rows are dealt by hash into blocks of about ``block`` rows, whose
+    number and order depend on the rows only, so the fit doesn't depend on how the input is cut."""
     ready = unit_vectors(rows, vector)
-    fitted = KMeans(k=clusters, seed=seed, maxIter=30).fit(ready.orderBy(hash_rank(seed, "centres", F.col(key)), key).limit(fit_rows).coalesce(1))
-    return fitted.transform(ready).select(key, F.col("prediction").alias("cluster"))
+    dealt = ready.repartition(max(1, -(-ready.count() // block)), key, vector).sortWithinPartitions(hash_rank(seed, "centres", F.col(key)), key)
+    return KMeans(k=clusters, seed=seed, maxIter=30).fit(dealt.select("features")).transform(ready).select(key, F.col("prediction").alias("cluster"))
 
 
 def diverse_choice(rows: DataFrame, key: str, vector: str, score: str, shortlist: int, clusters: int, seed: int) -> DataFrame:

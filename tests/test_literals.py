@@ -179,6 +179,16 @@ def test_matching_uses_up_a_side(spark):
     assert {r["a"]: r["count"] for r in neighbours.assignment(left, right, "id", "v", 2, capacity=4).groupBy("a").count().collect()} == {7: 4, 8: 4}
 
 
+def test_unit_clusters_are_fitted_on_all_rows(spark):
+    ranked = [r["id"] for r in spark.range(6000).orderBy(C.hash_rank(5, "centres", F.col("id")), "id").collect()]
+    rng, few = np.random.default_rng(3), set(ranked[-30:])  # a small cluster outside the 4,096 lowest ranks
+    rows = [(i, [float(x) for x in rng.normal(0, 0.02, 3) + ([0, 1, 0] if i in few else [1, 0, 0])]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in score.unit_clusters(df, "id", "v", 2, 5).collect()}
+    assert len(got) == 6000 and {got[i] for i in few}.isdisjoint(got[i] for i in got if i not in few)
+    assert got == {r["id"]: r["cluster"] for r in score.unit_clusters(df.repartition(7), "id", "v", 2, 5).collect()}
+
+
 def test_shared_identity(spark):
     kind = "k string, sha256 string, image_sha256 string, source_image_sha256 string"
     gate = spark.createDataFrame([("keep", "1", None, None), ("source", None, "2", "9"), ("canonical", "8", None, None)], kind)
