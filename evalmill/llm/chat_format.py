@@ -57,8 +57,13 @@ def registry() -> dict[str, str]:
 
 
 def frame_layout(df: DataFrame) -> str | None:
-    """The layout that a DataFrame's own columns have; columns outside the vocabulary are ignored."""
-    return registry().get(fingerprint(c for c in df.columns if c in PATHS))
+    """The layout that a DataFrame's own columns have; columns outside the vocabulary are ignored.
+
+    Rows of turns are known by their four columns alone: a further column may have any name, one of the vocabulary's too.
+    """
+    there = {c for c in df.columns if c in PATHS}
+    rows = [name for name, (need, _, how) in LAYOUTS.items() if how is None and there.issuperset(need)]
+    return rows[0] if rows else registry().get(fingerprint(there))
 
 
 def record_fingerprint(record: Column) -> Column:

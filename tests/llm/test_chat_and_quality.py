@@ -49,6 +49,16 @@ def test_chat_nulls_ties_and_empty(spark):
     assert chat.format_turns(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_with_columns_named_like_other_layouts(spark, sf_dir, tmp_path):
+    plain = spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(50)
+    more = [F.lit(3).alias("system"), F.array(F.lit("x")).alias("messages"), *[F.lit(c).alias(c) for c in ("input", "output", "prompt", "response", "instruction", "question", "answer")]]
+    for at, df in (("plain", plain), ("more", plain.select("*", *more))):
+        df.write.parquet(str(tmp_path / at / "conversations.parquet"))
+    rows = {at: sorted(map(str, chat.op1_chat_format(spark, str(tmp_path / at)).collect())) for at in ("plain", "more")}
+    assert rows["plain"] == rows["more"] and len(rows["more"]) > 1
+    assert chat.frame_layout(plain.drop("role")) is None
+
+
 def test_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "id": 5},
