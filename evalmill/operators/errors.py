@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.operators.order import with_index
+
 
 def error_summary(scores: DataFrame, keys: list[str] = (), threshold: float = 0.5, score: str = "score") -> DataFrame:
     """AGG-11: false positives and negatives, their rates and the balanced accuracy."""
@@ -59,7 +61,10 @@ def ranked_errors(scores: DataFrame, keys: list[str], limit: int, threshold: flo
     return rows.filter(F.col("place") <= limit).select(*keys, "list_name", "place", tie, s.alias("score"))
 
 
-def lowest(rows: DataFrame, keys: list[str], value: str, limit: int, *ties: str) -> DataFrame:
-    """TOP-03/04/07: the ``limit`` lowest rows of each key, ties by the given columns."""
+def lowest(rows: DataFrame, keys: list[str], value: str, limit: int | None, *ties: str) -> DataFrame:
+    """TOP-03/04/07: the ``limit`` lowest rows of each key, ties by the given columns; None ranks all rows, without keys over ranges."""
+    if limit is None and not keys:
+        return with_index(rows, "__i", F.col(value).isNull(), value, *ties).withColumn("place", (F.col("__i") + 1).cast("int")).drop("__i")
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).asc_nulls_last(), *ties)
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    placed = rows.withColumn("place", F.row_number().over(order))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)

@@ -274,7 +274,7 @@ def job18(spark, d):
 def job22(spark, d):
     by = M.auc(B.predictions(spark, d), ["idx", "condition"])
     clean = by.filter("condition = 'clean'").select(F.col("auc").alias("clean"))
-    rows = E.lowest(by.crossJoin(F.broadcast(clean)), [], "auc", 100, "idx")
+    rows = E.lowest(by.crossJoin(F.broadcast(clean)), [], "auc", None, "idx")
     return rows.select("condition", "auc", F.round(F.col("auc") - F.col("clean"), 9).alias("change"), "place")
 
 

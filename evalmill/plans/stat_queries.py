@@ -155,13 +155,13 @@ def top03(spark, d):
 def top04(spark, d):
     from evalmill.operators.metrics import auc
 
-    return E.lowest(auc(B.predictions(spark, d), ["idx", "condition"]).select("idx", "condition", "auc"), [], "auc", 100, "idx")
+    return E.lowest(auc(B.predictions(spark, d), ["idx", "condition"]).select("idx", "condition", "auc"), [], "auc", None, "idx")
 
 
 @query("top07_groups_ranked", sql("SELECT real_source, mean_score, row_number() OVER (ORDER BY mean_score DESC, real_source) AS place FROM (SELECT real_source, round(avg(score), 9) AS mean_score FROM predictions_v WHERE label = 0 GROUP BY 1)", "predictions_v"))
 def top07(spark, d):
     means = B.predictions(spark, d).filter("label = 0").groupBy("real_source").agg(F.round(F.avg("score"), 9).alias("mean_score"))
-    return E.lowest(means.withColumn("down", -F.col("mean_score")), [], "down", 1000, "real_source").drop("down")
+    return E.lowest(means.withColumn("down", -F.col("mean_score")), [], "down", None, "real_source").drop("down")
 
 
 RANK = "sha256(concat_ws(':', '{seed}', '{ns}', {ids}))"

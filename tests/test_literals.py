@@ -189,6 +189,13 @@ def test_unit_clusters_are_fitted_on_all_rows(spark):
     assert got == {r["id"]: r["cluster"] for r in score.unit_clusters(df.repartition(7), "id", "v", 2, 5).collect()}
 
 
+def test_ranking_of_all_groups_has_no_limit(spark):
+    rows = spark.range(1500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("g"), F.when(F.col("id") > 3, (F.col("id") % 700).cast("double")).alias("v"))
+    got = sorted(errors.lowest(rows, [], "v", None, "g").collect(), key=lambda r: r["place"])
+    want = sorted(rows.collect(), key=lambda r: (r["v"] is None, r["v"] or 0.0, r["g"]))
+    assert [(r["place"], r["g"]) for r in got] == [(i, r["g"]) for i, r in enumerate(want, 1)]
+
+
 def test_shared_identity(spark):
     kind = "k string, sha256 string, image_sha256 string, source_image_sha256 string"
     gate = spark.createDataFrame([("keep", "1", None, None), ("source", None, "2", "9"), ("canonical", "8", None, None)], kind)
