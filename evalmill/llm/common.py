@@ -56,7 +56,7 @@ def drop_losers(docs: DataFrame, digest: Column, verdict: DataFrame) -> DataFram
     """``docs`` without the rows that ``verdict`` (a checkpoint of doc_id, digest, kept for every row) doesn't keep.
 
     What goes is named by (doc_id, digest). Rows that agree in both are one document; where one of them is kept and others
-    aren't, a last aggregation picks one, and it is run only where there are such rows.
+    aren't, a last aggregation picks one. It is run on those rows only.
     """
     columns = docs.columns
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
@@ -67,5 +67,8 @@ def drop_losers(docs: DataFrame, digest: Column, verdict: DataFrame) -> DataFram
     tagged = docs.withColumn("__digest", digest)
     left = sized_join(tagged, lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__lost")), "left_anti", limit=BROADCAST_ROWS // 4)
     if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "__digest"])
+        twice = repeated.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__twice"))
+        met = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__twice"))
+        others, one = (sized_join(left, twice, met, how, limit=BROADCAST_ROWS // 4) for how in ("left_anti", "left_semi"))
+        left = others.unionByName(one.dropDuplicates(["doc_id", "__digest"]))
     return left.select(*columns)

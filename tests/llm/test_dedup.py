@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.llm import exact_dedup, near_dedup
+from evalmill.llm import common, exact_dedup, near_dedup
 from tests.llm import cases
 from tests.llm.test_chat_and_quality import check_sql
 
@@ -143,3 +143,10 @@ def test_near_cases(spark):
     ids = Counter(r["doc_id"] for r in out.collect())
     assert ids == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 1, None: 1, 13: 1})
     assert near_dedup.drop_near_copies(cases.no_docs(spark)).count() == 0
+
+
+def test_only_rows_named_as_kept_and_lost_are_merged(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 3), (2, "b", 4), (3, None, 5), (3, None, 6), (None, "c", 7), (4, "d", 8)], "doc_id long, text string, n long")
+    verdict = spark.createDataFrame([(1, "a", True), (1, "a", False), (2, "b", True), (2, "b", True), (3, None, True), (3, None, True), (None, "c", True), (4, "d", False)], "doc_id long, digest string, kept boolean")
+    got = sorted(r["n"] for r in common.drop_losers(docs, F.col("text"), verdict).collect())
+    assert got[1:] == [3, 4, 5, 6, 7] and got[0] in (1, 2)
