@@ -52,6 +52,23 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
 
 
+def hot_keys(counts: DataFrame, key: str, rows: str, least: int = 1000, most: int = 1000) -> list:
+    """The ``most`` keys with the most rows, as far as they have ``least`` rows; any other holds less than one in ``most`` of all."""
+    return [r[0] for r in counts.filter(F.col(rows) >= least).orderBy(F.desc(rows), key).select(key).limit(most).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: list, how: str = "inner", parts: int = 64) -> DataFrame:
+    """Join on ``key``, which ``right`` holds once: left rows of hot keys are dealt out by the hash of ``by`` over ``parts`` groups.
+
+    The hot keys are few by their definition (``hot_keys``); right rows of such keys are sent to all groups.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    dealt = left.withColumn("__part", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(0).cast("int"))
+    copies = right.withColumn("__part", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
 def drop_losers(docs: DataFrame, digest: Column, verdict: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``verdict`` (a checkpoint of doc_id, digest, kept for every row) doesn't keep.
 

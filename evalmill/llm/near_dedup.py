@@ -11,10 +11,12 @@ changes nothing that was found. R coordinates make a band; texts that share a ba
 the 40 bands of 6 with probability 5e-6).
 
 No group is expanded into pairs. Copies (same words) are one node. In a band's bucket every member is compared with the
-bucket's leader only; the exact similarity decides. After that, buckets whose members lie in several components are searched
-once more: members outside the bucket's largest component against those members of other components whose size and shared
-units leave room for the similarity. So no link between different components that share a bucket is lost, and members of one
-component are never paired.
+bucket's leader only; the exact similarity decides. Buckets whose members then lie in several components are searched on:
+nodes whose units can't make up a link to another component are left out; further leaders, each from outside a bucket's
+largest component, are compared with the other components' members until a round finds nothing; and what is left outside the
+largest components meets all members of other components, block by block, by bit maps of units whose differences bound the
+similarity from above. Pairs that pass are compared exactly. So no link between different components that share a bucket is
+lost, members of one component are never paired, and arrays of units are sent only for pairs that the bit maps let through.
 
 Cases: a text of one to four words is one shingle; texts without words (null too) are each their own class; the row with the
 smallest doc_id of a class stays (null is smallest), one of several rows with equal id and words; an empty table gives no rows.
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, let, sized_join, table
+from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, hot_keys, let, sized_join, spread_join, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -123,18 +125,30 @@ def sketches(docs: DataFrame, band_count: int = BANDS, rows: int = ROWS) -> Data
     return cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
+def bit_map(own: np.ndarray) -> np.ndarray:
+    """Parities of the units' numbers, each modulo a power of two of at least 256 and twice the units, as 64-bit words.
+
+    Bits in which two maps differ are at most the units in which the sets differ. Words folded by exclusive or are the map of half
+    the size, so maps of different sizes can be compared.
+    """
+    size = max(256, 1 << int(2 * len(own) - 1).bit_length())
+    odd = np.bincount((mix(own) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_units(named: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, units) of the nodes in ``named`` (node, doc_id, digest), from their texts, which are read again."""
+    """(node, units, bits) of the nodes in ``named`` (node, doc_id, digest), from their texts, which are read again."""
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "units": [units(np.asarray(w)).view(np.int64) for w in batch["words"]]})
+            own = [units(np.asarray(w)) for w in batch["words"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "units": [u.view(np.int64) for u in own], "bits": [bit_map(u) for u in own]})
 
-    ids = cut_lineage(named.select(F.col("doc_id").alias("__id")).distinct())
+    ids = named.select(F.col("doc_id").alias("__id"))
     some = sized_join(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    read = hashed_words(some).mapInPandas(run, "doc_id long, digest binary, units array<long>")
+    read = hashed_words(some).mapInPandas(run, "doc_id long, digest binary, units array<long>, bits array<long>")
     key = named.select("node", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    return cut_lineage(read.join(key, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "units"))
+    return cut_lineage(read.join(key, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "units", "bits"))
 
 
 def similar_pairs(pairs: DataFrame, read: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -145,12 +159,41 @@ def similar_pairs(pairs: DataFrame, read: DataFrame, similarity: float = SIMILAR
     return both.select("a", "b", common.alias("common"), (F.size("units_a") + F.size("units_b")).alias("sizes")).filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of each one's component) of edges given as two arrays."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(root, x, low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def components(edges: DataFrame, part: int = 500_000) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), the component named by its smallest node.
 
-    Large-star and small-star steps alternate until nothing changes; what a step keeps is written to the checkpoint folder.
+    Each task first reduces its edges, ``part`` of them or so, to stars; where all edges are one part, this is the answer. Otherwise
+    large-star and small-star steps alternate until nothing changes; what a step keeps is written to the checkpoint folder.
     """
-    state = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+
+    def reduce_(batches):
+        found = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches]
+        if found:
+            nodes, roots = star_forest(*(np.concatenate(x) for x in zip(*found)))
+            yield pd.DataFrame({"u": nodes, "v": roots})
+
+    state = cut_lineage(edges.select("a", "b"))
+    parts = max(1, -(-state.count() // part))
+    state = cut_lineage(state.coalesce(parts).mapInPandas(reduce_, "u long, v long"))
+    if parts == 1:
+        return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    state = cut_lineage(state.filter("u != v").distinct())
     seen = None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -166,65 +209,123 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def crossing_links(open_: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
-    """Similar pairs (a, b) across components of a bucket, from (key, node, n, component, largest, leader) and (node, units).
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after further links (a, b); a node that it hasn't is its own component."""
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = cut_lineage(components(named))
+    known = found.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut_lineage(known.unionByName(moved.join(found, "node", "left_anti")))
+
+
+def split_buckets(rows: DataFrame, found: DataFrame, hot: list) -> DataFrame:
+    """``rows`` of the buckets that hold several components, with component and the bucket's largest one."""
+    tagged = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_in"))
+    split = counted.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return spread_join(tagged, split.drop("parts"), "key", "node", hot)
+
+
+def possible_members(open_: DataFrame, read: DataFrame, similarity: float, hot: list) -> DataFrame:
+    """(key, node, n, met, low, high, bits) of the members that may have a link to another component of their bucket.
 
     A unit that only one component's nodes have can't be common to such a pair. With v of a node's n units found in other
     components, the common part is at most the smaller v, so a similarity of s needs (1 + s) min(v, v') >= s (n + n'). This
-    bounds the sizes that a partner may have, and nodes that can't have one take no part. The exact similarity is the last part
-    of the join's condition: pairs that fail it are never rows.
+    bounds the sizes n' of a partner by ``low`` and ``high``; a node is out if its bucket has no member of such a size.
     """
     parts = read.join(open_.select("node", "component").distinct(), "node").select("node", "component", F.explode("units").alias("unit"))
     across = parts.groupBy("unit").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest").select("unit")
     common = parts.select("node", "unit").join(across, "unit").groupBy("node").agg(F.count_distinct("unit").alias("v"))
-    sized = open_.filter("node != leader").join(common, "node")
     most = F.col("v") * ((1 + similarity) / similarity) - F.col("n")
-    low, high = F.ceil(F.col("n") * similarity), F.floor(F.least(F.col("n") / similarity, most + 1e-9))
-    ready = cut_lineage(sized.withColumn("low", low).withColumn("high", high).filter("low <= high"))
-    # Only buckets with a node outside their largest component are left to search.
-    outside = ready.filter("component != largest")
-    members = ready.join(outside.select("key").distinct(), "key", "left_semi")
-    x, y = outside.join(read, "node").alias("x"), members.join(read, "node").alias("y")
+    low, high = F.ceil(F.col("n") * similarity - 1e-9), F.floor(F.least(F.col("n") / similarity, most) + 1e-9)
+    sized = open_.join(common, "node").withColumn("low", low).withColumn("high", high).filter("low <= high")
+    ready = cut_lineage(sized.select("key", "node", "n", "met", "low", "high"))
+    sizes = ready.groupBy("key").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = spread_join(ready, sizes, "key", "node", hot).filter("high >= least_n AND low <= most_n")
+    # All maps of a bucket get the size of its smallest member's.
+    words = F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2("least_n") - 1e-9)) / 32).cast("int")
+    folded = F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda i: F.aggregate(F.sequence(i, F.size("bits") - 1, F.col("words")), F.lit(0).cast("long"), lambda x, at: x.bitwiseXOR(F.get("bits", at))))
+    return cut_lineage(met.join(read.select("node", "bits"), "node").withColumn("words", words).select("key", "node", "n", "met", "low", "high", folded.alias("bits")))
+
+
+def may_link(x: str, y: str, similarity: float) -> Column:
+    """Whether sizes and bit maps of two members allow the similarity; a necessary condition."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    sizes = of(y, "n").between(of(x, "low"), of(x, "high")) & of(x, "n").between(of(y, "low"), of(y, "high"))
+    differing = F.aggregate(F.zip_with(of(x, "bits"), of(y, "bits"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    return (of(x, "component") != of(y, "component")) & sizes & (differing <= (1 - similarity) / (1 + similarity) * (of(x, "n") + of(y, "n")) + 1e-9)
+
+
+def leader_pairs(split: DataFrame, similarity: float, hot: list) -> DataFrame:
+    """Possible pairs (a, b) of a bucket's next leader, the best met member outside its largest component, and the others."""
+    whole = F.struct("met", "node", "n", "low", "high", "component", "bits")
+    leaders = split.filter("component != largest").groupBy("key").agg(F.max(whole).alias("l"))
+    met = spread_join(split.select("key", "node", F.struct("n", "low", "high", "component", "bits").alias("m")), leaders, "key", "node", hot)
+    return met.filter(may_link("l", "m", similarity)).select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
+
+
+def outside_pairs(split: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+    """Possible pairs (a, b) of members outside a bucket's largest component with members of its other components.
+
+    A bucket's outside members are cut by hash into blocks, and all its members are sent to each: a task's group is one block
+    however large the bucket is.
+    """
+    outside = split.filter("component != largest")
+    sizes = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    x = outside.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("x")
+    y = split.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    possible = F.col("y.n").between(F.col("x.low"), F.col("x.high")) & F.col("x.n").between(F.col("y.low"), F.col("y.high"))
-    close = F.size(F.array_intersect("x.units", "y.units")) >= (similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & possible & close)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & may_link("x", "y", similarity))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def further_links(buckets: DataFrame, found: DataFrame, docs: DataFrame, named, similarity: float, hot: list) -> DataFrame:
+    """``found`` after the links across components of a bucket, from (key, node, n, met) rows of buckets of three members or more.
+
+    Rounds of further leaders go on as long as one links at least one in a hundred of the nodes outside; then all that is left meets.
+    """
+    open_ = cut_lineage(split_buckets(buckets, found, hot))
+    if open_.isEmpty():
+        return found
+    read = node_units(named(open_.select("node").distinct()), docs)
+    members = possible_members(open_, read, similarity, hot)
+    while True:
+        split = cut_lineage(split_buckets(members, found, hot))
+        outside = split.filter("component != largest").agg(F.approx_count_distinct("node")).first()[0]
+        if not outside:
+            return found
+        links = cut_lineage(similar_pairs(leader_pairs(split, similarity, hot), read, similarity))
+        linked = links.count()
+        found = merged(found, links) if linked else found
+        if linked * 100 < outside:
+            break
+    split = split_buckets(members, found, hot) if linked else split
+    links = similar_pairs(outside_pairs(cut_lineage(split) if linked else split, similarity), read, similarity)
+    return merged(found, links)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, band_count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, digest, row, class_id, class_size, kept) for every row of ``docs``."""
     made = sketches(docs, band_count, rows)
-    first = cut_lineage(made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node")))
-    membership = cut_lineage(made.select("doc_id", "row", "digest").join(first, "digest", "left").withColumn("node", F.coalesce("node", "row")))
-    others = cut_lineage(membership.filter("row != node").select("row"))
-    nodes = sized_join(made.filter("digest IS NOT NULL"), others, "row", "left_anti").withColumnRenamed("row", "node")
+    first = cut_lineage(made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("rows")))
+    membership = cut_lineage(spread_join(made.select("doc_id", "row", "digest"), first.select("digest", "node"), "digest", "row", hot_keys(first, "digest", "rows"), "left").withColumn("node", F.coalesce("node", "row")))
+    nodes = sized_join(made.filter("digest IS NOT NULL"), membership.filter("row != node").select("row"), "row", "left_anti").withColumnRenamed("row", "node")
     fits = lambda x, y: (F.least(x, y) >= similarity * F.greatest(x, y))  # noqa: E731  sizes that allow the similarity
     named = lambda ids: cut_lineage(nodes.select("node", "doc_id", "digest").join(ids, "node", "left_semi"))
 
     exploded = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    placed = cut_lineage(exploded.join(shared, "key"))
+    shared = cut_lineage(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    hot = hot_keys(shared, "key", "members")
+    placed = cut_lineage(spread_join(exploded, shared, "key", "node", hot))
     # The leader is the member that meets most others in all its buckets: of edited copies, one close to what was edited.
     popular = placed.groupBy("node").agg(F.sum("members").alias("met"))
-    leaders = placed.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("leader"))
-    buckets = cut_lineage(placed.join(leaders, "key").select("key", "node", "n", "members", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")))
-
-    pairs = buckets.filter((F.col("node") != F.col("leader")) & fits(F.col("n"), F.col("leader_n")))
-    pairs = cut_lineage(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    ranked = cut_lineage(placed.join(popular, "node"))
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("leader"))
+    pairs = spread_join(ranked, leaders, "key", "node", hot).filter((F.col("node") != F.col("leader.node")) & fits(F.col("n"), F.col("leader.n")))
+    pairs = cut_lineage(pairs.select(F.least("leader.node", "node").alias("a"), F.greatest("leader.node", "node").alias("b")).distinct())
     read = node_units(named(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs)
-    edges = cut_lineage(similar_pairs(pairs, read, similarity))
-    found = components(edges)
-
-    tagged = buckets.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_in"))
-    split = counted.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    open_ = cut_lineage(tagged.join(split, "key").select("key", "node", "n", "component", "largest", "leader"))
-    if not open_.isEmpty():
-        read = node_units(named(open_.select("node").distinct()), docs)
-        more = cut_lineage(crossing_links(open_, read, similarity))
-        if not more.isEmpty():
-            found = components(edges.unionByName(more))
+    found = components(similar_pairs(pairs, read, similarity))
+    found = further_links(ranked.filter("members > 2").drop("members"), found, docs, named, similarity, hot)
 
     linked = membership.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))

@@ -113,6 +113,51 @@ def test_second_search_joins_what_stars_miss(spark):
     assert got == brute_classes(rows)
 
 
+def test_bucket_of_near_copies_that_mostly_miss(spark):
+    # One text, edited at 0 to 9 places: few pairs are links, nearly all share bands.
+    base = cases.words(146, 8)
+    rows = [(i, edited(base, i % 10, 40_000 + i) if i % 10 else base) for i in range(700)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 150
+
+
+def test_bit_maps_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((200, 230, 190), (90, 100, 80), (3, 3, 0), (1500, 1300, 1200)):
+        pool = rng.integers(0, 2**62, n + m - common).astype(np.uint64)
+        a, b = near_dedup.bit_map(pool[:n]), near_dedup.bit_map(pool[n - common :])
+        words = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in (a, b))
+        differing = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+        assert 0.5 * (n + m - 2 * common) < differing <= n + m - 2 * common
+
+
+def test_whole_small_table_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == brute_classes(rows)
+
+
+def test_spread_join_is_a_join(spark):
+    left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "n long, k long")
+    right = spark.createDataFrame([(i, i * i) for i in range(0, 300, 2)] + [(7, 49)], "k long, v long")
+    hot = common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "k", "rows", least=30)
+    assert hot == [7] and common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "k", "rows") == []
+    for how in ("inner", "left"):
+        rows = lambda df: sorted(df.select("n", "k", "v").collect())
+        assert rows(common.spread_join(left, right, "k", "n", hot, how)) == rows(left.join(right, "k", how))
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_losers_go_by_either_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 4 * limit)
+    docs = spark.createDataFrame([(i % 50, f"text {i % 25}", i) for i in range(100)], "doc_id long, text string, n long")
+    verdict = spark.createDataFrame([(i % 50, f"text {i % 25}", i % 50 < 25 and i < 65) for i in range(100)], "doc_id long, digest string, kept boolean")
+    out = common.drop_losers(docs, F.col("text"), verdict)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted([*range(25), *range(15)])
+
+
 def test_signature_agrees_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     for overlap in (100, 180, 195):
@@ -131,8 +176,9 @@ def test_units_count_occurrences():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
-    got = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    for part in (500_000, 7):  # one task's stars, and many parts
+        got = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(9), part).collect()}
+        assert {n: c for n, c in got.items()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
