@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.operators.metrics import checked
 from evalmill.operators.order import with_index
 
 
@@ -21,30 +22,43 @@ def group_errors(scores: DataFrame, keys: list[str], group: Column, wrong: Colum
     return scores.groupBy(*keys, "label", group.alias("group_name")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("n_errors"), (F.count_if(wrong) / F.count(F.lit(1)).cast("double")).alias("error_rate"), F.round(F.avg(score), 9).alias("mean_score"))
 
 
-def threshold_sweep(scores: DataFrame, group: Column, score: str = "score", ranges: int = 64) -> DataFrame:
+def threshold_sweep(scores: DataFrame, group: Column, score: str = "score", ranges: int = 256, best_only: bool = False) -> DataFrame:
     """AGG-13/14 for every candidate threshold in {0, 0.5, 1} and the scores: balanced accuracy and the lowest group recall.
 
-    Counts below a threshold are running sums over cells (group, score), so the work is rows times groups, not rows squared.
-    A group's recall falls or rises only at its own scores; candidates are joined by ranges of the score, not by pairs.
+    Counts by (group, score range) give each group's count below a range. Only groups with rows in a range change inside it;
+    they meet the range's thresholds after one shuffle by range, and running counts give their recalls. With ``best_only`` the
+    sums by range bound what a range's thresholds can reach, real groups' recalls rising and generators' falling, and only
+    ranges that may hold the highest minimum recall are gone through.
     """
-    cells = scores.groupBy(group.alias("g"), "label", F.col(score).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    fixed = F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))
-    # Each group sees each threshold: thresholds as zero rows, then a running count strictly below.
-    groups = cells.select("g", "label").distinct()
-    marks = cells.select("t").unionByName(groups.limit(1).select(F.explode(fixed).alias("t"))).distinct()
-    spread = marks.join(F.broadcast(groups.agg(F.collect_list(F.struct("g", "label")).alias("gs")))).select("t", F.explode("gs").alias("x")).select("x.g", "x.label", "t", F.lit(0).cast("long").alias("n"))
-    summed = cells.unionByName(spread.select(*cells.columns)).groupBy("g", "label", "t").agg(F.sum("n").alias("n")).withColumn("r", F.floor(F.col("t") * ranges))
-    inside = Window.partitionBy("g", "label", "r").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    parts = summed.groupBy("g", "label", "r").agg(F.sum("n").alias("m"))
-    over = Window.partitionBy("g", "label")
-    bases = parts.select("g", "label", "r", F.coalesce(F.sum("m").over(over.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("m").over(over).alias("total"))
-    below = summed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, ["g", "label", "r"]).withColumn("below", F.col("base") + F.col("inside"))
-    right = F.when(F.col("label") == 0, F.col("below")).otherwise(F.col("total") - F.col("below"))
-    of = lambda v, c: F.sum(F.when(F.col("label") == v, c))
-    by = below.withColumn("right", right).groupBy(F.col("t").alias("threshold")).agg(
-        F.min(F.col("right") / F.col("total").cast("double")).alias("min_recall"), of(0, F.col("right")).alias("r0"), of(0, F.col("total")).alias("t0"), of(1, F.col("right")).alias("r1"), of(1, F.col("total")).alias("t1")
-    )
-    return by.select("threshold", "min_recall", (0.5 * (F.col("r0") / F.col("t0").cast("double") + F.col("r1") / F.col("t1").cast("double"))).alias("balanced_accuracy"))
+    cells = checked(scores, score).groupBy(group.alias("g"), "label", F.col(score).alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.floor(F.col("t") * ranges).cast("int"))
+    sums = cells.groupBy("g", "label", "r").agg(F.sum("n").alias("m"))
+    groups = sums.groupBy("g", "label").agg(F.sum("m").alias("total"))
+    dense = groups.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(ranges)))).join(sums, ["g", "label", "r"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    before = Window.partitionBy("g", "label").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    dense = dense.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    real, share = F.col("label") == 0, lambda c: c / F.col("total").cast("double")
+    low = F.when(real, share(F.col("base"))).otherwise(share(F.col("total") - F.col("base") - F.col("m")))
+    high = F.when(real, share(F.col("base") + F.col("m"))).otherwise(share(F.col("total") - F.col("base")))
+    of = lambda v, c: F.sum(F.when(F.col("label") == v, F.col(c)))
+    slots = dense.groupBy("r").agg(F.min(F.when(F.col("m") == 0, low)).alias("rest"), F.min(low).alias("low"), F.min(high).alias("high"), *[of(v, c).alias(f"{c}{v}") for v in (0, 1) for c in ("base", "total")])
+    fixed = scores.sparkSession.range(1).select(F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("t")).select("t", F.floor(F.col("t") * ranges).cast("int").alias("r"))
+    marks = cells.select("t", "r").unionByName(fixed).distinct()
+    if best_only:
+        held = slots.join(sums.select("r").unionByName(fixed.select("r")).distinct(), "r")  # ranges with a candidate
+        slots = held.crossJoin(F.broadcast(held.agg(F.max("low").alias("reached")))).filter("high >= reached")
+        marks, cells = (df.join(F.broadcast(slots.select("r")), "r", "left_semi") for df in (marks, cells))
+    known = cells.join(dense.filter("m > 0").select("g", "label", "r", "base", "total"), ["g", "label", "r"])
+    member = F.struct("g", "label", "base", "total")
+    both = known.select("r", "t", "n", member.alias("x")).unionByName(marks.select("r", "t", F.lit(0).cast("long").alias("n"), F.lit(None).cast("struct<g:string,label:int,base:bigint,total:bigint>").alias("x")))
+    here = both.repartition("r").withColumn("xs", F.collect_set("x").over(Window.partitionBy("r"))).withColumn("mark", F.col("x").isNull())
+    here = here.withColumn("x", F.explode_outer(F.when(F.col("mark"), F.col("xs")).otherwise(F.array("x")))).drop("xs")
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("r", "x.g", "x.label").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.coalesce(F.sum("n").over(Window.partitionBy("r", "x.g", "x.label", "t")), F.lit(0))
+    placed = here.withColumn("inside", below).filter("mark")
+    right = F.when(F.col("x.label") == 0, F.col("x.base") + F.col("inside")).otherwise(F.col("x.total") - F.col("x.base") - F.col("inside"))
+    within = lambda v: F.coalesce(F.sum(F.when(F.col("x.label") == v, F.col("inside"))), F.lit(0))
+    by = placed.groupBy("r", F.col("t").alias("threshold")).agg(F.min(right / F.col("x.total").cast("double")).alias("there"), within(0).alias("i0"), within(1).alias("i1")).join(F.broadcast(slots), "r")
+    accuracy = 0.5 * ((F.col("base0") + F.col("i0")) / F.col("total0").cast("double") + (F.col("total1") - F.col("base1") - F.col("i1")) / F.col("total1").cast("double"))
+    return by.select("threshold", F.least("there", "rest").alias("min_recall"), accuracy.alias("balanced_accuracy"))
 
 
 def select_threshold(swept: DataFrame) -> DataFrame:

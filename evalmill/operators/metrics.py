@@ -1,7 +1,8 @@
 """Tie-exact ROC AUC and everything that is rolled up from it.
 
 Counts stay integers until one last division. Scores are collapsed to cells (keys, score) first, so repeated scores cross the
-shuffle once. Scores lie in [0, 1]; a key is split into score ranges, so that one with most of the rows isn't one task.
+shuffle once. Scores lie in [0, 1]; a key is split into score ranges, so that one with most of the rows isn't one task. A score
+that is null, NaN or infinite, or a label other than 0 and 1, is an error: such rows have no rank.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalmill.operators.order import with_index
 
-RANGES = 64
+RANGES = 256
 
 WIDE = "decimal(38,0)"
 
@@ -21,11 +22,17 @@ def ratio(wins2: Column, pairs: Column) -> Column:
     return F.try_divide(wins2.cast("double"), 2 * pairs.cast("double"))
 
 
+def checked(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """``scores`` as they are; reading a row without a finite score or a binary label raises."""
+    fine = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & (F.abs(F.col(score)) < float("inf")) & F.coalesce(F.col(label).isin(0, 1), F.lit(False))
+    return scores.withColumn(score, F.when(fine, F.col(score)).otherwise(F.raise_error(F.lit("a score that isn't finite or a label that isn't 0 or 1"))))
+
+
 def auc(scores: DataFrame, keys: list[str] = (), score: str = "score", label: str = "label", ranges: int = RANGES) -> DataFrame:
     """AGG-01..04: (keys, n_pos, n_neg, auc)."""
     keys = list(keys)
     one = lambda v: F.sum(F.when(F.col(label) == v, 1).otherwise(0))
-    cells = scores.groupBy(*keys, F.col(score).alias("__s")).agg(one(1).alias("p"), one(0).alias("n"))
+    cells = checked(scores, score, label).groupBy(*keys, F.col(score).alias("__s")).agg(one(1).alias("p"), one(0).alias("n"))
     cells = cells.withColumn("__r", F.floor(F.col("__s") * ranges))
     inside = Window.partitionBy(*keys, "__r").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     local = cells.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
@@ -37,22 +44,34 @@ def auc(scores: DataFrame, keys: list[str] = (), score: str = "score", label: st
     return total.select(*keys, "n_pos", "n_neg", ratio(F.col("w"), F.col("n_pos").cast(WIDE) * F.col("n_neg")).alias("auc"))
 
 
-def wins(scores: DataFrame, keys: list[str], fake: str = "generator", real: str = "real_source", score: str = "score", label: str = "label") -> DataFrame:
+def wins(scores: DataFrame, keys: list[str], fake: str = "generator", real: str = "real_source", score: str = "score", label: str = "label", ranges: int = RANGES) -> DataFrame:
     """AGG-07: (keys, fake, real, wins2, pairs): doubled wins of each generator's rows over each source's rows.
 
-    Cells of fakes are repeated for each source, not for each row of it; one shuffle by (keys, source) serves both windows.
+    Wins over lower score ranges come from sums by range. Wins inside a range come from its cells: they are dealt out by (keys,
+    range), and fakes are repeated for the range's sources after that shuffle, not before it. No task holds a whole source.
     """
-    keys = list(keys)
-    reals = scores.filter(F.col(label) == 0).groupBy(*keys, F.col(real).alias("r"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    fakes = scores.filter(F.col(label) == 1).groupBy(*keys, F.col(fake).alias("f"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("p"))
-    sources = scores.filter(F.col(label) == 0).groupBy(*keys).agg(F.collect_set(real).alias("rs"))
-    spread = (fakes.join(sources, keys) if keys else fakes.crossJoin(sources)).select(*keys, F.explode("rs").alias("r"), "s", F.lit(0).cast("long").alias("n"), "f", "p")
-    both = reals.select(*keys, "r", "s", "n", F.lit(None).cast("string").alias("f"), F.lit(0).cast("long").alias("p")).unionByName(spread)
-    part = [*keys, "r"]
-    upto = Window.partitionBy(*part).orderBy("s")
-    placed = both.withColumn("le", F.sum("n").over(upto)).withColumn("eq", F.sum("n").over(Window.partitionBy(*part, "s"))).withColumn("tot", F.sum("n").over(Window.partitionBy(*part)))
-    won = F.col("p").cast(WIDE) * (2 * F.col("le") - F.col("eq"))
-    return placed.filter("f IS NOT NULL").groupBy(*keys, F.col("f").alias(fake), F.col("r").alias(real)).agg(F.sum(won).alias("wins2"), F.sum(F.col("p").cast(WIDE) * F.col("tot")).alias("pairs"))
+    keys, g = list(keys), "__g"
+    rows = checked(scores, score, label).withColumn(g, F.floor(F.col(score) * ranges))
+    reals = rows.filter(F.col(label) == 0).groupBy(*keys, g, F.col(real).alias("r"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    fakes = rows.filter(F.col(label) == 1).groupBy(*keys, g, F.col(fake).alias("f"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("p"))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+
+    cells = reals.select(*keys, g, "s", "r", "n", none.alias("f"), zero.alias("p")).unionByName(fakes.select(*keys, g, "s", none.alias("r"), zero.alias("n"), "f", "p"))
+    here = cells.repartition(*keys, g).withColumn("rs", F.collect_set("r").over(Window.partitionBy(*keys, g)))
+    here = here.withColumn("r", F.explode(F.when(F.col("p") > 0, F.col("rs")).otherwise(F.array("r")))).drop("rs")
+    part = [*keys, g, "r"]
+    placed = here.withColumn("le", F.sum("n").over(Window.partitionBy(*part).orderBy("s"))).withColumn("eq", F.sum("n").over(Window.partitionBy(*part, "s")))
+    inside = placed.filter("p > 0").groupBy(*keys, "f", "r").agg(F.sum(F.col("p").cast(WIDE) * (2 * F.col("le") - F.col("eq"))).alias("wins2"))
+
+    m, q = reals.groupBy(*keys, g, "r").agg(F.sum("n").alias("m")), fakes.groupBy(*keys, g, "f").agg(F.sum("p").alias("q"))
+    sources = m.groupBy(*keys).agg(F.collect_set("r").alias("rs"))
+    spread = (q.join(sources, keys) if keys else q.crossJoin(F.broadcast(sources))).select(*keys, g, F.explode("rs").alias("r"), zero.alias("m"), "f", "q")
+    sums = m.select(*keys, g, "r", "m", none.alias("f"), zero.alias("q")).unionByName(spread)
+    over = Window.partitionBy(*keys, "r")
+    based = sums.withColumn("below", F.coalesce(F.sum("m").over(over.orderBy(g).rangeBetween(Window.unboundedPreceding, -1)), zero)).withColumn("tot", F.sum("m").over(over)).filter("q > 0")
+    lower = based.groupBy(*keys, "f", "r").agg(F.sum(F.col("q").cast(WIDE) * 2 * F.col("below")).alias("wins2"), F.sum(F.col("q").cast(WIDE) * F.col("tot")).alias("pairs"))
+    whole = lower.unionByName(inside.withColumn("pairs", F.lit(0).cast(WIDE))).groupBy(*keys, F.col("f").alias(fake), F.col("r").alias(real))
+    return whole.agg(F.sum("wins2").alias("wins2"), F.sum("pairs").alias("pairs"))
 
 
 def grouped_auc(scores: DataFrame, keys: list[str], fake: str = "generator", real: str = "real_source", score: str = "score") -> DataFrame:
@@ -115,9 +134,13 @@ def subgroup_auc(scores: DataFrame, subgroups: dict[str, Column], keys: list[str
     return auc(scores.withColumn("subgroup", F.explode(names)), [*keys, "subgroup"], score)
 
 
-def drift(a: DataFrame, b: DataFrame, key: str, score: str = "score") -> DataFrame:
-    """AGG-32: how two runs of the same rows differ: largest and mean change, largest rank displacement, whether equal."""
+def drift(a: DataFrame, b: DataFrame, key: str, score: str = "score", label: str = "label", tolerance: float = 1e-6) -> DataFrame:
+    """AGG-32: how two runs of the same rows differ: changes of scores, ranks and AUC, whether equal and whether within ``tolerance``."""
     ranked = lambda df, n: with_index(df.select(key, F.col(score).alias("s")), "rank", "s", key).select(key, F.col("s").alias(f"s{n}"), F.col("rank").alias(f"r{n}"))
     both = ranked(a, 1).join(ranked(b, 2), key)
     change = F.abs(F.col("s1") - F.col("s2"))
-    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max(change), 9).alias("max_change"), F.round(F.avg(change), 9).alias("mean_change"), F.max(F.abs(F.col("r1") - F.col("r2"))).alias("max_rank_change"), (F.max(change) == 0).alias("exact"))
+    flat = both.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max(change), 9).alias("max_change"), F.round(F.avg(change), 9).alias("mean_change"), F.max(F.abs(F.col("r1") - F.col("r2"))).alias("max_rank_change"), (F.max(change) == 0).alias("exact"))
+    one = lambda df, n: auc(df, [], score, label).select(F.col("auc").alias(n))
+    wide = flat.crossJoin(F.broadcast(one(a, "__a"))).crossJoin(F.broadcast(one(b, "__b")))
+    moved = F.round(F.abs(F.col("__a") - F.col("__b")), 9)
+    return wide.select(*flat.columns, moved.alias("auc_change"), ((F.col("max_change") <= tolerance) & (moved <= tolerance)).alias("within"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -13,29 +15,72 @@ from evalmill.functions.columns import hamming
 from evalmill.operators.order import cut_lineage, with_index
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int, bits: int = 64) -> DataFrame:
-    """JN-12: pairs within the radius. With radius + 1 bands two such hashes agree in one band at least, so it is exact.
+def band_plan(bits: int, radius: int, rows: int) -> tuple[int, int]:
+    """(bands, flips): with m bands two hashes within the radius differ in at most radius // m bits of one band.
+
+    Few wide bands need many flipped values on one side, many narrow ones meet many rows; the plan with the least of both is taken.
+    """
+
+    def work(m: int) -> float:
+        width = -(-bits // m)
+        return m * sum(comb(width, k) for k in range(radius // m + 1)) * (1 + rows / 2.0**width)
+
+    return (lambda m: (m, radius // m))(min(range(1, radius + 2), key=work))
 
-    A band's value is an equi-join key; no cross join. A pair that agrees in several bands is taken from the first of them, which
-    needs no distinct. Equal hashes are one row on either side before the join, so copies aren't multiplied by bands.
+
+def hash_pairs(left: DataFrame, right: DataFrame, hash_: str, radius: int, bits: int = 64) -> DataFrame:
+    """(hash_a, hash_b, distance) of the different hashes of either side that lie within the radius: exact, by equi-joins on bands.
+
+    The left side goes with every value of a band that few flipped bits can make. A pair is taken from the first band in which it
+    agrees that far, which needs no distinct.
     """
-    n = radius + 1
+    a, b = (df.select(F.col(hash_).alias(f"hash_{side}")).filter(F.col(f"hash_{side}").isNotNull()).distinct() for df, side in ((left, "a"), (right, "b")))
+    n, flips = band_plan(bits, radius, b.count())
     edges = [round(i * bits / n) for i in range(n + 1)]
     mask = lambda width: -1 if width == 64 else (1 << width) - 1
     part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit(mask(edges[i + 1] - edges[i])).cast("long"))
-    named = lambda df, side: df.groupBy(F.col(hash_).alias(f"hash_{side}")).agg(F.collect_list(key).alias(f"keys_{side}"))
-    banded = lambda df, side: df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part(F.col(f"hash_{side}"), i).alias("value")) for i in range(n)])).alias("b")).select(f"hash_{side}", f"keys_{side}", "b.band", "b.value")
-    a, b = banded(named(left, "a"), "a"), banded(named(right, "b"), "b")
-    joined = a.join(b, ["band", "value"]).withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= radius)
-    agree = F.array(*[part(F.col("hash_a"), i) == part(F.col("hash_b"), i) for i in range(n)])
-    once = joined.filter(F.array_position(agree, True) == F.col("band") + 1)
-    return once.select(F.explode("keys_a").alias("a"), "keys_b", "distance").select("a", F.explode("keys_b").alias("b"), "distance")
-
-
-def nearest_hash(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int) -> DataFrame:
-    """JN-14: for each left row the nearest right one within the radius, ties by its key."""
-    order = Window.partitionBy("a").orderBy("distance", "b")
-    return hamming_pairs(left, right, key, hash_, radius).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    changed = lambda width: [signed(sum(1 << k for k in ks)) for f in range(flips + 1) for ks in combinations(range(width), f)]
+
+    def banded(df: DataFrame, side: str, probe: bool) -> DataFrame:
+        own = lambda i: F.transform(F.array(*[F.lit(m).cast("long") for m in (changed(edges[i + 1] - edges[i]) if probe else [0])]), lambda m: F.struct(F.lit(i).alias("band"), part(F.col(f"hash_{side}"), i).bitwiseXOR(m).alias("value")))
+        return df.select(f"hash_{side}", F.explode(F.concat(*[own(i) for i in range(n)])).alias("x")).select(f"hash_{side}", "x.band", "x.value")
+
+    met = banded(a, "a", True).join(banded(b, "b", False), ["band", "value"]).withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= radius)
+    agree = F.array(*[hamming(part(F.col("hash_a"), i), part(F.col("hash_b"), i)) <= flips for i in range(n)])
+    return met.filter(F.array_position(agree, True) == F.col("band") + 1).select("hash_a", "hash_b", "distance")
+
+
+def hamming_pairs(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int, bits: int = 64) -> DataFrame:
+    """JN-12: pairs (a, b, distance) of rows within the radius. Equal hashes are one node until the last joins name their rows."""
+    of = lambda df, side: df.select(F.col(key).alias(side), F.col(hash_).alias(f"hash_{side}"))
+    return hash_pairs(left, right, hash_, radius, bits).join(of(left, "a"), "hash_a").join(of(right, "b"), "hash_b").select("a", "b", "distance")
+
+
+def overlap_audit(left: DataFrame, right: DataFrame, key: str, label: str, difference: str, average: str, radius: int = 4, average_radius: int = 4, examples: int = 100, bits: int = 63) -> DataFrame:
+    """JN-12: (n_pairs, n_cross_label, examples) of pairs within both radii; copies are counted by their numbers, not expanded.
+
+    Rows with equal hashes and label are one node. Examples name the nearest nodes' first rows, ties by key.
+    """
+
+    def nodes(df: DataFrame, side: str) -> DataFrame:
+        names = {difference: "d", average: "v", label: "label"}
+        return df.groupBy(*[F.col(c).alias(f"{n}_{side}") for c, n in names.items()]).agg(F.count(F.lit(1)).alias(f"n_{side}"), F.min(key).alias(f"first_{side}"))
+
+    near = hash_pairs(left, right, difference, radius, bits).withColumnsRenamed({"hash_a": "d_a", "hash_b": "d_b"})
+    both = near.join(nodes(left, "a"), "d_a").join(nodes(right, "b"), "d_b").withColumn("average_distance", hamming(F.col("v_a"), F.col("v_b"))).filter(F.col("average_distance") <= average_radius)
+    pairs = both.withColumn("n", F.col("n_a") * F.col("n_b")).withColumn("crosses", F.col("label_a") != F.col("label_b"))
+    counts = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(F.when(F.col("crosses"), F.col("n"))), F.lit(0)).alias("n_cross_label"))
+    shown = pairs.select("distance", "average_distance", "first_a", "first_b").orderBy("distance", "average_distance", "first_a", "first_b").limit(examples)
+    listed = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "average_distance", "first_a", "first_b"))), lambda x: F.concat_ws(":", x["first_a"], x["first_b"], x["distance"], x["average_distance"])), ",").alias("examples"))
+    return counts.crossJoin(F.broadcast(listed))
+
+
+def nearest_hash(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int, bits: int = 64) -> DataFrame:
+    """JN-14: for each left row the nearest right one within the radius, ties by its key; found by hash, then named for each row."""
+    first = right.groupBy(F.col(hash_).alias("hash_b")).agg(F.min(key).alias("b"))
+    best = hash_pairs(left, right, hash_, radius, bits).join(first, "hash_b").groupBy("hash_a").agg(F.min(F.struct("distance", "b")).alias("best"))
+    return left.select(F.col(key).alias("a"), F.col(hash_).alias("hash_a")).join(best, "hash_a").select("a", "best.b", "best.distance")
 
 
 def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Without one this raises: a local folder is lost with its machine."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
 
@@ -33,3 +36,11 @@ def with_index(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
     inside = Window.partitionBy("__part").orderBy(*[f"__o{i}" for i in range(len(columns))])
     placed = dealt.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(bases), "__part")
     return placed.select(*rows.columns, (F.col("__base") + F.col("__i") - 1).alias(name))
+
+
+def with_group_index(rows: DataFrame, name: str, groups: list[str], *order: str | Column) -> DataFrame:
+    """``rows`` with their place (from 0) inside their group; a group of any size is dealt over ranges, and null is a group."""
+    placed = with_index(rows, "__at", *groups, *order)
+    firsts = placed.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min("__at").alias("__first"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)])
+    return placed.join(firsts, same).select(*rows.columns, (F.col("__at") - F.col("__first")).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hash_rank, hash_uniform
-from evalmill.operators.order import with_index
+from evalmill.operators.order import with_group_index, with_index
 
 
 def lowest_ranked(rows: DataFrame, groups: list[str], k: int, rank: Column) -> DataFrame:
@@ -41,7 +41,7 @@ def allocate(rows: DataFrame, group: str, total: int, rank: Column) -> DataFrame
 def matched_strata(rows: DataFrame, strata: list[str], rank: Column) -> DataFrame:
     """SMP-09: of each stratum as many rows of either label as the rarer one has."""
     sizes = rows.groupBy(*strata).agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("quota")).filter("quota > 0")
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "label").orderBy(rank)))
+    placed = with_group_index(rows, "__at", [*strata, "label"], rank).withColumn("place", (F.col("__at") + 1).cast("int")).drop("__at")
     return placed.join(sizes, strata).filter("place <= quota")
 
 

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.operators.metrics import auc
-from evalmill.operators.order import with_index
+from evalmill.operators.order import with_group_index, with_index
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str, digits: int = 9) -> DataFrame:
-    """AGG-19: count, mean, population deviation, extremes and exact linear quantiles, share of values from a half on."""
-    q = lambda p: F.round(F.percentile(value, p), digits)
+    """AGG-19: count, mean, population deviation, extremes and exact linear quantiles, share of values from a half on.
+
+    Quantiles come from places in a global order over ranges, so a key may have any number of values; null is a key.
+    """
     v = F.col(value)
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"), F.min(v).alias("min"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), F.max(v).alias("max"), (F.count_if(v >= 0.5) / F.count(value).cast("double")).alias("share_from_half"))
+    flat = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.count_if(v >= 0.5) / F.count(value).cast("double")).alias("share_from_half"))
+    points = {"q05": 0.05, "median": 0.5, "q95": 0.95}
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    placed = with_group_index(rows.filter(v.isNotNull()).select(*named, v.cast("double").alias("__v")), "__at", [f"__k{i}" for i in range(len(keys))], "__v")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    place = {n: (F.col("n") - 1) * F.lit(p) for n, p in points.items()}
+    met = placed.join(F.broadcast(flat.select(*keys, "n")), same).filter(reduce(Column.__or__, [F.col("__at").between(F.floor(x), F.ceil(x)) for x in place.values()]))
+    low = {n: F.max(F.when(F.col("__at") == F.floor(x), F.col("__v"))) for n, x in place.items()}
+    high = {n: F.max(F.when(F.col("__at") == F.ceil(x), F.col("__v"))) for n, x in place.items()}
+    part = {n: F.max(x - F.floor(x)) for n, x in place.items()}
+    quantiles = met.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(*[F.round(low[n] + (high[n] - low[n]) * part[n], digits).alias(n) for n in points])
+    return flat.join(quantiles, same, "left").select(*keys, "n", "mean", "std", "min", *points, "max", "share_from_half")
 
 
 def container_summary(rows: DataFrame, levels: dict[str, Column], numbers: list[str]) -> DataFrame:
@@ -30,15 +45,22 @@ def top_values(rows: DataFrame, keys: list[str], value: str, limit: int) -> Data
     return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
-def inventory_digest(rows: DataFrame, line: Column) -> DataFrame:
-    """AGG-20, small tables: SHA-256 of all lines in order. For large ones use ``inventory_digest_ranged``."""
-    return rows.agg(F.count(F.lit(1)).alias("n_lines"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+def inventory_digest(rows: DataFrame, line: Column, keys: list[str] = (), prefix: int = 4) -> DataFrame:
+    """AGG-20: (keys, n_lines, digest), any size: a tree of digests, its leaves the lines by the first digits of their own hash.
+
+    With each level ``prefix`` more digits split a leaf's lines, so a leaf holds one line in 16 ** prefix or so.
+    """
+    keys = list(keys)
+    digest = lambda parts: F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "\n"), 256).alias("digest")
+    level = rows.select(*keys, line.alias("line")).withColumn("part", F.substring(F.sha2("line", 256), 1, prefix)).groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), digest("line"))
+    for width in range(prefix - 2, -1, -2):
+        level = level.withColumn("up", F.substring("part", 1, width)).groupBy(*keys, "up").agg(F.sum("n").alias("n"), digest(F.concat("part", "digest"))).withColumnRenamed("up", "part")
+    return level.select(*keys, F.col("n").alias("n_lines"), "digest")
 
 
 def inventory_digest_ranged(rows: DataFrame, line: Column, prefix: int = 2) -> DataFrame:
-    """AGG-20, any size: digests of the lines by the first digits of their own hash, then the digest of those. Another value than the plain one."""
-    parts = rows.select(line.alias("line")).groupBy(F.substring(F.sha2("line", 256), 1, prefix).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
-    return parts.agg(F.sum("n").alias("n_lines"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "digest"))), "\n"), 256).alias("digest"))
+    """AGG-20 with one level of ``prefix`` digits."""
+    return inventory_digest(rows, line, [], prefix)
 
 
 def balanced_effects(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
@@ -89,7 +111,7 @@ def bootstrap_auc(rows: DataFrame, key: str, score_a: str, score_b: str, replica
 
     A draw is (replicate, label, place), its row number hashed; one equi join brings the rows, one AUC by replicate follows.
     """
-    ranked = rows.select("label", F.row_number().over(Window.partitionBy("label").orderBy(key)).cast("long").alias("at"), score_a, score_b)
+    ranked = with_group_index(rows.select("label", key, score_a, score_b), "at", ["label"], key).select("label", (F.col("at") + 1).alias("at"), score_a, score_b)
     sizes = ranked.groupBy("label").agg(F.max("at").alias("n"))
     draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("replicate", "label", "draw")]), 256), 1, 12), 16, 10).cast("long")

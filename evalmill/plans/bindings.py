@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from evalmill.operators.order import with_group_index
 
 #: The evaluation conditions in order; a condition's place seeds its noise.
 CONDITIONS = (
@@ -77,7 +78,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(spark, sf_dir)
-    ranked = rows.withColumn("pair_id", F.row_number().over(Window.partitionBy("label").orderBy("content_sha256", "sample_id")).cast("long"))
+    ranked = with_group_index(rows, "__at", ["label"], "content_sha256", "sample_id").withColumn("pair_id", F.col("__at") + 1).drop("__at")
     sizes = ranked.groupBy("label").agg(F.max("pair_id").alias("n")).agg(F.min("n").alias("n_pairs"))
     return ranked.join(F.broadcast(sizes), F.col("pair_id") <= F.col("n_pairs")).drop("n_pairs")
 

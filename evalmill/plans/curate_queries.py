@@ -125,9 +125,9 @@ def con08(spark, d):
     return K.score_violations(B.predictions(spark, d).withColumn("score", F.col("score") - 0.2), "sample_id")
 
 
-@query("jn01_manifest_lookup", sql("SELECT p.sample_id, p.condition, m.bytes FROM predictions_v p JOIN manifest_v m ON p.path = m.path WHERE p.condition IN ('clean', 'jpeg_q50')", "predictions_v"))
+@query("jn01_manifest_lookup", sql("SELECT p.sample_id, p.condition, m.bytes FROM predictions_v p JOIN manifest_v m ON p.path = m.path", "predictions_v"))
 def jn01(spark, d):
-    found = B.predictions(spark, d).filter(F.col("condition").isin("clean", "jpeg_q50")).select("sample_id", "condition", "path")
+    found = B.predictions(spark, d).select("sample_id", "condition", "path")
     return U.look_up(found, B.manifest(spark, d).select("path", "bytes"), "path")[0].select("sample_id", "condition", "bytes")
 
 
@@ -149,10 +149,10 @@ def jn03(spark, d):
     return U.dense_index(B.predictions(spark, d).withColumn("i", F.when(F.col("idx") % 2 == 0, at).otherwise(F.col("sample_id"))), ["condition"], "i")
 
 
-@query("jn04_two_candidates", sql(ALIGN.format(k="condition, sample_id, label, content_sha256", v="score", w="score_b", x="(SELECT * FROM predictions2_v WHERE sample_id % 7 <> 0)", y="(SELECT * FROM predictions2_v WHERE sample_id % 11 <> 0)"), "predictions2_v"))
+@query("jn04_two_candidates", sql(ALIGN.format(k="condition, sample_id, label, content_sha256", v="score", w="score_b", x="(SELECT * FROM predictions2_v WHERE real_source IS DISTINCT FROM 'en')", y="(SELECT * FROM predictions2_v WHERE generator IS DISTINCT FROM 'src1')"), "predictions2_v"))
 def jn04(spark, d):
     rows = B.predictions2(spark, d)
-    return U.align(rows.filter("sample_id % 7 <> 0"), rows.filter("sample_id % 11 <> 0").drop("score").withColumnRenamed("score_b", "score"), ["condition", "sample_id", "label", "content_sha256"], "score")
+    return U.align(rows.filter("NOT real_source <=> 'en'"), rows.filter("NOT generator <=> 'src1'").drop("score").withColumnRenamed("score_b", "score"), ["condition", "sample_id", "label", "content_sha256"], "score")
 
 
 @query("jn06_reconcile_duplicates", sql("""SELECT content_sha256, count(*) AS n_rows, arg_min(label, sample_id) AS label, arg_min(score, sample_id) AS score, count(DISTINCT label) > 1 OR max(score) - min(score) > 1e-6 AS conflict FROM predictions_v WHERE condition = 'clean' GROUP BY 1""", "predictions_v"))
@@ -198,9 +198,13 @@ def krn01(spark, d):
     return hashes(spark, d).select("vec_id", "dh")
 
 
-@query("krn02_average_hash", "WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings) SELECT vec_id, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) >= mean)) AS n_bits FROM m")
+BITS_A = "list_reduce(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) >= mean THEN 1::HUGEINT ELSE 0::HUGEINT END), lambda a, b: a * 2 + b)"
+AVERAGE = f"CAST(CASE WHEN {BITS_A} >= 9223372036854775808::HUGEINT THEN {BITS_A} - 18446744073709551616::HUGEINT ELSE {BITS_A} END AS BIGINT)"
+
+
+@query("krn02_average_hash", "WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings) SELECT vec_id, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) >= mean)) AS n_bits, " + AVERAGE + " AS ah FROM m")
 def krn02(spark, d):
-    return B.vectors(spark, d).select("vec_id", F.bit_count(C.average_hash(F.col("embedding"))).cast("long").alias("n_bits"))
+    return B.vectors(spark, d).select("vec_id", F.bit_count(C.average_hash(F.col("embedding"))).cast("long").alias("n_bits"), C.average_hash(F.col("embedding")).alias("ah"))
 
 
 @query("jn12_hamming_pairs", f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.dh, b.dh)) AS distance FROM hash_v a JOIN hash_v b ON a.label < 5 AND b.label >= 5 AND bit_count(xor(a.dh, b.dh)) <= 16")
@@ -209,6 +213,15 @@ def jn12(spark, d):
     return N.hamming_pairs(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "dh", 16, 63)
 
 
+@query("jn12_overlap_audit", f"""WITH {HASHES}, m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings), v AS (SELECT h.*, {AVERAGE} AS ah FROM hash_v h JOIN m USING (vec_id)),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, a.dh AS da, b.dh AS db, a.ah AS aa, b.ah AS ab, bit_count(xor(a.dh, b.dh)) AS distance, bit_count(xor(a.ah, b.ah)) AS average_distance FROM v a CROSS JOIN v b WHERE bit_count(xor(a.dh, b.dh)) <= 4 AND bit_count(xor(a.ah, b.ah)) <= 4),
+n AS (SELECT la, lb, da, db, aa, ab, distance, average_distance, min(a) AS a, min(b) AS b FROM p GROUP BY ALL), x AS (SELECT * FROM n ORDER BY distance, average_distance, a, b LIMIT 100)
+SELECT count(*) AS n_pairs, count(*) FILTER (WHERE la <> lb) AS n_cross_label, (SELECT coalesce(string_agg(concat_ws(':', a, b, distance, average_distance), ',' ORDER BY distance, average_distance, a, b), '') FROM x) AS examples FROM p""")
+def jn12_audit(spark, d):
+    rows = hashes(spark, d).join(B.vectors(spark, d).select("vec_id", C.average_hash(F.col("embedding")).alias("ah")), "vec_id")
+    return N.overlap_audit(rows, rows, "vec_id", "label", "dh", "ah")
+
+
 @query("jn13_exact_overlap", sql("SELECT DISTINCT s.sample_id FROM split_v s JOIN split_v t ON s.content_sha256 = t.content_sha256 AND s.role = 'eval' AND t.role = 'train'", "split_v"))
 def jn13(spark, d):
     rows = B.split(spark, d)
@@ -218,7 +231,7 @@ def jn13(spark, d):
 @query("jn14_nearest_hash", f"WITH {HASHES}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.dh, b.dh)) AS distance FROM hash_v a JOIN hash_v b ON a.label < 5 AND b.label >= 5) SELECT a, b, distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM p WHERE distance <= 20) WHERE n = 1")
 def jn14(spark, d):
     rows = hashes(spark, d)
-    return N.nearest_hash(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "dh", 20)
+    return N.nearest_hash(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "dh", 20, 63)
 
 
 COSINE = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label < 5 AND b.label >= 5), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS place FROM p)"
@@ -263,9 +276,9 @@ def jn19(spark, d):
     return B.with_conditions(B.manifest(spark, d).select("sample_id")).select("sample_id", "idx", "condition")
 
 
-@query("jn20_grid_gaps", sql("WITH g AS (SELECT * FROM grid_v WHERE vec_id % 13 <> 0), f AS (SELECT a.generator, b.prompt_id FROM (SELECT DISTINCT generator FROM g) a CROSS JOIN (SELECT DISTINCT prompt_id FROM g) b) SELECT f.generator, f.prompt_id, count(g.vec_id) AS n_rows FROM f LEFT JOIN g ON f.generator = g.generator AND f.prompt_id = g.prompt_id GROUP BY 1, 2 HAVING count(g.vec_id) <> 1", "grid_v"))
+@query("jn20_grid_gaps", sql("WITH g AS (SELECT g.* FROM grid_v g JOIN embeddings USING (vec_id) WHERE label <> 3), f AS (SELECT a.generator, b.prompt_id FROM (SELECT DISTINCT generator FROM g) a CROSS JOIN (SELECT DISTINCT prompt_id FROM g) b) SELECT f.generator, f.prompt_id, count(g.vec_id) AS n_rows FROM f LEFT JOIN g ON f.generator = g.generator AND f.prompt_id = g.prompt_id GROUP BY 1, 2 HAVING count(g.vec_id) <> 1", "grid_v"))
 def jn20(spark, d):
-    return T.grid_gaps(B.grid(spark, d).filter("vec_id % 13 <> 0"), "generator", "prompt_id")
+    return T.grid_gaps(B.grid(spark, d).join(B.vectors(spark, d).filter("label <> 3").select("vec_id"), "vec_id", "left_semi"), "generator", "prompt_id")
 
 
 @query("jn21_coverage", sql("""WITH c AS (SELECT DISTINCT generator FROM manifest_v WHERE label = 1), g AS (SELECT DISTINCT left(generator, 4) AS family, generator FROM quality_v WHERE label = 1)
@@ -305,9 +318,9 @@ def set04(spark, d):
     return B.quality(spark, d).filter("label = 1").select("generator").subtract(B.manifest(spark, d).filter("label = 1").select("generator"))
 
 
-@query("set05_label_collisions", sql("SELECT p, count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM (SELECT substr(content_sha256, 1, 2) AS p, label FROM manifest_v) GROUP BY p HAVING count(DISTINCT label) > 1", "manifest_v"))
+@query("set05_label_collisions", sql("SELECT p, count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM (SELECT content_sha256 AS p, label FROM manifest_v UNION ALL SELECT content_sha256, label FROM quality_v) GROUP BY p HAVING count(DISTINCT label) > 1", "manifest_v", "quality_v"))
 def set05(spark, d):
-    return U.collisions(B.manifest(spark, d).select(F.substring("content_sha256", 1, 2).alias("p"), "label"), "p")
+    return U.collisions(B.manifest(spark, d).unionByName(B.quality(spark, d)).select(F.col("content_sha256").alias("p"), "label"), "p")
 
 
 # The wide row of metrics that rules read: the candidate ``score`` and, with other_, ``score_b``.

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
 from evalmill.operators import curate, decide, metrics, neighbours, sample, score
+from evalmill.operators.order import with_group_index, with_index
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def base_mixture(rows: DataFrame, per_generator: int, seed: int) -> DataFrame:
     rank = sample.rank_of(seed, "mix", "sample_id")
     fakes = sample.lowest_ranked(rows.filter("label = 1"), ["generator"], per_generator, rank)
     size = fakes.agg(F.count(F.lit(1)).alias("n_fakes"))
-    reals = rows.filter("label = 0").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(rank)))
+    reals = with_index(rows.filter("label = 0"), "__at", rank).withColumn("place", (F.col("__at") + 1).cast("int")).drop("__at")
     return fakes.unionByName(reals.join(F.broadcast(size), F.col("place") <= F.col("n_fakes")).drop("n_fakes"))
 
 
@@ -105,7 +106,7 @@ def fresh_matched_gate(held: DataFrame, used: DataFrame) -> DataFrame:
     fresh = held.join(used.select("content_sha256"), "content_sha256", "left_anti")
     one = fresh.groupBy("content_sha256", "label").agg(F.min("sample_id").alias("sample_id"))
     size = one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n_each"))
-    placed = one.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("content_sha256")))
+    placed = with_group_index(one, "__at", ["label"], "content_sha256").withColumn("place", (F.col("__at") + 1).cast("int")).drop("__at")
     return placed.join(F.broadcast(size), F.col("place") <= F.col("n_each"))
 
 

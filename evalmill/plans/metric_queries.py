@@ -173,12 +173,12 @@ def agg31(spark, d):
     return rows.groupBy("condition").agg((F.count_if(F.col("noise") >= 0.055) / F.count(F.lit(1)).cast("double")).alias("route_rate"), F.min("noise").alias("min_noise"), F.max("noise").alias("max_noise"), (F.min("noise") >= 0.055).alias("all_routed"))
 
 
-@query("agg32_score_drift", sql("""WITH c AS (SELECT sample_id, score, score_b FROM predictions2_v WHERE condition = 'clean'),
+@query("agg32_score_drift", sql("""WITH c AS (SELECT sample_id, label, score, score_b FROM predictions2_v WHERE condition = 'clean'), pairs_c AS (SELECT sum(CASE WHEN p.score > n.score THEN 2 WHEN p.score = n.score THEN 1 ELSE 0 END) / CAST(2 * count(*) AS DOUBLE) AS one, sum(CASE WHEN p.score_b > n.score_b THEN 2 WHEN p.score_b = n.score_b THEN 1 ELSE 0 END) / CAST(2 * count(*) AS DOUBLE) AS two FROM c p JOIN c n ON p.label = 1 AND n.label = 0), moves AS (SELECT round(abs(one - two), 9) AS moved FROM pairs_c),
 r AS (SELECT *, row_number() OVER (ORDER BY score, sample_id) AS r1, row_number() OVER (ORDER BY score_b, sample_id) AS r2 FROM c)
-SELECT count(*) AS n_rows, round(max(abs(score - score_b)), 9) AS max_change, round(avg(abs(score - score_b)), 9) AS mean_change, max(abs(r1 - r2)) AS max_rank_change, max(abs(score - score_b)) = 0 AS exact FROM r""", "predictions2_v"))
+SELECT count(*) AS n_rows, round(max(abs(score - score_b)), 9) AS max_change, round(avg(abs(score - score_b)), 9) AS mean_change, max(abs(r1 - r2)) AS max_rank_change, max(abs(score - score_b)) = 0 AS exact, any_value(moved) AS auc_change, max(abs(score - score_b)) <= 1e-6 AND any_value(moved) <= 1e-6 AS within FROM r CROSS JOIN moves""", "predictions2_v"))
 def agg32(spark, d):
-    clean = B.predictions2(spark, d).filter("condition = 'clean'").select("sample_id", "score", "score_b")
-    return M.drift(clean.select("sample_id", "score"), clean.select("sample_id", F.col("score_b").alias("score")), "sample_id")
+    clean = B.predictions2(spark, d).filter("condition = 'clean'").select("sample_id", "label", "score", "score_b")
+    return M.drift(clean.select("sample_id", "label", "score"), clean.select("sample_id", "label", F.col("score_b").alias("score")), "sample_id")
 
 
 @query("agg34_selected_official", sql("WITH a AS (WITH " + auc_sql("predictions_v", ["condition"])[5:] + ") SELECT round(0.5 * (max(auc) FILTER (WHERE condition = 'clean') + avg(auc) FILTER (WHERE condition <> 'clean')), 9) AS selected_official FROM a", "predictions_v"))

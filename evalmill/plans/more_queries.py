@@ -21,7 +21,7 @@ from evalmill.plans.bindings import sql
 from evalmill.plans.curate_queries import HASHES, METRIC_NAMES, METRICS_SQL, hashes, metric_rows, similar
 from evalmill.plans.metric_queries import NOISE, auc_sql, grouped_sql, paired
 from evalmill.plans.registry import query
-from evalmill.plans.stat_queries import BLOCK, GROUP, group, rank_sql
+from evalmill.plans.stat_queries import BLOCK, GROUP, group, rank_sql, tree_sql
 
 RULE_SQL = "SELECT CAST(sample_id AS VARCHAR) AS row_key, rule FROM (SELECT sample_id, unnest([{cases}]) AS rule FROM {view}) WHERE rule IS NOT NULL"
 
@@ -49,23 +49,24 @@ def con07(spark, d):
     return rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n_rows"), (F.count_distinct("content_sha256") == F.count(F.lit(1))).alias("unique_content"))
 
 
-@query("con09_frontier_rows", sql("WITH v AS (SELECT * FROM manifest_v WHERE sample_id % 5 = 0) " + rule_sql("v", only_fakes="label = 1", generator="starts_with(generator, 'src1')"), "manifest_v"))
+@query("con09_frontier_rows", sql("" + rule_sql("quality_v", only_fakes="label = 1", generator="starts_with(generator, 'src1')"), "quality_v"))
 def con09(spark, d):
-    return K.violations(B.manifest(spark, d).filter("sample_id % 5 = 0"), "sample_id", {"only_fakes": F.col("label") == 1, "generator": F.col("generator").startswith("src1")})
+    return K.violations(B.quality(spark, d), "sample_id", {"only_fakes": F.col("label") == 1, "generator": F.col("generator").startswith("src1")})
 
 
-@query("con10_table_verification", sql("SELECT coalesce(m.content_sha256, d.h) AS digest, CASE WHEN m.content_sha256 IS NULL THEN 'unlisted' WHEN d.h IS NULL THEN 'missing' WHEN m.bytes <> d.bytes THEN 'size' ELSE 'ok' END AS state FROM (SELECT content_sha256, min(bytes) AS bytes FROM manifest_v GROUP BY 1) m FULL JOIN (SELECT sha256(text) AS h, min(n_chars) AS bytes FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) d ON m.content_sha256 = d.h", "manifest_v"))
+@query("con10_table_verification", sql("SELECT coalesce(m.content_sha256, d.h) AS digest, CASE WHEN m.content_sha256 IS NULL THEN 'unlisted' WHEN d.h IS NULL THEN 'missing' WHEN m.bytes <> d.bytes THEN 'size' ELSE 'ok' END AS state FROM (SELECT content_sha256, min(bytes) AS bytes FROM manifest_v GROUP BY 1) m FULL JOIN (SELECT sha256(text) AS h, min(n_chars) AS bytes FROM documents GROUP BY 1) d ON m.content_sha256 = d.h", "manifest_v"))
 def con10(spark, d):
     listed = B.manifest(spark, d).groupBy("content_sha256").agg(F.min("bytes").alias("bytes"))
-    there = B.table(spark, d, "documents").filter("doc_id % 2 = 0").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.min("n_chars").alias("found"))
+    there = B.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.min("n_chars").alias("found"))
     state = F.when(F.col("bytes").isNull(), "unlisted").when(F.col("found").isNull(), "missing").when(F.col("bytes") != F.col("found"), "size").otherwise("ok")
     return listed.join(there, "content_sha256", "full").select(F.col("content_sha256").alias("digest"), state.alias("state"))
 
 
-@query("con11_source_pins", "SELECT source, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_bytes, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM documents GROUP BY source")
+@query("con11_source_pins", "SELECT source, n_lines AS n_rows, n_bytes, digest FROM (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n_bytes FROM documents GROUP BY source) JOIN (" + tree_sql("SELECT source, CAST(doc_id AS VARCHAR) AS line FROM documents", "source") + ") USING (source)")
 def con11(spark, d):
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n")
-    return B.table(spark, d, "documents").select("doc_id", "source", "n_chars").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_bytes"), F.sha2(ids, 256).alias("digest"))
+    docs = B.table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    pins = T.inventory_digest(docs, F.col("doc_id").cast("string"), ["source"])
+    return docs.groupBy("source").agg(F.sum("n_chars").alias("n_bytes")).join(pins, "source").select("source", F.col("n_lines").alias("n_rows"), "n_bytes", "digest")
 
 
 @query("jn05_manifest_driven_blend", sql("SELECT m.sample_id, m.label, 0.9 * a.score + 0.1::DOUBLE * b.score_b AS score, a.label = m.label AND b.label = m.label AS labels_agree FROM manifest_v m LEFT JOIN (SELECT * FROM predictions2_v WHERE condition = 'clean') a ON a.sample_id = m.sample_id LEFT JOIN (SELECT * FROM predictions2_v WHERE condition = 'clean') b ON b.sample_id = m.sample_id", "manifest_v", "predictions2_v"))
@@ -163,10 +164,10 @@ def ml07(spark, d):
     return both.select("vec_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(C.blend(F.col("a"), F.col("b"), 0.5), 6).alias("blend"))
 
 
-@query("udf02_group_callables", sql(grouped_sql("meta_s", ["condition"], "SELECT * FROM grp", "score", "mode", "format").replace("WITH reals", "WITH meta_s AS (SELECT p.condition, p.label, p.score, m.mode, m.format FROM predictions_v p JOIN meta_v m ON p.sample_id = m.sample_id WHERE p.condition IN ('clean', 'jpeg_q30')), reals", 1), "predictions_v", "meta_v"))
+@query("udf02_group_callables", sql(grouped_sql("meta_s", ["condition"], "SELECT * FROM grp", "score", "mode", "format").replace("WITH reals", "WITH meta_s AS (SELECT p.condition, p.label, p.score, m.mode, m.format FROM predictions_v p JOIN meta_v m ON p.sample_id = m.sample_id), reals", 1), "predictions_v", "meta_v"))
 def udf02(spark, d):
     meta = B.meta(spark, d).select("sample_id", "mode", "format")
-    rows = B.predictions(spark, d).filter(F.col("condition").isin("clean", "jpeg_q30")).join(meta, "sample_id")
+    rows = B.predictions(spark, d).join(meta, "sample_id")
     return M.grouped_auc(rows, ["condition"], "mode", "format").withColumnsRenamed({"mode": "generator", "format": "real_source"})
 
 

@@ -79,10 +79,10 @@ def udf03(spark, d):
     return E.group_errors(B.predictions(spark, d), [], group, F.abs(F.col("score") - F.col("label")) > 0.75)
 
 
-@query("udf05_condition_callback", sql("SELECT condition, sample_id, CASE WHEN condition = 'jpeg_q50' THEN 1 - score ELSE score END AS score FROM predictions_v WHERE idx < 6", "predictions_v"))
+@query("udf05_condition_callback", sql("SELECT condition, sample_id, CASE WHEN condition = 'jpeg_q50' THEN 1 - score ELSE score END AS score FROM predictions_v", "predictions_v"))
 def udf05(spark, d):
     folder, own = W.fresh_folder(spark, "matrix"), W.signature(seed=7, source="corpus")
-    rows = B.predictions(spark, d).filter("idx < 6").select("condition", "sample_id", "score")
+    rows = B.predictions(spark, d).select("condition", "sample_id", "score")
     W.write_condition(rows, folder, own)
     W.write_condition(rows.filter("condition = 'jpeg_q50'").withColumn("score", 1 - F.col("score")), folder, own)
     return spark.read.parquet(folder).select("condition", "sample_id", "score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalmill.functions import columns as C
 from evalmill.operators import metrics as M
 from evalmill.operators import score as R
+from evalmill.operators.order import with_group_index
 from evalmill.plans import bindings as B
 from evalmill.plans import jobs as J
 from evalmill.plans.bindings import sql
@@ -18,12 +19,12 @@ from evalmill.sources import manifests as S
 from evalmill.sources import sinks as W
 
 
-@query("src02_manifest_violations", sql("""WITH r AS (SELECT CASE WHEN sample_id % 17 = 0 THEN NULL ELSE path END AS path, CASE WHEN sample_id % 13 = 0 THEN 2 ELSE label END AS label FROM manifest_v UNION ALL SELECT path, label FROM manifest_v WHERE sample_id % 19 = 1)
-SELECT path, 'missing_path' AS rule FROM r WHERE path IS NULL UNION ALL SELECT path, 'bad_label' FROM r WHERE label NOT IN (0, 1) UNION ALL SELECT path, 'suffix' FROM r WHERE path IS NULL UNION ALL SELECT path, 'duplicate_path' FROM r WHERE path IS NOT NULL GROUP BY path HAVING count(*) > 1""", "manifest_v"))
+@query("src02_manifest_violations", sql("""WITH r AS (SELECT CASE WHEN sample_id % 17 = 0 THEN NULL ELSE path END AS path, CASE WHEN sample_id % 13 = 0 THEN 2 ELSE label END AS label FROM manifest_v UNION ALL SELECT path, label FROM quality_v)
+SELECT path, 'missing_path' AS rule FROM r WHERE path IS NULL UNION ALL SELECT path, 'bad_label' FROM r WHERE label NOT IN (0, 1) UNION ALL SELECT path, 'suffix' FROM r WHERE path IS NULL UNION ALL SELECT path, 'duplicate_path' FROM r WHERE path IS NOT NULL GROUP BY path HAVING count(*) > 1""", "manifest_v", "quality_v"))
 def src02(spark, d):
     rows = B.manifest(spark, d)
     broken = rows.select(F.when(F.col("sample_id") % 17 != 0, F.col("path")).alias("path"), F.when(F.col("sample_id") % 13 == 0, 2).otherwise(F.col("label")).alias("label"))
-    return S.manifest_violations(broken.unionByName(rows.filter("sample_id % 19 = 1").select("path", "label")))
+    return S.manifest_violations(broken.unionByName(B.quality(spark, d).select("path", "label")))
 
 
 @query("src03_path_labels", sql("SELECT path, label FROM manifest_v", "manifest_v"))
@@ -43,9 +44,9 @@ def src07(spark, d):
     return S.reject_counts(B.table(spark, d, "documents").select("lang", "n_chars"), reason)
 
 
-@query("src10_inventory_difference", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_files, b.doc_id IS NOT NULL AS in_index FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
+@query("src10_inventory_difference", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_files, b.doc_id IS NOT NULL AS in_index FROM (SELECT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
 def src10(spark, d):
-    return S.inventory_difference(B.table(spark, d, "documents").filter("doc_id % 3 <> 0"), B.table(spark, d, "labels"), "doc_id")
+    return S.inventory_difference(B.table(spark, d, "documents").filter("lang = 'en'"), B.table(spark, d, "labels"), "doc_id")
 
 
 @query("src11_index_contract", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE lang <> 'en' OR source <> 'src1') AS n_broken FROM documents")
@@ -55,9 +56,14 @@ def src11(spark, d):
 
 @query("src13_progress_rows", sql("SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY sample_id) - 1 AS position, label, score, path FROM predictions_v", "predictions_v"))
 def src13(spark, d):
-    cells = B.predictions(spark, d).groupBy("condition").agg(F.array_sort(F.collect_list(F.struct("sample_id", "label", "score", "path"))).alias("c"))
+    # A progress document holds a stretch of 1,000 rows of its condition; positions count on over the stretches.
+    placed = with_group_index(B.predictions(spark, d).select("condition", "sample_id", "label", "score", "path"), "at", ["condition"], "sample_id")
+    cells = placed.groupBy("condition", F.floor(F.col("at") / 1000).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("sample_id", "label", "score", "path"))).alias("c"))
     parts = F.struct(F.transform("c", lambda x: x["label"].cast("double")).alias("labels"), F.transform("c", lambda x: x["score"]).alias("scores"), F.transform("c", lambda x: x["path"]).alias("paths"))
-    return S.progress_rows(cells.select(F.to_json(F.create_map("condition", parts)).alias("doc")), "doc")[0]
+    name = F.concat_ws("\t", "condition", F.col("stretch").cast("string"))
+    rows = S.progress_rows(cells.select(F.to_json(F.create_map(name, parts)).alias("doc")), "doc")[0]
+    position = F.element_at(F.split("condition", "\t"), -1).cast("long") * 1000 + F.col("position")
+    return rows.select(F.element_at(F.split("condition", "\t"), 1).alias("condition"), position.alias("position"), "label", "score", "path")
 
 
 @query("src15_report_layouts", sql("WITH a AS (WITH " + auc_sql("predictions_v", ["condition"])[5:] + ") SELECT condition AS model, auc AS clean_auc, auc / 2 AS worst_pair_auc FROM a", "predictions_v"))

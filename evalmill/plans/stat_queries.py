@@ -48,7 +48,7 @@ def agg13(spark, d):
 
 @query("agg14_select_threshold", sql(SWEEP.format(v="big_v") + "SELECT * FROM swept ORDER BY min_recall DESC, balanced_accuracy DESC, abs(threshold - 0.5), threshold LIMIT 1", "big_v"))
 def agg14(spark, d):
-    return E.select_threshold(E.threshold_sweep(B.big(spark, d), group()))
+    return E.select_threshold(E.threshold_sweep(B.big(spark, d), group(), best_only=True))
 
 
 @query("agg15_container_summary", sql("""SELECT level, level_key, count(*) AS n_rows, min(bytes) AS min_bytes, median(bytes) AS median_bytes, max(bytes) AS max_bytes, min(n_text) AS min_n_text, median(n_text) AS median_n_text, max(n_text) AS max_n_text
@@ -83,7 +83,18 @@ def agg19(spark, d):
     return T.distribution(B.table(spark, d, "events"), ["event_type"], "value")
 
 
-@query("agg20_inventory_digest", sql("SELECT count(*) AS n_lines, sha256(string_agg(path || ' ' || content_sha256, chr(10) ORDER BY path || ' ' || content_sha256)) AS digest FROM manifest_v", "manifest_v"))
+def tree_sql(lines: str, *keys: str) -> str:
+    """The tree of digests over ``lines``: by four digits of a line's hash, then two, then one for each key."""
+    k, n = "".join(f"{x}, " for x in keys), len(keys)
+    by = lambda m: "GROUP BY " + ", ".join(str(i + 1) for i in range(n + m)) if n + m else ""
+    up = lambda part, source, m: f"SELECT {k}{part}CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(part || digest, chr(10) ORDER BY part || digest)) AS digest FROM {source} {by(m)}"
+    return (
+        f"WITH l AS ({lines}), p4 AS (SELECT {k}substr(sha256(line), 1, 4) AS part, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l {by(1)}), "
+        f"p2 AS ({up('substr(part, 1, 2) AS part, ', 'p4', 1)}), p0 AS ({up('', 'p2', 0)}) SELECT {k}n AS n_lines, digest FROM p0"
+    )
+
+
+@query("agg20_inventory_digest", sql(tree_sql("SELECT path || ' ' || content_sha256 AS line FROM manifest_v"), "manifest_v"))
 def agg20(spark, d):
     return T.inventory_digest(B.manifest(spark, d), F.concat_ws(" ", "path", "content_sha256"))
 
@@ -114,13 +125,13 @@ def agg23(spark, d):
 
 
 @query("agg24_permutation_test", sql(f"""WITH b AS (SELECT sample_id, real_source, CAST(bytes AS DOUBLE) AS bytes, row_number() OVER (ORDER BY sample_id) AS at FROM manifest_v WHERE label = 0),
-r AS (SELECT k AS replicate, bytes, row_number() OVER (PARTITION BY k ORDER BY sha256(concat('7:', CAST(k AS VARCHAR), ':', CAST(sample_id AS VARCHAR)))) AS at FROM b CROSS JOIN (SELECT unnest(range(0, 50)) AS k)),
+r AS (SELECT k AS replicate, bytes, row_number() OVER (PARTITION BY k ORDER BY sha256(concat('7:', CAST(k AS VARCHAR), ':', CAST(sample_id AS VARCHAR)))) AS at FROM b CROSS JOIN (SELECT unnest(range(0, 10000)) AS k)),
 l AS (SELECT r.replicate, r.bytes, b.real_source FROM r JOIN b ON r.at = b.at), g AS (SELECT replicate, real_source, count(*) AS n, sum(bytes) AS s, sum(bytes * bytes) AS q FROM l GROUP BY 1, 2), sh AS (SELECT replicate, {SHARE} AS share FROM g GROUP BY 1),
 og AS (SELECT real_source, count(*) AS n, sum(bytes) AS s, sum(bytes * bytes) AS q FROM b GROUP BY 1), o AS (SELECT {SHARE} AS observed FROM og)
 SELECT max(observed) AS observed, count(*) FILTER (WHERE share >= observed) AS n_exceed, (count(*) FILTER (WHERE share >= observed) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value FROM sh CROSS JOIN o""", "manifest_v"))
 def agg24(spark, d):
     rows = B.manifest(spark, d).filter("label = 0").withColumn("bytes", F.col("bytes").cast("double"))
-    return T.permutation_test(rows, "sample_id", "real_source", "bytes", 50, 7)
+    return T.permutation_test(rows, "sample_id", "real_source", "bytes", 10_000, 7)
 
 
 def boot_auc(s: str) -> str:
@@ -128,13 +139,13 @@ def boot_auc(s: str) -> str:
 
 
 @query("agg25_bootstrap_auc", sql(f"""WITH k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS pos_at, score, score_b FROM predictions2_v WHERE condition = 'clean'), z AS (SELECT label, max(pos_at) AS n FROM k GROUP BY 1),
-dr AS (SELECT r AS replicate, label, n, unnest(range(1, n + 1)) AS draw FROM z CROSS JOIN (SELECT unnest(range(0, 40)) AS r)),
+dr AS (SELECT r AS replicate, label, n, unnest(range(1, n + 1)) AS draw FROM z CROSS JOIN (SELECT unnest(range(0, 2000)) AS r)),
 t AS (SELECT dr.replicate, k.* FROM (SELECT replicate, label, CAST(('0x' || substr(sha256(concat_ws(':', '11', replicate, label, draw)), 1, 12)) AS BIGINT) % n + 1 AS pos_at FROM dr) dr JOIN k USING (label, pos_at)),
 w AS (SELECT a.auc AS auc_a, b.auc AS auc_b, b.auc - a.auc AS delta FROM {boot_auc('score')} a JOIN {boot_auc('score_b')} b USING (replicate)),
 x AS (SELECT 'auc_a' AS metric, auc_a AS v FROM w UNION ALL SELECT 'auc_b', auc_b FROM w UNION ALL SELECT 'delta', delta FROM w)
 SELECT metric, round(quantile_cont(v, 0.025), 9) AS q025, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.975), 9) AS q975 FROM x GROUP BY 1""", "predictions2_v"))
 def agg25(spark, d):
-    return T.bootstrap_auc(B.predictions2(spark, d).filter("condition = 'clean'"), "sample_id", "score", "score_b", 40, 11)
+    return T.bootstrap_auc(B.predictions2(spark, d).filter("condition = 'clean'"), "sample_id", "score", "score_b", 2000, 11)
 
 
 @query("top01_ranked_errors", sql("""WITH l AS (SELECT condition, path, label, score, unnest(list_filter([CASE WHEN label = 0 THEN 'top_real' END, CASE WHEN label = 1 THEN 'bottom_fake' END, CASE WHEN label = 0 AND score >= 0.5 THEN 'false_positive' END, CASE WHEN label = 1 AND score < 0.5 THEN 'false_negative' END], lambda x: x IS NOT NULL)) AS list_name FROM predictions_v),
