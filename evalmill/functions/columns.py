@@ -110,6 +110,13 @@ def contrast(x: Column, factor: float) -> Column:
     return F.transform(x, lambda v: mean + (v.cast("double") - mean) * factor)
 
 
+def saturation(x: Column, factor: float) -> Column:
+    """KRN-06 on interleaved RGB: distances of a pixel's colours from its luma scaled."""
+    pixel = lambda i: F.floor(i / 3).cast("int") * 3
+    luma = lambda i: F.lit(0.299) * F.get(x, pixel(i)).cast("double") + F.lit(0.587) * F.get(x, pixel(i) + 1).cast("double") + F.lit(0.114) * F.get(x, pixel(i) + 2).cast("double")
+    return F.transform(x, lambda v, i: luma(i) + (v.cast("double") - luma(i)) * factor)
+
+
 def centre_crop(x: Column, fraction: float) -> Column:
     """KRN-07: the middle part, its length rounded half to even, one element at least."""
     keep = F.greatest(F.lit(1), F.bround(F.size(x) * F.lit(float(fraction)), 0).cast("int"))
@@ -138,6 +145,12 @@ def ratio_bucket(seed: int, *identity: Column) -> Column:
     return (F.floor(hash_uniform(seed, "ratio", *identity) * 4)).cast("int")
 
 
+def ratio_crop(x: Column, bucket: Column, ratios: list[float]) -> Column:
+    """KRN-15: the middle part that is one over the bucket's ratio long, one element at least."""
+    keep = F.greatest(F.lit(1), F.floor(F.size(x) / F.get(F.array(*map(F.lit, ratios)), bucket)).cast("int"))
+    return F.slice(x, (F.floor((F.size(x) - keep) / 2) + 1).cast("int"), keep)
+
+
 def gaussian_noise(x: Column, sigma: float, seed: int, index: Column, sample: Column) -> Column:
     """KRN-09: Box-Muller on uniforms hashed from (seed, condition, sample, place), clamped to [0, 1]; no state, no order."""
 

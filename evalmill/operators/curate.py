@@ -110,3 +110,11 @@ def rebase(path: Column, root: str) -> Column:
     """PRJ-05: a path relative to ``root``, or unchanged outside it."""
     prefix = root.rstrip("/") + "/"
     return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+
+
+def gate_identity(gate: DataFrame, used: DataFrame, digest: str) -> DataFrame:
+    """AGG-26: whether a gate's contents are unique, and how many of its rows a used set has too."""
+    known = used.select(digest).distinct().withColumn("__used", F.lit(True))
+    counts = gate.select(digest).groupBy(digest).agg(F.count(F.lit(1)).alias("n")).join(known, digest, "left")
+    n, shared = F.sum("n"), F.coalesce(F.sum(F.when(F.col("__used"), F.col("n"))), F.lit(0))
+    return counts.agg(n.alias("n_rows"), F.count(F.lit(1)).alias("n_contents"), (n == F.count(F.lit(1))).alias("unique_contents"), shared.alias("n_shared"), (shared == 0).alias("disjoint"))

@@ -75,6 +75,13 @@ def ranked_errors(scores: DataFrame, keys: list[str], limit: int, threshold: flo
     return rows.filter(F.col("place") <= limit).select(*keys, "list_name", "place", tie, s.alias("score"))
 
 
+def ranked_sides(rows: DataFrame, keys: list[str], value: str, limit: int, tie: str) -> DataFrame:
+    """AGG-26: the ``limit`` lowest and highest rows of each key, and the mean of all of its rows beside them."""
+    means = rows.groupBy(*keys).agg(F.avg(value).alias(f"mean_{value}"))
+    side = lambda name, order: rows.withColumn("side", F.lit(name)).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))).filter(F.col("place") <= limit)
+    return side("bottom", F.asc(value)).unionByName(side("top", F.desc(value))).join(means, keys)
+
+
 def lowest(rows: DataFrame, keys: list[str], value: str, limit: int | None, *ties: str) -> DataFrame:
     """TOP-03/04/07: the ``limit`` lowest rows of each key, ties by the given columns; None ranks all rows, without keys over ranges."""
     if limit is None and not keys:

@@ -21,7 +21,11 @@ Kernel = Callable[[np.ndarray], np.ndarray]
 
 
 def noise_estimate(images: np.ndarray) -> np.ndarray:
-    """KRN-04: lower median of the absolute diagonal Haar coefficients over the normal quartile, for (n, height, width)."""
+    """KRN-04: lower median of the absolute diagonal Haar coefficients over the normal quartile, for (n, height, width) or (n, height, width, 3).
+
+    An odd last row or column is left out; colours count as one more axis of coefficients.
+    """
+    images = images[:, : images.shape[1] // 2 * 2, : images.shape[2] // 2 * 2]
     a, b, c, d = images[:, ::2, ::2], images[:, ::2, 1::2], images[:, 1::2, ::2], images[:, 1::2, 1::2]
     detail = np.sort(np.abs(a - b - c + d).reshape(len(images), -1) / 2, axis=1)
     return detail[:, (detail.shape[1] - 1) // 2] / 0.67448975
@@ -82,6 +86,7 @@ def chain(*kernels: Kernel) -> Kernel:
 KERNELS: dict[str, Kernel] = {"identity": lambda x: x, "flip": lambda x: x[:, :, ::-1], "blur_1": lambda x: blur(x, 1.0), "half": lambda x: resize(resize(x, x.shape[1] // 2, x.shape[2] // 2), *x.shape[1:3])}
 KERNELS["evaluation_crop"] = lambda x: preprocess(x, 4, "crop")
 KERNELS["canonical_4"] = lambda x: centre_square(x, 4)
+KERNELS["noise"] = lambda x: noise_estimate(x)[:, None]
 KERNELS["flip_blur"] = chain(KERNELS["flip"], KERNELS["blur_1"])
 
 

@@ -16,8 +16,10 @@ def distribution(rows: DataFrame, keys: list[str], value: str, digits: int = 9)
 
     Quantiles come from places in a global order over ranges, so a key may have any number of values; null is a key.
     """
+    if not keys:
+        return distribution(rows.withColumn("__all", F.lit(0)), ["__all"], value, digits).drop("__all")
     v = F.col(value)
-    flat = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.count_if(v >= 0.5) / F.count(value).cast("double")).alias("share_from_half"))
+    flat = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.count_if(v >= 0.5).cast("double"), F.count(value).cast("double")).alias("share_from_half"))
     points = {"q05": 0.05, "median": 0.5, "q95": 0.95}
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     placed = with_group_index(rows.filter(v.isNotNull()).select(*named, v.cast("double").alias("__v")), "__at", [f"__k{i}" for i in range(len(keys))], "__v")

@@ -60,6 +60,13 @@ def with_conditions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__c", F.explode(catalogue)).select("__c.idx", "__c.condition", *rows.columns)
 
 
+def scored(rows: DataFrame, conditions: list[str]) -> DataFrame:
+    """ML-05's place in a matrix run: (condition, label, generator, real_source, sample_id, score) of some conditions."""
+    some = with_conditions(rows).filter(F.col("condition").isin(conditions))
+    points = (F.col("sample_id") * 7919 + F.col("idx") * 104729) % 800 + F.col("label") * (200 - 8 * F.col("idx"))
+    return some.select("condition", "label", "generator", "real_source", "sample_id", (points / F.lit(1000.0)).alias("score"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_conditions(manifest(spark, sf_dir))
     points = (F.col("sample_id") * 7919 + F.col("idx") * 104729) % 800 + F.col("label") * (200 - 8 * F.col("idx"))

@@ -352,9 +352,14 @@ def metric_rows(spark, d):
 
 def compared(spark, d):
     """The metrics of ``score`` with those of ``score_b`` beside them as other_*."""
-    rows = metric_rows(spark, d)
-    other = rows.filter("candidate = 'score_b'").select(*[F.col(c).alias(f"other_{c}") for c in METRIC_NAMES])
-    return rows.filter("candidate = 'score'").crossJoin(F.broadcast(other))
+    return side_by_side(metric_rows(spark, d), METRIC_NAMES)
+
+
+def side_by_side(rows, names):
+    """The one row of ``score``'s metrics and, as other_*, those of ``score_b``, from one pass over the two rows."""
+    of = lambda candidate, name: F.max(F.when(F.col("candidate") == candidate, F.col(name)))
+    wide = rows.agg(*[of("score", n).alias(n) for n in names], *[of("score_b", n).alias(f"other_{n}") for n in names])
+    return wide.select(F.lit("score").alias("candidate"), *wide.columns)
 
 
 def decision_sql(rules) -> str:
@@ -410,29 +415,33 @@ def agg33(spark, d):
 
 WEIGHTS = (0.90, 0.75, 0.50)
 
+#: The condition that stands for the content gate.
+CONTENT = "jpeg_q90"
+
 
 def weight_grid(spark, d):
-    clean = B.predictions2(spark, d).filter("condition = 'clean'")
-    return clean.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in WEIGHTS]))).withColumn("score", F.col("weight") * F.col("score") + (1 - F.col("weight")) * F.col("score_b"))
+    both = B.predictions2(spark, d).filter(F.col("condition").isin("clean", CONTENT))
+    return both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in WEIGHTS]))).withColumn("score", F.col("weight") * F.col("score") + (1 - F.col("weight")) * F.col("score_b"))
 
 
-GRID_SQL = "WITH wg AS (SELECT p.*, w.weight, w.weight * score + (1 - w.weight) * score_b AS value FROM predictions2_v p CROSS JOIN (VALUES (0.90::DOUBLE), (0.75), (0.50)) w(weight) WHERE condition = 'clean'), g AS (" + grouped_sql("wg", ["weight"], "SELECT * FROM grp", "value") + "), r AS (SELECT weight, max(auc) FILTER (WHERE level = 'all') AS clean, min(auc) FILTER (WHERE level = 'pair') AS worst_pair FROM g GROUP BY weight)\n"
+GRID_SQL = "WITH wg AS (SELECT p.*, w.weight, w.weight * score + (1 - w.weight) * score_b AS value FROM predictions2_v p CROSS JOIN (VALUES (0.90::DOUBLE), (0.75), (0.50)) w(weight) WHERE condition IN ('clean', 'jpeg_q90')), g AS (" + grouped_sql("wg", ["weight", "condition"], "SELECT * FROM grp", "value") + "), r AS (SELECT weight, max(auc) FILTER (WHERE level = 'all' AND condition = 'clean') AS clean, min(auc) FILTER (WHERE level = 'pair' AND condition = 'clean') AS worst_pair, max(auc) FILTER (WHERE level = 'all' AND condition <> 'clean') AS content_clean, min(auc) FILTER (WHERE level = 'pair' AND condition <> 'clean') AS content_pair FROM g GROUP BY weight)\n"
 
 
 def grid_metrics(spark, d):
-    low = lambda level, f: f(F.when(F.col("level") == level, F.col("auc")))
-    return M.grouped_auc(weight_grid(spark, d), ["weight"]).groupBy("weight").agg(low("all", F.max).alias("clean"), low("pair", F.min).alias("worst_pair"))
+    low = lambda level, c, f: f(F.when((F.col("level") == level) & (F.col("condition") == c), F.col("auc")))
+    aggs = [low("all", c, F.max).alias(a) for c, a in (("clean", "clean"), (CONTENT, "content_clean"))] + [low("pair", c, F.min).alias(a) for c, a in (("clean", "worst_pair"), (CONTENT, "content_pair"))]
+    return M.grouped_auc(weight_grid(spark, d), ["weight", "condition"]).groupBy("weight").agg(*aggs)
 
 
-@query("dec13_weight_grid", sql(GRID_SQL + "SELECT weight, clean, worst_pair, clean >= 0.979830 AND worst_pair >= 0.862510 AS passes FROM r", "predictions2_v"))
+@query("dec13_weight_grid", sql(GRID_SQL + "SELECT weight, clean, worst_pair, content_clean, content_pair, clean >= 0.979830 AND worst_pair >= 0.862510 AND content_clean >= 0.992353 AND content_pair >= 0.959759 AS passes FROM r", "predictions2_v"))
 def dec13(spark, d):
     rows = grid_metrics(spark, d)
-    checks = D.decide(rows, ["weight"], D.RULES["weight_grid"][:2])
-    return rows.join(D.verdict(checks, ["weight"]), "weight").select("weight", "clean", "worst_pair", F.col("passes_all").alias("passes"))
+    checks = D.decide(rows, ["weight"], D.RULES["weight_grid"])
+    return rows.join(D.verdict(checks, ["weight"]), "weight").select("weight", "clean", "worst_pair", "content_clean", "content_pair", F.col("passes_all").alias("passes"))
 
 
 @query("top06_best_passing", sql(GRID_SQL + "SELECT weight, clean, worst_pair FROM r WHERE clean >= 0.5 ORDER BY clean DESC, worst_pair DESC, weight DESC LIMIT 1", "predictions2_v"))
 def top06(spark, d):
     rows = grid_metrics(spark, d)
     checks = D.decide(rows, ["weight"], (("clean", "clean", ">=", None, 0.5),))
-    return D.best_passing(rows, checks, ["weight"], F.desc("clean"), F.desc("worst_pair"), F.desc("weight"))
+    return D.best_passing(rows, checks, ["weight"], F.desc("clean"), F.desc("worst_pair"), F.desc("weight")).select("weight", "clean", "worst_pair")

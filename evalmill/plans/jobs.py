@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
 from evalmill.operators import curate, decide, metrics, neighbours, sample, score
-from evalmill.operators.order import with_group_index, with_index
+from evalmill.operators.order import cut_lineage, with_group_index, with_index
+from evalmill.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,26 @@ def matched_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 def condition_matrix(scores: DataFrame) -> DataFrame:
     """JOB-19: AUC of every condition by generator, source, pair and all, and each condition's worst pair."""
-    grouped = metrics.grouped_auc(scores, ["condition"])
+    grouped = cut_lineage(metrics.grouped_auc(scores, ["condition"]))  # read twice
     low = metrics.worst(grouped, ["condition"]).select("condition", F.lit("worst_pair").alias("level"), F.lit(None).cast("string").alias("generator"), F.lit(None).cast("string").alias("real_source"), F.col("worst_pair_auc").alias("auc"))
     return grouped.unionByName(low)
 
 
+def resumed_matrix(spark: SparkSession, conditions: list[str], score: Callable[[list[str]], DataFrame], folder: str, own: Column) -> DataFrame:
+    """JOB-19 with SNK-04: conditions that ``folder`` holds under the same signature aren't scored again; others are, and written.
+
+    A folder with conditions of other inputs is refused.
+    """
+    done = spark.read.parquet(folder) if sinks.exists(spark, folder) else score([]).withColumn("signature", own)
+    left, foreign = sinks.remaining_conditions(spark, conditions, done, own)
+    if not foreign.isEmpty():
+        raise ValueError(f"{folder} holds conditions of another run")
+    todo = [r["condition"] for r in left.collect()]  # names of the catalogue
+    if todo:
+        sinks.write_condition(score(todo), folder, own)
+    return condition_matrix(spark.read.parquet(folder))
+
+
 def blend_matrix(scores: DataFrame, a: str, b: str, weight: float) -> DataFrame:
     """JOB-20: AUC of a fixed blend of two finished matrices."""
     return metrics.auc(scores.withColumn("score", C.blend(F.col(a), F.col(b), weight)), ["condition"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from evalmill.operators import stats as T
 from evalmill.plans import bindings as B
 from evalmill.plans import jobs as J
 from evalmill.plans.bindings import sql
-from evalmill.plans.curate_queries import HASHES, METRIC_NAMES, METRICS_SQL, hashes, metric_rows, similar
+from evalmill.plans.curate_queries import HASHES, METRIC_NAMES, METRICS_SQL, hashes, metric_rows, side_by_side, similar
 from evalmill.plans.metric_queries import NOISE, auc_sql, grouped_sql, paired
 from evalmill.plans.registry import query
 from evalmill.plans.stat_queries import BLOCK, GROUP, group, rank_sql, tree_sql
@@ -96,6 +98,19 @@ def agg26(spark, d):
     return E.lowest(sides, ["condition"], "auc", 10, "real_source")
 
 
+@query("agg26_gate_summary", sql(grouped_sql("predictions_v", ["condition"], """SELECT condition, level, group_name, auc, side, place, mean_auc FROM (SELECT condition, level, coalesce(generator, real_source) AS group_name, auc, avg(auc) OVER (PARTITION BY condition, level) AS mean_auc,
+row_number() OVER (PARTITION BY condition, level ORDER BY auc, coalesce(generator, real_source)) AS low, row_number() OVER (PARTITION BY condition, level ORDER BY auc DESC, coalesce(generator, real_source)) AS high FROM grp WHERE level IN ('source', 'generator')), LATERAL (VALUES ('bottom', low), ('top', high)) s(side, place) WHERE place <= 10"""), "predictions_v"))
+def agg26_summary(spark, d):
+    sides = M.grouped_auc(B.predictions(spark, d), ["condition"]).filter("level IN ('source', 'generator')")
+    return E.ranked_sides(sides.select("condition", "level", F.coalesce("generator", "real_source").alias("group_name"), "auc"), ["condition", "level"], "auc", 10, "group_name")
+
+
+@query("agg26_gate_identity", sql("SELECT count(*) AS n_rows, count(DISTINCT content_sha256) AS n_contents, count(*) = count(DISTINCT content_sha256) AS unique_contents, count(*) FILTER (WHERE content_sha256 IN (SELECT content_sha256 FROM split_v WHERE role = 'train')) AS n_shared, count(*) FILTER (WHERE content_sha256 IN (SELECT content_sha256 FROM split_v WHERE role = 'train')) = 0 AS disjoint FROM split_v WHERE role = 'eval'", "split_v"))
+def agg26_identity(spark, d):
+    rows = B.split(spark, d)
+    return U.gate_identity(rows.filter("role = 'eval'"), rows.filter("role = 'train'"), "content_sha256")
+
+
 @query("top02_compact_lists", sql("SELECT condition, label, sample_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY condition, label ORDER BY CASE WHEN label = 0 THEN -score ELSE score END, path) AS place FROM predictions_v) WHERE place <= 5", "predictions_v"))
 def top02(spark, d):
     order = Window.partitionBy("condition", "label").orderBy(F.when(F.col("label") == 0, -F.col("score")).otherwise(F.col("score")), "path")
@@ -143,7 +158,18 @@ def krn03(spark, d):
     return hashes(spark, d).select("vec_id", F.bit_count("dh").cast("long").alias("n_bits"))
 
 
-@query("krn10_blur")
+def blur_sql(sigma: float, side: int) -> str:
+    """Separable Gaussian of a square image in a list, mirrored at its edges, as one list expression."""
+    radius = max(1, int(3 * sigma + 0.5))
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    weights = "[" + ", ".join(f"{w / sum(raw)!r}::DOUBLE" for w in raw) + "]"
+    at = lambda p: f"(CASE WHEN {p} < 0 THEN -1 - ({p}) WHEN {p} >= {side} THEN {2 * side - 1} - ({p}) ELSE {p} END)"
+    n = 2 * radius + 1
+    cell = f"CAST(embedding[{at(f'i // {side} + k // {n} - {radius}')} * {side} + {at(f'i % {side} + k % {n} - {radius}')} + 1] AS DOUBLE)"
+    return f"list_transform(range(0, {side * side}), lambda i: round(list_sum(list_transform(range(0, {n * n}), lambda k: {weights}[k // {n} + 1] * {weights}[k % {n} + 1] * {cell})), 9))"
+
+
+@query("krn10_blur", f"SELECT vec_id, {blur_sql(1.0, 8)} AS blurred FROM embeddings")
 def krn10(spark, d):
     return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "blur_1").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("blurred"))
 
@@ -201,9 +227,8 @@ def wide_metrics(spark, d):
     tag = pairs.filter("label = 1").select("pair_id", F.col("generator").alias("pg"))
     accuracy = M.paired_accuracy(pairs).select("paired_accuracy")
     prompt = M.auc(pairs.join(tag, "pair_id"), ["pg"]).agg(F.min("auc").alias("worst_prompt"))
-    other = rows.filter("candidate = 'score_b'").select(*[F.col(c).alias(f"other_{c}") for c in EXTRA_NAMES])
-    out = rows.filter("candidate = 'score'")
-    for single in (other, deltas, routes, accuracy, prompt):  # one row each
+    out = side_by_side(rows, EXTRA_NAMES)
+    for single in (deltas, routes, accuracy, prompt):  # one row each
         out = out.crossJoin(F.broadcast(single))
     return out
 

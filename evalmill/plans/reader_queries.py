@@ -10,6 +10,7 @@ from evalmill.operators import score as R
 from evalmill.plans import bindings as B
 from evalmill.plans.bindings import sql
 from evalmill.plans.registry import query
+from evalmill.sources import images as I
 from evalmill.sources import manifests as S
 from evalmill.sources import sinks as W
 
@@ -63,8 +64,9 @@ def src18(spark, d):
 def snk03(spark, d):
     folder = W.fresh_folder(spark, "manifest")
     lines = W.manifest_lines(B.manifest(spark, d).select("path", "label"), 17, "train").select("value")
+    fresh = W.refuses_overwrite(spark, folder)
     lines.write.mode("errorifexists").text(folder)
-    refused = W.refuses_overwrite(lines, folder)
+    refused = W.refuses_overwrite(spark, folder) and not fresh
     return spark.read.text(folder).agg(F.count("value").alias("n_lines")).withColumn("refused", F.lit(refused))
 
 
@@ -91,3 +93,30 @@ def udf05(spark, d):
 @query("ml06_unit_clusters")
 def ml06(spark, d):
     return R.unit_clusters(B.vectors(spark, d), "vec_id", "embedding", 8, 5)
+
+
+def image_folder(spark, d):
+    """A picture of 4 x 5 pixels for each vector in a class folder, written by tasks into the shared folder."""
+    folder = W.fresh_folder(spark, "images")
+    named = B.vectors(spark, d).select(F.when(F.col("label") < 5, "real").otherwise("fake").alias("kind"), "vec_id", "embedding")
+    return I.write_pictures(named, folder, "kind", "vec_id", "embedding", 4, 5)
+
+
+CLASS = "CASE WHEN label < 5 THEN 'real' ELSE 'fake' END"
+
+
+@query("src01_labelled_folder", f"SELECT {CLASS} || '/' || vec_id || '.png' AS name, CASE WHEN label < 5 THEN 0 ELSE 1 END AS label FROM embeddings")
+def src01(spark, d):
+    return S.labelled_folder(spark, image_folder(spark, d)).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"), "label")
+
+
+@query("src05_image_listing", f"SELECT count(*) AS n_images, min({CLASS} || '/' || vec_id || '.png') AS first, max({CLASS} || '/' || vec_id || '.png') AS last FROM embeddings")
+def src05(spark, d):
+    names = S.image_listing(spark, image_folder(spark, d)).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
+    return names.agg(F.count("name").alias("n_images"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+@query("src19_file_metadata", f"SELECT {CLASS} || '/' || vec_id || '.png' AS name, 'PNG' AS format, 4 AS width, 5 AS height, 'RGB' AS mode FROM embeddings")
+def src19(spark, d):
+    found = I.file_metadata(spark, image_folder(spark, d))
+    return found.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"), "format", "width", "height", "mode")

@@ -142,6 +142,26 @@ def krn04(spark, d):
     return B.vectors(spark, d).select("vec_id", F.round(C.pair_noise(F.col("embedding")), 9).alias("noise"))
 
 
+HAAR_SQL = "abs(" + " ".join(f"{sign} CAST(embedding[(k // 4) * 16 + (k % 4) * 2 + {at}] AS DOUBLE)" for sign, at in (("", 1), ("-", 2), ("-", 9), ("+", 10))) + ") / 2"
+
+
+@query("krn04_haar_noise", f"SELECT vec_id, round(list_sort(list_transform(range(0, 16), lambda k: {HAAR_SQL}))[8] / 0.67448975, 9) AS noise FROM embeddings")
+def krn04_haar(spark, d):
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "noise").select("vec_id", F.round(F.get("embedding", 0), 9).alias("noise"))
+
+
+@query("krn06_colours", """WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings), y AS (SELECT *, list_transform(range(0, 21), lambda i: 0.299::DOUBLE * CAST(embedding[3 * i + 1] AS DOUBLE) + 0.587::DOUBLE * CAST(embedding[3 * i + 2] AS DOUBLE) + 0.114::DOUBLE * CAST(embedding[3 * i + 3] AS DOUBLE)) AS luma FROM m)
+SELECT vec_id, list_transform(embedding, lambda x: round(mean + (CAST(x AS DOUBLE) - mean) * 1.2, 6)) AS contrasted, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 0.8, 6)) AS darkened, list_transform(range(0, 63), lambda i: round(luma[i // 3 + 1] + (CAST(embedding[i + 1] AS DOUBLE) - luma[i // 3 + 1]) * 0.8, 6)) AS less_saturated FROM y""")
+def krn06_colours(spark, d):
+    v, rounded = F.col("embedding"), lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return B.vectors(spark, d).select("vec_id", rounded(C.contrast(v, 1.2)).alias("contrasted"), rounded(C.brightness(v, 0.8)).alias("darkened"), rounded(C.saturation(F.slice(v, 1, 63), 0.8)).alias("less_saturated"))
+
+
+@query("krn08_down_up_whole", "SELECT vec_id, list_transform(range(0, 64), lambda i: round((CAST(embedding[2 * (i // 2) + 1] AS DOUBLE) + CAST(embedding[2 * (i // 2) + 2] AS DOUBLE)) / 2, 9)) AS resized FROM embeddings")
+def krn08_whole(spark, d):
+    return B.vectors(spark, d).select("vec_id", F.transform(C.pooled_resize(F.col("embedding"), 2), lambda x: F.round(x, 9)).alias("resized"))
+
+
 @query("krn05_condition_catalogue", sql("SELECT c.idx, c.condition, count(m.sample_id) AS n_samples FROM conditions_v c CROSS JOIN manifest_v m GROUP BY 1, 2", "conditions_v", "manifest_v"))
 def krn05(spark, d):
     return B.with_conditions(B.manifest(spark, d).select("sample_id")).groupBy("idx", "condition").agg(F.count("sample_id").alias("n_samples"))
@@ -187,6 +207,11 @@ def krn15(spark, d):
     return B.vectors(spark, d).select("vec_id", C.ratio_bucket(5, F.col("vec_id")).alias("bucket"))
 
 
+@query("krn15_ratio_crop", f"WITH b AS (SELECT vec_id, embedding, CAST(floor({UNIT.format(r=rank_sql(5, 'ratio', 'vec_id'))} * 4) AS INTEGER) AS bucket FROM embeddings), w AS (SELECT *, greatest(1, CAST(floor(64 / [1.0, 1.25, 1.5, 2.0][bucket + 1]) AS BIGINT)) AS keep FROM b) SELECT vec_id, embedding[(64 - keep) // 2 + 1 : (64 - keep) // 2 + keep] AS cropped FROM w")
+def krn15_crop(spark, d):
+    return B.vectors(spark, d).select("vec_id", C.ratio_crop(F.col("embedding"), C.ratio_bucket(5, F.col("vec_id")), [1.0, 1.25, 1.5, 2.0]).alias("cropped"))
+
+
 @query("krn16_metadata_features", sql("SELECT sample_id, round(ln(1 + bytes), 9) AS log_bytes, round(ln(1 + n_text), 9) AS log_length, round(bytes / CAST(n_text AS DOUBLE), 9) AS aspect, bytes = n_text AS is_square, format, mode FROM meta_v", "meta_v"))
 def krn16(spark, d):
     return B.meta(spark, d).select("sample_id", F.round(F.log1p("bytes"), 9).alias("log_bytes"), F.round(F.log1p("n_text"), 9).alias("log_length"), F.round(F.col("bytes") / F.col("n_text"), 9).alias("aspect"), (F.col("bytes") == F.col("n_text")).alias("is_square"), "format", "mode")
@@ -281,7 +306,12 @@ REPORT_TAIL = "SELECT condition, level, generator, real_source, auc FROM grp UNI
 
 @query("job19_condition_matrix", sql(grouped_sql("predictions_v", ["condition"], REPORT_TAIL), "predictions_v"))
 def job19(spark, d):
-    return J.condition_matrix(B.predictions(spark, d))
+    """A run that ended after some conditions, and one that goes on where it stopped."""
+    folder, own = W.fresh_folder(spark, "matrix"), W.signature(seed=7, source="manifest")
+    rows, names = B.manifest(spark, d), list(B.CONDITIONS)
+    scored = lambda todo: B.scored(rows, todo)
+    W.write_condition(scored(names[:8]), folder, own)
+    return J.resumed_matrix(spark, names, scored, folder, own)
 
 
 @query("job20_blend_matrix", sql("WITH b AS (SELECT condition, label, 0.5 * score + 0.5 * score_b AS score FROM predictions2_v), " + auc_sql("b", ["condition"])[5:], "predictions2_v"))

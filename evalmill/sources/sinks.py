@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +16,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def refuses_overwrite(rows: DataFrame, path: str) -> bool:
-    """SNK-03: whether a second write to an output is refused; what is there stays as it is."""
-    try:
-        rows.limit(0).write.mode("errorifexists").text(path)
-    except AnalysisException:
-        return True
-    return False
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at a path, as its file system says."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def refuses_overwrite(spark: SparkSession, path: str) -> bool:
+    """SNK-03: whether a write to this output would be refused; nothing is written to find out."""
+    return exists(spark, path)
 
 
 def manifest_lines(rows: DataFrame, seed: int, name: str, key: str = "path") -> DataFrame:

@@ -328,3 +328,111 @@ def test_content_addressing(spark):
     rows = spark.createDataFrame([("h", "a", 3), ("h", "b", 3), ("i", "c", 4)], "h string, path string, bytes int")
     got = {r["h"]: (r["first_path"], r["n_paths"]) for r in sinks.content_addressed(rows, "h", "path", "bytes").collect()}
     assert got == {"h": ("a", 2), "i": ("c", 1)}
+
+
+def test_scores_without_rank_raise(spark):
+    for bad in (float("nan"), float("inf"), None):
+        rows = spark.createDataFrame([(0, 0.5, "a", "x"), (1, bad, "a", "x"), (1, 0.9, "a", "x")], "label int, score double, generator string, real_source string")
+        for call in (lambda df: metrics.auc(df), lambda df: metrics.wins(df, []), lambda df: errors.threshold_sweep(df, F.col("generator"))):
+            with pytest.raises(Exception, match="finite"):
+                call(rows).collect()
+
+
+@pytest.mark.parametrize("hot", [0, 95])
+def test_wins_and_thresholds_with_one_hot_source(spark, hot):
+    import random
+
+    rng = random.Random(hot)
+    rows = []
+    for _ in range(600):
+        label = int(rng.random() < 0.3)
+        source = "s0" if rng.random() * 100 < hot else f"s{rng.randrange(4)}"
+        rows.append((label, rng.choice([rng.random(), 0.97 + 0.03 * rng.random(), 0.5, 1.0]), f"g{rng.randrange(3)}" if label else None, None if label else source))
+    df = spark.createDataFrame(rows, "label int, score double, generator string, real_source string").repartition(7)
+    want = {}
+    for g in {r[2] for r in rows if r[0]}:
+        for s in {r[3] for r in rows if not r[0]}:
+            fakes, reals = ([r[1] for r in rows if r[2] == g], [r[1] for r in rows if r[3] == s])
+            want[g, s] = (sum(2 * (a > b) + (a == b) for a in fakes for b in reals), len(fakes) * len(reals))
+    assert {(r["generator"], r["real_source"]): (int(r["wins2"]), int(r["pairs"])) for r in metrics.wins(df, [], ranges=16).collect()} == want
+    group = F.coalesce("generator", "real_source")
+    swept = {r["threshold"]: (r["min_recall"], r["balanced_accuracy"]) for r in errors.threshold_sweep(df, group, ranges=16).collect()}
+    assert set(swept) == {0.0, 0.5, 1.0, *(r[1] for r in rows)}
+    for t, (low, balanced) in swept.items():
+        by = {}
+        for label, score, g, s in rows:
+            by.setdefault((label, g or s), []).append(score >= t if label else score < t)
+        assert low == pytest.approx(min(sum(x) / len(x) for x in by.values()), abs=1e-12)
+        share = [sum(map(sum, (x for (k, _), x in by.items() if k == v))) / sum(len(x) for (k, _), x in by.items() if k == v) for v in (0, 1)]
+        assert balanced == pytest.approx(sum(share) / 2, abs=1e-12)
+    best = lambda only: one(errors.select_threshold(errors.threshold_sweep(df, group, ranges=16, best_only=only)))
+    assert best(True) == best(False)
+
+
+@pytest.mark.parametrize(("radius", "bits"), [(0, 64), (4, 64), (4, 63), (9, 63), (20, 63)])
+def test_hash_pairs_equal_brute_force(spark, radius, bits):
+    import random
+
+    rng = random.Random(radius)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    left = [rng.getrandbits(bits) for _ in range(60)]
+    right = [x ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(7))) for x in left for _ in range(2)] + [rng.getrandbits(bits) for _ in range(40)]
+    frame = lambda xs: spark.createDataFrame(list(enumerate(map(signed, xs))), "k long, h long")
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(left) for j, b in enumerate(right) if (a ^ b).bit_count() <= radius)
+    assert sorted(map(tuple, neighbours.hamming_pairs(frame(left), frame(right), "k", "h", radius, bits).collect())) == want
+    nearest = {}
+    for i, j, n in want:
+        nearest[i] = min(nearest.get(i, (99, 0)), (n, j))
+    assert {r["a"]: (r["distance"], r["b"]) for r in neighbours.nearest_hash(frame(left), frame(right), "k", "h", radius, bits).collect()} == nearest
+
+
+def test_overlap_audit_counts_copies_and_labels(spark):
+    rows = [(1, 0, 0b1111, 7), (2, 0, 0b1111, 7), (3, 1, 0b0111, 7), (4, 1, 1 << 40, 7), (5, 1, 0b1111, -1)]
+    df = spark.createDataFrame(rows, "k long, label int, d long, v long")
+    got = one(neighbours.overlap_audit(df.filter("k < 3"), df.filter("k >= 3"), "k", "label", "d", "v"))
+    assert (got["n_pairs"], got["n_cross_label"], got["examples"]) == (2, 2, "1:3:1:0")
+
+
+def test_distribution_of_groups_null_too(spark):
+    rows = [("a", float(x)) for x in range(11)] + [(None, 3.0), (None, 4.0), ("b", None)]
+    got = {r["k"]: r for r in stats.distribution(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert (got["a"]["q05"], got["a"]["median"], got["a"]["q95"]) == (0.5, 5.0, 9.5) and got[None]["median"] == 3.5 and got["b"]["median"] is None
+
+
+def test_noise_of_odd_sizes_and_colours():
+    rng = np.random.default_rng(0)
+    grey = rng.normal(0, 0.1, (1, 33, 31))
+    assert score.noise_estimate(grey)[0] == score.noise_estimate(grey[:, :32, :30])[0]
+    assert score.noise_estimate(rng.normal(0, 0.1, (1, 64, 64, 3)))[0] == pytest.approx(0.1, abs=0.01)
+
+
+def test_order_needs_a_shared_folder(spark, monkeypatch):
+    from evalmill.operators import order
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"_jsc": type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        order.shared_folder(Session())
+
+
+def test_matrix_resume(spark, tmp_path):
+    from evalmill.plans import jobs
+    from evalmill.sources import sinks
+
+    calls, names, own = [], ["x", "y"], sinks.signature(seed=1)
+
+    def scored(todo):
+        calls.append(list(todo))
+        rows = [(c, i % 2, "g" if i % 2 else None, None if i % 2 else "s", i / 10) for c in todo for i in range(6)]
+        return spark.createDataFrame(rows, "condition string, label int, generator string, real_source string, score double")
+
+    folder = str(tmp_path / "matrix")
+    sinks.write_condition(scored(["x"]), folder, own)
+    got = jobs.resumed_matrix(spark, names, scored, folder, own)
+    assert calls == [["x"], ["y"]] and {r["condition"] for r in got.collect()} == {"x", "y"}
+    jobs.resumed_matrix(spark, names, scored, folder, own)
+    assert calls == [["x"], ["y"]]
+    with pytest.raises(ValueError, match="another run"):
+        jobs.resumed_matrix(spark, names, scored, folder, sinks.signature(seed=2))
