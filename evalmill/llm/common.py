@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmill.operators.order import cut_lineage, shared_folder  # noqa: F401
+
 #: Rows of (8-byte id) that may be broadcast after a count; about 32 MB in an executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is set (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return jsc.getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there; lost executors don't lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
@@ -43,12 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int | None = None) -> DataFrame:
     """Join a materialised ``right``: broadcast while it has at most ``limit`` narrow rows, otherwise a shuffled hash join.
 
-    ``right`` must be cheap to count (a checkpoint). The shuffled form sorts nothing, so wide left rows don't spill.
+    ``right`` must be cheap to read twice (a checkpoint). The shuffled form sends all columns of ``left`` but sorts nothing, so wide rows don't spill.
     """
-    small = right.count() <= limit
+    small = right.count() <= (BROADCAST_ROWS if limit is None else limit)
     return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
 
 

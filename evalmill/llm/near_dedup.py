@@ -328,8 +328,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, band_count: int = B
     found = further_links(ranked.filter("members > 2").drop("members"), found, docs, named, similarity, hot)
 
     linked = membership.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return linked.join(sizes, "component").select("doc_id", "digest", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    sizes = cut_lineage(linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")))
+    return spread_join(linked, sizes, "component", "row", hot_keys(sizes, "component", "class_size")).select("doc_id", "digest", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
