@@ -1,19 +1,23 @@
 """Token counts by a compiled finite-state transducer and a scan over chunk maps.
 
-A deterministic transducer reads the bytes of a pretoken. Its state holds, for every place where a token may have begun, the
-bytes since then, the last token before and the count up to there, relative to the count of what was read; since tokens
-have bounded length there are finitely many states. A transition is annotated with the number of tokens by which the count
-changes. It rests on this property of ranked merges: a sequence of tokens is the encoding of its text if and only if each
+A deterministic transducer reads a text character by character. Its state says how the split pattern stands (inside a run of
+letters, digits or other characters, inside white space, after an apostrophe, between matches) and how the merges of the open
+match stand: for every place where a token may have begun, the bytes since then, the last token before and the count up to
+there, relative to the count of what was read; since tokens have bounded length there are finitely many such states. A
+transition is annotated with the number of tokens by which the count changes, so the sum is right after every character; white
+space whose last character may still go to the next match, and contractions, are corrected by the transition that decides
+them. A whole match, read from between matches to between matches, is kept as one transition too, which is how the inside of a text
+is run. All this rests on this property of ranked merges: a sequence of tokens is the encoding of its text if and only if each
 neighbouring pair is the encoding of its own bytes. States and transitions are compiled when first reached, kept up to a fixed
-number and compiled again after that. Whether a pair is its own encoding follows from how the symbols on either side of the
-boundary grow, merge by merge.
+number and compiled again after that.
 
-A text is cut into chunks. A chunk's map is (head, count, tail): at its first synchronisation point (white space after an
-ASCII letter or digit) every incoming state leads to the same one, so only the bytes up to there depend on the state in which
-the chunk is entered. Maps compose associatively; a balanced scan gives the count before each chunk and in all.
+A long text is cut into chunks, which Spark deals out as rows. A chunk's map takes each state to (state, count): it runs the
+chunk's head, up to the first white space after an ASCII letter or digit or the end of a special string, where all states
+meet in one, and adds the rest, which was run once from there. Maps compose associatively; a scan by halves gives the tokens before each
+chunk and in all.
 
 Special strings inside a text count as one token, as the library does by default. ``ODD`` characters may have other classes
-in another Unicode version, so segments with them are split into pretokens by the library itself.
+in another Unicode version, so texts with them are split into matches by the library itself, each a run of the transducer.
 
 Cases: a null text is empty: 0 bytes, 0 tokens; results don't depend on the chunk size.
 """
@@ -21,15 +25,16 @@ Cases: a null text is empty: 0 bytes, 0 tokens; results don't depend on the chun
 from __future__ import annotations
 
 import json
+import pickle
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill.llm.common import table
-from evalmill.llm.tokenizers_bpe import SYNC
 
 #: Anything but code points whose class is the same in all Unicode versions in use: Latin to Cyrillic without the number
 #: forms and the four separators that only some libraries call white space, punctuation, kana, Han.
@@ -38,10 +43,12 @@ ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u0377\u0400-\u0527\
 #: The split pattern for texts without ODD characters, in the standard library's terms.
 PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
+LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
+
 NEVER = 1 << 60
 
-#: Code points of a chunk; transitions and pretokens kept by a worker.
-CHUNK, KEPT = 32_768, 500_000
+#: Code points of a chunk; transitions of characters and of matches that a worker keeps.
+CHUNK, KEPT = 32_768, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,7 +71,6 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.live: list[tuple] = []
         self.next: list[dict[int, tuple[int, int]]] = []
-        self.words: dict[str, int] = {}
         self.size = 0
         self.start = self._state(((b"", None, 0),))
 
@@ -129,113 +135,287 @@ class Transducer:
         self.size += 1
         return out
 
-    def count(self, word: str, data: bytes | None = None) -> int:
-        """Tokens of a pretoken whose bytes are ``data`` (the word's own by default)."""
-        state, found, steps = self.start, 0, self.next
-        for byte in word.encode() if data is None else data:
-            step = steps[state].get(byte)
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state, tokens) after more bytes of a match."""
+        found = 0
+        for byte in data:
+            step = self.next[state].get(byte)
             state, emitted = step if step is not None else self.compile(state, byte)
             found += emitted
-        if self.size > KEPT or len(self.words) > KEPT:
-            self.reset()
-        self.words[word] = found
-        return found
+        return state, found
 
 
-class Counter:
-    """Counts for whole texts with one vocabulary file."""
+#: What follows an apostrophe and a letter in the contractions of three characters.
+LONGER = {"r": "e", "v": "e", "l": "l"}
 
-    def __init__(self, path: str, chunk: int = CHUNK):
-        from tokenizers import Tokenizer
 
-        with open(path) as file:
-            spec = json.load(file)
-        letters = byte_letters()
-        specials = [t["content"] for t in spec["added_tokens"]]
-        self.machine = Transducer({bytes(letters[c] for c in t): r for t, r in spec["model"]["vocab"].items() if t not in specials})
-        self.pattern, self.chunk = PLAIN, chunk
-        self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.letters = letters
+class ChunkMap(NamedTuple):
+    """state -> (state, count): run ``head``; without an ``exit`` that is all, else what follows it ends in ``exit`` with ``count`` more."""
+
+    head: str
+    exit: tuple | None
+    count: int
 
-    def segment(self, text: str) -> int:
-        """Tokens of a text that begins and ends at a synchronisation point or at an end of the whole text."""
-        total, count = 0, self.machine.count
+
+class TextMachine:
+    """The transducer over characters. A state is ("-",) between matches, (class, q) in a run, ("s", q, tokens that its last
+    character added, that character) in white space, ("'", q) after an apostrophe that opens a match, ("c", letter, q) after one
+    more letter that may make a contraction; q is the merges' state."""
+
+    def __init__(self, bpe: Transducer, specials: list[str]):
+        self.bpe = bpe
+        names = "|".join(map(re.escape, sorted(specials, key=len, reverse=True)))
+        self.specials = re.compile(names or r"(?!)")
+        self.meets = re.compile("|".join(filter(None, [r"[A-Za-z0-9][ \t\n\r]", names])))
+        self.reset()
+
+    def reset(self) -> None:
+        self.bpe.reset()
+        self.ids: dict[tuple, int] = {}
+        self.keys: list[tuple] = []
+        self.table: list[dict[str, tuple[int, int]]] = []
+        self.matches: dict[str, int] = {}
+        self.size = 0
+        self.fresh = self.intern(("-",))
+
+    def intern(self, key: tuple) -> int:
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.table.append({})
+        return found
+
+    def exported(self, state: int) -> tuple:
+        """The state in terms that another worker understands: (key, place of q in it, what q stands for)."""
+        key = self.keys[state]
+        at = {"-": 0, "s": 1, "'": 1, "c": 2}.get(key[0], 1)
+        return key, at, self.bpe.live[key[at]] if at else None
+
+    def imported(self, state: tuple) -> int:
+        key, at, live = state
+        return self.intern((*key[:at], self.bpe._state(live), *key[at + 1 :]) if at else tuple(key))
+
+    def begin(self, char: str) -> tuple[tuple, int]:
+        q, n = self.bpe.run(self.bpe.start, char.encode())
+        if char.isspace():
+            return ("s", q, n, char), n
+        return ("'" if char == "'" else self.kind(char), q), n
+
+    @staticmethod
+    def kind(char: str) -> str:
+        return "L" if LETTER.match(char) else "N" if DIGIT.match(char) else "O"
+
+    def tokens(self, text: str) -> int:
+        return self.bpe.run(self.bpe.start, text.encode())[1]
+
+    def decide(self, key: tuple, char: str) -> tuple[tuple, int]:
+        """(next state, change of the count)."""
+        mode, space = key[0], char.isspace()
+        kind = None if space else self.kind(char)
+        if mode == "s" and space:
+            q, n = self.bpe.run(key[1], char.encode())
+            return ("s", q, n, char), n
+        if mode == "s":
+            _, _, given, last = key  # the last character of the white space is given back
+            if last == " ":
+                q, n = self.bpe.run(self.bpe.start, b" " + char.encode())
+                return (kind, q), n - given
+            new, n = self.begin(char)
+            return new, n + self.tokens(last) - given
+        if mode == kind:
+            q, n = self.bpe.run(key[1], char.encode())
+            return (kind, q), n
+        if mode == "'" and char in "stmd":
+            return ("-",), self.tokens("'" + char) - self.tokens("'")
+        if mode == "'" and char in LONGER:
+            q, n = self.bpe.run(self.bpe.start, char.encode())
+            return ("c", char, q), n
+        if mode == "'" and kind == "O":
+            q, n = self.bpe.run(key[1], char.encode())
+            return ("O", q), n
+        if mode == "c" and char == LONGER[key[1]]:
+            return ("-",), self.tokens("'" + key[1] + char) - self.tokens("'") - self.tokens(key[1])
+        if mode == "c" and kind == "L":
+            q, n = self.bpe.run(key[2], char.encode())
+            return ("L", q), n
+        return self.begin(char)
+
+    def step(self, state: int, char: str) -> tuple[int, int]:
+        key, n = self.decide(self.keys[state], char)
+        self.size += 1
+        found = self.table[state][char] = (self.intern(key), n)
+        return found
+
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        """(state, count) after a text; a special string counts as one and leads to the state between matches."""
+        total, table = 0, self.table
+        parts = self.specials.split(text)
+        for i, part in enumerate(parts):
+            if i:
+                state, total = self.fresh, total + 1
+            for char in part:
+                step = table[state].get(char)
+                state, n = step if step is not None else self.step(state, char)
+                total += n
+        return state, total
+
+    def between(self, text: str) -> int:
+        """Tokens of a text that lies between matches at both ends: one transition for each match."""
+        total, known, bpe = 0, self.matches, self.bpe
         parts = self.specials.split(text)
         for part in parts:
-            if ODD.search(part):
-                for word, _ in self.split(part):
-                    data = bytes(map(self.letters.__getitem__, word))
-                    total += count(data.decode("latin-1"), data) if len(data) else 0
-            elif part:
-                known = self.machine.words.get
-                for word in self.pattern.findall(part):
-                    found = known(word)
-                    if found is None:
-                        found = count(word)
-                        known = self.machine.words.get
-                    total += found
+            for word in PLAIN.findall(part):
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = bpe.run(bpe.start, word.encode())[1]
+                total += found
         return total + len(parts) - 1
 
-    def chunk_map(self, text: str):
-        """The text itself as long as it has no synchronisation point, else (head, count, tail)."""
-        first = SYNC.search(text)
+    def tidy(self) -> None:
+        """Forget all states once there are too many; none may be in use but exported ones."""
+        if self.size + self.bpe.size > KEPT or len(self.matches) > KEPT:
+            self.reset()
+
+    def chunk_map(self, text: str) -> ChunkMap:
+        self.tidy()
+        first = self.meets.search(text)
         if not first:
-            return text
-        at = last = first.start()
-        tail = text[max(at, len(text) - 512) :]
-        found = [m.start() for m in SYNC.finditer(tail)]
-        if found:
-            last = len(text) - len(tail) + found[-1]
-        return text[:at], self.segment(text[at:last]), text[last:]
-
-    def compose(self, left, right):
-        if isinstance(left, str) and isinstance(right, str):
-            return self.chunk_map(left + right) if SYNC.search(left[-1:] + right[:1]) else left + right
-        if isinstance(left, str):
-            return left + right[0], right[1], right[2]
-        if isinstance(right, str):
-            return left[0], left[1], left[2] + right
-        return left[0], left[1] + self.segment(left[2] + right[0]) + right[1], right[2]
-
-    def scan(self, maps: list) -> list:
+            return ChunkMap(text, None, 0)
+        # From the first meeting place to the last one the text lies between matches; what follows gives the exit.
+        last = first
+        for width in (256, len(text)):
+            if later := list(self.meets.finditer(text, max(first.end(), len(text) - width))):
+                last = later[-1]
+                break
+        special = lambda m: self.specials.fullmatch(m.group()) is not None
+        start, end = (m.end() - (not special(m)) for m in (first, last))
+        state, given = (self.fresh, 0) if special(last) else (lambda x: (self.intern(x[0]), x[1]))(self.begin(text[end]))
+        after, more = self.run(state, text[last.end() :])
+        before = 0 if special(first) else self.begin(text[start])[1]  # the head's last character is counted with the head
+        count = self.between(text[start:end]) - before + given + more if last is not first else more
+        return ChunkMap(text[: first.end()], self.exported(after), count)
+
+    def compose(self, f: ChunkMap, g: ChunkMap) -> ChunkMap:
+        if f.exit is None:
+            return ChunkMap(f.head + g.head, g.exit, g.count)
+        self.tidy()
+        state, n = self.run(self.imported(f.exit), g.head)
+        return ChunkMap(f.head, self.exported(state) if g.exit is None else g.exit, f.count + n + g.count)
+
+    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """Inclusive scan by halves: pairs are composed, their scan fills the odd places, one more composition the even ones."""
         if len(maps) < 2:
             return maps
         pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])])
-        out = [maps[0]]
-        for i in range(1, len(maps)):
-            out.append(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]))
-        return out
+        return [maps[0], *(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
+
+    def count_from_start(self, f: ChunkMap) -> int:
+        self.tidy()
+        return self.run(self.fresh, f.head)[1] + f.count
+
+
+class Counter:
+    """Counts for whole texts with one vocabulary file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path) as file:
+            spec = json.load(file)
+        self.letters = byte_letters()
+        specials = [t["content"] for t in spec["added_tokens"]]
+        bpe = Transducer({bytes(self.letters[c] for c in t): r for t, r in spec["model"]["vocab"].items() if t not in specials})
+        self.machine = TextMachine(bpe, specials)
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
-    def total(self, whole) -> int:
-        return self.segment(whole) if isinstance(whole, str) else self.segment(whole[0]) + whole[1] + self.segment(whole[2])
+    def odd_count(self, text: str) -> int:
+        """Tokens of a text with characters of uncertain class: matches by the library, each a run of the merges' transducer."""
+        parts, bpe, total = self.machine.specials.split(text), self.machine.bpe, 0
+        for part in parts:
+            for word, _ in self.split(part):
+                total += bpe.run(bpe.start, bytes(map(self.letters.__getitem__, word)))[1]
+        return total + len(parts) - 1
 
     def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self.segment(text)
-        return self.total(self.scan([self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)])[-1])
+        self.machine.tidy()
+        return self.odd_count(text) if ODD.search(text) else self.machine.between(text)
+
+    def chunked_count(self, text: str, chunk: int) -> int:
+        """The count by chunk maps; ``text`` without ODD characters and no special string across a cut."""
+        return self.machine.count_from_start(self.machine.scan([self.machine.chunk_map(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)])[-1])
 
 
 @lru_cache(maxsize=2)
-def counter(path: str, chunk: int = CHUNK) -> Counter:
+def counter(path: str) -> Counter:
     """One for each Python worker."""
-    return Counter(path, chunk)
+    return Counter(path)
+
+
+def special_strings(path: str) -> list[str]:
+    with open(path) as file:
+        return [t["content"] for t in json.load(file)["added_tokens"]]
+
+
+def _moved(at: Column, specials: list[str]) -> Column:
+    """The cut, or the end of the special string that it lies in."""
+    for special in specials:
+        n = len(special)
+        begin = F.greatest(F.lit(0), at - (n - 1))
+        place = F.call_function("locate", F.lit(special), F.substring(F.col("text"), begin + 1, F.lit(2 * n - 2)))
+        at = F.when((at > 0) & (place > 0) & (begin + place - 1 < at), begin + place - 1 + n).otherwise(at)
+    return at
+
+
+def chunks_of(texts: DataFrame, specials: list[str], chunk: int) -> DataFrame:
+    """Rows (doc_id, row, n_bytes, chunk_no, text) of the texts' chunks; a cut inside a special string moves behind it."""
+    cuts = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)), lambda at: _moved(at, specials))
+    placed = texts.withColumn("cuts", cuts)
+    piece = lambda i: F.substring(F.col("text"), F.get("cuts", i) + 1, F.coalesce(F.get("cuts", i + 1), F.length("text")) - F.get("cuts", i))
+    return placed.select("doc_id", "row", "n_bytes", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), piece)).alias("chunk_no", "text"))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
+    """(doc_id, n_bytes, n_tokens, over_limit, chunk_starts) of every whole text; chunk_starts: the tokens before each of its chunks.
+
+    Texts of one chunk are counted where they lie. Chunks of longer ones are dealt out, and their maps, which are small, come
+    together by text.
+    """
 
-    def run(batches):
-        own = counter(path, chunk)
+    def short(batches):
+        own = counter(path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [own.count(t) for t in batch["text"]]})
+            counts = [own.count(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": counts, "chunk_starts": [[0]] * len(counts)})
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return texts.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    def mapped(batches):
+        machine = counter(path).machine
+        for batch in batches:
+            maps = [machine.chunk_map(t) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(head=[m.head for m in maps], exit=[pickle.dumps(m.exit) for m in maps], count=[m.count for m in maps])
+
+    def scanned(batches):
+        machine = counter(path).machine
+        for batch in batches:
+            rows = []
+            for maps in batch["maps"]:
+                found = machine.scan([ChunkMap(m["head"], pickle.loads(m["exit"]), m["count"]) for m in maps])
+                counts = [machine.count_from_start(m) for m in found]
+                rows.append((counts[-1], [0, *counts[:-1]]))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [r[0] for r in rows], "chunk_starts": [r[1] for r in rows]})
+
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    long_ = (F.length("text") > chunk) & ~F.col("text").rlike(ODD.pattern)
+    result = "doc_id long, n_bytes long, n_tokens long, chunk_starts array<long>"
+    few = texts.filter(~long_).select("doc_id", "n_bytes", "text").mapInPandas(short, result)
+    dealt = chunks_of(texts.filter(long_), special_strings(path), chunk).repartition("row", "chunk_no")
+    maps = dealt.mapInPandas(mapped, "doc_id long, row long, n_bytes long, chunk_no int, head string, exit binary, count long")
+    whole = maps.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "head", "exit", "count"))).alias("maps"))
+    return few.unionByName(whole.select("doc_id", "n_bytes", "maps").mapInPandas(scanned, result)).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")

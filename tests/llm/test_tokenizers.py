@@ -6,8 +6,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as public
 import pytest
-import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evalmill.llm import packing, token_counts, tokenizers_bpe
@@ -32,10 +32,18 @@ def random_texts(n, seed):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("leaf", [2, 7, 64])
-def test_tree_encoding_matches_library(reference, leaf):
-    codec = tokenizers_bpe.TreeCodec(tokenizers_bpe.read_ranks(MULTI), reference.encode_ordinary, leaf)
-    for text in random_texts(400, leaf) + [t for _, t, _ in cases.texts() if t and len(t) < 2000]:
+def made_texts():
+    """Texts without blanks, long words, long white space, apostrophes in all places."""
+    rng = random.Random(9)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    signs = "".join(rng.choice("'srevldtm \n\t!1é") for _ in range(3000))
+    return [letters, "日本語の文章は空白なしで続く" * 80, " " * 2000 + "x", " \n" * 700, "=" * 1500 + "a", signs, "ab" * 40 + "  " + letters[:200]]
+
+
+@pytest.mark.parametrize(("leaf", "piece"), [(1, 1), (2, 3), (7, 8), (64, 64), (1024, 64)])
+def test_tree_encoding_matches_library(reference, leaf, piece):
+    codec = tokenizers_bpe.TreeCodec(tokenizers_bpe.read_ranks(MULTI), public.PATTERN, reference._encode_single_piece, reference.encode_ordinary, leaf, piece)
+    for text in made_texts() + random_texts(400, leaf) + [t for _, t, _ in cases.texts() if t and len(t) < 2000]:
         ids = codec.encode(text)
         assert ids.tolist() == reference.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
@@ -53,11 +61,21 @@ def test_op3_rows(spark, reference):
     assert bytes(back["decoded"]).decode() == cases.texts()[13][1] and back["ids"] == reference.encode_ordinary(cases.texts()[13][1])
 
 
-@pytest.mark.parametrize("chunk", [3, 17, 32_768])
-def test_transducer_counts_match_library(library, chunk):
-    counter = token_counts.Counter(JSON, chunk)
-    for text in random_texts(500, chunk) + [t for _, t, _ in cases.texts() if t and len(t) < 3000]:
-        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+def test_transducer_counts_match_library(library):
+    counter = token_counts.Counter(JSON)
+    for text in made_texts() + random_texts(1500, 3) + [t for _, t, _ in cases.texts() if t and len(t) < 3000]:
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        assert counter.count(text) == want, repr(text)
+        if not token_counts.ODD.search(text):
+            assert counter.machine.run(counter.machine.fresh, text)[1] == want, repr(text)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 100])
+def test_chunk_maps_compose_to_the_count(library, chunk):
+    counter = token_counts.Counter(JSON)
+    for text in made_texts() + [t.replace("<|endoftext|>", "") for t in random_texts(400, chunk)]:
+        if not token_counts.ODD.search(text):
+            assert counter.chunked_count(text, chunk) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
 def test_cache_limit_changes_nothing(library, monkeypatch):
@@ -65,22 +83,32 @@ def test_cache_limit_changes_nothing(library, monkeypatch):
     counter = token_counts.Counter(JSON)
     for text in random_texts(100, 5):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        if not token_counts.ODD.search(text) and "<" not in text:
+            assert counter.chunked_count(text, 7) == counter.count(text)
 
 
-def test_plain_pattern_agrees_on_all_plain_characters(library):
-    pattern = regex.compile(public.PATTERN)
+def test_classes_agree_on_all_plain_characters(library):
+    counter = token_counts.Counter(JSON)
     for code in range(0x3100):
         char = chr(code)
-        if token_counts.ODD.match(char):
-            continue
-        text = f"a{char}1{char}!{char}a {char}{char} _{char}"
-        words = token_counts.PLAIN.findall(text)
-        assert words == pattern.findall(text)
-        assert [len(w.encode()) for w in words] == [len(w) for w, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+        if not token_counts.ODD.match(char):
+            text = f"a{char}1{char}!{char}a {char}{char} _{char}"
+            want = len(library.encode(text, add_special_tokens=False).ids)
+            assert counter.count(text) == counter.machine.run(counter.machine.fresh, text)[1] == want, code
+
+
+def test_chunks_dealt_out_as_rows(spark, library):
+    texts = ["ab <|endoftext|>" * 30, "".join(made_texts()[:1]), cases.words(400, 2), "<|endoftext|>" * 40, "x y\n" * 90, "", None, "中文 " * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    for chunk in (14, 50):
+        got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, JSON, chunk=chunk).collect()}
+        assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+        assert len(got[2]["chunk_starts"]) > 5 and got[2]["chunk_starts"] == sorted(got[2]["chunk_starts"])
 
 
 def test_op6_rows(spark, library):
-    got = Counter(map(tuple, token_counts.count_tokens(cases.docs(spark), JSON).collect()))
+    got = Counter(map(tuple, token_counts.count_tokens(cases.docs(spark), JSON).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()))
     want = Counter()
     for i, text, _ in cases.texts():
         n = len(library.encode(text or "", add_special_tokens=False).ids)
