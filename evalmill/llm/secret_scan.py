@@ -1,11 +1,13 @@
 """Secret scans with an incremental blob ledger.
 
-Each version of a document is addressed by the SHA-256 of its text. The ledger is a table (blob, rule_version, findings): a
-blob is scanned only if its pair with the current rule version isn't there, once however many paths hold it, and findings are
-joined back to all paths. Changing a rule changes RULE_VERSION, which makes all pairs unseen.
+Each version of a document is addressed by the SHA-256 of its text. The ledger is a table (blob, rule_version, findings) that
+grows by appending: a blob is scanned only if its pair with the current rule version isn't there, once however many paths hold
+it, and findings are joined back to all paths of all versions. Changing a rule changes RULE_VERSION, which makes all pairs
+unseen. ``scan_snapshot`` adds a snapshot of documents to a ledger and to the history (doc_id, version, blob) beside it.
 
 Scanning is DataFrame functions: for each kind, the pieces that the pattern leaves and its matches give lengths; running sums
-of these numbers give places in code points. Text is never shuffled.
+of these numbers give places in code points. Which rows are read for a scan is named by (doc_id, blob); beyond a size where that
+list can be broadcast, texts are shuffled once to meet it. Rows of frequent blobs are settled before, so no task gets a hot one.
 
 Cases: a null text is empty and has no findings; rows with the same doc_id are separate paths; matches that fail the length
 of their kind are dropped after matching, so that what they cover isn't searched again; an empty table gives no rows.
@@ -14,11 +16,12 @@ of their kind are dropped after matching, so that what they cover isn't searched
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import cut_lineage, let, sized_join, table
+from evalmill.llm.common import cut_lineage, hot_keys, let, shared_folder, sized_join, spread_join, table
 
 #: Kind: pattern, group whose length counts, least length. The first three are the base; order is that of ties.
 KINDS = {
@@ -75,39 +78,74 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return held
 
 
-def scan_new(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, additions): (doc_id, blob) of every row, and the ledger's new rows for pairs that it hasn't."""
+#: Rows of (doc_id, blob) that may be broadcast, about 100 bytes each; secrets whose places may be.
+NAMED_ROWS, PLACES = 200_000, 400_000
+
+
+def scan_new(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list]:
+    """(paths, additions, hot): (doc_id, blob) of every row, the ledger's new rows for pairs that it hasn't, blobs of very many rows."""
     text = F.coalesce("text", F.lit(""))
     paths = cut_lineage(docs.select("doc_id", F.sha2(text, 256).alias("blob")))
-    first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    blobs = cut_lineage(paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    hot, first = hot_keys(blobs, "blob", "n"), blobs.select("blob", "doc_id")
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         first = first.join(seen, "blob", "left_anti")
     first = cut_lineage(first)
-    # What needn't be scanned is named by path and blob: seen blobs and further paths of a new one.
-    others = paths.alias("p").join(first.alias("f"), (F.col("p.blob") == F.col("f.blob")) & F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
-    skip = cut_lineage(others.distinct().select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")))
     texts = docs.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text"))
-    blobs = sized_join(texts, skip, (F.col("blob") == F.col("__blob")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti", limit=200_000)
-    found = cut_lineage(scan_blobs(blobs.select("blob", "text")))
+    if hot:  # at most 1,000 rows
+        chosen = F.broadcast(first.filter(F.col("blob").isin(hot)).select(F.col("blob").alias("__hot"), F.col("doc_id").alias("__first")))
+        texts = texts.join(chosen, F.col("blob") == F.col("__hot"), "left").filter(~F.col("blob").isin(hot) | (F.col("__hot").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__first")))).drop("__hot", "__first")
+    # Of what is to be scanned and what isn't, the shorter list names the rows.
+    named = first.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"))
+    meets = (F.col("blob") == F.col("__blob")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    if 2 * first.count() > paths.count():
+        others = paths.alias("p").join(first.alias("f"), (F.col("p.blob") == F.col("f.blob")) & F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
+        if hot:
+            others = others.filter(~F.col("blob").isin(hot))
+        skip = cut_lineage(others.distinct().select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")))
+        chosen_texts = sized_join(texts, skip, meets, "left_anti", limit=NAMED_ROWS)
+    else:
+        chosen_texts = sized_join(texts, named, meets, "left_semi", limit=NAMED_ROWS)
+    found = cut_lineage(scan_blobs(chosen_texts.select("blob", "text")))
     additions = first.select("blob").join(found, "blob", "left").select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
-    return paths, additions
+    return paths, additions, hot
+
+
+def joined_back(paths: DataFrame, ledger: DataFrame, hot: list) -> DataFrame:
+    """``paths`` with the findings of their blobs under the current rules, null where there are none."""
+    known = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+    return spread_join(paths, known, "blob", "doc_id", hot, "left")
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, blob, findings or null) for every row, additions to the ledger)."""
-    paths, additions = scan_new(docs, ledger)
-    known = additions.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION)) if ledger is not None else additions
-    return paths.join(known.filter(F.size("findings") > 0).select("blob", "findings"), "blob", "left"), additions
+    paths, additions, hot = scan_new(docs, ledger)
+    known = additions.unionByName(ledger) if ledger is not None else additions
+    return joined_back(paths, known, hot), additions
+
+
+def scan_snapshot(docs: DataFrame, folder: str, version: int) -> tuple[DataFrame, list]:
+    """(paths of this snapshot, hot blobs) after the ledger and the history in ``folder`` have taken it in; what they know isn't scanned."""
+    spark = docs.sparkSession
+    paths, additions, hot = scan_new(docs, read_ledger(spark, folder) if version else None)
+    additions.write.mode("append").parquet(f"{folder}/ledger")
+    paths.select("doc_id", F.lit(version).alias("version"), "blob").write.mode("append").parquet(f"{folder}/history")
+    return paths, hot
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(f"{folder}/ledger")
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` and n_chars made to fit; overlapping spans are one."""
     columns = docs.columns
-    held = findings_by_path(docs)[0].filter("findings IS NOT NULL").select("blob", "findings").dropDuplicates(["blob"])
-    held = cut_lineage(held.select(F.col("blob").alias("__blob"), F.col("findings").alias("__found")))
+    _, additions, hot = scan_new(docs)
+    held = cut_lineage(additions.filter(F.size("findings") > 0).select(F.col("blob").alias("__sha"), F.col("findings").alias("__found")))
     tagged = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = sized_join(tagged, held, F.col("__sha") == F.col("__blob"), "left", limit=100_000)
+    few = (held.agg(F.sum(F.size("__found") + 2)).first()[0] or 0) <= PLACES
+    joined = tagged.join(F.broadcast(held), "__sha", "left") if few else spread_join(tagged, held.hint("shuffle_hash"), "__sha", "doc_id", hot, "left")
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     pair = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
 
@@ -127,7 +165,12 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = findings_by_path(table(spark, sf_dir, "documents"))
+    """Two snapshots go into a fresh ledger: the documents of half of the sources, then all documents, of which it knows a part."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    folder = f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    scan_snapshot(docs.filter(F.xxhash64("source") > 0), folder, 0)
+    paths, hot = scan_snapshot(docs, folder, 1)
+    found = joined_back(paths, read_ledger(spark, folder), hot)
     listed = lambda kinds: F.array_join(F.transform(F.filter("findings", lambda x: x["kind"].isin(*kinds)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.coalesce(F.size(F.filter("findings", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
     clean = found.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
