@@ -69,13 +69,41 @@ def test_layouts(spark):
         {"prompt": "a", "completion": "b", "note": None},
         {"question": "a", "answer": "b"},
         {"something": "else"},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}, {"role": "assistant", "content": [{"text": "b"}], "name": "x"}], "meta": {"text": "t", "n": [1, {"role": 2}]}},
+        {"messages": [{"role": "user", "content": "{\"role\": 1}"}, {"role": "assistant", "content": "[1]"}], "tags": ["x"], "`odd`": {"y": {"z": 1}}},
+        {"messages": []},
+        {"prompt": "a"},
     ]
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "k long, record string")
-    got = {}
+    rows = rows.unionByName(spark.createDataFrame([(100, "no json"), (101, None), (102, "[1]")], rows.schema))
+    got, layouts = {}, {}
     for r in chat.record_turns(rows, "k", "record").orderBy("k", "turn").collect():
         got.setdefault(r["k"], []).append((r["role"], r["text"]))
-    plain = [("user", "a"), ("assistant", "b")]
-    assert got == {0: plain, 1: plain, 2: [("user", "a\n\nc"), ("assistant", "b")], 3: [("system", "s"), *plain], 4: plain, 5: plain, 6: plain}
+        layouts[r["k"]] = r["layout"]
+    plain, lost = [("user", "a"), ("assistant", "b")], [(None, None)]
+    kept = {0: plain, 1: plain, 2: [("user", "a\n\nc"), ("assistant", "b")], 3: [("system", "s"), *plain], 4: plain, 5: plain, 6: plain, 8: plain, 9: [("user", '{"role": 1}'), ("assistant", "[1]")]}
+    assert got == {**kept, **dict.fromkeys((7, 10, 11, 100, 101, 102), lost)}
+    assert {k for k, v in layouts.items() if v is None} == {7, 10, 11, 100, 101, 102}
+
+
+def test_structures(spark):
+    assert chat.structure(("messages[].role", "messages[].content", "system")) == "OBJECT<messages: ARRAY<OBJECT<content: V, role: V>>, system: V>"
+    rows = spark.createDataFrame([('{"b": {"c": 1}, "system": null, "prompt": "x", "response": 2.5, "id": [{"q": []}]}',)], "r string")
+    assert rows.select(chat.record_structure(F.col("r")).alias("s")).first()["s"] == chat.structure(("prompt", "response"))
+
+
+def test_loss_text_is_what_the_mask_covers(spark):
+    rows = spark.createDataFrame([(1, 0, "assistant", "a </turn> \\ ###"), (1, 1, "user", "no"), (1, 2, "assistant", "\U0001F600")], "conv_id long, turn long, role string, text string")
+    made = chat.format_turns(rows)
+    assert made.select(chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("x")).first()["x"] == "a </turn> \\ ###\U0001F600"
+    moved = F.transform("loss_spans", lambda s: s.withField("start", s["start"] - 1))
+    assert made.select(chat.masked_text(F.col("formatted"), moved).alias("x")).first()["x"] != "a </turn> \\ ###\U0001F600"
+
+
+def test_chat_very_long_texts(spark):
+    long = "ab </turn> ### \\ " * 20_000
+    row = chat.format_turns(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")).select(chat.read_back(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("m")).first()
+    assert row["t"][0]["text"] == long and row["m"] == long
 
 
 def brute_features(text):
