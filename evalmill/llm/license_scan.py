@@ -1,6 +1,7 @@
 """Licence scan by ordered signature rules.
 
-Rules are regular expressions made from a table of licences and a few forms (SPDX tag, address, grant, full name, short name).
+Rules are regular expressions: sentences of licence texts and notices, written by hand, and names, tags, grants and addresses, which
+are made from a table of licences and a few forms.
 A rule is tried only on texts that hold its keywords, and no rule at all on texts without any anchor word. A rule has a
 priority, that of its form; a detection inside the span of one of the same or a higher priority is suppressed, the longer
 and then the earlier rule first among equals. All of it is DataFrame functions: match places come from the lengths of the
@@ -77,6 +78,87 @@ LICENSES = (
     ("proprietary", "licenseref-reserved", r"all rights reserved", "reserved", r"[a-z0-9.]+/terms-and-conditions"),
 )
 
+#: Signatures: label, keyword (in every match), sentence. A space is a GAP, a comma may be left out.
+SENTENCES = (
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", "sublicense", r"to use, copy, modify, merge, publish, distribute, sublicense,? and/or sell copies of the software"),
+    ("mit", "mit-style", r"mit-style licen[cs]e"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "endorse", r"neither the names? of .{1,80}? nor the names of (?:its|their|the) contributors may be used to endorse or promote products"),
+    ("bsd", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "bsd-style", r"bsd-style licen[cs]e"),
+    ("isc", "hereby", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "removed", r"this notice may not be removed or altered from any source distribution"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache", "applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e is distributed"),
+    ("apache", "asf", r"licen[cs]ed to the apache software foundation \(asf\)"),
+    ("apache", "contributor", r"under one or more contributor license agreements"),
+    ("apache", "derivative works thereof", r"you may reproduce and distribute copies of the work or derivative works thereof in any medium"),
+    ("gpl", "redistribute it", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("gpl", "copyleft", r"the gnu general public licen[cs]e is a free,? copyleft licen[cs]e"),
+    ("gpl", "absolutely no warranty", r"this program comes with absolutely no warranty"),
+    ("gpl", "welcome", r"this is free software, and you are welcome to redistribute it under certain conditions"),
+    ("gpl", "statically", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("lgpl", "redistribute it", r"this library is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library)"),
+    ("lgpl", "gnu", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("agpl", "interacting with it remotely", r"all users interacting with it remotely through a computer network"),
+    ("gfdl", "invariant sections", r"with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
+    ("gfdl", "gnu", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl", "mpl", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl", "incompatible with secondary", r"this source code form is .?incompatible with secondary licen[cs]es"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e"),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse"),
+    ("epl", "eclipse.org/legal", r"available at https?://www\.eclipse\.org/legal/epl"),
+    ("eupl", "eupl", r"licen[cs]ed under the eupl"),
+    ("cddl", "development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl", "alter", r"do not alter or remove copyright notices or this (?:file header|cddl header)"),
+    ("cpl", "accompanying", r"the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("artistic", "perl", r"under the same terms as perl itself"),
+    ("artistic", "artistic", r"the terms of the artistic licen[cs]e"),
+    ("artistic", "verbatim", r"you may copy and give away verbatim copies of the source form of the standard version"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl", "verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("wtfpl", "fuck", r"0\. you just do what the fuck you want to"),
+    ("bsl", "boost", r"distributed under the boost software licen[cs]e"),
+    ("bsl", "organization obtaining", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("busl", "additional use grant", r"additional use grant:"),
+    ("busl", "non-production use", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use"),
+    ("sspl", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("ofl", "font", r"this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    ("ofl", "font", r"with reserved font names?"),
+    ("psf", "psf", r"psf is making python available to licensee on an .?as is.? basis"),
+    ("php", "php", r"this product includes php software, freely available from"),
+    ("postgresql", "written agreement", r"for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("ms-pl", "accompanying software", r"this licen[cs]e governs use of the accompanying software\. if you use the software, you accept this licen[cs]e"),
+    ("ms-rl", "reciprocal grants", r"reciprocal grants- for any file you distribute that contains code from the software"),
+    ("odbl", "database", r"contains information from .{1,80}? which is made available (?:here )?under the open database licen[cs]e"),
+    ("pddl", "dedicat", r"the rightsholder .{0,40}?dedicates? .{0,40}?to the public domain"),
+    ("ogl", "open government", r"contains public sector information licen[cs]ed under the open government licen[cs]e"),
+    ("cc0", "extent", r"to the extent possible under law,? .{1,80}? (?:has|have) (?:waived|dedicated) all copyright"),
+    ("cc0", "waiving all", r"has dedicated the work to the public domain by waiving all of (?:his or her|their) rights"),
+    ("cc-by", "creative", r"this work is licen[cs]ed under (?:a|the) creative commons attribution (?:[0-9.]+ )?(?:international |unported )?licen[cs]e"),
+    ("cc-by-sa", "creative", r"this work is licen[cs]ed under (?:a|the) creative commons attribution-share-?alike"),
+    ("cc-by-nc", "creative", r"this work is licen[cs]ed under (?:a|the) creative commons attribution-non-?commercial (?:[0-9.]+ )?(?:international |unported )?licen[cs]e"),
+    ("cc-by-sa", "remix", r"if you remix, transform, or build upon the material, you must distribute your contributions under the same licen[cs]e"),
+    ("cc-by", "appropriate credit", r"you must give appropriate credit, provide a link to the licen[cs]e"),
+    ("cc-by-nc", "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this file, via any medium,? is strictly prohibited"),
+    ("proprietary", "reproduced", r"no part of this (?:publication|document|work|book) may be reproduced"),
+    ("proprietary", "trade secret", r"contains (?:proprietary|confidential) information and trade secrets"),
+    ("proprietary", "written", r"without the (?:express |prior )+written (?:permission|consent) of"),
+)
+
 #: What may stand between the words of a name or form: white space, line breaks and the marks of comment lines.
 GAP = r"[\x09-\x0D\x20*#/]+"
 
@@ -94,7 +176,7 @@ FORMS = {
     "name": (1, 0.7, r"(?:{n})", None),
 }
 
-#: Texts without any of these and without BASE_ANCHOR hold nothing that a rule could match.
+#: Texts without any of these, without a sentence's keyword and without BASE_ANCHOR hold nothing that a rule could match.
 ANCHORS = (
     "licen", "cc-by", "cc0", "spdx", "commons", "berkeley", "reserved", "proprietary",
     "mozilla.org/mpl", "wtfpl", "eclipse.org/legal", "eupl", "mariadb.com/bsl", "sil.org/ofl", "open-government", "/terms-",
@@ -104,13 +186,29 @@ ANCHORS = (
 BASE_ANCHOR = r"license|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
+def _spaced(pattern: str) -> str:
+    """A sentence as a pattern: spaces are gaps, commas may be missing."""
+    return pattern.replace(", ", ",? ").replace(",??", ",?").replace(" ", GAP)
+
+
+def _keyword(words: str) -> str:
+    return max(words.split(" "), key=len)
+
+
 def rules() -> list[tuple[str, tuple[str, str], str, int, float]]:
-    """(label, keywords, pattern, priority, confidence): every licence in every form; both keywords are needed for a match."""
-    return [
-        (label, (keyword or word, "" if keyword in ("spdx-license-identifier", "http") else word), pattern.replace("{n}", name).replace(" ", GAP).replace("{s}", stem).replace("{u}", address), priority, confidence)
-        for label, stem, name, word, address in LICENSES
-        for priority, confidence, pattern, keyword in FORMS.values()
-    ]
+    """(label, keywords, pattern, priority, confidence): the sentences, then every licence in every form that fits it.
+
+    Both keywords are needed for a match. A keyword of several words would miss one that is broken over lines, so its longest word
+    is taken. References to a file of the licence need a name that says "licence"; placeholders of SPDX have no tag.
+    """
+    made = [(label, (_keyword(words), ""), _spaced(sentence), 4, 0.95) for label, words, sentence in SENTENCES]
+    for label, stem, name, word, address in LICENSES:
+        for form, (priority, confidence, pattern, keyword) in FORMS.items():
+            if (form.startswith("see ") and "licen" not in name) or (form == "tag" and stem.startswith("licenseref-")):
+                continue
+            keywords = (keyword or word, "" if keyword in ("spdx-license-identifier", "http") else word)
+            made.append((label, keywords, pattern.replace("{n}", name).replace(" ", GAP).replace("{s}", stem).replace("{u}", address), priority, confidence))
+    return made
 
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -182,7 +280,7 @@ def resolve(found: DataFrame, key: str) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of ``docs``."""
     text = ascii_lower(F.coalesce("text", F.lit("")))
-    anchored = reduce(Column.__or__, [*(F.contains(F.col("low"), F.lit(a)) for a in ANCHORS), F.col("low").rlike(BASE_ANCHOR)])
+    anchored = reduce(Column.__or__, [*(F.contains(F.col("low"), F.lit(a)) for a in dict.fromkeys((*ANCHORS, *(_keyword(x[1]) for x in SENTENCES)))), F.col("low").rlike(BASE_ANCHOR)])
     # Rows get an arbitrary number, fixed by the checkpoint, so that repeated ids stay apart. Only anchored texts are kept there.
     lowered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("low"))
     lowered = lowered.select("*", anchored.alias("anchored"))

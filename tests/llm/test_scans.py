@@ -37,7 +37,7 @@ MORE = [
 def test_licenses_against_brute_force(spark, sf_dir):
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     more = spark.createDataFrame([(i, t) for i, t in enumerate(MORE)], "doc_id long, text string")
-    for docs in (cases.docs(spark).filter("doc_id <> 11 OR doc_id IS NULL"), more, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+    for docs in (cases.docs(spark), more, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         want = Counter((r["doc_id"], *brute_licenses(r["text"])) for r in docs.collect())
         assert Counter((r["doc_id"], *(r[n] for n in names)) for r in license_scan.scan_licenses(docs).collect()) == want
     assert license_scan.scan_licenses(cases.no_docs(spark)).count() == 0
@@ -52,6 +52,24 @@ LOST = {
 }
 
 
+def example(sentence):
+    """A text that a sentence's pattern describes: first alternatives, optional parts, no classes."""
+    text = re.sub(r"\.\{[0-9,]+\}\??", "someone", sentence.replace("https?", "https").replace("[:;,]?", ":").replace(".?", ""))
+    text = re.sub(r"\[cs\]", "s", text).replace("[0-9.]+", "4.0")
+    while (new := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)[?+]?", r"\1", text)) != text:
+        text = new
+    return re.sub(r"(.)\?", r"\1", text).replace("\\", "")
+
+
+def test_every_sentence_is_found_wrapped_or_not(spark):
+    texts = [example(s) for _, _, s in license_scan.SENTENCES]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.title().replace(" ", "\n * ")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(docs).collect()}
+    missed = [rows[i][1] for i, r in enumerate(rows) if license_scan.SENTENCES[r[0] % 1000][0] not in got[r[0]]]
+    assert not missed
+
+
 def test_licenses_in_expressions_wrapped_names_and_all_forms(spark):
     docs = spark.createDataFrame(list(enumerate(LOST)), "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs).collect()}
@@ -103,6 +121,25 @@ def test_ledger_scans_unseen_blobs_only(spark, monkeypatch):
     assert secret_scan.findings_by_path(docs, ledger)[1].count() == len(TRICKY)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_snapshots_share_a_ledger(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(secret_scan, "NAMED_ROWS", limit)
+    monkeypatch.setattr(secret_scan, "hot_keys", lambda counts, key, rows: [r[0] for r in counts.filter("n > 3").select(key).collect()])
+    scanned = []
+    real = secret_scan.scan_blobs
+    monkeypatch.setattr(secret_scan, "scan_blobs", lambda blobs: scanned.append(blobs.select("blob").distinct().count()) or real(blobs))
+    first = spark.createDataFrame([(i, TRICKY[i % 3]) for i in range(20)], "doc_id long, text string")
+    second = spark.createDataFrame([(i, TRICKY[i % 5]) for i in range(20)] + [(None, None), (None, TRICKY[0])], "doc_id long, text string")
+    folder = str(tmp_path)
+    secret_scan.scan_snapshot(first, folder, 0)
+    paths, hot = secret_scan.scan_snapshot(second, folder, 1)
+    assert scanned == [3, 3] and len(hot) >= 3  # the second time two new texts and the empty one
+    assert spark.read.parquet(f"{folder}/history").count() == 42 and secret_scan.read_ledger(spark, folder).count() == 6
+    got = secret_scan.joined_back(paths, secret_scan.read_ledger(spark, folder), hot)
+    want = Counter((r["doc_id"], tuple(brute_secrets(r["text"]))) for r in second.collect())
+    assert Counter((r["doc_id"], tuple(map(tuple, r["findings"] or []))) for r in got.collect()) == want
+
+
 def brute_redact(text):
     spans = []
     for start, _, _, end in brute_secrets(text):
@@ -117,7 +154,9 @@ def brute_redact(text):
     return text if not spans else "".join([*out, text[at:]])
 
 
-def test_redaction(spark):
+@pytest.mark.parametrize("places", [0, 10_000])
+def test_redaction(spark, monkeypatch, places):
+    monkeypatch.setattr(secret_scan, "PLACES", places)
     docs = cases.docs(spark).unionByName(spark.createDataFrame([(50 + i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string"), allowMissingColumns=True)
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns
