@@ -3,7 +3,7 @@
 A text's subwords are its 1- to 4-grams of code points after lower-casing, everything but letters taken as one blank. Each is
 hashed into one of ``BUCKETS`` embedding rows; a text is the mean of its rows, and a linear softmax over the languages follows.
 Embeddings and softmax are trained together by stochastic gradient descent in numpy, on the driver, over a bounded sample
-(``SAMPLE`` documents in hash order of doc_id) of labelled documents; Spark makes the features, so no text reaches the
+(``PER_LANGUAGE`` documents of each language in hash order of doc_id, of the ``LANGUAGES`` most frequent languages) of labelled documents; Spark makes the features, so no text reaches the
 driver. A fifth of the sample is set aside to calibrate: the softmax temperature with the least log loss, and the lowest
 score from which on at least ``PRECISION`` of the answers are right; answers below it are marked ``rejected``. Since
 the model is linear in the mean, embeddings times weights is one table of BUCKETS x languages, and that is what tasks get.
@@ -18,15 +18,15 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalmill.llm.common import table
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 
-#: Documents in the training sample, at most; steps of training, whatever the sample's size.
-SAMPLE, STEPS = 1500, 12_000
+#: Documents in the training sample: so many of each language, of so many languages; steps of training, whatever the sample's size.
+PER_LANGUAGE, LANGUAGES, STEPS = 400, 200, 12_000
 
 PRECISION = 0.99
 
@@ -91,7 +91,7 @@ def calibrate(odds: np.ndarray, own: np.ndarray) -> tuple[float, float]:
     return temperature, float(best[order][np.flatnonzero(precise)[-1]]) if precise.any() else 1.0
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE):
+def learn(labelled: DataFrame, sample: int = PER_LANGUAGE, languages_most: int = LANGUAGES):
     """(languages, table, bias, temperature, threshold) from (doc_id, text, lang) rows."""
 
     def shares(batches):
@@ -104,8 +104,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE):
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "buckets", "shares"])
 
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(sample)
-    some = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages_most)
+    # The rank is limited to the sample's size, which Spark applies in each partition before the shuffle too.
+    order = Window.partitionBy("lang").orderBy("order", "doc_id")
+    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
+    chosen = ranked.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    some = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # at most sample x languages_most ids
     # An id that many rows have counts once, so the sample is bounded whatever the ids are.
     some = some.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "d.text", "d.lang")
     rows = some.mapInPandas(shares, "doc_id long, lang string, buckets array<int>, shares array<float>").toLocalIterator()
@@ -123,6 +127,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE):
 def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
     """(doc_id, keep..., lang_pred, score, rejected) from the whole text of each row; nothing else is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    made = {"lang_pred", "score", "rejected"}
+    if clash := made.intersection(keep):
+        raise ValueError(f"columns {sorted(clash)} are made here; rename those that are to be kept")
     fields = docs.select("doc_id", *keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
 
