@@ -137,7 +137,7 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
         languages, merged, bias, temperature, threshold = shared.value
         for batch in batches:
             answers = []
-            for text in batch["text"]:
+            for text in batch["__text"]:
                 if not languages or text is None or not LETTER.search(text):
                     answers.append(("und", 0.0, True))
                     continue
@@ -147,11 +147,11 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
                 k = int(e.argmax())
                 score = float(e[k] / e.sum())
                 answers.append((languages[k], score, score < threshold))
-            out = batch.drop(columns="text")
+            out = batch.drop(columns="__text")
             out["lang_pred"], out["score"], out["rejected"] = [a[0] for a in answers], [a[1] for a in answers], [a[2] for a in answers]
             yield out
 
-    return docs.select("doc_id", *keep, "text").mapInPandas(run, schema)
+    return docs.select("doc_id", *keep, F.col("text").alias("__text")).mapInPandas(run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ labelled documents: a cutoff counts as safe when the exact binomial tail P(Bin(n
 good documents (quality 1) of the stratum were looked at, k of them would be rejected, alpha_r is the rule's share of the
 allowed false rejections and m counts all hypotheses (strata x rules x cutoffs), a Bonferroni correction. The strictest safe
 cutoff is used, none where there is none. So, with probability 1 - delta, no stratum loses more than ``alpha`` of its good
-documents to these rules. The grid of cutoffs is fixed beforehand; all labelled documents are holdout.
+documents to these rules. The grid of cutoffs is fixed beforehand (tails of more than 2,000
+terms are bounded from above, which only makes fewer cutoffs safe); all labelled documents are holdout.
 
 Cases: a null text has no words; a text without words fails the base rule; a null language is the stratum "und"; labels with
 a null quality are left out, a document with several labels is good if one of them says so; without labels no rule is in force.
@@ -19,11 +20,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import cut_lineage, drop_losers, let, table
+from evalmill.llm.common import cut_lineage, drop_losers, hot_keys, let, spread_join, table
 
 #: Share of the good documents of a stratum that all rules together may reject, and the probability of missing that.
 ALPHA, DELTA = 0.05, 0.05
 
+#: Strata whose cutoffs may be broadcast; more of them are joined, rows of frequent strata dealt out.
+STRATA = 10_000
+
 #: Rule -> cutoffs; a document is rejected where the feature is above the cutoff.
 RULES = {
     "symbol_ratio": (0.01, 0.02, 0.05, 0.1, 0.2, 0.4),
@@ -129,8 +133,12 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str, alpha: float = ALPHA,
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     measured = cut_lineage(features(docs.withColumn("stratum", F.coalesce(lang, F.lit("und"))), "stratum", *keep))
     cuts = cut_lineage(safe_cutoffs(measured, labels, alpha, delta).coalesce(1))
-    few = cuts.limit(10_001).count() <= 10_000
-    judged = measured.join(F.broadcast(cuts) if few else cuts, "stratum", "left")
+    few = cuts.limit(STRATA + 1).count() <= STRATA
+    if few:
+        judged = measured.join(F.broadcast(cuts), "stratum", "left")
+    else:
+        sizes = measured.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+        judged = spread_join(measured, cuts, "stratum", "doc_id", hot_keys(sizes, "stratum", "n"), "left")
     rejects = F.array_compact(F.array(*[F.when(c > F.col(f"cut_{name}"), F.lit(name)) for name, c in _ratios().items()]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", base).withColumn("rejected_by", rejects).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

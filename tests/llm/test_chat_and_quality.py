@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm import chat_format as chat
-from evalmill.llm import quality
+from evalmill.llm import quality, quality_sql
 from tests.llm import cases
 
 
@@ -148,6 +148,34 @@ def test_risk_control(spark):
     assert quality.judge(docs, few).filter("NOT kept").count() == 0  # too few labels prove nothing
 
 
+@pytest.mark.parametrize("strata", [10_000, 0])
+def test_certified_cutoffs_against_sql(spark, tmp_path, monkeypatch, strata):
+    """Enough labels that cutoffs are certified in two languages and in a third one not; the SQL twin gives the same verdicts."""
+    monkeypatch.setattr(quality, "STRATA", strata)
+    rows = []
+    for lang, n in (("en", 1500), ("de", 1200), ("fr", 60)):
+        for i in range(n):
+            text = cases.words(60, len(rows))
+            if i % 40 == 0:
+                text = ["w1 $$$$ " * 10 + text, text.upper(), text.replace(" ", "! "), (text + "\n") * 2, text[:200] * 2][i // 40 % 5]
+            rows.append((len(rows), text, lang, "s", len(text), 0 if i % 40 == 0 else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int")
+    docs.drop("quality").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.select("doc_id", "quality", F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = quality.op2_quality_rules(spark, str(tmp_path))
+    found = con.execute(quality_sql.OP2_SQL)
+    names = [d[0] for d in found.description]
+    mine = sorted(tuple(r[n] for n in names) for r in got.collect())
+    assert mine == sorted(found.fetchall())
+    rejected = {r["doc_id"] for r in got.filter("NOT kept AND NOT base_failed").collect()}
+    bad, lang = {r[0] for r in rows if not r[5]}, {r[0]: r[2] for r in rows}
+    assert len(rejected & bad) >= 20 and {lang[i] for i in rejected} == {"en", "de"}
+
+
 def test_quality_cases(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, None), (None, None, 1)], "doc_id long, quality int, toxic int")
     docs = cases.docs(spark)

@@ -32,6 +32,48 @@ def test_language_cases(spark):
     assert language_id.predict(cases.no_docs(spark), model).count() == 0
 
 
+def brute_answer(text, model):
+    """The same prediction, gram by gram in plain numbers."""
+    languages, merged, bias, temperature, _ = model
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(letters.split())} "
+    total, n = np.zeros(len(languages)), 0
+    for size in (1, 2, 3, 4):
+        for i in range(len(padded) - size + 1):
+            h = size
+            for c in padded[i : i + size]:
+                h = ((h ^ ord(c)) * 0x9E3779B1) % 2**32
+                h ^= h >> 15
+            total += merged[h % language_id.BUCKETS]
+            n += 1
+    odds = (total / n + bias) / temperature
+    e = np.exp(odds - odds.max())
+    return languages[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_predictions_against_plain_numbers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, 60)
+    rows = language_id.predict(docs.filter("length(text) BETWEEN 1 AND 1500"), model, "text").collect()
+    seen = 0
+    for r in rows:
+        if any(c.isalpha() for c in r["text"]):
+            want = brute_answer(r["text"], model)
+            assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], abs=1e-4)
+            seen += 1
+    assert seen > 50
+
+
+def test_rare_languages_are_learned_and_names_kept(spark):
+    rows = [(i, f"plain words number {cases.words(5, i)}", "en") for i in range(600)] + [(1000 + i, "żółć gęślą jaźń", "xx") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, 50)
+    assert model[0] == ["en", "xx"]
+    assert language_id.learn(docs, 50, 1)[0] == ["en"]
+    with pytest.raises(ValueError, match="score"):
+        language_id.predict(docs.withColumn("score", F.lit(1)), model, "score")
+
+
 def test_calibration_rejects_what_is_uncertain():
     rng = np.random.default_rng(1)
     own = rng.integers(0, 2, 400)
