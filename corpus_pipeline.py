@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm.common import shared_folder, table
+from evalmill.llm.common import remove_folder, shared_folder, table
 from evalmill.llm.exact_dedup import drop_copies
 from evalmill.llm.near_dedup import drop_near_copies
 from evalmill.llm.packing import pack_documents
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:  # the next stage's input is written: nothing reads this one again
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
