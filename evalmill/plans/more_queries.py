@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from evalmill.operators import score as R
 from evalmill.operators import stats as T
 from evalmill.plans import bindings as B
 from evalmill.plans import jobs as J
+from evalmill.plans import kernel_sql as L
 from evalmill.plans.bindings import sql
 from evalmill.plans.curate_queries import HASHES, METRIC_NAMES, METRICS_SQL, hashes, metric_rows, side_by_side, similar
 from evalmill.plans.metric_queries import NOISE, auc_sql, grouped_sql, paired
@@ -158,28 +157,17 @@ def krn03(spark, d):
     return hashes(spark, d).select("vec_id", F.bit_count("dh").cast("long").alias("n_bits"))
 
 
-def blur_sql(sigma: float, side: int) -> str:
-    """Separable Gaussian of a square image in a list, mirrored at its edges, as one list expression."""
-    radius = max(1, int(3 * sigma + 0.5))
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = "[" + ", ".join(f"{w / sum(raw)!r}::DOUBLE" for w in raw) + "]"
-    at = lambda p: f"(CASE WHEN {p} < 0 THEN -1 - ({p}) WHEN {p} >= {side} THEN {2 * side - 1} - ({p}) ELSE {p} END)"
-    n = 2 * radius + 1
-    cell = f"CAST(embedding[{at(f'i // {side} + k // {n} - {radius}')} * {side} + {at(f'i % {side} + k % {n} - {radius}')} + 1] AS DOUBLE)"
-    return f"list_transform(range(0, {side * side}), lambda i: round(list_sum(list_transform(range(0, {n * n}), lambda k: {weights}[k // {n} + 1] * {weights}[k % {n} + 1] * {cell})), 9))"
-
-
-@query("krn10_blur", f"SELECT vec_id, {blur_sql(1.0, 8)} AS blurred FROM embeddings")
+@query("krn10_blur", f"SELECT vec_id, {L.linear_sql(L.blur_weights(8, 1.0), L.blur_weights(8, 1.0))} AS blurred FROM embeddings")
 def krn10(spark, d):
     return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "blur_1").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("blurred"))
 
 
-@query("krn12_preprocess")
+@query("krn12_preprocess", f"SELECT vec_id, {L.linear_sql(L.resize_weights(4, 8), L.resize_weights(4, 8), '(({}) - 0.5) / 0.5')} AS pixels FROM embeddings")
 def krn12(spark, d):
     return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "evaluation_crop").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("pixels"))
 
 
-@query("krn13_canonical_square")
+@query("krn13_canonical_square", f"SELECT vec_id, {L.linear_sql(L.window(0, 4, 4), L.window(6, 4, 16))} AS pixels FROM embeddings")
 def krn13(spark, d):
     return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (4, 16), "canonical_4").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("pixels"))
 
@@ -304,7 +292,12 @@ def job22(spark, d):
     return rows.select("condition", "auc", F.round(F.col("auc") - F.col("clean"), 9).alias("change"), "place")
 
 
-@query("job23_shape_stress")
+STRESS = f"""WITH o AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label, embedding, CAST(floor((CAST(('0x' || substr({rank_sql(5, 'patch', 'vec_id')}, 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE) * 49) AS BIGINT) AS o FROM embeddings),
+x AS (SELECT label, 'whole' AS condition, embedding AS v FROM o UNION ALL SELECT label, 'patch', embedding[o + 1 : o + 16] FROM o UNION ALL SELECT label, 'crop', embedding[17:48] FROM o),
+stress AS (SELECT label, condition, round((list_sum(list_transform(v, lambda a: CAST(a AS DOUBLE))) / len(v) + 1) / 2, 9) AS score FROM x), """
+
+
+@query("job23_shape_stress", STRESS + auc_sql("stress", ["condition"])[5:])
 def job23(spark, d):
     rows = B.vectors(spark, d).withColumn("label", (F.col("label") >= 5).cast("int"))
     views = {"whole": F.col("embedding"), "patch": C.hashed_patch(F.col("embedding"), 16, 5, F.col("vec_id")), "crop": C.centre_crop(F.col("embedding"), 0.5)}

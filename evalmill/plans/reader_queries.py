@@ -8,6 +8,7 @@ from evalmill.functions import columns as C
 from evalmill.operators import errors as E
 from evalmill.operators import score as R
 from evalmill.plans import bindings as B
+from evalmill.plans import kernel_sql as L
 from evalmill.plans.bindings import sql
 from evalmill.plans.registry import query
 from evalmill.sources import images as I
@@ -70,7 +71,10 @@ def snk03(spark, d):
     return spark.read.text(folder).agg(F.count("value").alias("n_lines")).withColumn("refused", F.lit(refused))
 
 
-@query("udf01_transform_callable")
+HALF = L.times(L.resize_weights(8, 4), L.resize_weights(4, 8))
+
+
+@query("udf01_transform_callable", f"SELECT vec_id, {L.linear_sql(HALF, HALF, digits=6)} AS halved FROM embeddings")
 def udf01(spark, d):
     return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "half").select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("halved"))
 

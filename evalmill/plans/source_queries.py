@@ -11,6 +11,7 @@ from evalmill.operators import score as R
 from evalmill.operators.order import with_group_index
 from evalmill.plans import bindings as B
 from evalmill.plans import jobs as J
+from evalmill.plans import kernel_sql as L
 from evalmill.plans.bindings import sql
 from evalmill.plans.metric_queries import auc_sql, grouped_sql
 from evalmill.plans.registry import query
@@ -217,9 +218,9 @@ def krn16(spark, d):
     return B.meta(spark, d).select("sample_id", F.round(F.log1p("bytes"), 9).alias("log_bytes"), F.round(F.log1p("n_text"), 9).alias("log_length"), F.round(F.col("bytes") / F.col("n_text"), 9).alias("aspect"), (F.col("bytes") == F.col("n_text")).alias("is_square"), "format", "mode")
 
 
-@query("krn17_kernel_chain")
+@query("krn17_kernel_chain", f"SELECT vec_id, {L.linear_sql(L.blur_weights(8, 1.0), L.mirrored(L.blur_weights(8, 1.0)))} AS embedding FROM embeddings")
 def krn17(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "flip_blur")
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "flip_blur").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 
 @query("ml01_shortcut_probe")

@@ -283,7 +283,9 @@ def smp20(spark, d):
     return S.random_condition(B.manifest(spark, d), ["a", "b", "c"], [1, 1, 2], 0.8, 1, "sample_id").select("sample_id", "train_condition")
 
 
-@query("smp19_weighted_draws")
+@query("smp19_weighted_draws", sql(f"""WITH g AS (SELECT label, {GROUP} AS group_name, count(*) AS n FROM manifest_v GROUP BY 1, 2), k AS (SELECT label, count(*) AS k FROM g GROUP BY 1), w AS (SELECT sample_id, 1 / CAST(k.k * g.n AS DOUBLE) AS weight FROM manifest_v m JOIN g ON g.label = m.label AND g.group_name = CASE WHEN m.label = 1 THEN coalesce(generator, 'unknown') ELSE coalesce(real_source, 'unknown') END JOIN k ON k.label = m.label),
+u AS (SELECT *, weight / sum(weight) OVER () * 1000 AS mean, {UNIT.format(r=rank_sql(2, 'draw', 'sample_id'))} AS u FROM w)
+SELECT sample_id, round(weight, 9) AS weight, CAST(len(list_filter(range(0, 200), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: exp(-mean + j * ln(mean) - lgamma(j + 1)))) <= u)) AS INTEGER) AS times FROM u""", "manifest_v"))
 def smp19(spark, d):
     rows = S.balanced_weights(B.manifest(spark, d), group())
     return S.with_replacement(rows, "weight", 1000, 2, "sample_id").select("sample_id", F.round("weight", 9).alias("weight"), "times")
