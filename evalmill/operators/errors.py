@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.operators.metrics import checked
-from evalmill.operators.order import with_index
+from evalmill.operators.order import cut_lineage, with_index
 
 
 def error_summary(scores: DataFrame, keys: list[str] = (), threshold: float = 0.5, score: str = "score") -> DataFrame:
@@ -31,6 +31,7 @@ def threshold_sweep(scores: DataFrame, group: Column, score: str = "score", rang
     ranges that may hold the highest minimum recall are gone through.
     """
     cells = checked(scores, score).groupBy(group.alias("g"), "label", F.col(score).alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.floor(F.col("t") * ranges).cast("int"))
+    cells = cut_lineage(cells)  # read several times
     sums = cells.groupBy("g", "label", "r").agg(F.sum("n").alias("m"))
     groups = sums.groupBy("g", "label").agg(F.sum("m").alias("total"))
     dense = groups.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(ranges)))).join(sums, ["g", "label", "r"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
@@ -41,6 +42,7 @@ def threshold_sweep(scores: DataFrame, group: Column, score: str = "score", rang
     high = F.when(real, share(F.col("base") + F.col("m"))).otherwise(share(F.col("total") - F.col("base")))
     of = lambda v, c: F.sum(F.when(F.col("label") == v, F.col(c)))
     slots = dense.groupBy("r").agg(F.min(F.when(F.col("m") == 0, low)).alias("rest"), F.min(low).alias("low"), F.min(high).alias("high"), *[of(v, c).alias(f"{c}{v}") for v in (0, 1) for c in ("base", "total")])
+    slots = cut_lineage(slots.coalesce(1))  # one row for each range
     fixed = scores.sparkSession.range(1).select(F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("t")).select("t", F.floor(F.col("t") * ranges).cast("int").alias("r"))
     marks = cells.select("t", "r").unionByName(fixed).distinct()
     if best_only:

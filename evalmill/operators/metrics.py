@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.operators.order import with_index
+from evalmill.operators.order import cut_lineage, with_index
 
 RANGES = 256
 
@@ -52,8 +52,10 @@ def wins(scores: DataFrame, keys: list[str], fake: str = "generator", real: str
     """
     keys, g = list(keys), "__g"
     rows = checked(scores, score, label).withColumn(g, F.floor(F.col(score) * ranges))
-    reals = rows.filter(F.col(label) == 0).groupBy(*keys, g, F.col(real).alias("r"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    fakes = rows.filter(F.col(label) == 1).groupBy(*keys, g, F.col(fake).alias("f"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("p"))
+    named = F.when(F.col(label) == 0, F.col(real)).otherwise(F.col(fake)).alias("name")
+    counts = cut_lineage(rows.groupBy(*keys, g, F.col(label).alias("__l"), named, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n")))  # read several times
+    reals = counts.filter("__l = 0").select(*keys, g, F.col("name").alias("r"), "s", "n")
+    fakes = counts.filter("__l = 1").select(*keys, g, F.col("name").alias("f"), "s", F.col("n").alias("p"))
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
 
     cells = reals.select(*keys, g, "s", "r", "n", none.alias("f"), zero.alias("p")).unionByName(fakes.select(*keys, g, "s", none.alias("r"), zero.alias("n"), "f", "p"))

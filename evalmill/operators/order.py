@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,13 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Without one this raises: a local folder is lost with its machine."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a session in one process (tests) gets a folder of its own; on a cluster a local folder would be lost with
+    its machine, so there this raises.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
 
 

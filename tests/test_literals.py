@@ -406,15 +406,36 @@ def test_noise_of_odd_sizes_and_colours():
     assert score.noise_estimate(rng.normal(0, 0.1, (1, 64, 64, 3)))[0] == pytest.approx(0.1, abs=0.01)
 
 
-def test_order_needs_a_shared_folder(spark, monkeypatch):
-    from evalmill.operators import order
+@pytest.mark.parametrize(("master", "works"), [("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)])
+def test_only_a_single_process_may_do_without_a_shared_folder(master, works):
+    chosen = []
+
+    class Context:
+        def isDefined(self):  # noqa: N802  names of the session's own
+            return bool(chosen)
+
+        def get(self):
+            return chosen[-1]
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self
+
+        def setCheckpointDir(self, folder):  # noqa: N802
+            chosen.append(folder)
 
     class Session:
+        sparkContext = Context()  # noqa: N815
         conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
-        sparkContext = type("Context", (), {"_jsc": type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()})
 
-    with pytest.raises(ValueError, match="checkpoint"):
-        order.shared_folder(Session())
+    Session.sparkContext._jsc, Session.sparkContext.master = Session.sparkContext, master
+    if works:
+        assert order.shared_folder(Session()) == chosen[0]
+    else:
+        with pytest.raises(ValueError, match="checkpoint"):
+            order.shared_folder(Session())
 
 
 def test_matrix_resume(spark, tmp_path):
