@@ -26,7 +26,7 @@ from evalmill.llm.common import table
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 
 #: Documents in the training sample: so many of each language, of so many languages; steps of training, whatever the sample's size.
-PER_LANGUAGE, LANGUAGES, STEPS = 400, 200, 12_000
+PER_LANGUAGE, LANGUAGES, STEPS = 400, 64, 12_000
 
 PRECISION = 0.99
 
