@@ -74,8 +74,9 @@ def write_pictures(rows: DataFrame, root: str, kind: str, name: str, pixels: str
 
     The Hadoop file system isn't open to Python tasks, so ``root`` must be a mounted folder that all executors share.
     """
-    folder = root.removeprefix("file:")
-    folder = "/" + folder.lstrip("/")
+    folder = "/" + root.removeprefix("file:").lstrip("/")
+    if ":" in folder.split("/")[1]:
+        raise ValueError(f"{root} is no mounted folder")
 
     def run(batches):
         for batch in batches:
