@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hash_rank
+from evalmill.operators.batches import map_frames
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -100,7 +101,7 @@ def apply_kernel(rows: DataFrame, key: str, pixels: str, shape: tuple[int, int],
             yield pd.DataFrame({key: batch[key], pixels: list(KERNELS[kernel](images).reshape(len(images), -1))})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, F.col(pixels).alias("__p")).mapInPandas(run, f"`{key}` {kind}, `{pixels}` array<double>")
+    return map_frames(rows.select(key, F.col(pixels).alias("__p")), run, f"`{key}` {kind}, `{pixels}` array<double>")
 
 
 def score_rows(rows: DataFrame, key: str, vector: str, scorers: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
@@ -112,7 +113,7 @@ def score_rows(rows: DataFrame, key: str, vector: str, scorers: dict[str, Callab
             yield pd.DataFrame({key: batch[key], **{n: f(matrix) for n, f in scorers.items()}})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, F.col(vector).alias("__v")).mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in scorers))
+    return map_frames(rows.select(key, F.col(vector).alias("__v")), run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in scorers))
 
 
 def shortcut_probe(train: DataFrame, held: DataFrame, numbers: list[str], kinds: list[str], key: str) -> DataFrame:
