@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalmill.operators.batches import map_frames  # noqa: F401
 from evalmill.operators.order import cut_lineage, shared_folder  # noqa: F401
 
 #: Rows of (8-byte id) that may be broadcast after a count; about 32 MB in an executor.

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import table
+from evalmill.llm.common import map_frames, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 
@@ -30,8 +30,10 @@ PER_LANGUAGE, LANGUAGES, STEPS = 400, 64, 12_000
 
 PRECISION = 0.99
 
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
+#: What the regular expressions' word characters hold besides letters and decimal digits: ², ½, Ⅷ and their like.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTER = re.compile(rf"[^\W\d_{NUMBERS}]")
+OTHER = re.compile(rf"[\W\d_{NUMBERS}]+")
 
 
 def subwords(text: str) -> np.ndarray:
@@ -151,7 +153,7 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
             out["lang_pred"], out["score"], out["rejected"] = [a[0] for a in answers], [a[1] for a in answers], [a[2] for a in answers]
             yield out
 
-    return docs.select("doc_id", *keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+    return map_frames(docs.select("doc_id", *keep, F.col("text").alias("__text")), run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, hot_keys, let, sized_join, spread_join, table
+from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, hot_keys, let, map_frames, sized_join, spread_join, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, band_count: int = BANDS, rows: int = ROWS) -> Data
                 keys.append(bands(signature(own, band_count * rows), rows) if len(own) else np.empty(0, np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n": sizes, "keys": keys})
 
-    made = hashed_words(docs).mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>")
+    made = map_frames(hashed_words(docs), run, "doc_id long, digest binary, n long, keys array<long>")
     return cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -146,7 +146,7 @@ def node_units(named: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = named.select(F.col("doc_id").alias("__id"))
     some = sized_join(docs.select("doc_id", "text"), ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    read = hashed_words(some).mapInPandas(run, "doc_id long, digest binary, units array<long>, bits array<long>")
+    read = map_frames(hashed_words(some), run, "doc_id long, digest binary, units array<long>, bits array<long>")
     key = named.select("node", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     return cut_lineage(read.join(key, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "units", "bits"))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import cut_lineage, table
+from evalmill.llm.common import cut_lineage, map_frames, table
 from evalmill.llm.token_counts import ODD
 from evalmill.llm.tokenizers_bpe import LONG_BLANKS, read_ranks
 
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, size:
                     begin = end
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    return map_frames(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, PIECES)
 
 
 def patterns(present: np.ndarray, size: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def pack(cut: DataFrame, size: int = SIZE, buckets: int | None = None) -> DataFr
                 sequence[at], offset[at] = mine[k, 1] + ranks[at] - mine[k, 0], mine[k, 2]
             yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    return ranked.mapInPandas(look_up, f"{PIECES}, sequence_id long, offset long")
+    return map_frames(ranked, look_up, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import table
+from evalmill.llm.common import map_frames, table
 
 #: Anything but code points whose class is the same in all Unicode versions in use: Latin to Cyrillic without the number
 #: forms and the four separators that only some libraries call white space, punctuation, kana, Han.
@@ -407,11 +407,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     long_ = (F.length("text") > chunk) & ~F.col("text").rlike(ODD.pattern)
     result = "doc_id long, n_bytes long, n_tokens long, chunk_starts array<long>"
-    few = texts.filter(~long_).select("doc_id", "n_bytes", "text").mapInPandas(short, result)
+    few = map_frames(texts.filter(~long_).select("doc_id", "n_bytes", "text"), short, result)
     dealt = chunks_of(texts.filter(long_), special_strings(path), chunk).repartition("row", "chunk_no")
-    maps = dealt.mapInPandas(mapped, "doc_id long, row long, n_bytes long, chunk_no int, head string, exit binary, count long")
+    maps = map_frames(dealt, mapped, "doc_id long, row long, n_bytes long, chunk_no int, head string, exit binary, count long")
     whole = maps.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "head", "exit", "count"))).alias("maps"))
-    return few.unionByName(whole.select("doc_id", "n_bytes", "maps").mapInPandas(scanned, result)).withColumn("over_limit", F.col("n_tokens") > limit)
+    return few.unionByName(map_frames(whole.select("doc_id", "n_bytes", "maps"), scanned, result)).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import table
+from evalmill.llm.common import map_frames, table
 
 #: White space as the split pattern has it, in runs that aren't left to a library's pattern.
 LONG_BLANKS = re.compile("[\t-\r \x85\xa0  -     　]{65536,}")
@@ -207,7 +207,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) ->
             ids = [own.encode(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [own.decode(x) for x in ids]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<long>, decoded binary")
+    return map_frames(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids array<long>, decoded binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
@@ -221,10 +221,9 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -
                 ids = own.encode(text)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield out.assign(doc_id=batch["doc_id"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+#: Ids that floating point can't tell apart.
+BIG = 2**53 + 1
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, row int, stratum int, blob string, `group size` int"
 
 
@@ -30,6 +33,8 @@ def texts():
         (12, "日本語 текст 😀 ²½ \x1c <|endoftext|> naïve café " * 3, None),
         (None, "no id here " + words(60, 4), "en"),
         (None, "no id here " + words(60, 4), "en"),
+        (BIG, "large id " + words(90, 5), "en"),
+        (BIG + 2, "Large id " + words(90, 5) + " more", "en"),
         (13, "the cat sat on the mat " * 40, "en"),
     ]
 

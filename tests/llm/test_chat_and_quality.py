@@ -182,9 +182,9 @@ def test_quality_cases(spark):
     out = quality.drop_rejected(docs, labels)
     assert out.columns == docs.columns
     ids = Counter(r["doc_id"] for r in out.collect())
-    assert ids == Counter({5: 1, 6: 2, 7: 2, 8: 1, 10: 1, None: 2})
+    assert ids == Counter({5: 1, 6: 2, 7: 2, 8: 1, 10: 1, None: 2, cases.BIG: 1, cases.BIG + 2: 1})
     assert quality.drop_rejected(cases.no_docs(spark), labels).count() == 0
-    assert quality.drop_rejected(docs, labels.limit(0)).count() == 9
+    assert quality.drop_rejected(docs, labels.limit(0)).count() == 11
 
 
 def test_query_columns(spark, sf_dir):
