@@ -14,6 +14,7 @@ from evalmill.llm.quality_sql import OP2_SQL
 from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
 from evalmill.llm.token_counts import op6_token_counts
 from evalmill.llm.tokenizers_bpe import op3_bpe_codec
+from evalmill.llm.whitening import op13_embedding_whitening
 
 
 def queries() -> dict:
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
