@@ -9,6 +9,7 @@ from evalmill.llm.language_id import op10_language_id
 from evalmill.llm.license_scan import op5_license_scan
 from evalmill.llm.near_dedup import op7_minhash_near_dedup
 from evalmill.llm.packing import op8_best_fit_packing
+from evalmill.llm.periodic import op11_periodic_runs
 from evalmill.llm.quality import op2_quality_rules
 from evalmill.llm.quality_sql import OP2_SQL
 from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
