@@ -30,15 +30,25 @@ PER_LANGUAGE, LANGUAGES, STEPS = 400, 64, 12_000
 
 PRECISION = 0.99
 
-#: What the regular expressions' word characters hold besides letters and decimal digits: ², ½, Ⅷ and their like.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTER = re.compile(rf"[^\W\d_{NUMBERS}]")
-OTHER = re.compile(rf"[\W\d_{NUMBERS}]+")
+#: What isn't a letter; word characters besides letters and decimal digits (², ½, Ⅷ and their like) are few and looked for only where there are some.
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def letters_only(text: str) -> str:
+    """``text`` with every stretch of other characters as one blank."""
+    plain = OTHER.sub(" ", text)
+    if plain.replace(" ", "x").isalpha():
+        return plain
+    return OTHER.sub(" ", "".join(c if c.isalpha() else " " for c in plain))
 
 
 def subwords(text: str) -> np.ndarray:
     """Bucket numbers of all n-grams."""
-    codes = np.frombuffer(f" {OTHER.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+    codes = np.frombuffer(f" {letters_only(text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
     found = []
     for n in GRAMS:
         if len(codes) < n:
@@ -100,7 +110,7 @@ def learn(labelled: DataFrame, sample: int = PER_LANGUAGE, languages_most: int =
         for batch in batches:
             rows = []
             for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                if LETTER.search(text):
+                if has_letter(text):
                     buckets, counts = np.unique(subwords(text), return_counts=True)
                     rows.append((doc_id, lang, buckets, counts / counts.sum()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "buckets", "shares"])
@@ -140,7 +150,7 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
         for batch in batches:
             answers = []
             for text in batch["__text"]:
-                if not languages or text is None or not LETTER.search(text):
+                if not languages or text is None or not has_letter(text):
                     answers.append(("und", 0.0, True))
                     continue
                 counts = np.bincount(subwords(text), minlength=BUCKETS)
