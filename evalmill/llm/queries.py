@@ -11,6 +11,7 @@ from evalmill.llm.near_dedup import op7_minhash_near_dedup
 from evalmill.llm.packing import op8_best_fit_packing
 from evalmill.llm.periodic import op11_periodic_runs
 from evalmill.llm.quality import op2_quality_rules
+from evalmill.llm.quality_fm import op12_quality_classifier
 from evalmill.llm.quality_sql import OP2_SQL
 from evalmill.llm.secret_scan import OP9_SQL, op9_secret_scan
 from evalmill.llm.token_counts import op6_token_counts
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
