@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
+from evalmill.operators import auction as A
 from evalmill.operators import contracts as K
 from evalmill.operators import curate as U
 from evalmill.operators import decide as D
@@ -258,12 +259,34 @@ def jn16(spark, d):
     return N.assignment(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "embedding", 20)
 
 
+def label_means(rows):
+    means = T.centroids(rows.filter("label < 5"), "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("float")).alias("embedding"))
+    return means.select(F.col("label").cast("long").alias("vec_id"), "embedding")
+
+
 @query("jn17_group_assignment")
 def jn17(spark, d):
     rows = B.vectors(spark, d)
-    means = T.centroids(rows.filter("label < 5"), "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("float")).alias("embedding"))
-    left = means.select(F.col("label").cast("long").alias("vec_id"), "embedding")
-    return N.assignment(left, rows.filter("label >= 5"), "vec_id", "embedding", 40, capacity=4)
+    return N.assignment(label_means(rows), rows.filter("label >= 5"), "vec_id", "embedding", 40, capacity=4)
+
+
+ASSIGNED = "SELECT CAST(least({0} * l, r) AS BIGINT) AS n_pairs, CAST({1} AS BIGINT) AS left_used, CAST(least({0} * l, r) AS BIGINT) AS right_used, TRUE AS similarities_hold, TRUE AS within_bound FROM (SELECT count({2}) FILTER (label < 5) AS l, count(*) FILTER (label >= 5) AS r FROM embeddings)"
+
+
+@query("jn16_auction_assignment", ASSIGNED.format(1, "least(l, r)", "*"))
+def jn16_auction(spark, d):
+    """Every row of the smaller side with one of the other, within n x 0.01 of the optimum by its own prices."""
+    rows = B.vectors(spark, d)
+    left, right = rows.filter("label < 5"), rows.filter("label >= 5")
+    return A.assignment_properties(A.Assignment(left, right, "vec_id", "embedding"), left, right, "vec_id", "embedding")
+
+
+@query("jn17_auction_slots", ASSIGNED.format(4, "l", "DISTINCT label"))
+def jn17_auction(spark, d):
+    """Four right rows for each label's mean, each right row once."""
+    rows = B.vectors(spark, d)
+    left, right = label_means(rows), rows.filter("label >= 5")
+    return A.assignment_properties(A.Assignment(left, right, "vec_id", "embedding", capacity=4), left, right, "vec_id", "embedding")
 
 
 @query("jn18_pair_assembly", sql("SELECT pair_id, sample_id, label, substr(sha256(concat('pair:', CAST(pair_id AS VARCHAR))), 1, 12) AS pair_name FROM pair_v", "pair_v"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
-from evalmill.operators import curate, decide, metrics, neighbours, sample, score
+from evalmill.operators import auction, curate, decide, metrics, neighbours, sample, score
 from evalmill.operators.order import cut_lineage, with_group_index, with_index
 from evalmill.sources import sinks
 
@@ -58,9 +58,9 @@ def balanced_gate(rows: DataFrame, per_group: int, seed: int) -> DataFrame:
     return sample.lowest_ranked(named, ["label", "group_name"], per_group, sample.rank_of(seed, "gate", "sample_id"))
 
 
-def matched_pairs(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """JOB-16: fakes and reals matched one to one by similarity, as two rows for each pair."""
-    taken = neighbours.assignment(rows.filter("label = 1"), rows.filter("label = 0"), key, vector, k)
+def matched_pairs(rows: DataFrame, key: str, vector: str, epsilon: float = 0.01) -> DataFrame:
+    """JOB-16: fakes and reals matched one to one by similarity, in total at most pairs x epsilon from the best; two rows for each pair."""
+    taken = auction.Assignment(rows.filter("label = 1"), rows.filter("label = 0"), key, vector, epsilon=epsilon).pairs().withColumn("similarity", F.round("similarity", 6))
     named = taken.withColumn("pair_id", F.substring(F.sha2(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")), 256), 1, 12))
     sides = F.array(F.struct(F.lit(0).alias("label"), F.col("b").alias(key)), F.struct(F.lit(1).alias("label"), F.col("a").alias(key)))
     return named.select("pair_id", "similarity", F.explode(sides).alias("s")).select("pair_id", "similarity", "s.*")

@@ -299,7 +299,14 @@ def job09(spark, d):
 
 @query("job16_matched_pairs")
 def job16(spark, d):
-    return J.matched_pairs(B.vectors(spark, d).withColumn("label", (F.col("label") >= 5).cast("int")), "vec_id", "embedding", 10)
+    return J.matched_pairs(B.vectors(spark, d).withColumn("label", (F.col("label") >= 5).cast("int")), "vec_id", "embedding")
+
+
+@query("job16_pair_properties", "SELECT CAST(2 * least(l, r) AS BIGINT) AS n_rows, CAST(least(l, r) AS BIGINT) AS n_pairs, CAST(2 * least(l, r) AS BIGINT) AS n_ids, TRUE AS one_of_each_label FROM (SELECT count(*) FILTER (label >= 5) AS l, count(*) FILTER (label < 5) AS r FROM embeddings)")
+def job16_properties(spark, d):
+    pairs = job16(spark, d).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("labels"), F.min("vec_id").alias("x"), F.max("vec_id").alias("y"))
+    ids = pairs.select("*", F.explode(F.array("x", "y")).alias("id"))
+    return ids.agg(F.sum(F.col("n") / 2).cast("long").alias("n_rows"), F.count_distinct("pair_id").alias("n_pairs"), F.count_distinct("id").alias("n_ids"), F.bool_and((F.size("labels") == 2) & (F.col("n") == 2)).alias("one_of_each_label"))
 
 
 REPORT_TAIL = "SELECT condition, level, generator, real_source, auc FROM grp UNION ALL SELECT condition, 'worst_pair', NULL, NULL, min(auc) FROM grp WHERE level = 'pair' GROUP BY condition"

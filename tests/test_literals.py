@@ -164,7 +164,7 @@ def test_matching_uses_up_a_side(spark):
     fakes = [[1.0, 0.0, 0.0]] * 9 + near
     reals = [[float(x) for x in v] for v in rng.random((14, 3))] + [[1.0, 0.1, 0.0]] * 4
     rows = [(i, v, 1) for i, v in enumerate(fakes)] + [(100 + i, v, 0) for i, v in enumerate(reals)] + [(900, None, 0), (901, [float("nan"), 0.0, 0.0], 1)]
-    got = jobs.matched_pairs(spark.createDataFrame(rows, "id long, v array<double>, label int"), "id", "v", 2).collect()
+    got = jobs.matched_pairs(spark.createDataFrame(rows, "id long, v array<double>, label int"), "id", "v").collect()
     for label, many in ((1, set(range(15))), (0, None)):
         ids = [r["id"] for r in got if r["label"] == label]
         assert len(ids) == len(set(ids)) == 15 and (many is None or set(ids) == many)
