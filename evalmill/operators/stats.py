@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.operators.metrics import auc
 from evalmill.operators.order import with_group_index, with_index
 
 
@@ -108,24 +107,6 @@ def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicat
     return shares.crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.count_if(F.col("share") >= F.col("observed")).alias("n_exceed"), ((F.count_if(F.col("share") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1).cast("double")).alias("p_value"))
 
 
-def bootstrap_auc(rows: DataFrame, key: str, score_a: str, score_b: str, replicates: int, seed: int) -> DataFrame:
-    """AGG-25: paired stratified bootstrap of two AUCs and their difference: 2.5 %, median and 97.5 % points.
-
-    A draw is (replicate, label, place), its row number hashed; one equi join brings the rows, one AUC by replicate follows.
-    """
-    ranked = with_group_index(rows.select("label", key, score_a, score_b), "at", ["label"], key).select("label", (F.col("at") + 1).alias("at"), score_a, score_b)
-    sizes = ranked.groupBy("label").agg(F.max("at").alias("n"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("replicate", "label", "draw")]), 256), 1, 12), 16, 10).cast("long")
-    taken = draws.select("replicate", "label", (number % F.col("n") + 1).alias("at")).join(ranked, ["label", "at"])
-    both = taken.select("replicate", "label", F.explode(F.array(F.struct(F.lit("a").alias("c"), F.col(score_a).alias("s")), F.struct(F.lit("b").alias("c"), F.col(score_b).alias("s")))).alias("x")).select("replicate", "label", F.col("x.c").alias("candidate"), F.col("x.s").alias("score"))
-    pick = lambda c: F.max(F.when(F.col("candidate") == c, F.col("auc")))
-    wide = auc(both, ["replicate", "candidate"]).groupBy("replicate").agg(pick("a").alias("auc_a"), pick("b").alias("auc_b")).withColumn("delta", F.col("auc_b") - F.col("auc_a"))
-    named = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("auc_a", "auc_b", "delta")])).alias("x")).select("x.metric", "x.v")
-    q = lambda p: F.round(F.percentile("v", p), 9)
-    return named.groupBy("metric").agg(q(0.025).alias("q025"), q(0.5).alias("median"), q(0.975).alias("q975"))
-
-
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """AGG-23: normalised mean vector of each group."""
     means = rows.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
