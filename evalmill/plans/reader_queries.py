@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from evalmill.functions import columns as C
 from evalmill.operators import errors as E
 from evalmill.operators import score as R
+from evalmill.operators.order import cut_lineage
+from evalmill.operators.stats import inventory_digest
 from evalmill.plans import bindings as B
 from evalmill.plans import kernel_sql as L
 from evalmill.plans.bindings import sql
 from evalmill.plans.registry import query
+from evalmill.sources import committed as O
 from evalmill.sources import images as I
 from evalmill.sources import manifests as S
 from evalmill.sources import sinks as W
@@ -71,6 +74,47 @@ def snk03(spark, d):
     return spark.read.text(folder).agg(F.count("value").alias("n_lines")).withColumn("refused", F.lit(refused))
 
 
+@query("snk01_committed_predictions", sql("SELECT path AS image_path, 0.75 * score + 0.25 * score_b AS pred, count(*) OVER () AS n_rows FROM predictions2_v WHERE condition = 'clean'", "predictions2_v"))
+def snk01_committed(spark, d):
+    """Written in one commit that counts its rows against the inputs, and read back by its manifest."""
+    rows, root = B.predictions2(spark, d).filter("condition = 'clean'"), W.fresh_folder(spark, "predictions")
+    O.write_predictions(rows, rows, root, "path", C.blend(F.col("score"), F.col("score_b"), 0.75))
+    return O.read_committed(spark, root).withColumn("n_rows", F.lit(O.read_manifest(root)["rows"]).cast("long"))
+
+
+PACKAGED = "SELECT content_sha256 AS sha256, CAST(min(bytes) AS BIGINT) AS bytes, concat('images/', substr(content_sha256, 1, 2), '/', content_sha256, '.txt') AS archive_path, CAST(sum(n) AS BIGINT) AS n_paths, substr(content_sha256, 1, 2) AS prefix"
+
+
+@query("snk05_package_contents", sql(PACKAGED + " FROM (SELECT content_sha256, bytes, 1 AS n FROM manifest_v) GROUP BY content_sha256", "manifest_v"))
+def snk05_contents(spark, d):
+    """The contents of a package of two manifests of one name, read back."""
+    rows, root = B.manifest(spark, d), W.fresh_folder(spark, "package")
+    O.write_package({f"/{k}/list.jsonl": rows.filter(F.col("label") == k).select("path", "label", "content_sha256", "bytes") for k in (0, 1)}, root, "content_sha256", "path", "bytes")
+    return O.read_committed(spark, f"{root}/contents")
+
+
+@query("snk05_package_manifests", sql("SELECT concat('../images/', substr(content_sha256, 1, 2), '/', content_sha256, '.txt') AS path, content_sha256 AS image_sha256, label, CAST(bytes AS BIGINT) AS bytes, CASE WHEN label = 0 THEN 'list.jsonl' ELSE '1-list.jsonl' END AS manifest, true AS digest_kept FROM manifest_v", "manifest_v"))
+def snk05_manifests(spark, d):
+    """The rewritten rows of both manifests, each under a name of its own, read back; their digests are made once more from what was read."""
+    rows, root = B.manifest(spark, d), W.fresh_folder(spark, "package")
+    said = cut_lineage(O.write_package({f"/{k}/list.jsonl": rows.filter(F.col("label") == k).select("path", "label", "content_sha256", "bytes") for k in (0, 1)}, root, "content_sha256", "path", "bytes"))
+    back = None
+    for name in ("list.jsonl", "1-list.jsonl"):
+        one = O.read_committed(spark, f"{root}/manifests/{name}")
+        again = inventory_digest(one, F.to_json(F.struct(*sorted(one.columns)))).join(F.broadcast(said.filter(F.col("packaged_manifest") == name)), ["digest", "n_lines"]).count() == 1
+        one = one.withColumn("manifest", F.lit(name)).withColumn("digest_kept", F.lit(again))
+        back = one if back is None else back.unionByName(one)
+    return back
+
+
+@query("snk07_existing_contents", sql("SELECT content_sha256 AS sha256, CASE WHEN min(label) = 0 THEN 'known' ELSE 'new' END AS status FROM manifest_v GROUP BY content_sha256", "manifest_v"))
+def snk07_existing(spark, d):
+    """All contents after those of label 0 were written: those are compared and not written again."""
+    rows, root = B.manifest(spark, d), W.fresh_folder(spark, "contents")
+    O.write_contents(rows.filter("label = 0"), root, "content_sha256", "path", "bytes")
+    return O.write_contents(rows, root, "content_sha256", "path", "bytes")
+
+
 HALF = L.times(L.resize_weights(8, 4), L.resize_weights(4, 8))
 
 
