@@ -155,7 +155,7 @@ def gaussian_noise(x: Column, sigma: float, seed: int, index: Column, sample: Co
     """KRN-09: Box-Muller on uniforms hashed from (seed, condition, sample, place), clamped to [0, 1]; no state, no order."""
 
     def noisy(v: Column, i: Column) -> Column:
-        uniform = lambda part: (F.pmod(F.xxhash64(F.lit(seed), index, sample, i, F.lit(part)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        uniform = lambda part: hash_uniform(seed, "noise", index, sample, i, F.lit(part)) + 0.5 / float(1 << 48)
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), v.cast("double") + sigma * F.sqrt(-2 * F.log(uniform(0))) * F.cos(6.283185307179586 * uniform(1))))
 
     return F.transform(x, noisy)

@@ -30,6 +30,17 @@ def resize_weights(to: int, length: int) -> Matrix:
     return rows
 
 
+def bicubic_weights(to: int, length: int) -> Matrix:
+    """Cubic convolution at pixel centres, by the distance of each place in (widened) pixels."""
+
+    def weight(x: float) -> float:
+        x = abs(x)
+        return (x * 1.5 - 2.5) * x * x + 1 if x < 1 else ((2.5 - x * 0.5) * x - 4) * x + 2 if x < 2 else 0.0
+
+    raw = [[weight((j + 0.5 - (i + 0.5) * length / to) / max(1.0, length / to)) for j in range(length)] for i in range(to)]
+    return [[w / sum(line) for w in line] for line in raw]
+
+
 def times(a: Matrix, b: Matrix) -> Matrix:
     return [[sum(x * row[j] for x, row in zip(line, b)) for j in range(len(b[0]))] for line in a]
 
@@ -51,3 +62,38 @@ def linear_sql(down: Matrix, across: Matrix, scale: str = "{}", digits: int = 9)
     cell = f"{listed(down)}[(i // {out}) * {height} + k // {width} + 1] * {listed(across)}[(i % {out}) * {width} + k % {width} + 1] * CAST(embedding[k + 1] AS DOUBLE)"
     value = scale.format(f"list_sum(list_transform(range(0, {height * width}), lambda k: {cell}))")
     return f"list_transform(range(0, {len(down) * out}), lambda i: {f'round({value}, {digits})' if digits is not None else value})"
+
+
+def condition_sql(name: str, idx: int, sample: str, seed: int, side: int = 8) -> str:
+    """The pixels of a grey square ``embedding`` with values in [0, 1] under a condition, as a list expression."""
+    kind, _, strength = name.rpartition("_")
+    inside = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, {}))"
+    each = lambda value: f"list_transform(embedding, lambda x, i: {value})"
+    if kind == "blur_sigma":
+        return linear_sql(blur_weights(side, float(strength)), blur_weights(side, float(strength)), digits=None)
+    if kind == "resize":
+        small = max(1, round(side * float(strength)))
+        both = times(bicubic_weights(side, small), bicubic_weights(small, side))
+        return linear_sql(both, both, inside, None)
+    if kind == "center_crop":
+        keep = max(1, round(side * float(strength) / 100))
+        part = window((side - keep) // 2, keep, side)
+        return linear_sql(part, part, digits=None)
+    if kind == "brightness":
+        return each(inside.format(f"x * {strength}::DOUBLE"))
+    if kind == "contrast":
+        mean = f"(list_sum(embedding) / {side * side})"
+        return each(inside.format(f"{mean} + (x - {mean}) * {strength}::DOUBLE"))
+    if kind == "noise_sigma":
+        digest = f"sha256(concat('{seed}:noise:{idx}:', CAST({sample} AS VARCHAR), ':', CAST((i - 1) // 4 AS VARCHAR)))"
+        u = lambda k: f"((CAST(('0x' || substr({digest}, CAST(16 * ((i - 1) % 4) + {8 * k + 1} AS BIGINT), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+        return each(inside.format(f"x + {strength}::DOUBLE * sqrt(-2 * ln({u(0)})) * cos(6.283185307179586::DOUBLE * {u(1)})"))
+    return "embedding"  # clean, and the saturation of grey
+
+
+def score_sql(pixels: str, side: int, weights: Matrix, slope: float) -> str:
+    """The logistic of a weighted sum over the square ``pixels`` resized to the weights' side."""
+    down = resize_weights(len(weights), side)
+    flat = [sum(weights[a][b] * down[a][p // side] * down[b][p % side] for a in range(len(weights)) for b in range(len(weights))) for p in range(side * side)]
+    listed = "[" + ", ".join(f"{v!r}::DOUBLE" for v in flat) + "]"
+    return f"1 / (1 + exp(-{slope}::DOUBLE * list_sum(list_transform(range(0, {side * side}), lambda k: {listed}[k + 1] * {pixels}[k + 1]))))"

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evalmill.functions import columns as C
+from evalmill.operators import conditions as N
 from evalmill.operators import metrics as M
 from evalmill.operators import score as R
 from evalmill.operators.order import with_group_index
@@ -184,7 +185,10 @@ def krn08(spark, d):
     return B.vectors(spark, d).select("vec_id", F.round(C.pooled_resize(F.col("embedding"), 2)[1], 9).alias("first_mean"))
 
 
-@query("krn09_hashed_noise")
+NOISE_U = "(CAST(('0x' || substr(sha256(concat_ws(':', '7', 'noise', '11', vec_id, i - 1, {})), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE + 0.5::DOUBLE / 281474976710656.0::DOUBLE)"
+
+
+@query("krn09_hashed_noise", f"SELECT vec_id, list_transform(embedding, lambda x, i: round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CAST(x AS DOUBLE) + 0.05::DOUBLE * sqrt(-2 * ln({NOISE_U.format(0)})) * cos(6.283185307179586::DOUBLE * {NOISE_U.format(1)}))), 9)) AS noisy FROM embeddings")
 def krn09(spark, d):
     rows = B.vectors(spark, d)
     return rows.select("vec_id", F.transform(C.gaussian_noise(F.col("embedding"), 0.05, 7, F.lit(11), F.col("vec_id")), lambda x: F.round(x, 9)).alias("noisy"))
@@ -322,6 +326,49 @@ def job19(spark, d):
     return J.resumed_matrix(spark, names, scored, folder, own)
 
 
+#: Conditions that need no encoder, and the head that scores their pictures.
+PICTURED = [n for n in B.CONDITIONS if not n.startswith("jpeg")]
+HEAD, SLOPE = [[((7 * (4 * i + j)) % 16 - 7.5) / 16 for j in range(4)] for i in range(4)], 6.0
+
+PICTURES = "px AS (SELECT vec_id, list_transform(embedding, lambda x: least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * CAST(x AS DOUBLE)))) AS embedding FROM embeddings WHERE len(embedding) = 64)"
+
+
+def pictures(spark, d):
+    """Vectors as grey pictures of eight by eight, from [-1, 1] to [0, 1]."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + F.lit(0.5) * x.cast("double"))))
+    return B.vectors(spark, d).filter(F.size("embedding") == 64).select("vec_id", grey.alias("embedding"))
+
+
+def conditions_sql(value) -> str:
+    """One SELECT for each condition: (vec_id, idx, condition, what ``value`` makes of its pixels and their side)."""
+    side = lambda n: 6 if n == "center_crop_80" else 8
+    return " UNION ALL ".join(f"SELECT vec_id, {i} AS idx, '{n}' AS condition, {value('p', side(n))} FROM (SELECT vec_id, {L.condition_sql(n, i, 'vec_id', 7)} AS p FROM px)" for i, n in enumerate(B.CONDITIONS) if n in PICTURED)
+
+
+@query("krn05_pictures_by_condition", f"WITH {PICTURES} " + conditions_sql(lambda p, _: f"list_transform({p}, lambda x: round(x, 6)) AS pixels"))
+def krn05_pictures(spark, d):
+    """All pictures under all conditions but the encoder's, each read once."""
+    made = N.each_condition(pictures(spark, d), "vec_id", "embedding", (8, 8, 1), B.CONDITIONS, PICTURED, 7)
+    return made.withColumn("pixels", F.transform("pixels", lambda x: F.round(x, 6)))
+
+
+PICTURE_SCORES = f"{PICTURES}, made AS ({conditions_sql(lambda p, side: f'round({L.score_sql(p, side, HEAD, SLOPE)}, 6) AS score')}), scored AS (SELECT condition, label, generator, real_source, sample_id, score FROM made JOIN manifest_v ON sample_id = vec_id), "
+
+
+@query("job19_picture_matrix", sql("WITH " + PICTURE_SCORES + grouped_sql("scored", ["condition"], REPORT_TAIL)[5:], "manifest_v"))
+def job19_pictures(spark, d):
+    """The matrix of scores of real pixels: a run that ended after some conditions, and one that goes on where it stopped."""
+    folder, own = W.fresh_folder(spark, "pictures"), W.signature(seed=7, source="pictures", head=str(HEAD))
+    named, head = B.manifest(spark, d).select("label", "generator", "real_source", "sample_id"), N.linear_score(np.array(HEAD), SLOPE)
+
+    def scored(todo):
+        found = N.each_condition(pictures(spark, d), "vec_id", "embedding", (8, 8, 1), B.CONDITIONS, todo, 7, head)
+        return found.join(named, F.col("vec_id") == F.col("sample_id")).select("condition", "label", "generator", "real_source", "sample_id", F.round("score", 6).alias("score"))
+
+    W.write_condition(scored(PICTURED[:5]), folder, own)
+    return J.resumed_matrix(spark, PICTURED, scored, folder, own)
+
+
 @query("job20_blend_matrix", sql("WITH b AS (SELECT condition, label, 0.5 * score + 0.5 * score_b AS score FROM predictions2_v), " + auc_sql("b", ["condition"])[5:], "predictions2_v"))
 def job20(spark, d):
     return J.blend_matrix(B.predictions2(spark, d), "score", "score_b", 0.5)
