@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from evalmill.functions import columns as C
 from evalmill.operators import conditions as N
 from evalmill.operators import metrics as M
+from evalmill.operators import sample as P
 from evalmill.operators import score as R
+from evalmill.operators import training as G
 from evalmill.operators.order import with_group_index
 from evalmill.plans import bindings as B
 from evalmill.plans import jobs as J
@@ -257,6 +259,37 @@ def ml04(spark, d):
     return R.head_scores(model, rows, "embedding", "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 
+def epochs_sql(epochs: int, rate: float, floor: str) -> str:
+    """Losses of full-batch steps: each epoch's gradient is a row of lists that the next one reads; ``floor`` clamps a weight."""
+    group = "CASE WHEN label >= 5 THEN 1 ELSE 0 END"
+    parts = [f"n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), k AS (SELECT {group} AS y, count(*) AS k FROM n GROUP BY 1)", f"x0 AS (SELECT e.vec_id, {group} AS y, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, 1 / CAST(k.k * n.n AS DOUBLE) AS w FROM embeddings e JOIN n USING (label) JOIN k ON k.y = {group})", "h0 AS (SELECT list_transform(range(0, 64), lambda i: 0.0::DOUBLE) AS t, 0.0::DOUBLE AS b)"]
+    for i in range(epochs):
+        parts.append(f"o{i} AS (SELECT y, x, w, list_sum(list_transform(range(1, 65), lambda j: x[j] * t[j])) + b AS o FROM x0 CROSS JOIN h{i})")
+        parts.append(f"e{i} AS (SELECT y, x, w, o, w * (1 / (1 + exp(-o)) - y) AS e FROM o{i})")
+        parts.append(f"g{i} AS (SELECT j, sum(e * x[j]) AS g FROM e{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS j) GROUP BY j)")
+        parts.append(f"s{i} AS (SELECT sum(e) AS e, sum(w) AS w, sum(w * (greatest(o, 0) + ln(1 + exp(-abs(o))) - y * o)) AS l FROM e{i})")
+        moved = f"t[j] - {rate}::DOUBLE * g / w"
+        parts.append(f"h{i + 1} AS (SELECT list({floor.format(moved)} ORDER BY j) AS t, any_value(b - {rate}::DOUBLE * e / w) AS b FROM g{i} CROSS JOIN s{i} CROSS JOIN h{i})")
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT {i + 1} AS epoch, round(l / w, 9) AS loss FROM s{i}" for i in range(epochs))
+
+
+def trained(spark, d, **options):
+    """A head for labels from 5 on, each label's rows sharing its mass (SMP-15)."""
+    rows = B.vectors(spark, d).withColumnRenamed("label", "kind").withColumn("label", (F.col("kind") >= 5).cast("int"))
+    weighted = P.balanced_weights(rows, F.col("kind").cast("string"))
+    return weighted, G.train_head(weighted, "vec_id", "embedding", "label", "weight", epochs=4, rate=2.0, **options)
+
+
+@query("ml03_epoch_losses", epochs_sql(4, 2.0, "{}"))
+def ml03_epochs(spark, d):
+    return G.epoch_rows(*trained(spark, d)).withColumn("loss", F.round("loss", 9))
+
+
+@query("ml04_epoch_losses", epochs_sql(4, 2.0, "greatest(0.0::DOUBLE, {})"))
+def ml04_epochs(spark, d):
+    return G.epoch_rows(*trained(spark, d, non_negative=True)).withColumn("loss", F.round("loss", 9))
+
+
 @query("ml05_batch_scoring", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64, 6) AS mean_score, round(CAST(list_max(embedding) AS DOUBLE), 6) AS max_score FROM embeddings")
 def ml05(spark, d):
     scored = R.score_rows(B.vectors(spark, d), "vec_id", "embedding", {"mean_score": lambda m: m.mean(axis=1), "max_score": lambda m: np.max(m, axis=1)})
