@@ -31,21 +31,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def with_index(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
-    """``rows`` with their place (from 0) in the given order. The partition numbers are fixed by a checkpoint."""
+    """``rows`` with their place (from 0) in the given order, ties by a hash of the row. The partition numbers are fixed by a checkpoint."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut_lineage(rows.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(columns)]).repartitionByRange(parts, *[f"__o{i}" for i in range(len(columns))]).withColumn("__part", F.spark_partition_id()))
+    dealt = cut_lineage(rows.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(columns)], F.xxhash64(*rows.columns).alias("__tie")).repartitionByRange(parts, *[f"__o{i}" for i in range(len(columns))], "__tie").withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     bases = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(*[f"__o{i}" for i in range(len(columns))])
+    inside = Window.partitionBy("__part").orderBy(*[f"__o{i}" for i in range(len(columns))], "__tie")
     placed = dealt.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(bases), "__part")
     return placed.select(*rows.columns, (F.col("__base") + F.col("__i") - 1).alias(name))
 
 
 def with_group_index(rows: DataFrame, name: str, groups: list[str], *order: str | Column) -> DataFrame:
     """``rows`` with their place (from 0) inside their group; a group of any size is dealt over ranges, and null is a group."""
-    placed = with_index(rows, "__at", *groups, *order)
+    placed = cut_lineage(with_index(rows, "__at", *groups, *order))  # read twice
     firsts = placed.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min("__at").alias("__first"))
     same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)])
     return placed.join(firsts, same).select(*rows.columns, (F.col("__at") - F.col("__first")).alias(name))

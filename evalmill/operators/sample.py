@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hash_rank, hash_uniform
-from evalmill.operators.order import with_group_index, with_index
+from evalmill.operators.order import cut_lineage, with_group_index, with_index
 
 
 def lowest_ranked(rows: DataFrame, groups: list[str], k: int, rank: Column) -> DataFrame:
@@ -101,6 +101,40 @@ def with_replacement(rows: DataFrame, weight: str, draws: int, seed: int, *ident
     return ready.withColumn("times", F.aggregate(upto, start(F.col("__m")), grow)["k"]).drop("__total", "__m", "__u")
 
 
+def exact_draws(rows: DataFrame, weight: str, draws: int, seed: int, *identity: str, unit: float = 1e-12) -> DataFrame:
+    """SMP-19: how often each row is drawn in exactly ``draws`` draws with replacement, each by weight.
+
+    Weights become whole numbers of ``unit``. Rows lie one after the other on a line, in the order of ``identity``, cut into ranges with known
+    sums; a draw is a hashed place on the line. Draws find their range by an equi-join on a grid of cells, and inside a range rows and
+    draws are put in one order, in which a draw belongs to the row before it. Null and negative weights count as none.
+    """
+    spark, wide = rows.sparkSession, "decimal(38,0)"
+    units = F.greatest(F.lit(0), F.coalesce(F.round(F.col(weight) / unit), F.lit(0.0))).cast("long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__u", units).repartitionByRange(parts, *identity, F.xxhash64(*rows.columns)).withColumn("__part", F.spark_partition_id())
+    dealt = cut_lineage(dealt.withColumn("__row", F.monotonically_increasing_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = dealt.groupBy("__part").agg(F.sum(F.col("__u").cast(wide)).alias("sum"))
+    bases = cut_lineage(sums.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)).cast(wide)).filter("sum > 0"))
+    total = bases.agg(F.sum("sum")).first()[0]
+    if total is None:
+        return dealt.select(*rows.columns, F.lit(0).cast("long").alias("times"))
+    total, grid = int(total), 4 * parts
+    whole = lambda c, by: ((c - F.pmod(c, F.lit(by).cast(wide))) / F.lit(by).cast(wide)).cast(wide)
+    cell = lambda c: whole(c.cast(wide), -(-total // grid)).cast("int")
+    cells = bases.withColumn("cell", F.explode(F.sequence(cell(F.col("base")), cell(F.col("base") + F.col("sum") - 1))))
+    number = F.conv(F.substring(hash_rank(seed, "draw", F.col("id")), 1, 12), 16, 10).cast("decimal(15,0)")
+    thrown = spark.range(draws).select(whole((number * F.lit(total).cast("decimal(22,0)")).cast(wide), 1 << 48).alias("at"))
+    found = thrown.withColumn("cell", cell(F.col("at"))).join(F.broadcast(cells), "cell").filter("at >= base AND at < base + sum")
+    inside = Window.partitionBy("__part").orderBy(*identity, "__row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.filter("__u > 0").withColumn("start", F.coalesce(F.sum(F.col("__u").cast(wide)).over(inside), F.lit(0)).cast(wide))
+    line = starts.select("__part", F.col("start").alias("place"), F.lit(0).alias("kind"), F.col("__row").alias("own"))
+    line = line.unionByName(found.select("__part", (F.col("at") - F.col("base")).cast(wide).alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("own")))
+    last = F.last("own", ignorenulls=True).over(Window.partitionBy("__part").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    times = line.withColumn("__row", last).filter("kind = 1").groupBy("__row").agg(F.count(F.lit(1)).alias("times"))
+    return dealt.join(times, "__row", "left").select(*rows.columns, F.coalesce("times", F.lit(0)).alias("times"))
+
+
 def random_condition(rows: DataFrame, names: list[str], weights: list[float], probability: float, seed: int, *identity: str) -> DataFrame:
     """SMP-20: clean with 1 - probability, otherwise one condition by cumulative weight, at hashed uniforms."""
     total = sum(weights)

@@ -294,3 +294,13 @@ SELECT sample_id, round(weight, 9) AS weight, CAST(len(list_filter(range(0, 200)
 def smp19(spark, d):
     rows = S.balanced_weights(B.manifest(spark, d), group())
     return S.with_replacement(rows, "weight", 1000, 2, "sample_id").select("sample_id", F.round("weight", 9).alias("weight"), "times")
+
+
+@query("smp19_exact_draws", sql(f"""WITH g AS (SELECT label, {GROUP} AS group_name, count(*) AS n FROM manifest_v GROUP BY 1, 2), k AS (SELECT label, count(*) AS k FROM g GROUP BY 1), w AS (SELECT sample_id, 1 / CAST(k.k * g.n AS DOUBLE) AS weight FROM manifest_v m JOIN g ON g.label = m.label AND g.group_name = CASE WHEN m.label = 1 THEN coalesce(generator, 'unknown') ELSE coalesce(real_source, 'unknown') END JOIN k ON k.label = m.label),
+o AS (SELECT sample_id, CAST(round(weight / 1e-12) AS HUGEINT) AS u, sum(CAST(round(weight / 1e-12) AS HUGEINT)) OVER (ORDER BY sample_id) AS upto FROM w), z AS (SELECT max(upto) AS total FROM o),
+d AS (SELECT (CAST(('0x' || substr({rank_sql(4, 'draw', 'i')}, 1, 12)) AS HUGEINT) * total) // 281474976710656::HUGEINT AS place FROM (SELECT unnest(range(0, 1000)) AS i) CROSS JOIN z)
+SELECT sample_id, CAST((SELECT count(*) FROM d WHERE d.place >= o.upto - o.u AND d.place < o.upto) AS BIGINT) AS times, CAST(1000 AS BIGINT) AS n_draws FROM o""", "manifest_v"))
+def smp19_exact(spark, d):
+    """1,000 draws in all, each row as often as its weight takes."""
+    drawn = S.exact_draws(S.balanced_weights(B.manifest(spark, d), group()), "weight", 1000, 4, "sample_id")
+    return drawn.select("sample_id", "times").crossJoin(F.broadcast(drawn.agg(F.sum("times").alias("n_draws"))))
