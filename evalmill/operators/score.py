@@ -152,12 +152,27 @@ def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.filter(F.col(vector).isNotNull()).withColumn("features", array_to_vector(scaled))
 
 
+def cluster_fit(ready: DataFrame, key: str, vector: str, clusters: int, seed: int, block: int = 4096):
+    """The k-means model of ``unit_vectors``. Rows are dealt by hash into blocks of about ``block`` rows, whose number and order
+    depend on the rows only, so the fit doesn't depend on how the input is cut."""
+    dealt = ready.repartition(max(1, -(-ready.count() // block)), key, vector).sortWithinPartitions(hash_rank(seed, "centres", F.col(key)), key)
+    return KMeans(k=clusters, seed=seed, maxIter=30).fit(dealt.select("features"))
+
+
 def unit_clusters(rows: DataFrame, key: str, vector: str, clusters: int, seed: int, block: int = 4096) -> DataFrame:
-    """ML-06: k-means of unit vectors, fitted on all of them. Rows are dealt by hash into blocks of about ``block`` rows, whose
-    number and order depend on the rows only, so the fit doesn't depend on how the input is cut."""
+    """ML-06: k-means of unit vectors, fitted on all of them."""
     ready = unit_vectors(rows, vector)
-    dealt = ready.repartition(max(1, -(-ready.count() // block)), key, vector).sortWithinPartitions(hash_rank(seed, "centres", F.col(key)), key)
-    return KMeans(k=clusters, seed=seed, maxIter=30).fit(dealt.select("features")).transform(ready).select(key, F.col("prediction").alias("cluster"))
+    return cluster_fit(ready, key, vector, clusters, seed, block).transform(ready).select(key, F.col("prediction").alias("cluster"))
+
+
+def cluster_properties(rows: DataFrame, key: str, vector: str, clusters: int, seed: int) -> DataFrame:
+    """ML-06: (n_rows, n_clusters, nearest): whether every row is in the cluster whose centre is the nearest."""
+    ready = unit_vectors(rows, vector)
+    model = cluster_fit(ready, key, vector, clusters, seed)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]  # ``clusters`` vectors
+    far = lambda c: F.aggregate(F.zip_with(vector_to_array("features"), F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    found = model.transform(ready).select(F.col("prediction").alias("cluster"), F.array(*[far(c) for c in centres]).alias("far"))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"), F.bool_and(F.get("far", F.col("cluster")) <= F.array_min("far") + 1e-9).alias("nearest"))
 
 
 def diverse_choice(rows: DataFrame, key: str, vector: str, score: str, shortlist: int, clusters: int, seed: int) -> DataFrame:

@@ -318,3 +318,43 @@ def jn09b(spark, d):
     held = rows.filter("role = 'eval'")
     kept = U.without_shared_identity(held, rows.filter("role = 'train'").drop("sample_id"), "sample_id", ["content_sha256"])
     return held.join(kept.select("sample_id"), "sample_id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("ml06_cluster_properties", "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_clusters, TRUE AS nearest FROM embeddings")
+def ml06_properties(spark, d):
+    return R.cluster_properties(B.vectors(spark, d), "vec_id", "embedding", 8, 5)
+
+
+CHOICE = "SELECT CAST(8 AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_ids, CAST(8 AS BIGINT) AS n_clusters, TRUE AS in_shortlist, TRUE AS has_best"
+
+
+def choice_properties(chosen, rows, shortlist):
+    """Of rows chosen for variety: how many, all of the shortlist, and with its best row, which no cluster can beat."""
+    best = rows.orderBy(F.desc("score"), "vec_id").limit(shortlist).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))).select("vec_id", "place")
+    met = chosen.join(F.broadcast(best), "vec_id", "left")
+    return met.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("vec_id").alias("n_ids"), F.count_distinct("cluster").alias("n_clusters"), F.bool_and(F.col("place").isNotNull()).alias("in_shortlist"), F.bool_or(F.coalesce(F.col("place") == 1, F.lit(False))).alias("has_best"))
+
+
+@query("smp14_choice_properties", CHOICE)
+def smp14_properties(spark, d):
+    rows = B.vectors(spark, d).withColumn("score", (F.col("vec_id") * 7919 % 997) / F.lit(997.0))
+    return choice_properties(R.diverse_choice(rows, "vec_id", "embedding", "score", 96, 8, 3), rows, 96)
+
+
+@query("job17_choice_properties", CHOICE)
+def job17_properties(spark, d):
+    found = N.top_summary(similar(spark, d, 8), "vec_id").select("vec_id", F.col("mean_similarity").alias("score"))
+    return choice_properties(job17(spark, d), found, 96)
+
+
+@query("job06_canonical_groups", f"WITH c AS (SELECT vec_id, label, {L.linear_sql(L.resize_weights(4, 8), L.resize_weights(4, 8), digits=6)} AS square FROM embeddings), g AS (SELECT square, count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM c GROUP BY square) SELECT vec_id, n_rows, n_labels FROM c JOIN g USING (square)")
+def job06_groups(spark, d):
+    """How many rows and labels share each row's canonical square."""
+    return J.canonical_view(B.vectors(spark, d), "vec_id", "embedding", (8, 8)).select("vec_id", "n_rows", "n_labels")
+
+
+@query("ml01_probe_counts", sql("SELECT count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg, TRUE AS is_share FROM meta_v WHERE sample_id % 2 = 1", "meta_v"))
+def ml01_counts(spark, d):
+    rows = B.meta(spark, d).withColumn("log_bytes", F.log1p("bytes")).withColumn("log_text", F.log1p("n_text")).select("sample_id", "label", "log_bytes", "log_text", "format", "mode")
+    scored = R.shortcut_probe(rows.filter("sample_id % 2 = 0"), rows.filter("sample_id % 2 = 1"), ["log_bytes", "log_text"], ["format", "mode"], "sample_id")
+    return M.auc(scored).select("n_pos", "n_neg", F.col("auc").between(0, 1).alias("is_share"))
