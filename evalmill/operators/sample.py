@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +58,22 @@ def spread_windows(rows: DataFrame, order: list[str], count: int, blocks: int, s
 
 
 def first_valid(rows: DataFrame, groups: list[str], order: list[str], valid: Column, k: int) -> DataFrame:
-    """SMP-11: the first k valid rows of each group in order and, as rejected, the invalid ones before the k-th."""
-    upto = Window.partitionBy(*groups).orderBy(*order)
-    counted = rows.withColumn("valid", valid).withColumn("n_valid", F.sum(F.col("valid").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.filter((F.col("valid") & (F.col("n_valid") <= k)) | (~F.col("valid") & (F.col("n_valid") < k))).withColumn("kept", F.col("valid"))
+    """SMP-11: the first k valid rows of each group in order and, as rejected, the invalid ones before the k-th.
+
+    Rows are dealt by ranges of (groups, order). Counts of valid rows by group and range tell which ranges come before the k-th; only
+    those rows are put in order, each range by itself, so no task sorts a whole group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"__g{i}" for i in range(len(groups))]
+    dealt = cut_lineage(rows.withColumn("valid", valid).repartitionByRange(parts, *groups, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("__part").alias("__at")).agg(F.sum(F.col("valid").cast("int")).alias("n"))
+    earlier = Window.partitionBy(*names).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("__before") < k).drop("n")
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)], F.col("__part") == F.col("__at"))
+    upto = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.join(needed, same).withColumn("n_valid", F.col("__before") + F.coalesce(F.sum(F.col("valid").cast("int")).over(upto), F.lit(0)))
+    found = counted.filter((F.col("valid") & (F.col("n_valid") <= k)) | (~F.col("valid") & (F.col("n_valid") < k))).withColumn("kept", F.col("valid"))
+    return found.drop("__part", "__at", "__before", *names)
 
 
 def first_per_group(rows: DataFrame, group: str, order: str, k: int, skip: Column) -> DataFrame:

@@ -31,3 +31,22 @@ def test_no_weight_and_repeated_rows(spark):
     assert sample.exact_draws(rows.limit(0), "weight", 10, 1, "id").count() == 0
     same = spark.createDataFrame([(1, 1.0)] * 5 + [(None, 5.0)], "id long, weight double")
     assert sample.exact_draws(same, "weight", 1000, 1, "id").agg(F.sum("times"), F.count("*")).first()[:] == (1000, 6)
+
+
+def test_first_valid_of_a_group_in_many_ranges(spark):
+    rows = [("hot", i, i % 3 != 0) for i in range(900)] + [(None, i, i % 2 == 1) for i in range(30)] + [("few", i, i == 1) for i in range(3)]
+    want = set()
+    for g in {r[0] for r in rows}:
+        seen = 0
+        for _, at, good in sorted(r for r in rows if r[0] == g):
+            if seen < 7:
+                want.add((g, at, good))
+                seen += good
+    table = spark.createDataFrame(rows, "g string, at long, good boolean").repartition(5)
+    for parts in ("2", "9"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sample.first_valid(table, ["g"], ["at"], F.col("good"), 7)
+        assert got.columns == ["g", "at", "good", "valid", "n_valid", "kept"]
+        assert {(r["g"], r["at"], r["kept"]) for r in got.collect()} == want
+        spark.conf.set("spark.sql.shuffle.partitions", before)
