@@ -7,36 +7,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.operators.order import with_group_index, with_index
+from evalmill.operators.order import cut_lineage, with_index
 
 
-def distribution(rows: DataFrame, keys: list[str], value: str, digits: int = 9) -> DataFrame:
-    """AGG-19: count, mean, population deviation, extremes and exact linear quantiles, share of values from a half on.
+def cell_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles of each key: (__k0, ..., a column for each point); null is a key.
 
-    Quantiles come from places in a global order over ranges, so a key may have any number of values; null is a key.
+    Equal values are one cell with a count before anything is ordered, so a frequent value weighs nothing. Cells are dealt by ranges of (key,
+    value); sums by key and range give where a range begins in its key, and only inside a range cells are put in order.
     """
+    names, v = [f"__k{i}" for i in range(len(keys))], F.col(value)
+    cells = rows.filter(v.isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], v.cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(cells.repartitionByRange(parts, *names, "__v").withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*names, "__part").agg(F.sum("__n").alias("__s"))
+    whole = Window.partitionBy(*names)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*[F.col(n).alias(f"__b{i}") for i, n in enumerate(names)], F.col("__part").alias("__at"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base"), F.sum("__s").over(whole).alias("__total"))
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"__b{i}")) for i, n in enumerate(names)], F.col("__part") == F.col("__at"))
+    inside = Window.partitionBy(*names, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(bases, same).withColumn("__upto", F.col("__base") + F.sum("__n").over(inside))
+    holds = lambda x: (F.col("__upto") - F.col("__n") <= x) & (x < F.col("__upto"))
+    place = {n: (F.col("__total") - 1) * F.lit(p) for n, p in points.items()}
+    low = {n: F.max(F.when(holds(F.floor(x)), F.col("__v"))) for n, x in place.items()}
+    high = {n: F.max(F.when(holds(F.ceil(x)), F.col("__v"))) for n, x in place.items()}
+    part = {n: F.max(x - F.floor(x)) for n, x in place.items()}
+    met = placed.filter(reduce(Column.__or__, [holds(F.floor(x)) | holds(F.ceil(x)) for x in place.values()]))
+    return met.groupBy(*names).agg(*[(low[n] + (high[n] - low[n]) * part[n]).alias(n) for n in points])
+
+
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+
+
+def distribution(rows: DataFrame, keys: list[str], value: str, digits: int = 9) -> DataFrame:
+    """AGG-19: count, mean, population deviation, extremes and exact linear quantiles, share of values from a half on."""
     if not keys:
         return distribution(rows.withColumn("__all", F.lit(0)), ["__all"], value, digits).drop("__all")
     v = F.col(value)
     flat = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(F.count_if(v >= 0.5).cast("double"), F.count(value).cast("double")).alias("share_from_half"))
     points = {"q05": 0.05, "median": 0.5, "q95": 0.95}
-    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    placed = with_group_index(rows.filter(v.isNotNull()).select(*named, v.cast("double").alias("__v")), "__at", [f"__k{i}" for i in range(len(keys))], "__v")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    place = {n: (F.col("n") - 1) * F.lit(p) for n, p in points.items()}
-    met = placed.join(F.broadcast(flat.select(*keys, "n")), same).filter(reduce(Column.__or__, [F.col("__at").between(F.floor(x), F.ceil(x)) for x in place.values()]))
-    low = {n: F.max(F.when(F.col("__at") == F.floor(x), F.col("__v"))) for n, x in place.items()}
-    high = {n: F.max(F.when(F.col("__at") == F.ceil(x), F.col("__v"))) for n, x in place.items()}
-    part = {n: F.max(x - F.floor(x)) for n, x in place.items()}
-    quantiles = met.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(*[F.round(low[n] + (high[n] - low[n]) * part[n], digits).alias(n) for n in points])
-    return flat.join(quantiles, same, "left").select(*keys, "n", "mean", "std", "min", *points, "max", "share_from_half")
+    quantiles = cell_quantiles(rows, keys, value, points)
+    return flat.join(quantiles, _same_keys(keys), "left").select(*keys, "n", "mean", "std", "min", *[F.round(n, digits).alias(n) for n in points], "max", "share_from_half")
 
 
 def container_summary(rows: DataFrame, levels: dict[str, Column], numbers: list[str]) -> DataFrame:
     """AGG-15: count and min, median, max of each number, per label and per source."""
-    named = rows.withColumn("__l", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.cast("string").alias("level_key")) for n, c in levels.items()]))).filter("__l.level_key IS NOT NULL")
-    aggs = [a for n in numbers for a in (F.min(n).alias(f"min_{n}"), F.median(n).alias(f"median_{n}"), F.max(n).alias(f"max_{n}"))]
-    return named.groupBy("__l.level", "__l.level_key").agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.cast("string").alias("level_key")) for n, c in levels.items()]))
+    named = rows.select(each.alias("__l"), *numbers).filter("__l.level_key IS NOT NULL").select("__l.level", "__l.level_key", *numbers)
+    keys = ["level", "level_key"]
+    made = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[a for n in numbers for a in (F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"))])
+    for n in numbers:
+        made = made.join(cell_quantiles(named, keys, n, {f"median_{n}": 0.5}), _same_keys(keys), "left").drop("__k0", "__k1")
+    return made.select(*keys, "n_rows", *[f"{f}_{n}" for n in numbers for f in ("min", "median", "max")])
 
 
 def top_values(rows: DataFrame, keys: list[str], value: str, limit: int) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Bootstrap replicates against numpy, on ties and on any partitions."""
+"""Bootstrap replicates and quantiles against numpy, on ties and on any partitions."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.operators import replicates
+from evalmill.operators import replicates, stats
 
 
 def auc_of(scores, labels, times):
@@ -40,3 +40,20 @@ def test_no_rows_and_one_label(spark):
     assert replicates.bootstrap_auc(one, "id", "a", "b", 10, 1).filter("median IS NOT NULL").count() == 0
     with pytest.raises(Exception, match="isn't finite"):
         replicates.bootstrap_auc(one.withColumn("a", F.lit(None).cast("double")), "id", "a", "b", 10, 1).collect()
+
+
+def test_quantiles_of_frequent_values(spark):
+    rng = np.random.default_rng(9)
+    values = {"a": np.append(np.full(400, 3.0), rng.normal(0, 5, 500)), None: rng.integers(0, 4, 77).astype(float), "one": np.array([2.5]), "same": np.full(50, 7.0)}
+    table = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("empty", None), ("a", None)], "k string, v double").repartition(6)
+    points = {"q05": 0.05, "median": 0.5, "q95": 0.95, "low": 0.0, "high": 1.0}
+    for parts in ("3", "11"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["__k0"]: [r[n] for n in points] for r in stats.cell_quantiles(table, ["k"], "v", points).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert set(got) == set(values)
+        for k, vs in values.items():
+            assert got[k] == pytest.approx(list(np.quantile(vs, list(points.values()))))
+    whole = {r["k"]: r for r in stats.distribution(table, ["k"], "v").collect()}
+    assert whole["empty"]["n"] == 0 and whole["empty"]["median"] is None and whole["same"]["q05"] == 7.0
