@@ -1,4 +1,4 @@
-"""Near pairs of 64-bit hashes by exact banding, cosine neighbours in blocks, and greedy one-to-one matching."""
+"""Near pairs of 64-bit hashes by exact banding, and greedy one-to-one matching."""
 
 from __future__ import annotations
 
@@ -6,12 +6,11 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.columns import hamming
+from evalmill.operators.cosine import cosine_top
 from evalmill.operators.order import cut_lineage, with_index
 
 
@@ -83,37 +82,6 @@ def nearest_hash(left: DataFrame, right: DataFrame, key: str, hash_: str, radius
     return left.select(F.col(key).alias("a"), F.col(hash_).alias("hash_a")).join(best, "hash_a").select("a", "best.b", "best.distance")
 
 
-def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """JN-15: the k most similar right rows of each left row; rows without a vector have no neighbours and are none.
-
-    Both sides are cut by hash into blocks of about ``block`` rows. A cell of the grid of blocks is one group: a matrix product and
-    its top k; a last top k goes over cells. No group outgrows two blocks at any size, and a left row and cell shuffle k rows on.
-    """
-    rows = lambda df, id_, name: df.filter(F.col(vector).isNotNull()).select(F.col(key).alias(id_), F.col(vector).alias(name))
-    a, b = rows(left, "a", "va"), rows(right, "b", "vb")
-    n_slices, n_blocks = (max(1, -(-df.count() // block)) for df in (a, b))
-    place = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = a.withColumn("slice", place("a", n_slices)).withColumn("block", every(n_blocks))
-    cut = b.withColumn("block", place("b", n_blocks)).withColumn("slice", every(n_slices))
-
-    def best(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        if left_rows.empty or right_rows.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        unit = lambda column: (lambda m: m / np.maximum(1e-300, np.linalg.norm(m, axis=1, keepdims=True)))(np.stack(column.to_numpy()).astype(float))
-        found = unit(left_rows["va"]) @ unit(right_rows["vb"]).T
-        near = np.round(found, 9)
-        least = np.partition(near, -k, axis=1)[:, [-k]] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
-        i, j = np.nonzero(near >= least)
-        out = pd.DataFrame({"a": left_rows["a"].to_numpy()[i], "b": right_rows["b"].to_numpy()[j], "similarity": found[i, j], "near": near[i, j]})
-        return out.sort_values(["near", "b"], ascending=[False, True]).groupby("a").head(k)[["a", "b", "similarity"]]
-
-    kind = dict(left.dtypes)[key]
-    part = met.groupBy("block", "slice").cogroup(cut.groupBy("block", "slice")).applyInPandas(best, f"a {kind}, b {kind}, similarity double")
-    order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), "b")
-    return part.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).withColumn("similarity", F.round("similarity", 6))
-
-
 def greedy_flows(scored: DataFrame) -> DataFrame:
     """(a, b, similarity, flow) of rows (a, b, similarity, room_a, room_b): greedy by similarity, ties by a hash of the pair and ids.
 
@@ -168,7 +136,7 @@ def assignment(left: DataFrame, right: DataFrame, key: str, vector: str, k: int,
     most, flows = k * left_rows.count(), []
     while (n := lefts.count()) and not rights.isEmpty():
         seen = max(k, min(most // n, cell // min(n, 4096)))
-        found = cosine_top(lefts, rights, "node", vector, seen).select("a", "b", "similarity")
+        found = cosine_top(lefts, rights, "node", vector, seen, most_blocks=1).select("a", "b", "similarity")
         rooms = [df.select(F.col("node").alias(s), F.col("room").alias(f"room_{s}")) for df, s in ((lefts, "a"), (rights, "b"))]
         got = greedy_flows(found.join(rooms[0], "a").join(rooms[1], "b"))
         flows.append(got)

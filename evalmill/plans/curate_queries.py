@@ -12,6 +12,7 @@ from evalmill.operators import decide as D
 from evalmill.operators import metrics as M
 from evalmill.operators import neighbours as N
 from evalmill.operators import stats as T
+from evalmill.operators.cosine import cosine_top, search_work
 from evalmill.plans import bindings as B
 from evalmill.plans.bindings import sql
 from evalmill.plans.metric_queries import POOLED_SQL, auc_sql, grouped_sql
@@ -240,7 +241,7 @@ COSINE = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST
 
 def similar(spark, d, k):
     rows = B.vectors(spark, d)
-    return N.cosine_top(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "embedding", k)
+    return cosine_top(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "embedding", k)
 
 
 @query("jn15_cosine_top", f"WITH {COSINE} SELECT a, b, round(s, 6) AS similarity, place FROM t WHERE place <= 3")
@@ -248,6 +249,12 @@ def jn15(spark, d):
     return similar(spark, d, 3)
 
 
+@query("jn15_search_work")
+def jn15b(spark, d):
+    rows = B.vectors(spark, d)
+    return search_work(rows.filter("label < 5"), rows.filter("label >= 5"), "vec_id", "embedding", 3)
+
+
 @query("agg35_matchability", f"WITH {COSINE} SELECT a AS vec_id, round(avg(round(s, 6)), 5) AS mean_similarity, min(round(s, 6)) AS min_similarity, max(round(s, 6)) AS max_similarity FROM t WHERE place <= 8 GROUP BY a")
 def agg35(spark, d):
     return N.top_summary(similar(spark, d, 8), "vec_id")
