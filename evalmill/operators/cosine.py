@@ -8,8 +8,10 @@ There are two rounds, whatever the data are. In the first a left row meets its n
 it a k-th similarity; in the second it meets every other block whose bound reaches that. Where vectors don't cluster, nothing
 can be skipped, and the two rounds together are the full product, each pair once.
 
-A block and its visitors are cut by hash into cells of at most about ``cell`` rows a side, so a block with most of the rows, or one that
-everybody visits, is many tasks. A left row and cell send at most k rows on.
+Blocks that are near each other share a bin of at most ``bin_rows`` rows (a larger block is cut by hash into pieces), and the visitors of a bin
+are cut by hash into slices of about ``cell`` rows, so a block with most of the rows, or one that everybody visits, is many tasks. A
+left row is sent once to a bin, with the blocks that it visits there and its k-th similarity so far; a bin sends at most k rows on for
+it, and none below that.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from evalmill.operators.order import cut_lineage
 #: Allowances for rounding: of an angle in radians, and of a similarity beyond the nine digits by which rows are ranked.
 ANGLE, SIMILARITY = 1e-6, 1e-8
 
-#: Left rows of a cell whose similarities are held at a time.
-STEP = 512
+#: Similarities of a cell that are held at a time (8 bytes each).
+HELD = 4_000_000
 
 
 def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -84,45 +86,88 @@ def _to_visit(anchors: np.ndarray, radii: np.ndarray, sizes: np.ndarray, k: int)
                 wanted = np.zeros(found.shape, dtype=bool)
                 np.put_along_axis(wanted, order, np.cumsum(held, axis=1) - held < k, axis=1)
             blocks = pa.array([np.flatnonzero(w).tolist() for w in wanted], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("va"), blocks], names=["a", "va", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("va"), batch.column("kth"), blocks], names=["a", "va", "kth", "blocks"])
 
     return run
 
 
-def _cells(visits: DataFrame, blocks: DataFrame, sizes: dict[int, int], kinds: str, k: int, cell: int) -> DataFrame:
-    """(a, b, similarity, near): the k best of every cell for each of its left rows, for visits (a, va, block) and rows (b, vb, block)."""
-    visitors = {r["block"]: r["n"] for r in visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a block
-    parts = [(b, -(-n // cell), -(-sizes[b] // cell)) for b, n in visitors.items()]
-    dealt = F.broadcast(visits.sparkSession.createDataFrame(parts, "block int, slices int, pieces int"))
-    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(dealt, "block").withColumn("slice", own("a", "slices")).withColumn("piece", every("pieces")).select("block", "slice", "piece", "a", "va")
-    right = blocks.join(dealt, "block").withColumn("piece", own("b", "pieces")).withColumn("slice", every("slices")).select("block", "slice", "piece", "b", "vb")
+class _Best:
+    """The k best of every left row of a cell, block by block."""
+
+    def __init__(self, kth: np.ndarray, k: int):
+        self.k, self.kth = k, kth
+        self.top = np.full((len(kth), k), -np.inf)
+        self.rows, self.columns, self.exact = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+
+    def meet(self, rows: np.ndarray, columns: np.ndarray, found: np.ndarray) -> None:
+        near = np.round(found, 9)
+        own = np.partition(near, -self.k, axis=1)[:, -self.k :] if near.shape[1] > self.k else near
+        self.top[rows] = np.partition(np.hstack([self.top[rows], own]), -self.k, axis=1)[:, -self.k :]
+        self.kth[rows] = np.maximum(self.kth[rows], self.top[rows].min(axis=1))
+        i, j = np.nonzero(near >= self.kth[rows][:, None])
+        self.rows.append(rows[i])
+        self.columns.append(columns[j])
+        self.exact.append(found[i, j])
+
+    def result(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, value = np.concatenate(self.rows), np.concatenate(self.columns), np.concatenate(self.exact)
+        order = np.lexsort((rank[j], -np.round(value, 9), i))
+        i, j, value = i[order], j[order], value[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        return i[first], j[first], value[first]
+
 
-    def best(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(lefts: pa.Table, rights: pa.Table) -> pa.Table:
         ids_a, ids_b = lefts.column("a").combine_chunks(), rights.column("b").combine_chunks()
-        rows, columns, exact = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        rank = np.empty(len(ids_b), int)
+        rank[pc.sort_indices(ids_b).to_numpy()] = np.arange(len(ids_b))
+        best = _Best(pc.fill_null(lefts.column("kth"), float("-inf")).to_numpy().copy(), k)
         if len(ids_a) and len(ids_b):
             va, vb = units(lefts.column("va")), units(rights.column("vb"))
-            rank = np.empty(len(ids_b), int)
-            rank[pc.sort_indices(ids_b).to_numpy()] = np.arange(len(ids_b))
-            for at in range(0, len(va), STEP):
-                found = va[at : at + STEP] @ vb.T
-                near = np.round(found, 9)
-                least = np.partition(near, -k, axis=1)[:, [-k]] if near.shape[1] > k else np.full((len(near), 1), -np.inf)
-                i, j = np.nonzero(near >= least)
-                order = np.lexsort((rank[j], -near[i, j], i))
-                i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[place < k], j[place < k]
-                rows.append(i + at)
-                columns.append(j)
-                exact.append(found[i, j])
-        value = np.concatenate(exact)
-        return pa.table({"a": ids_a.take(pa.array(np.concatenate(rows))), "b": ids_b.take(pa.array(np.concatenate(columns))), "similarity": value, "near": np.round(value, 9)})
-
-    key = ("block", "slice", "piece")
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, f"{kinds}, similarity double, near double")
+            visits = lefts.column("blocks").combine_chunks()
+            visitor, visited = np.repeat(np.arange(len(visits)), pc.list_value_length(visits).to_numpy()), visits.flatten().to_numpy()
+            block = rights.column("block").to_numpy()
+            for number in np.unique(block):
+                rows, columns = visitor[visited == number], np.flatnonzero(block == number)
+                step = max(1, HELD // len(columns))
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    best.meet(some, columns, va[some] @ vb[columns].T)
+        i, j, value = best.result(rank)
+        return pa.table({"a": ids_a.take(pa.array(i)), "b": ids_b.take(pa.array(j)), "similarity": value, "near": np.round(value, 9)})
+
+    return run
+
+
+def _bins(anchors: np.ndarray, sizes: list[int], bin_rows: int) -> list[int]:
+    """The bin of each block: blocks in a chain of nearest anchors fill bins up to ``bin_rows``."""
+    bins, number, filled, at, open_ = [0] * len(sizes), 0, 0, 0, set(range(len(sizes)))
+    while open_:
+        open_.remove(at)
+        if filled and filled + sizes[at] > bin_rows:
+            number, filled = number + 1, 0
+        bins[at], filled = number, filled + sizes[at]
+        if open_:
+            rest = np.array(sorted(open_))
+            at = int(rest[(anchors[rest] @ anchors[at]).argmax()])
+    return bins
+
+
+def _cells(chosen: DataFrame, blocks: DataFrame, sizes: list[int], bins: list[int], kinds: str, k: int, cell: int, bin_rows: int) -> DataFrame:
+    """(a, b, similarity, near): the k best of every bin for each of its visitors, for rows (a, va, kth, blocks) and (b, vb, block)."""
+    table = F.array(*[F.lit(n) for n in bins])
+    of = lambda x: F.get(table, x)
+    visits = chosen.withColumn("bin", F.explode(F.array_distinct(F.transform("blocks", of)))).withColumn("blocks", F.filter("blocks", lambda x: of(x) == F.col("bin")))
+    visitors = visits.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a bin
+    held = np.bincount(bins, weights=sizes)
+    dealt = F.broadcast(chosen.sparkSession.createDataFrame([(r["bin"], -(-r["n"] // cell), int(-(-held[r["bin"]] // bin_rows))) for r in visitors], "bin int, slices int, pieces int"))
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ("bin", "slice", "piece")
+    left = visits.join(dealt, "bin").withColumn("slice", own("a", "slices")).withColumn("piece", every("pieces")).select(*key, "a", "va", "kth", "blocks")
+    right = blocks.withColumn("bin", of("block")).join(dealt, "bin").withColumn("piece", own("b", "pieces")).withColumn("slice", every("slices")).select(*key, "b", "vb", "block")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), f"{kinds}, similarity double, near double")
 
 
 def _placed(found: DataFrame, k: int) -> DataFrame:
@@ -130,58 +175,56 @@ def _placed(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def _search(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int, most_blocks: int, cell: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
-    """The k best (a, b, similarity, near, place), all visits (a, block) and the sizes of blocks."""
+def _search(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int, most_blocks: int, cell: int, bin_rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The k best (a, b, similarity, near, place), the blocks that each left row visits (a, blocks) in either round, and the sizes of blocks."""
     spark, kind = left.sparkSession, dict(left.dtypes)[key]
     kinds = f"a {kind}, b {dict(right.dtypes)[key]}"
     rows = lambda df, id_, name: df.filter(F.col(key).isNotNull() & whole(vector)).select(F.col(key).alias(id_), F.col(vector).cast("array<double>").alias(name))
     a, b = rows(left, "a", "va"), rows(right, "b", "vb")
     n_right = b.count()
     if not n_right:
-        return spark.createDataFrame([], f"{kinds}, similarity double, near double, place int"), spark.createDataFrame([], f"a {kind}, block int"), {}
+        return spark.createDataFrame([], f"{kinds}, similarity double, near double, place int"), spark.createDataFrame([], f"a {kind}, blocks array<int>"), []
     n_blocks = min(most_blocks, -(-n_right // block))
     if n_blocks == 1:
-        visits = a.withColumn("block", F.lit(0))
-        return _placed(_cells(visits, b.withColumn("block", F.lit(0)), {0: n_right}, kinds, k, cell), k), visits.select("a", "block"), {0: n_right}
+        chosen = a.select("a", "va", F.lit(None).cast("double").alias("kth"), F.array(F.lit(0)).alias("blocks"))
+        return _placed(_cells(chosen, b.withColumn("block", F.lit(0)), [n_right], [0], kinds, k, cell, bin_rows), k), chosen.select("a", "blocks"), [n_right]
 
     drawn = b.orderBy(F.xxhash64("b"), "b").select("vb").limit(n_blocks).toArrow()  # at most most_blocks vectors
     anchors = units(drawn.column("vb"))
     blocks = cut_lineage(b.mapInArrow(_with_block(anchors), f"b {dict(b.dtypes)['b']}, vb array<double>, block int, angle double"))
     shape = {r["block"]: (r["radius"], r["n"]) for r in blocks.groupBy("block").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(shape)  # anchors that are copies of others have no rows
-    compact = {old: new for new, old in enumerate(names)}
-    radii, sizes = (np.array([shape[n][i] for n in names]) for i in (0, 1))
-    numbers = F.broadcast(spark.createDataFrame(list(compact.items()), "block int, number int"))
+    anchors, radii, sizes = anchors[names], np.array([shape[n][0] for n in names]), [shape[n][1] for n in names]
+    bins = _bins(anchors, sizes, bin_rows)
+    numbers = F.broadcast(spark.createDataFrame([(old, new) for new, old in enumerate(names)], "block int, number int"))
     blocks = blocks.join(numbers, "block").select("b", "vb", F.col("number").alias("block"))
-    held = {i: int(n) for i, n in enumerate(sizes)}
-    visit = lambda df: cut_lineage(df.mapInArrow(_to_visit(anchors[names], radii, sizes, k), f"a {kind}, va array<double>, blocks array<int>"))
-    flat = lambda df: df.select("a", "va", F.explode("blocks").alias("block"))
+    visit = lambda df: cut_lineage(df.mapInArrow(_to_visit(anchors, radii, np.array(sizes), k), f"a {kind}, va array<double>, kth double, blocks array<int>"))
 
-    first = visit(a)
-    early = cut_lineage(_placed(_cells(flat(first), blocks, held, kinds, k, cell), k))
+    first = visit(a.withColumn("kth", F.lit(None).cast("double")))
+    early = cut_lineage(_placed(_cells(first, blocks, sizes, bins, kinds, k, cell, bin_rows), k))
     kth = early.filter(F.col("place") == k).select("a", F.col("near").alias("kth"))
-    second = visit(first.withColumnRenamed("blocks", "visited").join(kth, "a", "left"))
-    late = _cells(flat(second), blocks, held, kinds, k, cell)
-    return _placed(early.drop("place").unionByName(late), k), flat(first).unionByName(flat(second)).select("a", "block"), held
+    second = visit(first.drop("kth").withColumnRenamed("blocks", "visited").join(kth, "a", "left"))
+    late = _cells(second, blocks, sizes, bins, kinds, k, cell, bin_rows)
+    return _placed(early.drop("place").unionByName(late), k), first.select("a", "blocks").unionByName(second.select("a", "blocks")), sizes
 
 
-def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 1024, most_blocks: int = 1024, cell: int = 4096) -> DataFrame:
+def cosine_top(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 1024, most_blocks: int = 1024, cell: int = 4096, bin_rows: int = 32768) -> DataFrame:
     """JN-15: (a, b, similarity, place), the k most similar right rows of each left row, ties at nine digits by the right key.
 
     Rows without a key or a vector, or with a null or infinite entry in it, have no neighbours and are none. A zero vector has similarity 0
     with all. Keys of a side are unique. Vectors of different lengths raise.
     """
-    found = _search(left, right, key, vector, k, block, most_blocks, cell)[0]
+    found = _search(left, right, key, vector, k, block, most_blocks, cell, bin_rows)[0]
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"), "place")
 
 
-def search_work(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 1024, most_blocks: int = 1024, cell: int = 4096) -> DataFrame:
+def search_work(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, block: int = 1024, most_blocks: int = 1024, cell: int = 4096, bin_rows: int = 32768) -> DataFrame:
     """What the search of ``cosine_top`` costs: blocks, visits of blocks by left rows, pairs compared, and the share of all visits that bounds made needless."""
-    visits, sizes = _search(left, right, key, vector, k, block, most_blocks, cell)[1:]
+    visits, sizes = _search(left, right, key, vector, k, block, most_blocks, cell, bin_rows)[1:]
     spark = left.sparkSession
-    held = F.broadcast(spark.createDataFrame(list(sizes.items()), "block int, n long"))
+    held = F.broadcast(spark.createDataFrame(list(enumerate(sizes)), "block int, n long"))
     n_left = left.filter(F.col(key).isNotNull() & whole(vector)).agg(F.count(F.lit(1)).alias("n_left"))
-    done = visits.join(held, "block").agg(F.count(F.lit(1)).alias("n_visits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_compared"))
-    n_right = sum(sizes.values())
+    done = visits.select(F.explode("blocks").alias("block")).join(held, "block").agg(F.count(F.lit(1)).alias("n_visits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_compared"))
+    n_right = sum(sizes)
     skipped = F.round(1 - F.coalesce(F.try_divide(F.col("n_visits"), F.col("n_left") * len(sizes)), F.lit(1.0)), 6)
     return n_left.crossJoin(F.broadcast(done)).select("n_left", F.lit(n_right).cast("long").alias("n_right"), F.lit(len(sizes)).alias("n_blocks"), "n_visits", "n_compared", (F.col("n_left") * n_right).alias("n_pairs"), skipped.alias("share_skipped"))

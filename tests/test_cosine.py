@@ -34,15 +34,15 @@ def clustered(n, seed, spread):
 def test_equals_all_pairs(spark, spread, k):
     left, right = clustered(60, 1, spread), clustered(400, 2, spread)
     a, b = frames(spark, left, right)
-    assert got(cosine_top(a, b, "id", "v", k, block=20, cell=16)) == brute(left, right, k)
+    assert got(cosine_top(a, b, "id", "v", k, block=20, cell=16, bin_rows=50)) == brute(left, right, k)
 
 
 def test_clusters_are_skipped_and_pairs_are_compared_once(spark):
     a, b = frames(spark, clustered(60, 1, 0.02), clustered(400, 2, 0.02))
-    tight = search_work(a, b, "id", "v", 3, block=20, cell=16).first()
+    tight = search_work(a, b, "id", "v", 3, block=20, cell=16, bin_rows=50).first()
     assert tight["share_skipped"] > 0.5 and tight["n_compared"] < tight["n_pairs"] // 2
     a, b = frames(spark, clustered(60, 1, 20.0), clustered(400, 2, 20.0))
-    loose = search_work(a, b, "id", "v", 3, block=20, cell=16).first()
+    loose = search_work(a, b, "id", "v", 3, block=20, cell=16, bin_rows=50).first()
     assert loose["n_compared"] <= loose["n_pairs"]
 
 
@@ -51,7 +51,7 @@ def test_a_third_of_equal_vectors_and_fewer_rows_than_k(spark):
     right = [(i, left[0][1]) if i % 3 == 0 else (i, v) for i, (_, v) in enumerate(clustered(150, 2, 0.1))]
     a, b = frames(spark, left, right)
     for k in (5, 60, 500):
-        assert got(cosine_top(a, b, "id", "v", k, block=10, cell=8)) == brute(left, right, k)
+        assert got(cosine_top(a, b, "id", "v", k, block=10, cell=8, bin_rows=30)) == brute(left, right, k)
 
 
 def test_awkward_rows(spark):
