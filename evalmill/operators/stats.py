@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.operators.contracts import ContractError
 from evalmill.operators.order import cut_lineage, with_index
 
 
@@ -97,11 +98,39 @@ def balanced_effects(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return sums.select(share(F.col("sa")).alias(f"{a}_share"), share(F.col("sb")).alias(f"{b}_share"), share(F.greatest(F.lit(0.0), F.col("t") - F.col("sa") - F.col("sb"))).alias("rest_share"))
 
 
+def balance_report(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """AGG-21: whether a two-way table holds each cell once: names of either side, cells, missing and repeated ones. Rows without a name are counted apart."""
+    named = F.col(a).isNotNull() & F.col(b).isNotNull()
+    counts = cells.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(
+        F.count_distinct(F.when(named, F.col(a))).alias("n_a"), F.count_distinct(F.when(named, F.col(b))).alias("n_b"), F.count_if(named).alias("n_cells"),
+        F.count_if(named & (F.col("n") > 1)).alias("n_repeated"), F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("n_unnamed"),
+    )
+    missing = F.col("n_a") * F.col("n_b") - F.col("n_cells")
+    return one.withColumn("n_missing", missing).withColumn("balanced", (F.col("n_missing") == 0) & (F.col("n_repeated") == 0) & (F.col("n_unnamed") == 0) & (F.col("n_cells") > 0))
+
+
+def demand_balance(cells: DataFrame, a: str, b: str, limit: int = 5) -> None:
+    """AGG-21: raises where a two-way table isn't balanced, with a few of the broken cells by name."""
+    report = balance_report(cells, a, b).first()
+    if not report["balanced"]:
+        shown = "; ".join(f"{a}={r[a]}, {b}={r[b]}: {r['n_rows']} rows" for r in grid_gaps(cells, a, b).orderBy(a, b).limit(limit).collect())
+        raise ContractError(f"not every cell is there once ({report['n_missing']} missing, {report['n_repeated']} repeated, {report['n_unnamed']} rows without a name): {shown}")
+
+
 def grid_gaps(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """JN-20: cells of the full table a x b that don't hold exactly one row."""
-    full = cells.select(a).distinct().crossJoin(cells.select(b).distinct())
-    counts = cells.groupBy(a, b).agg(F.count(F.lit(1)).alias("n_rows"))
-    return full.join(counts, [a, b], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).filter("n_rows <> 1")
+    """JN-20: cells of the full table a x b that don't hold exactly one row; rows without a name are in no cell.
+
+    Missing cells are the names of the side with fewer names, as one array, less those that a name of the other side has; names with
+    a full row make none. So only the array is broadcast, and it is no longer than the square root of the full table.
+    """
+    counts = cells.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n_rows"))
+    n_a, n_b = counts.agg(F.count_distinct(a), F.count_distinct(b)).first()
+    few, many = (a, b) if n_a <= n_b else (b, a)
+    every = counts.agg(F.collect_set(few).alias("__every"))
+    held = counts.groupBy(many).agg(F.collect_set(few).alias("__held")).filter(F.size("__held") < min(n_a, n_b))
+    missing = held.crossJoin(F.broadcast(every)).select(many, F.explode(F.array_except("__every", "__held")).alias(few), F.lit(0).cast("long").alias("n_rows"))
+    return counts.filter("n_rows > 1").select(a, b, "n_rows").unionByName(missing)
 
 
 def between_share(rows: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:

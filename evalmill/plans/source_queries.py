@@ -19,8 +19,10 @@ from evalmill.plans.bindings import sql
 from evalmill.plans.metric_queries import auc_sql, grouped_sql
 from evalmill.plans.registry import query
 from evalmill.plans.stat_queries import rank_sql
+from evalmill.sources import accounting as Q
 from evalmill.sources import manifests as S
 from evalmill.sources import sinks as W
+from evalmill.sources.committed import read_committed, write_committed
 
 
 @query("src02_manifest_violations", sql("""WITH r AS (SELECT CASE WHEN sample_id % 17 = 0 THEN NULL ELSE path END AS path, CASE WHEN sample_id % 13 = 0 THEN 2 ELSE label END AS label FROM manifest_v UNION ALL SELECT path, label FROM quality_v)
@@ -48,6 +50,26 @@ def src07(spark, d):
     return S.reject_counts(B.table(spark, d, "documents").select("lang", "n_chars"), reason)
 
 
+@query("src07_accounted_write", "SELECT CASE WHEN lang <> 'en' THEN 'lang' WHEN n_chars < 200 THEN 'short' WHEN n_chars > 5000 THEN 'long' ELSE 'accepted' END AS reason, count(*) AS n_rows FROM documents GROUP BY 1")
+def src07b(spark, d):
+    rejects = {"lang": F.col("lang") != "en", "short": F.col("n_chars") < 200, "long": F.col("n_chars") > 5000}
+    return Q.write_accepted(B.table(spark, d, "documents"), rejects, W.fresh_folder(spark, "accepted"))
+
+
+@query("con01_accounted_write", """SELECT rule, count(*) AS n_rows FROM (SELECT unnest(list_filter([CASE WHEN NOT coalesce(lang IN ('en', 'de', 'fr'), false) THEN 'lang' END, CASE WHEN NOT coalesce(n_chars >= 300, false) THEN 'size' END,
+CASE WHEN NOT coalesce(length(text) = n_chars, false) THEN 'length' END], lambda x: x IS NOT NULL)) AS rule FROM documents) GROUP BY rule""")
+def con01b(spark, d):
+    rules = {"lang": F.col("lang").isin("en", "de", "fr"), "size": F.col("n_chars") >= 300, "length": F.length("text") == F.col("n_chars")}
+    return Q.write_contract(B.table(spark, d, "documents"), rules, W.fresh_folder(spark, "contract"))
+
+
+@query("snk08_accounted_write", """SELECT 'lang' AS fact, CASE WHEN lang IS NULL THEN 'missing' WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS value, count(*) AS n_rows FROM documents GROUP BY 2
+UNION ALL SELECT 'long', CASE WHEN n_chars IS NULL THEN 'missing' WHEN n_chars > 5000 THEN '1' ELSE '0' END, count(*) FROM documents GROUP BY 2""")
+def snk08b(spark, d):
+    facts = {"lang": (F.col("lang"), ["en", "de"]), "long": ((F.col("n_chars") > 5000).cast("int"), [0, 1])}
+    return Q.write_selection(B.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), facts, W.fresh_folder(spark, "selection"))
+
+
 @query("src10_inventory_difference", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_files, b.doc_id IS NOT NULL AS in_index FROM (SELECT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
 def src10(spark, d):
     return S.inventory_difference(B.table(spark, d, "documents").filter("lang = 'en'"), B.table(spark, d, "labels"), "doc_id")
@@ -126,6 +148,16 @@ def snk06(spark, d):
     return derived.groupBy("derived").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("toxic").alias("n_labels")).filter("n_rows > 1")
 
 
+@query("snk06_derivative_manifest", """WITH c AS (SELECT doc_id, toxic, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'eval' END AS role, sha256(text) AS source_sha256, sha256(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS derived_sha256 FROM documents JOIN labels USING (doc_id))
+SELECT *, count(*) OVER w AS n_copies, min(toxic) OVER w <> max(toxic) OVER w AS mixed_labels, min(role) OVER w <> max(role) OVER w AS overlap FROM c WINDOW w AS (PARTITION BY derived_sha256)""")
+def snk06b(spark, d):
+    rows = B.table(spark, d, "documents").select("doc_id", "text").join(B.table(spark, d, "labels"), "doc_id").withColumn("role", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval"))
+    found = W.canonical_manifest(rows, "doc_id", "toxic", "role", F.col("text"), F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    root = W.fresh_folder(spark, "canonical")
+    write_committed(found, root)
+    return read_committed(spark, root)
+
+
 @query("snk07_content_names", sql("SELECT sample_id, concat(left(regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-', substr(content_sha256, 1, 12), '.txt') AS name FROM manifest_v", "manifest_v"))
 def snk07(spark, d):
     return B.manifest(spark, d).select("sample_id", W.content_name(F.col("path"), F.col("content_sha256"), ".txt").alias("name"))

@@ -111,6 +111,12 @@ def agg21(spark, d):
     return T.balanced_effects(B.grid(spark, d), "prompt_id", "generator", "score")
 
 
+@query("agg21_balance_check", sql("""WITH c AS (SELECT prompt_id, generator, count(*) AS n FROM grid_v GROUP BY 1, 2), r AS (SELECT count(DISTINCT prompt_id) AS n_a, count(DISTINCT generator) AS n_b, count(*) AS n_cells, count(*) FILTER (WHERE n > 1) AS n_repeated, CAST(0 AS BIGINT) AS n_unnamed FROM c)
+SELECT *, n_a * n_b - n_cells AS n_missing, n_a * n_b = n_cells AND n_repeated = 0 AS balanced FROM r""", "grid_v"))
+def agg21b(spark, d):
+    return T.balance_report(B.grid(spark, d), "prompt_id", "generator")
+
+
 SHARE = "round(coalesce((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 0), 9)"
 
 
