@@ -151,8 +151,9 @@ def snk06(spark, d):
 @query("snk06_derivative_manifest", """WITH c AS (SELECT doc_id, toxic, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'eval' END AS role, sha256(text) AS source_sha256, sha256(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS derived_sha256 FROM documents JOIN labels USING (doc_id))
 SELECT *, count(*) OVER w AS n_copies, min(toxic) OVER w <> max(toxic) OVER w AS mixed_labels, min(role) OVER w <> max(role) OVER w AS overlap FROM c WINDOW w AS (PARTITION BY derived_sha256)""")
 def snk06b(spark, d):
-    rows = B.table(spark, d, "documents").select("doc_id", "text").join(B.table(spark, d, "labels"), "doc_id").withColumn("role", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval"))
-    found = W.canonical_manifest(rows, "doc_id", "toxic", "role", F.col("text"), F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    digests = W.derivative_digests(B.table(spark, d, "documents"), "doc_id", F.col("text"), F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    rows = digests.join(B.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").withColumn("role", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval"))
+    found = W.canonical_manifest(rows, "toxic", "role")
     root = W.fresh_folder(spark, "canonical")
     write_committed(found, root)
     return read_committed(spark, root)

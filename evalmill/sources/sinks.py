@@ -79,19 +79,22 @@ def selection_report(rows: DataFrame, groups: dict[str, Column]) -> DataFrame:
     return rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), c.cast("string").alias("value")) for n, c in groups.items()])).alias("x")).groupBy("x.fact", "x.value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def canonical_manifest(rows: DataFrame, key: str, label: str, role: str, source: Column, derived: Column) -> DataFrame:
-    """SNK-06: (key, label, role, source_sha256, derived_sha256, n_copies, mixed_labels, overlap) of every row and its derivative.
+def derivative_digests(rows: DataFrame, key: str, source: Column, derived: Column) -> DataFrame:
+    """SNK-06: (key, source_sha256, derived_sha256); taken where the contents lie, so no content goes through a shuffle."""
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select(key, digest(source).alias("source_sha256"), digest(derived).alias("derived_sha256"))
+
+
+def canonical_manifest(rows: DataFrame, label: str, role: str) -> DataFrame:
+    """SNK-06: ``rows`` with their digests (``derivative_digests``) and n_copies, mixed_labels, overlap of their derivative.
 
     ``mixed_labels``: equal derivatives have different labels; ``overlap``: equal derivatives are in more than one role. A null derivative
     equals no other: it has no digest, one copy and neither fault.
     """
-    digest = lambda c: F.sha2(c.cast("binary"), 256)
-    made = rows.select(key, label, role, digest(source).alias("source_sha256"), digest(derived).alias("derived_sha256"))
     differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
-    shared = made.filter("derived_sha256 IS NOT NULL").groupBy("derived_sha256").agg(F.count(F.lit(1)).alias("n_copies"), differ(label).alias("mixed_labels"), differ(role).alias("overlap")).filter("n_copies > 1")
-    met = made.join(shared, "derived_sha256", "left")
+    shared = rows.filter("derived_sha256 IS NOT NULL").groupBy("derived_sha256").agg(F.count(F.lit(1)).alias("n_copies"), differ(label).alias("mixed_labels"), differ(role).alias("overlap")).filter("n_copies > 1")
     rest = [F.coalesce(c, F.lit(v)).alias(c) for c, v in (("n_copies", 1), ("mixed_labels", False), ("overlap", False))]
-    return met.select(key, label, role, "source_sha256", "derived_sha256", *rest)
+    return rows.join(shared, "derived_sha256", "left").select(*rows.columns, *rest)
 
 
 def demand_canonical(found: DataFrame, key: str) -> None:

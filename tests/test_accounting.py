@@ -7,7 +7,7 @@ from evalmill.operators.contracts import ContractError
 from evalmill.operators.stats import balance_report, demand_balance, grid_gaps
 from evalmill.sources import accounting as Q
 from evalmill.sources.committed import read_committed, read_manifest
-from evalmill.sources.sinks import canonical_manifest, demand_canonical, fresh_folder
+from evalmill.sources.sinks import canonical_manifest, demand_canonical, derivative_digests, fresh_folder
 
 
 def rows_of(df, *names):
@@ -78,7 +78,7 @@ def test_broken_cells_have_names(spark):
 
 def test_derivatives_with_two_labels_or_roles(spark):
     rows = spark.createDataFrame([(1, 0, "train", "A b"), (2, 1, "train", "a B"), (3, 0, "train", "c"), (4, 0, "eval", "C"), (5, 0, "eval", "d"), (6, 1, "train", None), (7, 0, "eval", None)], "id long, label int, role string, text string")
-    found = canonical_manifest(rows, "id", "label", "role", F.col("text"), F.lower("text"))
+    found = canonical_manifest(derivative_digests(rows, "id", F.col("text"), F.lower("text")).join(rows.drop("text"), "id"), "label", "role")
     got = {r["id"]: (r["n_copies"], r["mixed_labels"], r["overlap"]) for r in found.collect()}
     assert got == {1: (2, True, False), 2: (2, True, False), 3: (2, False, True), 4: (2, False, True), 5: (1, False, False), 6: (1, False, False), 7: (1, False, False)}
     demand_canonical(found.filter("id >= 5"), "id")
