@@ -47,6 +47,12 @@ def routed(noise: Column, general_a: Column, general_b: Column, specialist: Colu
     return F.when(noise >= threshold, specialist).otherwise(blend(general_a, general_b, 0.75))
 
 
+def signed_round(x: Column, digits: int) -> Column:
+    """``F.round`` that leaves a negative number that becomes zero a negative zero, as IEEE rounding (and DuckDB) does."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def dot(x: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
 

@@ -159,23 +159,23 @@ def krn03(spark, d):
 
 @query("krn10_blur", f"SELECT vec_id, {L.linear_sql(L.blur_weights(8, 1.0), L.blur_weights(8, 1.0))} AS blurred FROM embeddings")
 def krn10(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "blur_1").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("blurred"))
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "blur_1").select("vec_id", F.transform("embedding", lambda x: C.signed_round(x, 9)).alias("blurred"))
 
 
 @query("krn12_preprocess", f"SELECT vec_id, {L.linear_sql(L.resize_weights(4, 8), L.resize_weights(4, 8), '(({}) - 0.5) / 0.5')} AS pixels FROM embeddings")
 def krn12(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "evaluation_crop").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("pixels"))
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "evaluation_crop").select("vec_id", F.transform("embedding", lambda x: C.signed_round(x, 9)).alias("pixels"))
 
 
 @query("krn13_canonical_square", f"SELECT vec_id, {L.linear_sql(L.window(0, 4, 4), L.window(6, 4, 16))} AS pixels FROM embeddings")
 def krn13(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (4, 16), "canonical_4").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("pixels"))
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (4, 16), "canonical_4").select("vec_id", F.transform("embedding", lambda x: C.signed_round(x, 9)).alias("pixels"))
 
 
 @query("ml07_paired_scoring", "WITH s AS (SELECT vec_id, label, list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))) AS a, list_sum(list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))) AS b FROM embeddings) SELECT vec_id, round(a, 6) AS a, round(b, 6) AS b, round(0.5 * a + 0.5 * b, 6) AS blend FROM s")
 def ml07(spark, d):
     both = R.score_rows(B.vectors(spark, d), "vec_id", "embedding", {"a": lambda m: m[:, :32].sum(axis=1), "b": lambda m: m[:, 32:].sum(axis=1)})
-    return both.select("vec_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(C.blend(F.col("a"), F.col("b"), 0.5), 6).alias("blend"))
+    return both.select("vec_id", C.signed_round(F.col("a"), 6).alias("a"), C.signed_round(F.col("b"), 6).alias("b"), C.signed_round(C.blend(F.col("a"), F.col("b"), 0.5), 6).alias("blend"))
 
 
 @query("udf02_group_callables", sql(grouped_sql("meta_s", ["condition"], "SELECT * FROM grp", "score", "mode", "format").replace("WITH reals", "WITH meta_s AS (SELECT p.condition, p.label, p.score, m.mode, m.format FROM predictions_v p JOIN meta_v m ON p.sample_id = m.sample_id), reals", 1), "predictions_v", "meta_v"))

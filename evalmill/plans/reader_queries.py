@@ -120,7 +120,7 @@ HALF = L.times(L.resize_weights(8, 4), L.resize_weights(4, 8))
 
 @query("udf01_transform_callable", f"SELECT vec_id, {L.linear_sql(HALF, HALF, digits=6)} AS halved FROM embeddings")
 def udf01(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "half").select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("halved"))
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "half").select("vec_id", F.transform("embedding", lambda x: C.signed_round(x, 6)).alias("halved"))
 
 
 @query("udf03_error_predicate", sql("SELECT label, coalesce(generator, real_source) AS group_name, count(*) AS n_rows, count(*) FILTER (WHERE abs(score - label) > 0.75) AS n_errors, count(*) FILTER (WHERE abs(score - label) > 0.75) / CAST(count(*) AS DOUBLE) AS error_rate, round(avg(score), 9) AS mean_score FROM predictions_v GROUP BY 1, 2", "predictions_v"))

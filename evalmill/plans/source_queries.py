@@ -190,13 +190,13 @@ def krn04_haar(spark, d):
 @query("krn06_colours", """WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings), y AS (SELECT *, list_transform(range(0, 21), lambda i: 0.299::DOUBLE * CAST(embedding[3 * i + 1] AS DOUBLE) + 0.587::DOUBLE * CAST(embedding[3 * i + 2] AS DOUBLE) + 0.114::DOUBLE * CAST(embedding[3 * i + 3] AS DOUBLE)) AS luma FROM m)
 SELECT vec_id, list_transform(embedding, lambda x: round(mean + (CAST(x AS DOUBLE) - mean) * 1.2, 6)) AS contrasted, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 0.8, 6)) AS darkened, list_transform(range(0, 63), lambda i: round(luma[i // 3 + 1] + (CAST(embedding[i + 1] AS DOUBLE) - luma[i // 3 + 1]) * 0.8, 6)) AS less_saturated FROM y""")
 def krn06_colours(spark, d):
-    v, rounded = F.col("embedding"), lambda c: F.transform(c, lambda x: F.round(x, 6))
+    v, rounded = F.col("embedding"), lambda c: F.transform(c, lambda x: C.signed_round(x, 6))
     return B.vectors(spark, d).select("vec_id", rounded(C.contrast(v, 1.2)).alias("contrasted"), rounded(C.brightness(v, 0.8)).alias("darkened"), rounded(C.saturation(F.slice(v, 1, 63), 0.8)).alias("less_saturated"))
 
 
 @query("krn08_down_up_whole", "SELECT vec_id, list_transform(range(0, 64), lambda i: round((CAST(embedding[2 * (i // 2) + 1] AS DOUBLE) + CAST(embedding[2 * (i // 2) + 2] AS DOUBLE)) / 2, 9)) AS resized FROM embeddings")
 def krn08_whole(spark, d):
-    return B.vectors(spark, d).select("vec_id", F.transform(C.pooled_resize(F.col("embedding"), 2), lambda x: F.round(x, 9)).alias("resized"))
+    return B.vectors(spark, d).select("vec_id", F.transform(C.pooled_resize(F.col("embedding"), 2), lambda x: C.signed_round(x, 9)).alias("resized"))
 
 
 @query("krn05_condition_catalogue", sql("SELECT c.idx, c.condition, count(m.sample_id) AS n_samples FROM conditions_v c CROSS JOIN manifest_v m GROUP BY 1, 2", "conditions_v", "manifest_v"))
@@ -207,7 +207,7 @@ def krn05(spark, d):
 @query("krn06_contrast", "WITH m AS (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean FROM embeddings) SELECT vec_id, round(mean + (CAST(embedding[1] AS DOUBLE) - mean) * 1.2, 6) AS first_contrast, round(CAST(embedding[1] AS DOUBLE) * 0.8, 6) AS first_brightness FROM m")
 def krn06(spark, d):
     v = F.col("embedding")
-    return B.vectors(spark, d).select("vec_id", F.round(C.contrast(v, 1.2)[0], 6).alias("first_contrast"), F.round(C.brightness(v, 0.8)[0], 6).alias("first_brightness"))
+    return B.vectors(spark, d).select("vec_id", C.signed_round(C.contrast(v, 1.2)[0], 6).alias("first_contrast"), C.signed_round(C.brightness(v, 0.8)[0], 6).alias("first_brightness"))
 
 
 @query("krn07_centre_crop", "SELECT vec_id, embedding[7:57] AS cropped FROM embeddings")
@@ -217,7 +217,7 @@ def krn07(spark, d):
 
 @query("krn08_down_up", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE)) / 2, 9) AS first_mean FROM embeddings")
 def krn08(spark, d):
-    return B.vectors(spark, d).select("vec_id", F.round(C.pooled_resize(F.col("embedding"), 2)[1], 9).alias("first_mean"))
+    return B.vectors(spark, d).select("vec_id", C.signed_round(C.pooled_resize(F.col("embedding"), 2)[1], 9).alias("first_mean"))
 
 
 NOISE_U = "(CAST(('0x' || substr(sha256(concat_ws(':', '7', 'noise', '11', vec_id, i - 1, {})), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE + 0.5::DOUBLE / 281474976710656.0::DOUBLE)"
@@ -259,7 +259,7 @@ def krn16(spark, d):
 
 @query("krn17_kernel_chain", f"SELECT vec_id, {L.linear_sql(L.blur_weights(8, 1.0), L.mirrored(L.blur_weights(8, 1.0)))} AS embedding FROM embeddings")
 def krn17(spark, d):
-    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "flip_blur").select("vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+    return R.apply_kernel(B.vectors(spark, d), "vec_id", "embedding", (8, 8), "flip_blur").select("vec_id", F.transform("embedding", lambda x: C.signed_round(x, 9)).alias("embedding"))
 
 
 @query("ml01_shortcut_probe")
@@ -326,7 +326,7 @@ def ml04_epochs(spark, d):
 @query("ml05_batch_scoring", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64, 6) AS mean_score, round(CAST(list_max(embedding) AS DOUBLE), 6) AS max_score FROM embeddings")
 def ml05(spark, d):
     scored = R.score_rows(B.vectors(spark, d), "vec_id", "embedding", {"mean_score": lambda m: m.mean(axis=1), "max_score": lambda m: np.max(m, axis=1)})
-    return scored.select("vec_id", F.round("mean_score", 6).alias("mean_score"), F.round("max_score", 6).alias("max_score"))
+    return scored.select("vec_id", C.signed_round(F.col("mean_score"), 6).alias("mean_score"), C.signed_round(F.col("max_score"), 6).alias("max_score"))
 
 
 @query("smp14_diverse_choice")
