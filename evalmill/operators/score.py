@@ -6,15 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions import columns as C
 from evalmill.functions.columns import hash_rank
 from evalmill.operators.batches import map_frames
 
@@ -126,7 +126,16 @@ def shortcut_probe(train: DataFrame, held: DataFrame, numbers: list[str], kinds:
         StringIndexer(inputCols=kinds, outputCols=[f"{k}_i" for k in kinds], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{k}_i" for k in kinds], outputCols=[f"{k}_h" for k in kinds]),
         VectorAssembler(inputCols=["__scaled", *[f"{k}_h" for k in kinds]], outputCol="features"), LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-3),
     ]
-    return Pipeline(stages=stages).fit(weighted).transform(held).select(key, "label", vector_to_array("probability")[1].alias("score"))
+    fitted = Pipeline(stages=stages).fit(weighted)
+    return PipelineModel(fitted.stages[:-1]).transform(held).select(key, "label", fitted_odds(fitted.stages[-1]).alias("score"))
+
+
+def fitted_odds(model) -> Column:
+    """A fitted logistic head on ``features`` as an expression of its weights.
+
+    The model's own transform sends its training summary, and with that the session, to the tasks; that fails once the session has observed a metric.
+    """
+    return C.linear_head(vector_to_array("features"), model.coefficients.toArray().tolist(), model.intercept)
 
 
 def linear_head(train: DataFrame, vector: str, weight: str | None = None, non_negative: bool = False):
@@ -142,7 +151,7 @@ def linear_head(train: DataFrame, vector: str, weight: str | None = None, non_ne
 
 
 def head_scores(model, rows: DataFrame, vector: str, key: str) -> DataFrame:
-    return model.transform(rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).select(key, vector_to_array("probability")[1].alias("score"))
+    return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).select(key, fitted_odds(model).alias("score"))
 
 
 def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
