@@ -6,6 +6,8 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,69 @@ def band_plan(bits: int, radius: int, rows: int) -> tuple[int, int]:
     return (lambda m: (m, radius // m))(min(range(1, radius + 2), key=work))
 
 
+#: Hashes of a side in one cell, comparisons of a cell that are held at a time, and what a joined row costs in comparisons.
+SIDE, HELD, JOINED = 32_768, 4_000_000, 64
+
+#: Values that flipped bits can make of a hash's bands, at most: they are literals of the plan.
+CHANGES = 512
+
+
+def banding_pays(bits: int, radius: int, rows: int) -> bool:
+    """Whether the bands of ``band_plan`` meet so few rows that comparing a hash with all ``rows`` costs more."""
+    bands, flips = band_plan(bits, radius, rows)
+    width = -(-bits // bands)
+    changes = bands * sum(comb(width, k) for k in range(flips + 1))
+    return changes <= CHANGES and changes * (1 + rows / 2.0**width) * JOINED < rows
+
+
+def compared(a: DataFrame, b: DataFrame, radius: int, n_a: int, n_b: int, nearest: bool = False) -> DataFrame:
+    """(hash_a, hash_b, distance) within the radius of distinct hashes (hash_a) and (hash_b), every one with every one.
+
+    The grid has cells of ``SIDE`` hashes a side, so the product is dealt to many tasks and a task's memory doesn't grow with the
+    tables. ``nearest``: b has a column ``b``, and of a cell's pairs only the nearest one of each hash_a is kept, ties by b, as (hash_a, b, distance).
+    """
+    n_slices, n_blocks = max(1, -(-n_a // SIDE)), max(1, -(-n_b // SIDE))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lefts = a.select("hash_a").withColumn("slice", own("hash_a", n_slices)).withColumn("block", every(n_blocks))
+    rights = b.withColumn("block", own("hash_b", n_blocks)).withColumn("slice", every(n_slices))
+    name = "b" if nearest else "hash_b"
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if nearest:
+            right = right.sort_by("b")
+        x, y = (t.column(c).to_numpy() for t, c in ((left, "hash_a"), (right, "hash_b")))
+        rows, columns, found = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, np.int32)]
+        step = max(1, HELD // max(1, len(y)))
+        for at in range(0, len(x) if len(y) else 0, step):
+            far = np.bitwise_count((x[at : at + step, None] ^ y[None, :]).view(np.uint64))
+            if nearest:
+                j = far.argmin(axis=1)
+                i = np.flatnonzero(far[np.arange(len(j)), j] <= radius)
+                j = j[i]
+            else:
+                i, j = np.nonzero(far <= radius)
+            rows.append(i + at)
+            columns.append(j)
+            found.append(far[i, j].astype(np.int32))
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        return pa.table({"hash_a": pa.array(x[i], pa.int64()), name: right.column(name).combine_chunks().take(pa.array(j)), "distance": pa.array(np.concatenate(found), pa.int32())})
+
+    kind = dict(b.dtypes)[name]
+    return lefts.groupBy("slice", "block").cogroup(rights.groupBy("slice", "block")).applyInArrow(meet, f"hash_a long, `{name}` {kind}, distance int")
+
+
 def hash_pairs(left: DataFrame, right: DataFrame, hash_: str, radius: int, bits: int = 64) -> DataFrame:
     """(hash_a, hash_b, distance) of the different hashes of either side that lie within the radius: exact, by equi-joins on bands.
 
-    The left side goes with every value of a band that few flipped bits can make. A pair is taken from the first band in which it
+    Where bands would meet too many rows, all hashes are compared with all (``compared``). The left side goes with every value of a band that few flipped bits can make. A pair is taken from the first band in which it
     agrees that far, which needs no distinct.
     """
     a, b = (df.select(F.col(hash_).alias(f"hash_{side}")).filter(F.col(f"hash_{side}").isNotNull()).distinct() for df, side in ((left, "a"), (right, "b")))
-    n, flips = band_plan(bits, radius, b.count())
+    n_b = b.count()
+    if not banding_pays(bits, radius, n_b):
+        return compared(a, b, radius, a.count(), n_b)
+    n, flips = band_plan(bits, radius, n_b)
     edges = [round(i * bits / n) for i in range(n + 1)]
     mask = lambda width: -1 if width == 64 else (1 << width) - 1
     part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit(mask(edges[i + 1] - edges[i])).cast("long"))
@@ -78,7 +135,13 @@ def overlap_audit(left: DataFrame, right: DataFrame, key: str, label: str, diffe
 def nearest_hash(left: DataFrame, right: DataFrame, key: str, hash_: str, radius: int, bits: int = 64) -> DataFrame:
     """JN-14: for each left row the nearest right one within the radius, ties by its key; found by hash, then named for each row."""
     first = right.groupBy(F.col(hash_).alias("hash_b")).agg(F.min(key).alias("b"))
-    best = hash_pairs(left, right, hash_, radius, bits).join(first, "hash_b").groupBy("hash_a").agg(F.min(F.struct("distance", "b")).alias("best"))
+    first, n_b = first.filter(F.col("hash_b").isNotNull()), first.count()
+    if banding_pays(bits, radius, n_b):
+        met = hash_pairs(left, right, hash_, radius, bits).join(first, "hash_b")
+    else:
+        a = left.select(F.col(hash_).alias("hash_a")).filter(F.col("hash_a").isNotNull()).distinct()
+        met = compared(a, first.filter(F.col("b").isNotNull()), radius, a.count(), n_b, nearest=True)
+    best = met.groupBy("hash_a").agg(F.min(F.struct("distance", "b")).alias("best"))
     return left.select(F.col(key).alias("a"), F.col(hash_).alias("hash_a")).join(best, "hash_a").select("a", "best.b", "best.distance")
 
 
