@@ -1,9 +1,12 @@
-"""Summaries, variance shares and replicate statistics. Replicates are rows of one distributed aggregation, never a driver loop."""
+"""Summaries, variance shares and replicate statistics. Replicates are dealt to tasks or are rows of one distributed aggregation, never a driver loop."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,25 +139,70 @@ def grid_gaps(cells: DataFrame, a: str, b: str) -> DataFrame:
 def between_share(rows: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """AGG-22: between-group sum of squares over the total, from count, sum and sum of squares of each group."""
     v = F.col(value)
-    groups = rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    return share_of(rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")), keys)
+
+
+def share_of(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-22 from the sums (keys, n, s, q) of groups."""
     between = F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")
     total = F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")
     return groups.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.round(F.coalesce(F.try_divide(between, total), F.lit(0.0)), 9).alias("share"))
 
 
+#: Rows up to which a task holds the table for its replicates, and replicates of such a task.
+PACKED, BATCH = 1_000_000, 250
+
+
+def permuted_sums(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, group, n, s, q): sums of each group and replicate, for at most ``PACKED`` rows.
+
+    A task deals values to labels for ``BATCH`` replicates; rows are sent once for each such batch, and what leaves a task are sums.
+    """
+    kind = dict(rows.dtypes)[group]
+    placed = with_index(rows.select(key, group, value), "at", key)
+    sent = placed.select(F.col(key).cast("string").alias("key"), "at", F.col(group).alias("group"), F.col(value).cast("double").alias("v"))
+    batches = sent.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BATCH) - 1))))
+
+    def deal(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("at")
+        keys, v, parts = [k.encode() for k in one["key"]], one["v"].to_numpy(), []
+        codes, names = pd.factorize(one["group"], use_na_sentinel=False)
+        count, first = np.bincount(codes, minlength=len(names)), int(one["batch"].iloc[0]) * BATCH
+        for replicate in range(first, min(first + BATCH, replicates)):
+            head, digests = hashlib.sha256(f"{seed}:{replicate}:".encode()), []
+            for k in keys:
+                own = head.copy()
+                own.update(k)
+                digests.append(own.digest())
+            words = np.frombuffer(b"".join(digests), dtype=">u8").reshape(-1, 4)
+            lead = words[:, 0].astype(np.uint64)
+            order = np.argsort(lead)
+            if (lead[order][1:] == lead[order][:-1]).any():
+                order = np.lexsort(words.T[::-1])
+            dealt = v[order]
+            parts.append(pd.DataFrame({"replicate": replicate, "group": names, "n": count, "s": np.bincount(codes, dealt, len(names)), "q": np.bincount(codes, dealt * dealt, len(names))}))
+        return pd.concat(parts)
+
+    return batches.groupBy("batch").applyInPandas(deal, f"replicate int, group {kind}, n long, s double, q double")
+
+
 def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int) -> DataFrame:
     """AGG-24: how often relabelled groups reach the observed share: (exceeding + 1) / (replicates + 1).
 
-    In a replicate, values are dealt to the group labels by hash order. The position of a label is its row's place by key; both
-    places come from windows over (replicate), so a replicate is one partition and replicates are independent.
+    In a replicate, values are dealt to the group labels by hash order. The position of a label is its row's place by key. Up to ``PACKED`` usable rows, tasks
+    hold the table and no row is shuffled for each replicate; beyond that both places come from windows over (replicate), and rows times replicates are shuffled.
     """
     base = rows.select(key, group, value)
-    placed = with_index(base, "at", key)
-    many = base.select(key, value).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256)
-    shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(order)) - 1)
-    relabelled = shuffled.join(placed.select("at", group), "at")
-    shares = between_share(relabelled, ["replicate"], group, value)
+    whole = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull() | F.col(value).isNull()).alias("gaps")).first()
+    if 0 < whole["n"] <= PACKED and not whole["gaps"]:
+        shares = share_of(permuted_sums(base, key, group, value, replicates, seed), ["replicate"])
+    else:
+        placed = with_index(base, "at", key)
+        many = base.select(key, value).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256)
+        shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(order)) - 1)
+        relabelled = shuffled.join(placed.select("at", group), "at")
+        shares = between_share(relabelled, ["replicate"], group, value)
     observed = between_share(base, [], group, value).select(F.col("share").alias("observed"))
     return shares.crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.count_if(F.col("share") >= F.col("observed")).alias("n_exceed"), ((F.count_if(F.col("share") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1).cast("double")).alias("p_value"))
 
