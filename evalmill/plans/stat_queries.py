@@ -142,21 +142,17 @@ def agg24(spark, d):
 
 
 def boot_auc(s: str) -> str:
-    return f"(WITH c AS (SELECT replicate, {s} AS s, sum(times) FILTER (WHERE label = 1) AS p1, sum(times) FILTER (WHERE label = 0) AS n0 FROM t GROUP BY 1, 2), z AS (SELECT replicate, s, coalesce(p1, 0) AS p, coalesce(n0, 0) AS n FROM c), l AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY s) AS le FROM z) SELECT replicate, CAST(sum(p * (2 * (le - n) + n)) AS DOUBLE) / (2 * CAST(sum(p) * sum(n) AS DOUBLE)) AS auc FROM l GROUP BY 1)"
+    return f"(WITH c AS (SELECT replicate, {s} AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM t GROUP BY 1, 2), l AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY s) AS le FROM c) SELECT replicate, CAST(sum(p * (2 * (le - n) + n)) AS DOUBLE) / (2 * CAST(sum(p) * sum(n) AS DOUBLE)) AS auc FROM l GROUP BY 1)"
 
 
-POISSON = " + ".join(f"CAST(u >= {edge} AS INTEGER)" for edge in P.EDGES)
-
-
-@query("agg25_bootstrap_auc", sql(f"""WITH k AS (SELECT label, sample_id, score, score_b FROM predictions2_v WHERE condition = 'clean'),
-h AS (SELECT k.*, e, sha256(concat('11:', CAST(sample_id AS VARCHAR), ':', CAST(e AS VARCHAR))) AS hex FROM k CROSS JOIN (SELECT unnest(range(0, 250)) AS e)),
-d AS (SELECT label, score, score_b, 8 * e + j AS replicate, CAST(('0x' || substr(hex, 8 * j + 1, 8)) AS BIGINT) AS u FROM h CROSS JOIN (SELECT unnest(range(0, 8)) AS j)),
-t AS (SELECT *, {POISSON} AS times FROM d),
+@query("agg25_bootstrap_auc", sql(f"""WITH k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS pos_at, score, score_b FROM predictions2_v WHERE condition = 'clean'), z AS (SELECT label, max(pos_at) AS n FROM k GROUP BY 1),
+dr AS (SELECT r AS replicate, label, n, unnest(range(1, n + 1)) AS draw FROM z CROSS JOIN (SELECT unnest(range(0, 2000)) AS r)),
+t AS (SELECT dr.replicate, k.* FROM (SELECT replicate, label, CAST(('0x' || substr(sha256(concat_ws(':', '11', replicate, label, draw)), 1, 12)) AS BIGINT) % n + 1 AS pos_at FROM dr) dr JOIN k USING (label, pos_at)),
 w AS (SELECT a.auc AS auc_a, b.auc AS auc_b, b.auc - a.auc AS delta FROM {boot_auc('score')} a JOIN {boot_auc('score_b')} b USING (replicate)),
 x AS (SELECT 'auc_a' AS metric, auc_a AS v FROM w UNION ALL SELECT 'auc_b', auc_b FROM w UNION ALL SELECT 'delta', delta FROM w)
 SELECT metric, round(quantile_cont(v, 0.025), 9) AS q025, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.975), 9) AS q975 FROM x GROUP BY 1""", "predictions2_v"))
 def agg25(spark, d):
-    return P.bootstrap_auc(B.predictions2(spark, d).filter("condition = 'clean'"), "sample_id", "score", "score_b", 2000, 11)
+    return P.stratified_bootstrap_auc(B.predictions2(spark, d).filter("condition = 'clean'"), "sample_id", "score", "score_b", 2000, 11)
 
 
 @query("top01_ranked_errors", sql("""WITH l AS (SELECT condition, path, label, score, unnest(list_filter([CASE WHEN label = 0 THEN 'top_real' END, CASE WHEN label = 1 THEN 'bottom_fake' END, CASE WHEN label = 0 AND score >= 0.5 THEN 'false_positive' END, CASE WHEN label = 1 AND score < 0.5 THEN 'false_negative' END], lambda x: x IS NOT NULL)) AS list_name FROM predictions_v),
