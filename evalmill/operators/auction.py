@@ -13,7 +13,7 @@ round, in blocks drawn anew. A list is read again, at the prices of that time, o
 rise everywhere, and a last bidder's chain of displaced holders then seldom meets one whose list is used up. Bidders with the same vector are one,
 with room for as many objects; rooms are cut into parts of at most ``PART``.
 
-One block holds ``BLOCK`` bidders and their lists, some two million entries. Where all bidders are one block, a few rounds are enough, each of them
+One block holds ``BLOCK`` bidders and their lists, some eight million entries. Where all bidders are one block, a few rounds are enough, each of them
 lists read again. Beyond that the bound stays what it is, but the last bidders' price war goes on between blocks, a step a round,
 and rounds grow with the number of bidders.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from evalmill.operators.order import cut_lineage, with_index
 
 #: Places of a bidder; objects on a list besides those that fill its places; bidders that hold one auction in one task.
-PART, LIST, BLOCK = 256, 64, 32_768
+PART, LIST, BLOCK = 256, 64, 131_072
 
 STATE = "a long, b long, similarity double, price double"
 
