@@ -24,10 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: With this setting a query's shuffle files go with its end; else they stay until the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back from there; lost executors don't lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back from there; lost executors don't lose it.
+
+    Nothing reads the shuffles that made it again, so they are removed. The setting holds for frames made under it, hence the select.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def with_index(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
