@@ -29,8 +29,8 @@ from evalmill.operators.order import cut_lineage
 #: Allowances for rounding: of an angle in radians, and of a similarity beyond the nine digits by which rows are ranked.
 ANGLE, SIMILARITY = 1e-6, 1e-8
 
-#: Similarities of a cell that are held at a time (8 bytes each).
-HELD = 4_000_000
+#: Similarities of a cell that are held at a time (4 bytes each), pairs computed in double precision at a time, and kept ones that wait for a sort.
+HELD, EXACT, WAITING = 4_000_000, 8_192, 500_000
 
 
 def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -92,29 +92,53 @@ def _to_visit(anchors: np.ndarray, radii: np.ndarray, sizes: np.ndarray, k: int)
 
 
 class _Best:
-    """The k best of every left row of a cell, block by block."""
-
-    def __init__(self, kth: np.ndarray, k: int):
-        self.k, self.kth = k, kth
-        self.top = np.full((len(kth), k), -np.inf)
-        self.rows, self.columns, self.exact = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
-
-    def meet(self, rows: np.ndarray, columns: np.ndarray, found: np.ndarray) -> None:
-        near = np.round(found, 9)
-        own = np.partition(near, -self.k, axis=1)[:, -self.k :] if near.shape[1] > self.k else near
-        self.top[rows] = np.partition(np.hstack([self.top[rows], own]), -self.k, axis=1)[:, -self.k :]
-        self.kth[rows] = np.maximum(self.kth[rows], self.top[rows].min(axis=1))
-        i, j = np.nonzero(near >= self.kth[rows][:, None])
-        self.rows.append(rows[i])
-        self.columns.append(columns[j])
-        self.exact.append(found[i, j])
-
-    def result(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j, value = np.concatenate(self.rows), np.concatenate(self.columns), np.concatenate(self.exact)
-        order = np.lexsort((rank[j], -np.round(value, 9), i))
-        i, j, value = i[order], j[order], value[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < self.k
-        return i[first], j[first], value[first]
+    """The k best of every left row of a cell, block by block.
+
+    Products in single precision, whose error is bounded, say what can reach a row's k-th similarity so far; that is computed in double
+    precision and kept if it does. A row that has none yet gets one from every fourth column, so that a few times k similarities
+    are kept for it. Once many wait, all but the k best of each row are dropped.
+    """
+
+    def __init__(self, va: np.ndarray, vb: np.ndarray, kth: np.ndarray, k: int, rank: np.ndarray):
+        self.k, self.kth, self.rank = k, kth, rank
+        self.va, self.vb, self.near_a, self.near_b = va, vb, va.astype(np.float32), vb.astype(np.float32)
+        # Of a sum of products of unit vectors' entries, each entry rounded once: at most (entries + 2) roundings, here twice that.
+        self.error = 2 * (va.shape[1] + 2) * 2.0**-24
+        self.i, self.j, self.value = np.empty(0, int), np.empty(0, int), np.empty(0)
+        self.waiting, self.n_waiting = [], 0
+
+    def meet(self, rows: np.ndarray, columns: np.ndarray, them: np.ndarray) -> None:
+        found = self.near_a[rows] @ them
+        least = self.kth[rows]
+        some = found[:, :: 4 if self.k <= 64 and found.shape[1] >= 4 * self.k else 1]
+        if some.shape[1] >= self.k and len(new := np.flatnonzero(np.isneginf(least))):
+            at = some.shape[1] - self.k
+            least[new] = np.partition(some[new], at, axis=1)[:, at] - self.error
+        i, j = np.divmod(np.flatnonzero(found >= (least - self.error - SIMILARITY).astype(np.float32)[:, None]), found.shape[1])
+        for at in range(0, len(i), EXACT):
+            x, y = i[at : at + EXACT], columns[j[at : at + EXACT]]
+            value = np.einsum("ij,ij->i", self.va[rows[x]], self.vb[y])
+            enough = np.round(value, 9) >= least[x]
+            self.waiting.append((rows[x[enough]], y[enough], value[enough]))
+            self.n_waiting += int(enough.sum())
+        if self.n_waiting > max(WAITING, 2 * len(self.i)):
+            self.settle()
+
+    def settle(self) -> None:
+        i, j, value = (np.concatenate(x) for x in zip((self.i, self.j, self.value), *self.waiting))
+        near = np.round(value, 9)
+        order = np.lexsort((self.rank[j], -near, i))
+        i = i[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        last = place == self.k - 1
+        self.kth[i[last]] = np.maximum(self.kth[i[last]], near[order[last]])
+        order = order[place < self.k]
+        self.i, self.j, self.value = i[place < self.k], j[order], value[order]
+        self.waiting, self.n_waiting = [], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.settle()
+        return self.i, self.j, self.value
 
 
 def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -122,19 +146,19 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         ids_a, ids_b = lefts.column("a").combine_chunks(), rights.column("b").combine_chunks()
         rank = np.empty(len(ids_b), int)
         rank[pc.sort_indices(ids_b).to_numpy()] = np.arange(len(ids_b))
-        best = _Best(pc.fill_null(lefts.column("kth"), float("-inf")).to_numpy().copy(), k)
-        if len(ids_a) and len(ids_b):
-            va, vb = units(lefts.column("va")), units(rights.column("vb"))
-            visits = lefts.column("blocks").combine_chunks()
-            visitor, visited = np.repeat(np.arange(len(visits)), pc.list_value_length(visits).to_numpy()), visits.flatten().to_numpy()
-            block = rights.column("block").to_numpy()
-            for number in np.unique(block):
-                rows, columns = visitor[visited == number], np.flatnonzero(block == number)
-                step = max(1, HELD // len(columns))
-                for at in range(0, len(rows), step):
-                    some = rows[at : at + step]
-                    best.meet(some, columns, va[some] @ vb[columns].T)
-        i, j, value = best.result(rank)
+        if not len(ids_a) or not len(ids_b):
+            return pa.table({"a": ids_a[:0], "b": ids_b[:0], "similarity": np.empty(0), "near": np.empty(0)})
+        kth = pc.fill_null(lefts.column("kth"), float("-inf")).to_numpy().copy()
+        best = _Best(units(lefts.column("va")), units(rights.column("vb")), kth, k, rank)
+        visits = lefts.column("blocks").combine_chunks()
+        visitor, visited = np.repeat(np.arange(len(visits)), pc.list_value_length(visits).to_numpy()), visits.flatten().to_numpy()
+        block = rights.column("block").to_numpy()
+        for number in np.unique(block):
+            rows, columns = visitor[visited == number], np.flatnonzero(block == number)
+            step, them = max(1, HELD // len(columns)), best.near_b[columns].T
+            for at in range(0, len(rows), step):
+                best.meet(rows[at : at + step], columns, them)
+        i, j, value = best.result()
         return pa.table({"a": ids_a.take(pa.array(i)), "b": ids_b.take(pa.array(j)), "similarity": value, "near": np.round(value, 9)})
 
     return run

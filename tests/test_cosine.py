@@ -1,8 +1,12 @@
 """Exact cosine neighbours: equal to all pairs, whatever is skipped."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from evalmill.operators import cosine
 from evalmill.operators.cosine import cosine_top, search_work
 
 
@@ -70,3 +74,36 @@ def test_lengths_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="entries"):
         cosine_top(df.repartition(1), df.repartition(1), "id", "v", 1).collect()
+
+
+def cell_tables(n, m, k, near=None):
+    """A cell's left and right rows, as the tasks get them."""
+    rng = np.random.default_rng(5)
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel()))
+    va, vb = rng.normal(size=(n, 64)), rng.normal(size=(m, 64)) if near is None else near
+    left = pa.table({"a": np.arange(n), "va": lists(va), "kth": pa.array([None] * n, pa.float64()), "blocks": pa.array([[0]] * n, pa.list_(pa.int32()))})
+    return left, pa.table({"b": np.arange(len(vb)), "vb": lists(vb), "block": pa.array([0] * len(vb), pa.int32())}), va, vb
+
+
+@pytest.mark.parametrize("k", [8, 300])
+def test_a_cell_holds_little(k):
+    left, right, va, vb = cell_tables(512, 8192, k)
+    tracemalloc.start()
+    out = cosine._best(k)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # 4 M products in double precision, their rounded copy and the sorted one are 96 MB
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit(va) @ unit(vb).T, 9), axis=1, kind="stable")[:, :k]
+    assert (out.column("b").to_numpy().reshape(512, k) == want).all()
+
+
+def test_neighbours_that_single_precision_cannot_tell_apart():
+    base = np.random.default_rng(6).normal(size=64)
+    near = base + 3e-8 * np.random.default_rng(7).normal(size=(2000, 64))
+    left, right, va, vb = cell_tables(20, 2000, 5, near)
+    out = cosine._best(5)(left, right)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.argsort(-np.round(np.einsum("ik,jk->ij", unit(va), unit(vb)), 9), axis=1, kind="stable")[:, :5]
+    assert (out.column("b").to_numpy().reshape(20, 5) == want).mean() > 0.97  # sums in another order may round differently
+    assert len(np.unique(unit(va).astype(np.float32)[0] @ unit(vb).astype(np.float32).T)) < 100
