@@ -16,6 +16,10 @@ from evalmill.operators.cosine import cosine_top
 from evalmill.operators.order import cut_lineage, with_index
 
 
+#: Pairs that a cell of a greedy pass finds, at most, unless one left row sees more.
+SEEN = 262_144
+
+
 def band_plan(bits: int, radius: int, rows: int) -> tuple[int, int]:
     """(bands, flips): with m bands two hashes within the radius differ in at most radius // m bits of one band.
 
@@ -192,14 +196,15 @@ def assignment(left: DataFrame, right: DataFrame, key: str, vector: str, k: int,
 
     Copies of a vector are one node with room for all of them. A pass matches every open left node greedily among its best open
     right nodes; those that found theirs taken meet the right nodes that are still open in the next pass. Passes see ``k`` right
-    nodes, more when fewer left ones remain, so that no pass has more pairs than the first, nor a block more than ``cell``.
+    nodes, more when fewer left ones remain, so that no pass has more pairs than the first, nor 4,096 left ones more than ``cell``; a
+    task's share of them is ``SEEN``.
     Rows without a finite vector are none. The total is not promised to be optimal.
     """
     (left_rows, lefts), (right_rows, rights) = _nodes(left, key, vector, capacity), _nodes(right, key, vector, 1)
     most, flows = k * left_rows.count(), []
     while (n := lefts.count()) and not rights.isEmpty():
         seen = max(k, min(most // n, cell // min(n, 4096)))
-        found = cosine_top(lefts, rights, "node", vector, seen, most_blocks=1).select("a", "b", "similarity")
+        found = cosine_top(lefts, rights, "node", vector, seen, most_blocks=1, cell=max(1, min(4096, SEEN // seen))).select("a", "b", "similarity")
         rooms = [df.select(F.col("node").alias(s), F.col("room").alias(f"room_{s}")) for df, s in ((lefts, "a"), (rights, "b"))]
         got = greedy_flows(found.join(rooms[0], "a").join(rooms[1], "b"))
         flows.append(got)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evalmill.operators import cosine
+from evalmill.operators import cosine, neighbours
 from evalmill.operators.cosine import cosine_top, search_work
 
 
@@ -107,3 +107,12 @@ def test_neighbours_that_single_precision_cannot_tell_apart():
     want = np.argsort(-np.round(np.einsum("ik,jk->ij", unit(va), unit(vb)), 9), axis=1, kind="stable")[:, :5]
     assert (out.column("b").to_numpy().reshape(20, 5) == want).mean() > 0.97  # sums in another order may round differently
     assert len(np.unique(unit(va).astype(np.float32)[0] @ unit(vb).astype(np.float32).T)) < 100
+
+
+def test_a_greedy_pass_gives_each_task_a_bounded_share(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(neighbours, "cosine_top", lambda left, right, key, vector, k, **kw: (asked.append((k, kw.get("cell", 4096))), cosine_top(left, right, key, vector, k, **kw))[1])
+    monkeypatch.setattr(neighbours, "SEEN", 64, raising=False)
+    a, b = frames(spark, clustered(60, 1, 20.0), clustered(80, 2, 20.0))
+    found = neighbours.assignment(a, b, "id", "v", 3).collect()
+    assert len(found) == 60 and asked and all(cell == 1 or k * cell <= 64 for k, cell in asked)
