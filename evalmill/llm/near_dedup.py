@@ -12,9 +12,9 @@ the 40 bands of 6 with probability 5e-6).
 
 No group is expanded into pairs. Copies (same words) are one node. In a band's bucket every member is compared with the
 bucket's leader only; the exact similarity decides. Buckets whose members then lie in several components are searched on:
-nodes whose units can't make up a link to another component are left out; further leaders, each from outside a bucket's
-largest component, are compared with the other components' members until a round finds nothing; and what is left outside the
-largest components meets all members of other components, block by block, by bit maps of units whose differences bound the
+nodes whose units can't make up a link to another component are left out; where much is left outside the buckets' largest
+components, further leaders, each from outside, are compared with the other components' members until a round finds little; and
+what is left outside meets all members of other components, block by block, by bit maps of units whose differences bound the
 similarity from above. Pairs that pass are compared exactly. So no link between different components that share a bucket is
 lost, members of one component are never paired, and arrays of units are sent only for pairs that the bit maps let through.
 
@@ -34,6 +34,9 @@ from evalmill.llm.common import ascii_lower, cut_lineage, drop_losers, hot_keys,
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 
+#: Comparisons of bit maps for each row of a bucket that are no more work than a round of leaders.
+EACH = 64
+
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ODD1, ODD2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -219,10 +222,10 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def split_buckets(rows: DataFrame, found: DataFrame, hot: list) -> DataFrame:
-    """``rows`` of the buckets that hold several components, with component and the bucket's largest one."""
-    tagged = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """``rows`` of the buckets that hold several components, with component, the bucket's largest one and its rows ``outside`` that one."""
+    tagged = cut_lineage(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))  # read twice
     counted = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n_in"))
-    split = counted.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    split = counted.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("largest"), (F.sum("n_in") - F.max("n_in")).alias("outside"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     return spread_join(tagged, split.drop("parts"), "key", "node", hot)
 
 
@@ -270,10 +273,9 @@ def outside_pairs(split: DataFrame, similarity: float, block: int = 512) -> Data
     A bucket's outside members are cut by hash into blocks, and all its members are sent to each: a task's group is one block
     however large the bucket is.
     """
-    outside = split.filter("component != largest")
-    sizes = outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    x = outside.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("x")
-    y = split.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    sized = split.withColumn("blocks", F.ceil(F.col("outside") / block).cast("int"))
+    x = sized.filter("component != largest").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("x")
+    y = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & may_link("x", "y", similarity))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -282,7 +284,8 @@ def outside_pairs(split: DataFrame, similarity: float, block: int = 512) -> Data
 def further_links(buckets: DataFrame, found: DataFrame, docs: DataFrame, named, similarity: float, hot: list) -> DataFrame:
     """``found`` after the links across components of a bucket, from (key, node, n, met) rows of buckets of three members or more.
 
-    Rounds of further leaders go on as long as one links at least one in a hundred of the nodes outside; then all that is left meets.
+    All that is left meets at once if that is at most ``EACH`` comparisons and one possible pair for each row. Otherwise rounds of further
+    leaders come first, as long as one links at least one in a hundred of the nodes outside.
     """
     open_ = cut_lineage(split_buckets(buckets, found, hot))
     if open_.isEmpty():
@@ -291,9 +294,13 @@ def further_links(buckets: DataFrame, found: DataFrame, docs: DataFrame, named,
     members = possible_members(open_, read, similarity, hot)
     while True:
         split = cut_lineage(split_buckets(members, found, hot))
-        outside = split.filter("component != largest").agg(F.approx_count_distinct("node")).first()[0]
-        if not outside:
+        rows, compared, outside = split.agg(F.count(F.lit(1)), F.sum("outside"), F.approx_count_distinct(F.expr("CASE WHEN component != largest THEN node END"))).first()
+        if not rows:
             return found
+        if compared <= EACH * rows:
+            pairs = cut_lineage(outside_pairs(split, similarity))
+            if pairs.count() <= rows:
+                return merged(found, similar_pairs(pairs, read, similarity))
         links = cut_lineage(similar_pairs(leader_pairs(split, similarity, hot), read, similarity))
         linked = links.count()
         found = merged(found, links) if linked else found
@@ -327,7 +334,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, band_count: int = B
     found = components(similar_pairs(pairs, read, similarity))
     found = further_links(ranked.filter("members > 2").drop("members"), found, docs, named, similarity, hot)
 
-    linked = membership.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = cut_lineage(membership.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))  # read twice
     sizes = cut_lineage(linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")))
     return spread_join(linked, sizes, "component", "row", hot_keys(sizes, "component", "class_size")).select("doc_id", "digest", "row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 

@@ -122,6 +122,38 @@ def test_bucket_of_near_copies_that_mostly_miss(spark):
     assert len(set(got.values())) > 150
 
 
+@pytest.mark.parametrize("each", [64, 0])
+def test_few_outside_meet_without_rounds_of_leaders(spark, monkeypatch, each):
+    # Most copies are linked by the first leader; some that it misses resemble each other or another copy.
+    monkeypatch.setattr(near_dedup, "EACH", each)
+    calls = Counter()
+    for name in ("split_buckets", "leader_pairs", "outside_pairs"):
+        monkeypatch.setattr(near_dedup, name, lambda *a, f=getattr(near_dedup, name), name=name: calls.update([name]) or f(*a))
+    base = cases.words(146, 8)
+    far = [edited(base, 3, 70_000 + k) for k in range(10)]
+    rows = [(i, edited(base, 1 + i % 2, 40_000 + i)) for i in range(160)]
+    rows += [(160 + i, edited(far[i % 10], 2 + i % 4, 60_000 + i)) for i in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 5
+    if each:
+        assert calls == Counter(split_buckets=2, outside_pairs=1)
+    else:
+        assert calls["leader_pairs"]
+
+
+def test_bucket_rows_are_tagged_once(spark):
+    # All rows and each row's bucket: the join with components must not be run again by what reads it.
+    rows = spark.createDataFrame([(k, n, 9, 1) for k in range(20) for n in range(k, k + 6)], "key long, node long, n long, met long")
+    found = spark.createDataFrame([(n, 0) for n in range(0, 20, 2)], "node long, component long")
+    split = near_dedup.split_buckets(rows, found, [])
+    assert "LeftOuter" not in split._jdf.queryExecution().executedPlan().toString()
+    for key, got in split.toPandas().groupby("key"):
+        inside = [n for n in range(key, key + 6) if n % 2 == 0 and n < 20]
+        largest = 0 if len(inside) > 1 else got["component"].max()
+        assert (got["largest"] == largest).all() and (got["outside"] == (got["component"] != largest).sum()).all() and len(got) == 6
+
+
 def test_bit_maps_bound_the_difference():
     rng = np.random.default_rng(4)
     for n, m, common in ((200, 230, 190), (90, 100, 80), (3, 3, 0), (1500, 1300, 1200)):
