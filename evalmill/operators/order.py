@@ -43,6 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEAN_UP, before)
 
 
+def drop_cut(*cuts: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for tables that nothing reads any more."""
+    for df in cuts:
+        spark, written = df.sparkSession, df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if written.isDefined():
+            place = spark._jvm.org.apache.hadoop.fs.Path(written.get())
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def with_index(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``rows`` with their place (from 0) in the given order, ties by a hash of the row. The partition numbers are fixed by a checkpoint."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
