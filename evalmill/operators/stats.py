@@ -1,8 +1,9 @@
-"""Summaries, variance shares and replicate statistics. Replicates are dealt to tasks or are rows of one distributed aggregation, never a driver loop."""
+"""Summaries, variance shares and replicate statistics. Replicates are dealt to tasks; only beyond ``PACKED`` rows they go in waves, each a distributed aggregation."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.operators.batches import map_frames
 from evalmill.operators.contracts import ContractError
-from evalmill.operators.order import cut_lineage, with_index
+from evalmill.operators.order import cut_lineage, drop_cut, with_index
 
 
 def cell_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -149,8 +151,26 @@ def share_of(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.round(F.coalesce(F.try_divide(between, total), F.lit(0.0)), 9).alias("share"))
 
 
-#: Rows up to which a task holds the table for its replicates, and replicates of such a task.
-PACKED, BATCH = 1_000_000, 250
+#: Rows up to which a task holds the table for its replicates, replicates of such a task, keys hashed at a time; rows times replicates that are shuffled at a time beyond that.
+PACKED, BATCH, HASHED, WAVE = 4_000_000, 250, 65_536, 20_000_000
+
+
+def hash_order(keys: list[bytes], head: bytes) -> np.ndarray:
+    """The order of the SHA-256 of head + key, equal ones by place. Eight bytes of each are held; the others are made again where those are equal."""
+    start, lead = hashlib.sha256(head), np.empty(len(keys), np.uint64)
+    for at in range(0, len(keys), HASHED):
+        digests = []
+        for k in keys[at : at + HASHED]:
+            own = start.copy()
+            own.update(k)
+            digests.append(own.digest())
+        lead[at : at + HASHED] = np.frombuffer(b"".join(digests), dtype=">u8")[::4]
+    order = np.argsort(lead)
+    same = np.append(False, lead[order[1:]] == lead[order[:-1]])
+    if same.any():
+        tied = np.flatnonzero(same | np.append(same[1:], False))
+        order[tied] = sorted(order[tied].tolist(), key=lambda i: (lead[i], hashlib.sha256(head + keys[i]).digest(), i))
+    return order
 
 
 def permuted_sums(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -159,50 +179,60 @@ def permuted_sums(rows: DataFrame, key: str, group: str, value: str, replicates:
     A task deals values to labels for ``BATCH`` replicates; rows are sent once for each such batch, and what leaves a task are sums.
     """
     kind = dict(rows.dtypes)[group]
-    placed = with_index(rows.select(key, group, value), "at", key)
-    sent = placed.select(F.col(key).cast("string").alias("key"), "at", F.col(group).alias("group"), F.col(value).cast("double").alias("v"))
-    batches = sent.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BATCH) - 1))))
-
-    def deal(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("at")
-        keys, v, parts = [k.encode() for k in one["key"]], one["v"].to_numpy(), []
-        codes, names = pd.factorize(one["group"], use_na_sentinel=False)
-        count, first = np.bincount(codes, minlength=len(names)), int(one["batch"].iloc[0]) * BATCH
+    placed = cut_lineage(with_index(rows.select(key, group, value), "at", key))
+    sent = placed.select("at", F.concat(F.lit(":"), F.col(key).cast("string")).alias("key"), F.col(group).alias("group"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    parts = max(1, -(-replicates // BATCH))
+    batches = sent.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartitionById(parts, "batch").sortWithinPartitions("at")
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, groups, values, first = [], [], [], 0
+        for frame in frames:
+            if len(frame):
+                keys += [b"" if k is None else k.encode() for k in frame["key"]]
+                groups.append(frame["group"])
+                values.append(frame["v"].to_numpy())
+                first = int(frame["batch"].iloc[0]) * BATCH
+        if not keys:
+            return
+        v = np.concatenate(values)
+        codes, names = pd.factorize(pd.concat(groups, ignore_index=True), use_na_sentinel=False)
+        count = np.bincount(codes, minlength=len(names))
+        del groups, values
         for replicate in range(first, min(first + BATCH, replicates)):
-            head, digests = hashlib.sha256(f"{seed}:{replicate}:".encode()), []
-            for k in keys:
-                own = head.copy()
-                own.update(k)
-                digests.append(own.digest())
-            words = np.frombuffer(b"".join(digests), dtype=">u8").reshape(-1, 4)
-            lead = words[:, 0].astype(np.uint64)
-            order = np.argsort(lead)
-            if (lead[order][1:] == lead[order][:-1]).any():
-                order = np.lexsort(words.T[::-1])
-            dealt = v[order]
-            parts.append(pd.DataFrame({"replicate": replicate, "group": names, "n": count, "s": np.bincount(codes, dealt, len(names)), "q": np.bincount(codes, dealt * dealt, len(names))}))
-        return pd.concat(parts)
-
-    return batches.groupBy("batch").applyInPandas(deal, f"replicate int, group {kind}, n long, s double, q double")
+            dealt = v[hash_order(keys, f"{seed}:{replicate}".encode())]
+            yield pd.DataFrame({"replicate": replicate, "group": names, "n": count, "s": np.bincount(codes, dealt, len(names)), "q": np.bincount(codes, dealt * dealt, len(names))})
+
+    return map_frames(batches, deal, f"replicate int, group {kind}, n long, s double, q double")
+
+
+def shuffled_shares(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int, n: int) -> DataFrame:
+    """(replicate, share) for any number ``n`` of rows: both places come from windows over (replicate), and rows times replicates are shuffled.
+
+    That goes in waves of as many replicates as make ``WAVE`` rows, one at least; a wave's files go with its end, so disk doesn't grow with the replicates.
+    """
+    base = cut_lineage(rows.select(key, group, value))
+    labels = cut_lineage(with_index(base, "at", key).select("at", group))
+    wave, shares = max(1, WAVE // n), []
+    order = F.unhex(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256))
+    for first in range(0, replicates, wave):
+        many = base.select(key, value).withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(min(first + wave, replicates) - 1))))
+        shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(order)) - 1)
+        done = cut_lineage(between_share(shuffled.join(labels, "at"), ["replicate"], group, value).select("replicate", "share"))
+        shares += [(r["replicate"], r["share"]) for r in done.collect()]
+        drop_cut(done)
+    drop_cut(base, labels)
+    return rows.sparkSession.createDataFrame(shares, "replicate int, share double")
 
 
 def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int) -> DataFrame:
     """AGG-24: how often relabelled groups reach the observed share: (exceeding + 1) / (replicates + 1).
 
-    In a replicate, values are dealt to the group labels by hash order. The position of a label is its row's place by key. Up to ``PACKED`` usable rows, tasks
-    hold the table and no row is shuffled for each replicate; beyond that both places come from windows over (replicate), and rows times replicates are shuffled.
+    In a replicate, values are dealt to the group labels by hash order. The position of a label is its row's place by key. Up to ``PACKED`` rows, tasks
+    hold the table and no row is shuffled for each replicate; beyond that rows times replicates are shuffled, in waves of bounded size.
     """
     base = rows.select(key, group, value)
-    whole = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull() | F.col(value).isNull()).alias("gaps")).first()
-    if 0 < whole["n"] <= PACKED and not whole["gaps"]:
-        shares = share_of(permuted_sums(base, key, group, value, replicates, seed), ["replicate"])
-    else:
-        placed = with_index(base, "at", key)
-        many = base.select(key, value).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string")), 256)
-        shuffled = many.withColumn("at", F.row_number().over(Window.partitionBy("replicate").orderBy(order)) - 1)
-        relabelled = shuffled.join(placed.select("at", group), "at")
-        shares = between_share(relabelled, ["replicate"], group, value)
+    n = base.count()
+    shares = share_of(permuted_sums(base, key, group, value, replicates, seed), ["replicate"]) if n <= PACKED else shuffled_shares(base, key, group, value, replicates, seed, n)
     observed = between_share(base, [], group, value).select(F.col("share").alias("observed"))
     return shares.crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.count_if(F.col("share") >= F.col("observed")).alias("n_exceed"), ((F.count_if(F.col("share") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1).cast("double")).alias("p_value"))
 
