@@ -152,7 +152,7 @@ def share_of(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Rows up to which a task holds the table for its replicates, replicates of such a task, keys hashed at a time; rows times replicates that are shuffled at a time beyond that.
-PACKED, BATCH, HASHED, WAVE = 4_000_000, 250, 65_536, 20_000_000
+PACKED, BATCH, HASHED, WAVE = 2_000_000, 250, 65_536, 20_000_000
 
 
 def hash_order(keys: list[bytes], head: bytes) -> np.ndarray:
@@ -166,7 +166,8 @@ def hash_order(keys: list[bytes], head: bytes) -> np.ndarray:
             digests.append(own.digest())
         lead[at : at + HASHED] = np.frombuffer(b"".join(digests), dtype=">u8")[::4]
     order = np.argsort(lead)
-    same = np.append(False, lead[order[1:]] == lead[order[:-1]])
+    ranked = lead[order]
+    same = np.append(False, ranked[1:] == ranked[:-1])
     if same.any():
         tied = np.flatnonzero(same | np.append(same[1:], False))
         order[tied] = sorted(order[tied].tolist(), key=lambda i: (lead[i], hashlib.sha256(head + keys[i]).digest(), i))
